@@ -15,35 +15,34 @@ SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 24
 
 
-def _grouped_positions(positions: Column, window: Column, salt: int) -> Column:
-    """Of the word positions, those whose hashed three-word window is shared with another one of them, sorted.
-    Hash and position share one long, so that a primitive sort brings equal windows together."""
-    mask = (1 << POSITION_BITS) - 1
-
-    def packed(i: Column) -> Column:
-        h = F.xxhash64(F.lit(salt), F.get(window, i), F.get(window, i + 1), F.get(window, i + 2))
-        return F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long"))
+def _shared(hashes: Column, positions: Column) -> Column:
+    """Those of the positions, sorted, whose hash is equal to that of another one. ``hashes`` runs along with
+    ``positions``; both share one long each, so that a primitive sort brings equal hashes together."""
+    packed = F.zip_with(hashes, positions, lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long")))
 
     def repeated(s: Column) -> Column:
-        key = lambda j: F.shiftright(F.get(s, j), POSITION_BITS)
-        near = lambda x, j: (F.coalesce(key(j - 1) == F.shiftright(x, POSITION_BITS), F.lit(False))) | F.coalesce(key(j + 1) == F.shiftright(x, POSITION_BITS), F.lit(False))
-        return F.sort_array(F.transform(F.filter(s, near), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")))
+        # Equal hashes differ in their position bits alone.
+        same = lambda x, y: F.coalesce(F.shiftright(x.bitwiseXOR(y), POSITION_BITS) == 0, F.lit(False))
+        found = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
+        return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")))
 
-    return F.transform(F.array(F.sort_array(F.transform(positions, packed))), repeated)[0]
+    return F.transform(F.array(F.sort_array(packed)), repeated)[0]
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
+def _repeat_words(words: Column, hashes: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in the text."""
-    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    once = _grouped_positions(starts, words, 1)
-    # The 40 hash bits of the first look can collide; a second, independent hash confirms the few that remain.
-    twice = F.transform(F.array(once), lambda c: F.when(F.size(c) > 0, _grouped_positions(c, words, 2)).otherwise(c))[0]
+    once = _shared(hashes, F.sequence(F.lit(0), F.size(hashes) - 1))
+
+    def confirmed(c: Column) -> Column:  # 40 hash bits can collide; an independent hash decides on what remains
+        again = F.transform(c, lambda i: F.xxhash64(F.lit(1), F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+        return F.when(F.size(c) > 0, _shared(again, c)).otherwise(c)
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    return F.transform(F.array(twice), covered)[0]
+    counted = F.transform(F.transform(F.array(once), confirmed), covered)[0]
+    return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("long")).otherwise(counted)
 
 
 def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -60,17 +59,19 @@ def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     base = docs.select(
         F.col("doc_id"),
         F.col("source"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias("_words"),
     )
+    windows = F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2)))
+    base = base.withColumn("_hashes", F.slice(windows, F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))))
     out = base.select(
         "doc_id", "source",
         F.size("_words").cast("long").alias("n_words"),
-        "word_chars", "n_symbols",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_words"), F.size("_words")).alias("n_repeat_words"),
+        _repeat_words(F.col("_words"), F.col("_hashes")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed)
