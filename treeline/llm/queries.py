@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, quality, simhash, tokens, warc
+from treeline.llm import decontaminate, language, mixing, quality, simhash, tokens, toxicity, warc
 from treeline.llm.common import table
 
 
@@ -20,6 +20,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, docs, table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(spark, table(spark, sf_dir, "documents"))
 
@@ -33,6 +46,9 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
