@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, language, mixing, quality, simhash, tokens, toxicity, warc
+from treeline.llm import decontaminate, language, licenses, mixing, quality, simhash, tokens, toxicity, warc
 from treeline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, docs, table(spark, sf_dir, "labels"))
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
