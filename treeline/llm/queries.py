@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, language, licenses, mixing, quality, simhash, tokens, toxicity, warc
+from treeline.llm import decontaminate, language, licenses, mixing, quality, repeats, simhash, tokens, toxicity, warc
 from treeline.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(spark, table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
+    "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
