@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm import decontaminate, language, licenses, mixing, quality, repeats, simhash, tokens, toxicity, warc
 from treeline.llm.common import table
+from treeline.llm.oracles import ORACLE_SQL  # noqa: F401  (registered with the queries)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +63,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
