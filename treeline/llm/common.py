@@ -34,10 +34,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Python workers get texts in batches of at most ``size`` bytes (unless the session asks for another size),
+    so that what a worker holds does not depend on how long texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns whose names start with _ under other names. The operators' own columns start so:
+    none can clash, and the caller puts the names back with ``toDF``."""
+    return docs.toDF(*[f"aside{i}{c}" if c.startswith("_") else c for i, c in enumerate(docs.columns)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (two long columns of hash-like node ids): one row
     ``(node, root)`` for every node that has an edge to another one.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import LOWER_ASCII, written
+from treeline.llm.common import LOWER_ASCII, set_aside, written
 
 #: Everything below 0x80 that is no letter or digit separates words; bytes from 0x80 on are parts of words.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER_ASCII)
@@ -180,7 +180,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
     for b in blocks:
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == b).collect()
         scan = _scan_udf(docs.sparkSession.sparkContext.broadcast([(r.item_id, words_of(r.text)) for r in rows]), window)
-        found = found.withColumn(f"_hits{b}", scan("text"))
+        found = found.withColumn(f"_hits{b}", scan.asNondeterministic()("text"))
         if len(blocks) > 1:  # one automaton in memory at a time
             found = written(found, f"block{b}")
     names = [f"_hits{b}" for b in blocks]
@@ -213,6 +213,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     """Cleaned documents with the columns of ``docs``: spans of words that occur in a benchmark window are cut
     out of the text, and a document of which more than ``max_coverage`` of the words are hit goes. Documents
     without hits stay as they are, null texts included."""
+    original, docs = docs.columns, set_aside(docs)
     names = docs.columns
     found = find_contamination(docs, items, window, block_words).withColumn("_spans", F.flatten(F.transform("_hits", lambda h: h["spans"])))
 
@@ -220,10 +221,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     def cut(texts: pd.Series, n: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(*row, max_coverage) for row in zip(texts, n, spans, strict=True)], dtype=object)
 
-    hit = written(found, "decontaminated").withColumn("_hit", F.size("_spans") > 0)
-    hit = hit.withColumn("_kept", F.when(F.col("_hit"), cut(F.when(F.col("_hit"), F.col("text")), "_n_words", "_spans")).otherwise(F.col("text")))
+    hit = found.withColumn("_hit", F.size("_spans") > 0)
+    hit = hit.withColumn("_kept", F.when(F.col("_hit"), cut.asNondeterministic()(F.when(F.col("_hit"), F.col("text")), "_n_words", "_spans")).otherwise(F.col("text")))
     hit = hit.where(~F.col("_hit") | F.col("_kept").isNotNull())
-    return hit.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    return hit.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names]).toDF(*original)
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:

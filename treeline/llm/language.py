@@ -144,7 +144,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 scores[at] = 1 / (1 + np.exp(-4 * gap))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_language", predicted("text"))
+    return docs.withColumn("_language", predicted.asNondeterministic()("text"))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

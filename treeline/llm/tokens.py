@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Words whose counts a worker remembers before it starts afresh; it bounds memory and changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class PieceCounter:

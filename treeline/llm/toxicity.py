@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import written
+from treeline.llm.common import set_aside, written
 from treeline.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on, at most (a sample by hash where there are more).
@@ -18,7 +18,7 @@ FIT_ROWS = 20_000
 #: Features kept, the least chi-squared statistic of one, and the lengths in bytes of word prefixes.
 FEATURES, LEAST_CHI2, PREFIXES = 2000, 30.0, (4, 5, 6)
 #: Words whose features a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -153,7 +153,7 @@ def score_severity(docs: DataFrame, model: Severity) -> DataFrame:
                 out[n] = above.sum(), above[0], (above >= 0.5).sum()
             yield pd.DataFrame({"expected": out[:, 0], "p_toxic": out[:, 1], "grade": out[:, 2].astype(np.int32)})
 
-    return docs.withColumn("_severity", scored("text"))
+    return docs.withColumn("_severity", scored.asNondeterministic()("text"))
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probability: float = 0.5) -> DataFrame:
@@ -166,5 +166,5 @@ def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probab
 
 def remove_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probability: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    out = score_severity(docs, fit_severity(labelled, labels))
-    return out.where(F.col("_severity.p_toxic") < max_probability).drop("_severity")
+    out = score_severity(set_aside(docs), fit_severity(labelled, labels))
+    return out.where(F.col("_severity.p_toxic") < max_probability).drop("_severity").toDF(*docs.columns)
