@@ -102,6 +102,6 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     corpus is pre-aggregated and its join can be split.
     """
     judged = written(document_rules(docs, min_words, max_repeat_percent), "quality")
-    hosts = host_verdicts(judged, max_host_rate).select("source", F.col("rate").alias("host_rate"), "host_failed")
+    hosts = written(host_verdicts(judged, max_host_rate).select("source", F.col("rate").alias("host_rate"), "host_failed"), "hosts")
     out = judged.join(hosts, "source", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False)))
