@@ -51,7 +51,8 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"),
         html.alias("payload"), F.sha2(html, 256).alias("_key"), base32_sha1(html).alias("digest"),
     )
-    first = rows.groupBy("_key").agg(F.min("page_id").alias("_first"))
+    # A written table on this side lets Spark split the join where one payload has very many copies.
+    first = written(rows.groupBy("_key").agg(F.min("page_id").alias("_first")), "payloads")
     out = rows.join(first, "_key")
     again = (F.octet_length("payload") >= min_revisit_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     refers = F.when(again, F.col("_first"))
