@@ -17,13 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import written
+from treeline.llm.common import set_aside, written
 
 LENGTH = 200
 #: Bytes of the strings whose smallest hash is a key.
 GRAM = 48
-#: Bytes of text under one key that are compared in one block. Keys with more compare hashes of all their strings.
-BLOCK_BYTES = 1 << 17
+#: Bytes of text under one key that are compared in one block. Keys with more are refined first.
+BLOCK_BYTES = 1 << 18
+#: Starts in a part of a run, level by level, where a key has more text than that.
+WIDTHS = (32, 8, 2, 1)
 
 #: Starts of a text that are hashed at a time.
 CHUNK = 1 << 20
@@ -129,29 +131,34 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     value, and the search stops where ``length`` is reached.
     """
     n = len(data)
-    text = np.append(data.astype(np.int64) + 1, 0)  # a sentinel smaller than any byte
-    full = np.append(n, order)
-    bwt = text[full - 1]
-    chars, codes = np.unique(bwt, return_inverse=True)
-    sigma = len(chars)
-    counts = np.bincount(codes, minlength=sigma)
-    before = np.cumsum(counts) - counts
-    occ = np.zeros((n + 2, sigma), dtype=np.int32)
-    occ[np.arange(1, n + 2), codes] = 1
-    np.cumsum(occ, axis=0, out=occ)
+    text = np.append(data.astype(np.int16) + 1, 0).astype(np.int16)  # a sentinel smaller than any byte
+    bwt = text[np.append(n, order) - 1]
+    # Where the suffix goes that is one character longer than the one in a row.
+    longer = np.empty(n + 1, dtype=np.int64)
+    longer[np.argsort(bwt, kind="stable")] = np.arange(n + 1)
     found = np.full(n + 2, -1, dtype=np.int32)
     found[0] = found[n + 1] = 0
     lo, hi = np.array([0]), np.array([n + 1])
     for depth in range(length):
         if not len(lo):
             break
-        left, right = occ[lo], occ[hi]
-        which, c = np.nonzero(right > left)
-        new_lo = before[c] + left[which, c]
-        new_hi = before[c] + right[which, c]
+        width = hi - lo
+        alone = longer[lo[width == 1]]  # a single suffix has one extension
+        lo, width = lo[width > 1], width[width > 1]
+        rows = np.arange(width.sum()) + np.repeat(lo - np.cumsum(width) + width, width)
+        which = np.repeat(np.arange(len(lo)), width)
+        to = longer[rows]
+        sort = np.argsort(to)
+        to, which, c = to[sort], which[sort], bwt[rows[sort]]
+        # Rows of one interval that go on with one character lie side by side.
+        new = np.ones(len(to), dtype=bool)
+        new[1:] = (which[1:] != which[:-1]) | (c[1:] != c[:-1])
+        start = np.nonzero(new)[0]
+        stop = np.append(start[1:], len(to))[: len(start)]
+        lo, hi = np.concatenate((alone, to[start])), np.concatenate((alone, to[stop - 1])) + 1
         # Per step, one interval ends at each place at most; those whose end is known are not gone into again.
-        fresh = found[new_hi] < 0
-        lo, hi = new_lo[fresh], new_hi[fresh]
+        fresh = found[hi] < 0
+        lo, hi = lo[fresh], hi[fresh]
         found[hi] = depth
     found[found < 0] = length
     return found[1 : n + 1]
@@ -224,9 +231,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     Keys and runs are counted with map-side combine before anything is joined, so copies and common passages
     are not gathered; keys with more than ``block_bytes`` of different runs (a passage in very many
-    surroundings) count the hashes of their strings instead, which is as exact and has no hot group.
+    surroundings) are refined instead, which is as exact and has no hot group.
     """
-    often = _runs(docs, length).groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key")
+    often = written(_runs(docs, length).groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key"), "often")
     suspects = _runs(docs, length).join(often, "key").groupBy("_a", "_b", "start", "n", "key", "run").agg(F.count("*").alias("times"))
     suspects = written(suspects, "suspects")
     place = F.struct("_a", "_b", "start", "n")
@@ -245,8 +252,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     pieces = written(pieces, "pieces")
     small = pieces.where("not large").repartition("key").sortWithinPartitions("key")
     by_block = small.mapInPandas(_block_finder(length, block_bytes), "key long, run long, spans array<array<int>>")
-    by_count = _count_strings(pieces.where("large"), length)
-    decided = written(whole.union(by_block).union(by_count), "decided")
+    decided = whole.union(by_block).union(_refined(pieces.where("large"), length))
+    decided = written(decided, "decided")
     moved = F.transform("spans", lambda s: F.struct((s[0] + F.col("start")).alias("lo"), (s[1] + F.col("start")).alias("hi")))
     hits = suspects.join(decided, ["key", "run"]).select("_a", "_b", F.explode(moved).alias("s"))
     return hits.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("s")).alias("spans"))
@@ -293,33 +300,71 @@ def _block_finder(length: int, block_bytes: int):
     return find
 
 
-def _count_strings(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys of any size: hash every string of every run, count, and bring the counts back."""
+def _refined(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys of any size: (key, run, spans).
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    All strings of a run hold its key's bytes at one place, and equal strings hold them at the same distance from
+    their start. So runs are cut by that distance into parts of at most WIDTHS starts, level by level; a part's new
+    key is the hash of its old one, the distance and the bytes that all its strings share. Equal parts that occur
+    twice are repeated as a whole; a key with one part only is done; the rest goes to the next level, and at the
+    last each part is one string. Each level makes a few rows of each run that is left and counts them with
+    map-side combine, so a passage in any number of surroundings is settled without gathering it.
+    """
+    rows = pieces.select("key", "run", F.col("key").alias("top"), F.col("run").alias("top_run"), F.lit(0).alias("at"), "times", "piece", F.lit(-1).alias("anchor"))
+    decided = None
+    for width in WIDTHS:
+        schema = "key long, run long, top long, top_run long, at int, times long, piece binary, anchor int"
+        parts = written(rows.mapInPandas(_parter(length, width), schema), f"parts{width}")
+        seen = parts.groupBy("key", "run").agg(F.sum("times").alias("_t"))
+        seen = written(seen, "seen")
+        whole = parts.join(seen.where("_t > 1").select("key", "run"), ["key", "run"])
+        span = F.array(F.array(F.col("at"), F.col("at") + F.octet_length("piece")))
+        own = whole.select(F.col("top").alias("key"), F.col("top_run").alias("run"), span.alias("spans"))
+        decided = own if decided is None else decided.union(own)
+        mixed = written(seen.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "mixed")
+        rows = parts.join(mixed, "key")
+    return decided.groupBy("key", "run").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _parter(length: int, width: int):
+    """Cuts runs into parts of at most ``width`` starts by the distance of the key's place from the start."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, run, times, piece in batch[["key", "run", "times", "piece"]].itertuples(index=False, name=None):
+            rows = []
+            for key, top, top_run, at, times, piece, anchor in batch[["key", "top", "top_run", "at", "times", "piece", "anchor"]].itertuples(index=False, name=None):
                 data = np.frombuffer(piece, dtype=np.uint8)
-                at = np.arange(len(data) - length + 1)
-                h = RollingHash(data).of(at, at + length).view(np.int64)
-                yield pd.DataFrame({"key": key, "run": run, "times": times, "at": at.astype(np.int32), "string": h})
-
-    every = pieces.mapInPandas(strings, "key long, run long, times long, at int, string long")
-    counted = every.groupBy("key", "string").agg(F.sum(F.least("times", F.lit(2))).alias("_t")).where("_t > 1").select("key", "string")
-    hits = every.join(counted, ["key", "string"]).groupBy("key", "run").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    at = F.col("at")
-    first = F.filter(at, lambda a, i: (i == 0) | (a - F.get(at, i - 1) > length))
-    final = F.filter(at, lambda a, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - a > length))
-    return hits.select("key", "run", F.zip_with(first, final, lambda a, b: F.array(a, b + length)).alias("spans"))
-
-
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``_spans`` (array of lo, hi; empty: nothing to remove) and ``_kept`` (binary: the bytes
-    left). Null texts are empty ones. Each row is judged as a text of its own, so rows that repeat a text
-    remove each other."""
+                if anchor < 0:  # the place in the piece that has the run's key
+                    i = np.arange(len(data) - GRAM + 1)
+                    anchor = int(np.nonzero(RollingHash(data).of(i, i + GRAM).view(np.int64) == key)[0][0])
+                starts = len(piece) - length + 1
+                low = 0
+                while low < starts:
+                    far = anchor - low  # distance of the first string
+                    high = min(starts, low + far % width + 1)
+                    share = far - far % width  # the nearest distance that a string of this part can have
+                    core = piece[anchor - share : anchor - share - (width - 1) + length]
+                    part = piece[low : high - 1 + length]
+                    rows.append((_hash64(key, share, core), _hash64(far, high - low, part), top, top_run, at + low, times, part, anchor - low))
+                    low = high
+            yield pd.DataFrame(rows, columns=["key", "run", "top", "top_run", "at", "times", "piece", "anchor"])
+
+    return cut
+
+
+def _hash64(a: int, b: int, data: bytes) -> int:
+    digest = hashlib.blake2b(b"%d %d " % (a, b) + data, digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``_spans`` (array of lo, hi; empty: nothing to remove) and ``_kept``: the bytes left, or
+    ``as_text`` the text left (bytes left over of a character cut in two go with it; null texts stay null).
+    Null texts are empty ones. Each row is judged as a text of its own, so rows that repeat a text remove each
+    other."""
     spans = written(repeated_spans(docs.select("text"), length), "spans")
 
-    @F.pandas_udf("spans array<struct<lo:int,hi:int>>, kept binary")
+    @F.pandas_udf(f"spans array<struct<lo:int,hi:int>>, kept {'string' if as_text else 'binary'}")
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, spans, strict=True):
@@ -333,7 +378,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for s in merged:
                 kept.append(raw[at : s["lo"]])
                 at = s["hi"]
-            out.append((merged, b"".join([*kept, raw[at:]])))
+            left = b"".join([*kept, raw[at:]])
+            out.append((merged, left.decode(errors="ignore") if as_text else left))
         return pd.DataFrame(out, columns=["spans", "kept"])
 
     a, b = _identity(F.col("text"))
@@ -341,8 +387,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = docs.withColumns({"_a": a, "_b": b}).join(spans.withColumnRenamed("spans", "_found"), ["_a", "_b"], "left").drop("_a", "_b")
     some = F.col("_found").isNotNull()
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    out = out.withColumn("_cut", keep(F.when(some, text).otherwise(""), F.coalesce("_found", none)))
-    return out.withColumns({"_spans": F.col("_cut.spans"), "_kept": F.when(some, F.col("_cut.kept")).otherwise(text.cast("binary"))}).drop("_cut", "_found")
+    out = out.withColumn("_cut", keep.asNondeterministic()(F.when(some, text).otherwise(""), F.coalesce("_found", none)))
+    whole = F.col("text") if as_text else text.cast("binary")
+    return out.withColumns({"_spans": F.col("_cut.spans"), "_kept": F.when(some, F.col("_cut.kept")).otherwise(whole)}).drop("_cut", "_found")
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -356,16 +403,10 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text`` (bytes left over of a character cut in two go with it);
-    a document of which only white space is left goes, unless it had no more before."""
+    """``docs`` with repeated strings cut out of ``text``; a document of which only white space is left goes,
+    unless nothing was cut."""
+    original, docs = docs.columns, set_aside(docs)
     names = docs.columns
-    out = cut_repeats(docs, length)
-    some = F.size("_spans") > 0
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return pd.Series([k.decode(errors="ignore") for k in kept], dtype=object)
-
-    out = out.withColumn("_text", F.when(some, decoded(F.when(some, F.col("_kept")).otherwise(F.lit(b"")))).otherwise(F.col("text")))
-    out = out.where(~some | F.col("_text").rlike(r"[^\s]"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    out = cut_repeats(docs, length, as_text=True)
+    out = out.where((F.size("_spans") == 0) | F.col("_kept").rlike(r"[^\s]"))
+    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names]).toDF(*original)
