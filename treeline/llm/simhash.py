@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import LOWER_ASCII, components, written
+from treeline.llm.common import LOWER_ASCII, components, set_aside, written
 
 BITS = 64
 #: The generator polynomial of the binary Golay code, and the code's length and message length.
@@ -71,15 +71,12 @@ def decode(words: np.ndarray) -> np.ndarray:
     return (words ^ _error_patterns()[_syndromes(words)]) >> (LENGTH - MESSAGE)
 
 
-def segment_keys(words: np.ndarray) -> np.ndarray:
-    """Codeword indices per word so that two words that differ in at most one bit share one: a word of even
-    weight has the index of its own codeword, one of odd weight those of all words one flip away as well.
-    Of two words one flip apart, one is odd and lists the other's index. Column 0 is a word's own index;
-    -1 stands for no further key."""
+def nearby_indices(words: np.ndarray, width: int = LENGTH) -> np.ndarray:
+    """Codeword indices of the words themselves (column 0) and of all words one flip away among the low ``width``
+    bits: one to six different ones; -1 stands for no further one."""
     words = np.asarray(words, dtype=np.int64)
     own = decode(words)
-    near = decode(words[:, None] ^ (1 << np.arange(LENGTH))[None, :])
-    near[np.bitwise_count(words) % 2 == 0] = -1
+    near = decode(words[:, None] ^ (1 << np.arange(width))[None, :])
     near[near == own[:, None]] = -1
     near.sort(axis=1)
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
@@ -87,17 +84,27 @@ def segment_keys(words: np.ndarray) -> np.ndarray:
 
 
 def block_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the fingerprint, key) for all keys. At most three differing bits leave two of the three
-    segments with at most one differing bit each, so a key joins the keys of two segments."""
-    parts = [segment_keys((fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)) for at, width in SEGMENTS]
-    rows, keys = [], []
-    for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        left, right = parts[a][:, :, None], parts[b][:, None, :]
-        both = np.where((left >= 0) & (right >= 0), (n << 24) | (left << MESSAGE) | right, -1).reshape(len(fps), -1)
-        at = np.nonzero(both >= 0)
-        rows.append(at[0])
-        keys.append(both[at])
-    return np.concatenate(rows), np.concatenate(keys)
+    """(position of the fingerprint, key) for all keys.
+
+    Of two words one flip apart, one has odd weight. So if only words of odd weight list the indices of the words
+    around them, and words of even weight their own one, words that differ in at most one bit share an index.
+    At most three differing bits leave either at most one in each of the three segments: a key of three indices
+    finds these; or two and more in one segment and at most one in the other two together: a key of their two
+    indices finds these, with one weight for both of them.
+    """
+    words = [(fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1) for at, width in SEGMENTS]
+    near = [nearby_indices(w, width) for w, (_, width) in zip(words, SEGMENTS, strict=True)]
+    odd = [np.bitwise_count(w).astype(np.int64) & 1 for w in words]
+    each = [np.where((o[:, None] == 1) | (np.arange(6) == 0)[None, :], n, -1) for n, o in zip(near, odd, strict=True)]
+    x, y, z = each[0][:, :, None, None], each[1][:, None, :, None], each[2][:, None, None, :]
+    found = [np.where((x >= 0) & (y >= 0) & (z >= 0), (x << 2 * MESSAGE) | (y << MESSAGE) | z, -1).reshape(len(fps), -1)]
+    for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), start=1):
+        both = np.concatenate((np.stack((near[a], np.broadcast_to(near[b][:, :1], near[a].shape)), axis=2), np.stack((np.broadcast_to(near[a][:, :1], near[b][:, 1:].shape), near[b][:, 1:]), axis=2)), axis=1)
+        use = (both >= 0).all(axis=2) & ((odd[a] ^ odd[b])[:, None].astype(bool) | (np.arange(both.shape[1]) == 0)[None, :])
+        found.append(np.where(use, (n << 3 * MESSAGE) | (both[:, :, 0] << MESSAGE) | both[:, :, 1], -1))
+    keys = np.concatenate(found, axis=1)
+    at = np.nonzero(keys >= 0)
+    return at[0], keys[at]
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
@@ -109,7 +116,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             found = [fingerprint(t, shingle_words) for t in texts]
             yield pd.Series(np.array(found, dtype=np.uint64).view(np.int64), dtype="int64")
 
-    return docs.withColumn("_fp", hashed("text"))
+    return docs.withColumn("_fp", hashed.asNondeterministic()("text"))  # evaluated once, whatever is asked of it later
 
 
 def _links(left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -170,15 +177,18 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) ->
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["_fp"].to_numpy(np.int64)
-            for i in range(0, len(values), 4096):
-                part = values[i : i + 4096]
+            for i in range(0, len(values), 2048):
+                part = values[i : i + 2048]
                 rows, keys = block_keys(part.view(np.uint64))
                 yield pd.DataFrame({"_fp": part[rows], "_key": keys})
 
     keys = fps.mapInPandas(keyed, "_fp long, _key long")
-    sizes = keys.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_fp").alias("a"), F.max("_fp").alias("b")).where("_n > 1")
+    sizes = written(sizes, "buckets")
+    # Most buckets hold two fingerprints, by chance or because they are near: their pair is already here.
+    two = sizes.where("_n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
     n_blocks = F.ceil(F.col("_n") / block).cast("int")
-    members = keys.join(sizes, "_key").select("_key", "_fp", n_blocks.alias("_b"), F.pmod(F.xxhash64("_fp"), n_blocks).cast("int").alias("_i"))
+    members = keys.join(sizes.where("_n > 2").select("_key", "_n"), "_key").select("_key", "_fp", n_blocks.alias("_b"), F.pmod(F.xxhash64("_fp"), n_blocks).cast("int").alias("_i"))
     # Block i meets every block j: the pair (i, j) is named by its smaller and larger number.
     others = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j")
     members = members.select("_key", "_fp", "_i", "_b", others).select("_key", "_fp", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"))
@@ -196,7 +206,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) ->
             yield _compare_sorted(rest, max_bits)
 
     dealt = members.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi")
-    return dealt.mapInPandas(compared, "a long, b long").distinct()
+    return dealt.mapInPandas(compared, "a long, b long").union(two).distinct()
 
 
 def near_duplicates(hashed: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -217,17 +227,18 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle_words: int =
     roots = written(near_duplicates(hashed, max_bits), "roots")
     first = hashed.groupBy("_fp").agg(F.min("doc_id").alias("_first"))
     least = roots.join(first, "_fp").groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = roots.join(least, "_root").select("_fp", "component_id")
+    named = written(roots.join(least, "_root").select("_fp", "component_id"), "named")
     return hashed.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, max_bits: int = 3, shingle_words: int = 3) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: that of the smallest doc_id (null ids last;
     of rows that repeat it, one)."""
+    original, docs = docs.columns, set_aside(docs)
     names = docs.columns
     hashed = written(fingerprints(docs, shingle_words).withColumn("_row", F.monotonically_increasing_id()), "simhash")
     roots = near_duplicates(hashed, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     first = hashed.groupBy("_fp").agg(F.min(order).alias("_first"))
     keep = roots.join(first, "_fp").groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first.r").alias("_row"))
-    return hashed.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return hashed.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names]).toDF(*original)
