@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, mixing, repeats, simhash, toxicity
+from treeline.llm import decontaminate, mixing, nearcopies, repeats, toxicity
 from treeline.llm.common import table, written
 
 
@@ -29,8 +29,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    return nearcopies.deduplicate(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
