@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 from treeline.llm import nearcopies as N
+from treeline.llm import simhash as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,10 +59,9 @@ def test_stage_keeps_what_brute_force_keeps(spark, monkeypatch):
     docs = varied_corpus()
     want = brute_kept(docs)
     assert kept(spark, docs, lambda d: corpus_pipeline.remove_near_duplicates(spark, d, SF)) == want
-    # All pairs at once, and leaders only as far as they go, in small groups.
-    for pairs in (10**9, 0):
-        monkeypatch.setattr(N, "PAIRS", pairs)
-        assert kept(spark, docs, N.deduplicate) == want
+    # Tiny blocks: every bucket is split. No bits: the keys link equal fingerprints only.
+    monkeypatch.setattr(N.similar_links, "__defaults__", (0.8, 2, 4096))
+    assert kept(spark, docs, lambda d: S.deduplicate(d, max_bits=0)) == want
 
 
 def test_stage_on_the_given_documents(spark):

@@ -187,8 +187,6 @@ def test_simhash_equals_brute_force(spark, monkeypatch):
     want = {d: (f"{f:016x}", least[r]) for (d, _), f, r in zip(docs, fp, root)}
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash_components(df).collect()} == want
-    kept = {r.doc_id for r in S.deduplicate(df).collect()}
-    assert kept == set(least.values())
     # Tiny blocks: every bucket is split, and the components are the same.
     fps = S.fingerprints(df).select("_fp").distinct()
     small = components(S.fingerprint_links(fps, block=2)).groupBy("root").count().count()
@@ -304,7 +302,7 @@ def test_mixture_samples_to_targets(spark):
 def test_mixture_on_odd_rows(odd, nothing):
     assert M.mixture(odd).count() == len(ODD) and M.mixture(nothing).count() == 0
     assert M.sample_mixture(odd).columns == [*odd.columns, "sampling_weight"] and M.sample_mixture(nothing).count() == 0
-    pooled = M.calibrate(M.describe_documents(odd), levels={"source": 1, "lang": 1, "topic": 1})
+    pooled = M.calibrate(M.describe_documents(odd, M.fit_topics(odd)), levels={"source": 1, "lang": 1, "topic": 1})
     assert pooled.count() == len(ODD)
 
 

@@ -1,4 +1,9 @@
-"""Near copies by word shingles: candidates from MinHash bands, each held against the exact Jaccard similarity."""
+"""Links between word-shingle sets of a given Jaccard similarity, for what SimHash keys cannot reach.
+
+Of two texts with similarity 0.8, some ten of 64 SimHash bits differ; keys that are sure to meet at such a distance
+would be hundreds per text. So links beyond the reach of the Golay keys are completed through MinHash bands. Every
+link, from whichever key, is held against the exact similarity.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import LOWER_ASCII, components, set_aside, written
+from treeline.llm.common import components, written
 
 #: Bands and the minima in each: a pair of similarity s shares no band with probability (1 - s**4)**25, which is
 #: 2 in a million at 0.8 and less above.
@@ -18,28 +23,12 @@ BANDS, ROWS = 25, 4
 _NUMBERS = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in range(2 * BANDS * ROWS)], dtype=np.uint64)
 FLIPS, FACTORS = _NUMBERS[: BANDS * ROWS], _NUMBERS[BANDS * ROWS :] | np.uint64(1)
 
-#: Pairs of one leader that a task verifies in one go.
-GROUP = 512
-#: All pairs of the buckets that are left are made at once when there are at most so many for each row in them.
-PAIRS = 8
-
-
-def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
-    """Distinct XXH64 hashes of the text's shingles, sorted; a shorter text is one shingle, one without words has none."""
-    words = text.encode().translate(LOWER_ASCII).split() if text else []
-    if not words:
-        return np.empty(0, dtype="<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    k = min(shingle_words, len(words))
-    starts = np.concatenate(([0], ends[: len(words) - k])).tolist()
-    stops = (ends[k - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
+#: Sets of one bucket that a task compares at once with as many others: by number, and by bytes in all.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 
 
 def band_keys(found: np.ndarray) -> list[int]:
-    """One key per band; none if there are no shingles."""
+    """One key per band of a set of hashes; none if it is empty."""
     if not len(found):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
@@ -49,123 +38,108 @@ def band_keys(found: np.ndarray) -> list[int]:
     return raw.view(np.int64).tolist()
 
 
-def _described(shingle_words: int) -> Column:
-    @F.pandas_udf("fp long, n int, keys array<long>")
-    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                s = shingles(t, shingle_words)
-                fp = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)
-                rows.append((int(fp), len(s), band_keys(s)))
-            yield pd.DataFrame(rows, columns=["fp", "n", "keys"])
-
-    return described.asNondeterministic()("text")
-
-
-def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """``texts(fp, text)`` -> (fp, set), the set as the bytes of its sorted hashes."""
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingles(t, shingle_words).tobytes() for t in batch], dtype=object)
-
-    return texts.select("fp", packed.asNondeterministic()("text").alias("set"))
-
-
-def _alike(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of these sizes can be so similar at all."""
-    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
-    """The pairs (a, b) whose sets have the Jaccard similarity or more. A leader a with very many pairs is dealt
-    out over several groups, each with its set."""
-    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("m")), "leaders")
-    leaders = many.join(sets.withColumnRenamed("fp", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b"), "set")
-    members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "m").cast("int").alias("part"), F.lit(True).alias("member"), "b")
-    members = members.join(sets.withColumnRenamed("fp", "b"), "b").select("a", "part", "member", "b", "set")
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.empty(0, dtype="<u8")
+def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets(id, set)`` have the similarity or more; a set is the bytes of sorted hashes.
+    The pairs should be a written table, so that the joins can be split where one set is in very many."""
+    own = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a")
+    both = written(own, "pairs").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y, strict=True):
+            both = np.concatenate((np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(common >= similarity * (len(both) - common) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    return both.where(near("_x", "_y")).select("a", "b")
+
+
+def forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the rows ``left`` and ``right`` that join their components: every pair of rows in different
+    ones is compared until a link joins these. All sets on the right are compared with one on the left at once."""
+    place = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while place[x] != x:
+            place[x] = place[place[x]]
+            x = place[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    order = np.concatenate([np.arange(begin[j], begin[j] + sizes[j]) for j in right])
+    members, first = codes[order], np.cumsum(sizes[right]) - sizes[right]
+    mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
+    found = []
+    for i in left.tolist():
+        own = codes[begin[i] : begin[i] + sizes[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[members], first)
+        mark[own] = 0
+        for j in right[common >= similarity * (sizes[i] + sizes[right] - common) - 1e-9].tolist():
+            a, b = find(int(roots[i])), find(int(roots[j]))
+            if a != b:
+                place[a] = b
+                found.append((int(ids[i]), int(ids[j])))
+    return found
+
+
+def _compared(similarity: float):
+    """Rows sorted by pair of blocks -> links."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = pd.DataFrame()
         for batch in batches:
-            near = []
-            for a, member, b, raw in zip(batch["a"], batch["member"], batch["b"], batch["set"], strict=True):
-                other = np.frombuffer(raw, dtype="<u8")
-                if not member:
-                    own = other
-                    continue
-                both = np.concatenate((own, other))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= similarity * (len(both) - common) - 1e-9:
-                    near.append((a, b))
-            yield pd.DataFrame(near, columns=["a", "b"], dtype="int64")
-
-    return leaders.union(members).repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInPandas(compared, "a long, b long")
-
-
-def _live(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """``bands(key, fp, n)`` of the buckets that still hold several components, with ``root``."""
-    roots = written(components(links).withColumnRenamed("node", "fp"), "roots")
-    rooted = written(bands.join(roots, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "live")
-    return written(rooted.join(several, "key"), "rooted")
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle_words: int = 5, rounds: int = 6) -> DataFrame:
-    """Links (a, b) between ``nodes(fp, n, keys)`` that leave the components whole: every pair that shares a band
-    key and is so similar is linked, directly or over others. ``texts(fp, text)`` has a text of each.
-
-    Pairs in a bucket are made with one leader first and only then with another, as long as components grow and
-    the buckets with several components are large: a large group of near copies is mostly joined by its leaders
-    and needs no pairs among its members. What is left differs in component, and all its pairs are verified.
+            batch = pd.concat([rest, batch], ignore_index=True) if len(rest) else batch
+            names = ["_key", "_lo", "_hi"]
+            cut = int(np.argmax((batch[names] == batch[names].iloc[-1]).all(axis=1).to_numpy()))
+            rest = batch.iloc[cut:]  # the last pair of blocks may go on in the next batch
+            if cut:
+                yield links(batch.iloc[:cut])
+        if len(rest):
+            yield links(rest)
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, lo, hi), part in rows.groupby(["_key", "_lo", "_hi"], sort=False):
+            roots, side = part["root"].to_numpy(), part["_i"].to_numpy()
+            left, right = np.nonzero(side == lo)[0], np.nonzero(side == hi)[0]
+            if len(left) and len(right) and (roots != roots[0]).any():
+                found += forest(part["id"].to_numpy(), roots, [np.frombuffer(x, dtype="<u8") for x in part["set"]], left, right, similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """``nodes(id, n, keys)`` -> (_key, id, n) for the keys that two nodes or more have."""
+    bands = nodes.select("id", "n", F.explode("keys").alias("_key"))
+    buckets = written(bands.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "buckets")
+    return written(bands.join(buckets, "_key").select("_key", "id", "n"), "bands")
+
+
+def similar_links(bands: DataFrame, sets: DataFrame, seeds: DataFrame, similarity: float = 0.8, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that leave components whole: every pair that shares a key in ``bands(_key, id, n)`` and is so
+    similar is linked, directly or over others. ``sets(id, set)`` are the nodes' sets of ``n`` hashes;
+    ``seeds(a, b)`` are links that are known already, and are part of the result.
+
+    Buckets whose rows are in one component over the seeds are done. A bucket of the others is dealt out as
+    blocks of bounded size, and every pair of blocks is compared in a group of its own that returns at most one
+    link per row: a large group of copies is never gathered in one task, and its pairs are never made as rows.
     """
-    bands = nodes.select("fp", "n", F.explode("keys").alias("key"))
-    buckets = written(bands.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "buckets")
-    live = bands = written(bands.join(buckets, "key").select("key", "fp", "n"), "bands")
-    live = live.withColumn("root", F.col("fp"))
-    sets = written(_sets(texts.join(written(bands.select("fp").distinct(), "candidates"), "fp"), shingle_words), "sets")
-    links = tested = None
-    for turn in range(rounds + 1):
-        mark = F.xxhash64("fp", F.lit(turn))
-        leaders = live.groupBy("key").agg(F.min_by(F.struct("fp", "n", "root"), mark).alias("l"), F.count("*").alias("c"))
-        leaders = written(leaders.select("key", "c", F.col("l.fp").alias("a"), F.col("l.n").alias("na"), F.col("l.root").alias("ra")), "leaders")
-        size = leaders.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        last = turn == rounds or size["pairs"] <= PAIRS * size["rows"]
-        b = live.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        if last:
-            leaders = live.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        order = F.col("a") < F.col("b") if last else F.col("a") != F.col("b")
-        pairs = leaders.join(b, (leaders["key"] == b["key"]) & (F.col("ra") != F.col("rb")) & order & _alike("na", "nb", similarity))
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a"), F.col("b")).groupBy("x", "y").agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", (F.col("x").bitwiseXOR(F.col("y")).bitwiseXOR(F.col("a"))).alias("b"), "x", "y")
-        pairs = written(pairs.join(tested, ["x", "y"], "left_anti") if tested is not None else pairs, "pairs")
-        now = written(verified(pairs.select("a", "b"), sets, similarity), "links")
-        links = now if links is None else links.union(now)
-        tested = pairs.select("x", "y") if tested is None else tested.union(pairs.select("x", "y"))
-        if last:
-            break
-        live = _live(bands, links)
-    return links if links is not None else bands.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-
-
-def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` with one row left of each group that is linked by word shingles of at least this
-    Jaccard similarity: that of the smallest doc_id (null ids last; of rows that repeat it, one). Texts without
-    words are copies of each other."""
-    original, docs = docs.columns, set_aside(docs)
-    names = docs.columns
-    hashed = written(docs.withColumn("_near", _described(shingle_words)).withColumn("_row", F.monotonically_increasing_id()), "nearcopies")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    firsts = written(hashed.groupBy(F.col("_near.fp").alias("fp")).agg(F.min(order).alias("first")), "firsts")
-    rows = firsts.select("fp", F.col("first.r").alias("_row"))
-    nodes = hashed.join(rows, "_row").select("fp", F.col("_near.n").alias("n"), F.col("_near.keys").alias("keys"))
-    texts = hashed.select("_row", "text").join(rows, "_row").select("fp", "text")
-    roots = written(components(similar_links(nodes, texts, similarity, shingle_words)), "roots")
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    keep = written(rooted.groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row")), "kept")
-    return hashed.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names]).toDF(*original)
+    roots = written(components(seeds).withColumnRenamed("node", "id"), "roots")
+    rooted = written(bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    several = rooted.groupBy("_key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("_c"), F.sum(F.col("n") * 8).alias("_size")).where("_x <> _y")
+    n_blocks = F.greatest(F.ceil(F.col("_c") / block), F.ceil(F.col("_size") / block_bytes)).cast("int")
+    several = written(several.select("_key", n_blocks.alias("_b")), "live")
+    rows = rooted.join(several, "_key").withColumn("_i", F.pmod(F.xxhash64("id"), "_b").cast("int"))
+    # Block i meets every block j: the pair (i, j) is named by its smaller and larger number.
+    rows = rows.select("id", "root", "_key", "_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j"))
+    rows = written(rows.select("id", "root", "_key", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi")), "blocks")
+    dealt = rows.join(sets, "id").repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi")
+    found = dealt.select("_key", "_lo", "_hi", "_i", "id", "root", "set").mapInPandas(_compared(similarity), "a long, b long").distinct()
+    return found.union(seeds.select("a", "b"))

@@ -8,10 +8,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import LOWER_ASCII, components, set_aside, written
+from treeline.llm.nearcopies import band_keys, shared_bands, similar_links, verified_pairs
 
 BITS = 64
 #: The generator polynomial of the binary Golay code, and the code's length and message length.
@@ -20,22 +21,26 @@ GENERATOR, LENGTH, MESSAGE = 0b101011100011, 23, 12
 #: First bit and width of each segment of a fingerprint. The last is filled up with zeros.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
-#: Fingerprints that one task compares at once with as many others.
-BLOCK = 4096
+#: Fingerprints that one task compares at once with as many others, and that one task makes keys of.
+BLOCK, KEYED_ROWS = 4096, 50_000
 
 
-def fingerprint(text: str | None, shingle_words: int = 3) -> int:
-    """Bit b is 1 if it is set in over half of the XXH64 hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 hashes of a text's shingles in order, repeats included. Fewer words are one shingle, none have none."""
     words = text.encode().translate(LOWER_ASCII).split() if text else []
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle_words, len(words))
     starts = np.concatenate(([0], ends[: len(words) - k])).tolist()
     stops = (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes; 0 if there are none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 65536):
         bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -43,6 +48,10 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = 3) -> int:
+    return majority_bits(shingle_hashes(text, shingle_words))
+
+
 @cache
 def _error_patterns() -> np.ndarray:
     """The error of at most three bits for each of the 2048 syndromes: the code is perfect, so there is one."""
@@ -182,7 +191,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) ->
                 rows, keys = block_keys(part.view(np.uint64))
                 yield pd.DataFrame({"_fp": part[rows], "_key": keys})
 
-    keys = fps.mapInPandas(keyed, "_fp long, _key long")
+    # Some fifty keys come of eight bytes: partitions go by rows, not by the bytes read.
+    parts = max(fps.count() // KEYED_ROWS + 1, fps.sparkSession.sparkContext.defaultParallelism)
+    keys = written(fps.repartition(parts).mapInPandas(keyed, "_fp long, _key long"), "keys")
     sizes = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_fp").alias("a"), F.max("_fp").alias("b")).where("_n > 1")
     sizes = written(sizes, "buckets")
     # Most buckets hold two fingerprints, by chance or because they are near: their pair is already here.
@@ -231,14 +242,71 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle_words: int =
     return hashed.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, max_bits: int = 3, shingle_words: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one row left of each component: that of the smallest doc_id (null ids last;
-    of rows that repeat it, one)."""
+def _described(shingle_words: int) -> Column:
+    """Of a text: fp, id (a hash of its set of shingles), n (their number) and the set's band keys."""
+
+    @F.pandas_udf("fp long, id long, n int, keys array<long>")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                h = shingle_hashes(t, shingle_words)
+                own = np.unique(h)
+                rows.append((_signed(majority_bits(h)), _signed(xxhash.xxh64_intdigest(own.tobytes())), len(own), band_keys(own)))
+            yield pd.DataFrame(rows, columns=["fp", "id", "n", "keys"])
+
+    return described.asNondeterministic()("text")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """``texts(id, text)`` -> (id, set), the set as the bytes of its sorted hashes."""
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in batch], dtype=object)
+
+    return texts.select("id", packed.asNondeterministic()("text").alias("set"))
+
+
+def _key_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs of ``nodes(id, fp)`` that the Golay keys bring together, thinned: nodes of one fingerprint meet its
+    first, and linked fingerprints meet with their firsts."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    links = fingerprint_links(firsts.select(F.col("fp").alias("_fp")), max_bits)
+    for c in "ab":
+        links = links.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")), c)
+    own = nodes.join(firsts, "fp").where("id <> first").select("id", "first")
+    return links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).union(own)
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one row left of each group that is linked by word shingles of at least this
+    Jaccard similarity: that of the smallest doc_id (null ids last; of rows that repeat it, one).
+
+    Texts whose fingerprints differ in at most ``max_bits`` bits meet through their Golay keys and are held against
+    the exact similarity; links between the components that this leaves, which are further apart, are completed
+    through ``nearcopies``. Texts with equal sets of shingles are one node; null texts and texts without words are
+    copies of each other. Other columns are kept, whatever their names. An empty table gives an empty one.
+    """
     original, docs = docs.columns, set_aside(docs)
     names = docs.columns
-    hashed = written(fingerprints(docs, shingle_words).withColumn("_row", F.monotonically_increasing_id()), "simhash")
-    roots = near_duplicates(hashed, max_bits)
+    hashed = written(docs.withColumn("_near", _described(shingle_words)).withColumn("_row", F.monotonically_increasing_id()), "nearcopies")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    first = hashed.groupBy("_fp").agg(F.min(order).alias("_first"))
-    keep = roots.join(first, "_fp").groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first.r").alias("_row"))
+    firsts = written(hashed.groupBy(F.col("_near.id").alias("id")).agg(F.min(order).alias("first")), "firsts")
+    rows = firsts.select("id", F.col("first.r").alias("_row"))
+    nodes = written(hashed.join(rows, "_row").select("id", F.col("_near.n").alias("n"), F.col("_near.keys").alias("keys"), F.col("_near.fp").alias("fp")), "nodes")
+    pairs = written(_key_pairs(nodes, max_bits), "pairs")
+    bands = shared_bands(nodes)
+    asked = written(bands.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct(), "candidates")
+    texts = hashed.select("_row", "text").join(rows.join(asked, "id"), "_row").select("id", "text")
+    sets = written(_sets(texts, shingle_words), "sets")
+    seeds = written(verified_pairs(pairs, sets, similarity), "seeds")
+    roots = written(components(similar_links(bands, sets, seeds, similarity)), "roots")
+    rooted = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    keep = written(rooted.groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row")), "kept")
     return hashed.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names]).toDF(*original)
