@@ -230,30 +230,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     ``length`` bytes that also starts anywhere else. _a and _b identify the text.
 
     Keys and runs are counted with map-side combine before anything is joined, so copies and common passages
-    are not gathered; keys with more than ``block_bytes`` of different runs (a passage in very many
-    surroundings) are refined instead, which is as exact and has no hot group.
+    are not gathered. Runs are told apart by their key and their hash (128 bits in all); equal ones are counted,
+    not compared byte by byte. Keys with more than ``block_bytes`` of different runs (a passage in very many
+    surroundings) are cut into smaller ones until they fit the transform.
     """
-    often = written(_runs(docs, length).groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key"), "often")
-    suspects = _runs(docs, length).join(often, "key").groupBy("_a", "_b", "start", "n", "key", "run").agg(F.count("*").alias("times"))
+    runs = written(_runs(docs, length), "all-runs")
+    often = written(runs.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key"), "often")
+    suspects = runs.join(often, "key").groupBy("_a", "_b", "start", "n", "key", "run").agg(F.count("*").alias("times"))
     suspects = written(suspects, "suspects")
     place = F.struct("_a", "_b", "start", "n")
     distinct = suspects.groupBy("key", "run").agg(F.sum("times").alias("times"), F.min(place).alias("p"))
     distinct = written(distinct.select("key", "run", "times", "p.*"), "runs")
+    # Written on its own: joins with it can be split where one key has very many runs.
     keys = distinct.groupBy("key").agg(F.count("*").alias("_k"), F.sum(F.col("n") + length - 1).alias("_bytes"))
-    mixed = keys.where("_k > 1").select("key", (F.col("_bytes") > block_bytes).alias("_large"))
+    keys = written(keys.select("key", (F.col("_k") == 1).alias("_alone"), (F.col("_bytes") > block_bytes).alias("_large")), "run-keys")
     # A key with one run: its strings are all repeated if the run is, and none is otherwise.
-    whole = distinct.join(keys.where("_k = 1").select("key"), "key", "left_semi").where("times > 1")
+    whole = distinct.where("times > 1").join(keys.where("_alone").select("key"), "key")
     whole = whole.select("key", "run", F.array(F.array(F.lit(0), F.col("n") + length - 1)).alias("spans"))
-    asked = distinct.join(mixed, "key")
+    asked = distinct.join(keys.where("not _alone").select("key", "_large"), "key")
     texts = docs.where(F.octet_length("text") >= length).select(*_identity(F.col("text")), "text")
     texts = texts.groupBy("_a", "_b").agg(F.first("text").alias("_text"))
     wanted = asked.groupBy("_a", "_b").agg(F.collect_list(F.struct("key", "run", "times", "start", "n", "_large")).alias("_w"))
     pieces = wanted.join(texts, ["_a", "_b"]).mapInPandas(_cutter(length), "key long, run long, times long, large boolean, piece binary")
     pieces = written(pieces, "pieces")
-    small = pieces.where("not large").repartition("key").sortWithinPartitions("key")
+    small, decided = _refined(pieces.where("large"), length, block_bytes)
+    small = small.union(pieces.where("not large").select("key", "run", F.col("key").alias("top"), F.col("run").alias("top_run"), F.lit(0).alias("at"), "times", "piece"))
+    small = small.repartition("key").sortWithinPartitions("key")
     by_block = small.mapInPandas(_block_finder(length, block_bytes), "key long, run long, spans array<array<int>>")
-    decided = whole.union(by_block).union(_refined(pieces.where("large"), length))
-    decided = written(decided, "decided")
+    decided = written(whole.union(by_block).union(decided), "decided")
     moved = F.transform("spans", lambda s: F.struct((s[0] + F.col("start")).alias("lo"), (s[1] + F.col("start")).alias("hi")))
     hits = suspects.join(decided, ["key", "run"]).select("_a", "_b", F.explode(moved).alias("s"))
     return hits.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("s")).alias("spans"))
@@ -271,7 +275,8 @@ def _cutter(length: int):
 
 
 def _block_finder(length: int, block_bytes: int):
-    """Rows sorted by key: whole keys are gathered into blocks of about ``block_bytes``."""
+    """Rows sorted by key: whole keys are gathered into blocks of about ``block_bytes``. Of a part (key, run) of the
+    run (top, top_run), spans are told as those of the run."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block: list[tuple] = []
@@ -279,12 +284,12 @@ def _block_finder(length: int, block_bytes: int):
         size = 0
 
         def done() -> pd.DataFrame:
-            found = repeated_starts([r[3] for r in block], [r[2] for r in block], length)
-            rows = [(r[0], r[1], spans_of(f, length)) for r, f in zip(block, found, strict=True) if len(f)]
+            found = repeated_starts([r[5] for r in block], [r[4] for r in block], length)
+            rows = [(r[1], r[2], spans_of(f + r[3], length)) for r, f in zip(block, found, strict=True) if len(f)]
             return pd.DataFrame(rows, columns=["key", "run", "spans"])
 
         for batch in batches:
-            for r in batch[["key", "run", "times", "piece"]].itertuples(index=False, name=None):
+            for r in batch[["key", "top", "top_run", "at", "times", "piece"]].itertuples(index=False, name=None):
                 if own and own[-1][0] != r[0]:
                     block += own
                     own = []
@@ -292,7 +297,7 @@ def _block_finder(length: int, block_bytes: int):
                         yield done()
                         block, size = [], 0
                 own.append(r)
-                size += len(r[3])
+                size += len(r[5])
         block += own
         if block:
             yield done()
@@ -300,30 +305,38 @@ def _block_finder(length: int, block_bytes: int):
     return find
 
 
-def _refined(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys of any size: (key, run, spans).
+PART = ["key", "run", "top", "top_run", "at", "times", "piece"]
+
+
+def _refined(pieces: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(parts, decided) of keys of any size: parts (PART) whose keys hold at most ``block_bytes`` and go through
+    the transform, and what was decided on the way as (key, run, spans).
 
     All strings of a run hold its key's bytes at one place, and equal strings hold them at the same distance from
     their start. So runs are cut by that distance into parts of at most WIDTHS starts, level by level; a part's new
     key is the hash of its old one, the distance and the bytes that all its strings share. Equal parts that occur
-    twice are repeated as a whole; a key with one part only is done; the rest goes to the next level, and at the
-    last each part is one string. Each level makes a few rows of each run that is left and counts them with
-    map-side combine, so a passage in any number of surroundings is settled without gathering it.
+    twice are repeated as a whole; a key with one part only is done; a key that is small now is a block's; the rest
+    goes to the next level, and at the last each part is one string. Each level makes a few rows of each run that
+    is left and counts them with map-side combine, so a passage in any number of surroundings is not gathered.
     """
     rows = pieces.select("key", "run", F.col("key").alias("top"), F.col("run").alias("top_run"), F.lit(0).alias("at"), "times", "piece", F.lit(-1).alias("anchor"))
-    decided = None
+    decided = small = None
     for width in WIDTHS:
         schema = "key long, run long, top long, top_run long, at int, times long, piece binary, anchor int"
         parts = written(rows.mapInPandas(_parter(length, width), schema), f"parts{width}")
-        seen = parts.groupBy("key", "run").agg(F.sum("times").alias("_t"))
+        seen = parts.groupBy("key", "run").agg(F.sum("times").alias("_t"), F.count("*").alias("_c"), F.sum(F.octet_length("piece")).alias("_size"))
         seen = written(seen, "seen")
         whole = parts.join(seen.where("_t > 1").select("key", "run"), ["key", "run"])
         span = F.array(F.array(F.col("at"), F.col("at") + F.octet_length("piece")))
         own = whole.select(F.col("top").alias("key"), F.col("top_run").alias("run"), span.alias("spans"))
         decided = own if decided is None else decided.union(own)
-        mixed = written(seen.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "mixed")
+        mixed = seen.groupBy("key").agg(F.count("*").alias("_n"), F.sum("_size").alias("_size")).where("_n > 1")
+        mixed = written(mixed.select("key", (F.col("_size") <= block_bytes).alias("_small")), "mixed")
         rows = parts.join(mixed, "key")
-    return decided.groupBy("key", "run").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        own = rows.where("_small").select(*PART)
+        small = own if small is None else small.union(own)
+        rows = rows.where("not _small")
+    return small, decided
 
 
 def _parter(length: int, width: int):
