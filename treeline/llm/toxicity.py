@@ -39,37 +39,45 @@ class Severity:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -30, 30)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-5, steps: int = 500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def likelihood(p: np.ndarray, rows: tuple[np.ndarray, np.ndarray], grades: np.ndarray, weight: np.ndarray, n_features: int, n_grades: int, l2: float) -> tuple[float, np.ndarray]:
+    """Penalised mean log-likelihood of the grades and its gradient. ``p`` holds the weights, the first threshold
+    and the logarithms of the steps between thresholds; ``rows`` are (document, feature) index pairs."""
+    at, col = rows
+    w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
+    theta = p[n_features] + np.concatenate(([0.0], np.cumsum(gaps)))
+    n, i = len(grades), np.arange(len(grades))
+    z = np.bincount(at, weights=w[col], minlength=n)
+    s = 1 / (1 + np.exp(-np.clip(z[:, None] - theta[None, :], -30, 30)))
+    s = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), axis=1)
+    d = s * (1 - s)
+    lower, upper = grades - 1, grades
+    prob = np.maximum(s[i, lower + 1] - s[i, upper + 1], 1e-12)
+    dz = weight * (d[i, lower + 1] - d[i, upper + 1]) / prob
+    g_theta = np.zeros(n_grades - 1)
+    np.add.at(g_theta, lower[lower >= 0], -(weight * d[i, lower + 1] / prob)[lower >= 0])
+    np.add.at(g_theta, upper[upper < n_grades - 1], (weight * d[i, upper + 1] / prob)[upper < n_grades - 1])
+    g_theta /= weight.sum()
+    gradient = np.concatenate((
+        np.bincount(col, weights=dz[at], minlength=n_features) / weight.sum() - l2 * w,
+        [g_theta.sum()],
+        gaps * np.cumsum(g_theta[::-1])[::-1][1:],
+    ))
+    return float((weight * np.log(prob)).sum() / weight.sum() - l2 / 2 * (w * w).sum()), gradient
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, weight: np.ndarray | None = None, l2: float = 1e-5, steps: int = 500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the penalised likelihood of the grades (Adam, full
-    batch, so that the same rows give the same model)."""
+    batch, so that the same rows give the same model). ``weight`` says how many documents each row stands for."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, dtype=np.int64)
-    counts = np.bincount(grades, minlength=n_grades)
-    above = np.clip(1 - np.cumsum(counts)[:-1] / len(grades), 1e-3, 1 - 1e-3)
+    weight = np.ones(len(grades)) if weight is None else weight
+    counts = np.bincount(grades, weights=weight, minlength=n_grades)
+    above = np.clip(1 - np.cumsum(counts)[:-1] / weight.sum(), 1e-3, 1 - 1e-3)
     start = -np.log(above / (1 - above))
-    # Thresholds are the first one and the logarithms of the steps between them.
     p = np.concatenate((np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
     m, v = np.zeros_like(p), np.zeros_like(p)
-    lower, upper = grades - 1, grades
     for t in range(1, steps + 1):
-        w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
-        theta = p[n_features] + np.concatenate(([0.0], np.cumsum(gaps)))
-        z = np.bincount(at, weights=w[col], minlength=len(rows))
-        s = 1 / (1 + np.exp(-np.clip(z[:, None] - theta[None, :], -30, 30)))
-        s = np.concatenate((np.ones((len(rows), 1)), s, np.zeros((len(rows), 1))), axis=1)
-        d = s * (1 - s)
-        i = np.arange(len(rows))
-        prob = np.maximum(s[i, lower + 1] - s[i, upper + 1], 1e-12)
-        dz = (d[i, lower + 1] - d[i, upper + 1]) / prob
-        g_theta = np.zeros(n_grades - 1)
-        np.add.at(g_theta, lower[lower >= 0], -(d[i, lower + 1] / prob)[lower >= 0])
-        np.add.at(g_theta, upper[upper < n_grades - 1], (d[i, upper + 1] / prob)[upper < n_grades - 1])
-        g_theta /= len(rows)
-        g = np.concatenate((
-            np.bincount(col, weights=dz[at], minlength=n_features) / len(rows) - l2 * w,
-            [g_theta.sum()],
-            gaps * np.cumsum(g_theta[::-1])[::-1][1:],
-        ))
+        _, g = likelihood(p, (at, col), grades, weight, n_features, n_grades, l2)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         p = p + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -81,14 +89,20 @@ def fit_severity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n
     for toxic = 1 grade 1 or 2, as the number of distinct toxic features in the document is at most or above the
     median of the toxic documents (the labels have no finer levels).
 
-    At most about ``fit_rows`` labelled documents are used, chosen by a hash of their id; null ids, texts and
-    labels are left out. Without labels of both kinds the model calls nothing toxic.
+    At most about ``fit_rows`` labelled documents are used, half of either label, chosen by a hash of their id; in
+    the likelihood each counts for as many as it stands for. Of rows that share an id one is used, and of several
+    labels the worst. Null ids, texts and labels are left out. Without labels of both kinds the model calls
+    nothing toxic.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    n = known.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("_toxic", "text")
+    known = written(known, "labels")
+    counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    share = {k: min(1.0, fit_rows / 2 / max(counts.get(k, 0), 1)) for k in (0, 1)}
+    mark = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    known = known.where(mark < F.when(F.col("_toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
+    # The sample's ids are bounded by fit_rows: they go to the texts, and no text is shuffled but the sample's.
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "_toxic")).alias("_r")).select("_r._toxic", "_r.text")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,7 +140,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n
     load = np.array([sum(i in bad for i in r["_f"]) for r in sample])
     toxic = np.array([r["_toxic"] for r in sample])
     grades = np.where(toxic == 1, 1 + (load > np.median(load[toxic == 1])), 0)
-    weights, thresholds = fit_ordinal([np.array(r["_f"], dtype=np.int64) for r in sample], grades, len(columns), 3)
+    stands_for = np.where(toxic == 1, 1 / share[1], 1 / share[0])
+    weights, thresholds = fit_ordinal([np.array(r["_f"], dtype=np.int64) for r in sample], grades, len(columns), 3, stands_for)
     return Severity(columns, weights, thresholds)
 
 
@@ -158,7 +173,9 @@ def score_severity(docs: DataFrame, model: Severity) -> DataFrame:
 
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probability: float = 0.5) -> DataFrame:
     """Per document: doc_id, expected_severity (0 to 2), p_toxic, grade, rejected (p_toxic at or above the
-    limit). The model is fitted on ``labelled(doc_id, text)`` with ``labels``."""
+    limit). The model is fitted on ``labelled(doc_id, text)`` with ``labels``. One row per row of ``docs``: null and
+    empty texts have no features and the severity of none, rows that repeat a text share its severity, whole texts
+    are scored however long, other columns are ignored, and an empty table gives an empty one."""
     out = score_severity(docs.select("doc_id", "text"), fit_severity(labelled, labels))
     p = F.col("_severity.p_toxic")
     return out.select("doc_id", F.col("_severity.expected").alias("expected_severity"), p.alias("p_toxic"), F.col("_severity.grade").alias("grade"), (p >= max_probability).alias("rejected"))
