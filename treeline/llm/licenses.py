@@ -9,32 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices that are looked for unless templates are given.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
-        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "mit": "Released under the MIT License.",
-    "mit-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-}
+from treeline.llm.common import written
+from treeline.llm.license_texts import TEMPLATES
 
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Chance at which a text window that matches as far as it must may be missed by every band.
 MISS = 1e-4
+#: Rows of template keys, and shingles of templates, up to which they are sent to every task (some 50 MB).
+SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -62,24 +46,32 @@ def window_class(n_shingles: int) -> WindowClass:
     return WindowClass(size, size // 4, math.ceil(math.log(MISS) / math.log(1 - overlap / (2 - overlap))))
 
 
+#: The classes there are: one per power of two up to 32.
+CLASSES = [window_class(1 << i) for i in range(6)]
+
+
 def _mask(band: int) -> int:
     """A fixed pseudo-random 63-bit number per band: XOR with it permutes the hashes."""
     return (band * 0x9E3779B97F4A7C15 ^ band * band * 0xC2B2AE3D27D4EB4F) & (1 << 63) - 1
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word shingles in order, repeats included; texts of fewer words have none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+
+
+def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
+    """Hashes of the shingles in order, repeats included; texts of fewer words have none."""
 
     def hashed(w: Column) -> Column:
-        h = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
-        return F.slice(h, F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)))
+        h = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, shingle)]))
+        return F.slice(h, F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(0)))
 
-    return F.transform(F.array(words), hashed)[0]
+    return F.transform(F.array(words_of(text)), hashed)[0]
 
 
-def _minima(hashes: Column, c: WindowClass) -> Column:
-    """(band, start, key) of every window: the smallest hash under the band's permutation, given as the hash."""
+def _minima(hashes: Column, c: WindowClass, shingle: int) -> Column:
+    """(start, least, key) of every window and band: the smallest hash under the band's permutation, given as the
+    hash, and the same with shingle length, class and band as one key."""
     last = F.greatest(F.size(hashes) - c.size, F.lit(0))
     # The last window ends with the text, wherever the stride leads.
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(c.stride)), F.array(last)))
@@ -88,79 +80,107 @@ def _minima(hashes: Column, c: WindowClass) -> Column:
         mixed = F.array(F.transform(hashes, lambda h: h.bitwiseXOR(mask)))
 
         def of(m: Column) -> Column:
-            return F.transform(starts, lambda s: F.struct(band.alias("band"), s.alias("start"), F.array_min(F.slice(m, s + 1, c.size)).bitwiseXOR(mask).alias("key")))
+            least = lambda s: F.array_min(F.slice(m, s + 1, c.size)).bitwiseXOR(mask)
+            found = F.transform(starts, lambda s: F.struct(s.alias("start"), least(s).alias("least")))
+            return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["least"].alias("least"), F.xxhash64(F.lit(shingle), F.lit(c.size), band, x["least"]).alias("key")))
 
         return F.transform(mixed, of)[0]
 
     return F.flatten(F.transform(F.array(*[F.lit(_mask(b)) for b in range(c.bands)]), banded))
 
 
-def _hits(hashes: Column, c: WindowClass, keys: list[int]) -> Column:
-    """The windows whose key is a template key of the class."""
-    hit = F.filter(_minima(hashes, c), lambda w: w["key"].isin(keys))
-    return F.transform(hit, lambda w: F.struct(F.lit(c.size).alias("size"), w["band"].alias("band"), w["start"].alias("at"), w["key"].alias("key")))
-
-
-def template_bands(templates: DataFrame) -> DataFrame:
-    """``templates(license, text)`` -> one row per template window and band: license, size, stride, bands, band,
-    start, key, shingles (the template's distinct hashes), n (its number of shingles). Templates of under five
-    words can't be held against shingles and are left out."""
-    t = templates.where("license is not null").select("license", shingle_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
-    sizes = sorted(r["n"] for r in t.select(F.size("h").alias("n")).distinct().collect())
-    by_class: dict[WindowClass, list[int]] = {}
-    for n in sizes:
-        by_class.setdefault(window_class(n), []).append(n)
-    out = t.selectExpr("license", "0 as size", "0 as stride", "0 as bands", "0 as band", "0 as start", "0L as key", "h as shingles", "0 as n").limit(0)
-    for c, own in by_class.items():
-        part = t.where(F.size("h").isin(own)).select(
-            "license", F.lit(c.size).alias("size"), F.lit(c.stride).alias("stride"), F.lit(c.bands).alias("bands"),
-            F.explode(_minima(F.col("h"), c)).alias("w"), F.array_distinct("h").alias("shingles"), F.size("h").alias("n"),
-        )
-        out = out.union(part.select("license", "size", "stride", "bands", "w.band", "w.start", "w.key", "shingles", "n"))
+def template_shingles(templates: DataFrame) -> DataFrame:
+    """``templates(license, text)`` -> license, shingle (words in a shingle: five, or all words of a shorter template),
+    h (the hashes in order), n (their number). Null licences and templates without a word are left out."""
+    t = templates.where("license is not null").withColumn("_n", F.size(words_of(F.col("text"))))
+    parts = []
+    for k in range(1, SHINGLE + 1):
+        own = t.where(F.col("_n") >= k if k == SHINGLE else F.col("_n") == k)
+        parts.append(own.select("license", F.lit(k).alias("shingle"), shingle_hashes(F.col("text"), k).alias("h")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumn("n", F.size("h"))
+
+
+def template_windows(shingled: DataFrame) -> DataFrame:
+    """One row per template window and band: license, shingle, size, start, least, key."""
+    out = None
+    for c in CLASSES:
+        fits = F.col("n") >= c.size if c.size == CLASSES[-1].size else (F.col("n") >= c.size) & (F.col("n") < 2 * c.size)
+        for k in range(1, SHINGLE + 1):
+            if k < SHINGLE and c.size > 1:
+                continue
+            own = shingled.where(fits & (F.col("shingle") == k)).select("license", "shingle", F.explode(_minima(F.col("h"), c, k)).alias("w"))
+            own = own.select("license", "shingle", F.lit(c.size).alias("size"), "w.start", "w.least", "w.key")
+            out = own if out is None else out.union(own)
     return out
 
 
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    """To every task if it is small; otherwise the join is a shuffle."""
+    return F.broadcast(df) if size <= SENT else df
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document row and template it holds: doc_id, license, containment, first_word, n_words.
 
     A text window and a template window that share a band key are a candidate; it is a match if the stretch
-    of text where the template would lie (with a window to spare on either side) holds at least
-    ``containment`` of the template's distinct shingles. Of several matches of one template in a document the
-    best is given, the first of equals. Null and empty texts have no match; repeated rows match alike; other
-    columns are ignored. The template list is a parameter of the scan: its band keys, a few per word of a
-    template, become constants of the plan. Texts are not shuffled; only matches are.
+    of text where the template would lie (with windows to spare on either side) holds at least ``containment``
+    of the template's distinct shingles. Of several matches of one template in a document the best is given, the
+    first of equals; first_word and n_words are the stretch from the first to the last shingle that is held.
+    A template of under five words is one shingle of all its words. Null and empty texts have no match; repeated
+    rows match alike; other columns are ignored; without documents or templates the result is empty.
+
+    A window's key is made of one of its own shingles. So a first pass keeps only the ids of texts that have a
+    shingle which is some template window's; only those are cut into windows. Candidates are narrow rows, one for
+    each place where a template may lie, and meet the hashes of text and template once.
     """
-    bands = template_bands(templates).collect()
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", shingle_hashes(F.col("text")).alias("_h"))
-    schema = "doc_id bigint, license string, containment double, first_word long, n_words long"
-    if not bands:
-        return docs.sparkSession.createDataFrame([], schema).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), *schema_names(schema)[1:])
-    # A window's key is one of its own hashes, so a document without any of the keys has no candidate.
-    keys = sorted({r["key"] for r in bands})
-    rows = rows.where(F.arrays_overlap("_h", F.array(*[F.lit(k) for k in keys])))
-    found = []
-    for size, stride, n_bands in sorted({(r["size"], r["stride"], r["bands"]) for r in bands}):
-        own = sorted({r["key"] for r in bands if r["size"] == size})
-        found.append(_hits(F.col("_h"), WindowClass(size, stride, n_bands), own))
-    rows = rows.select("_row", "doc_id", "_h", F.explode(F.concat(*found)).alias("w")).select("_row", "doc_id", "_h", "w.*")
-    known = docs.sparkSession.createDataFrame(
-        [(r["license"], r["size"], r["band"], r["start"], r["key"], r["shingles"], r["n"]) for r in bands],
-        "license string, size int, band int, start int, key long, shingles array<long>, n int",
-    )
-    pairs = rows.join(F.broadcast(known), ["size", "band", "key"])
-    low = F.greatest(F.col("at") - F.col("start") - F.col("size"), F.lit(0))
-    pairs = pairs.select("_row", "doc_id", "license", "shingles", "n", low.alias("_low"), F.slice("_h", low + 1, F.col("n") + 2 * F.col("size")).alias("_part"))
-    held = F.array_intersect("_part", "shingles")
-    pairs = pairs.select("_row", "doc_id", "license", "n", "_low", "_part", held.alias("_held"), (F.size(held) / F.size("shingles")).alias("containment"))
+    shingled = written(template_shingles(templates), "templates")
+    windows = written(template_windows(shingled), "template-windows")
+    n_windows, n_shingles = windows.count(), shingled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lengths = sorted(r["shingle"] for r in windows.select("shingle").distinct().collect())
+    sizes = {(r["shingle"], r["size"]) for r in windows.select("shingle", "size").distinct().collect()}
+    text = F.col("text")
+    docs = docs.select("doc_id", "text").withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+    ids = written(docs.select("doc_id", "_a", "_b"), "license-ids")
+    least = windows.select("shingle", F.col("least").alias("_x")).distinct()
+    found = None
+    for k in lengths:
+        own = docs.select("_a", "_b", F.explode(shingle_hashes(text, k)).alias("_x"))
+        own = own.join(_sent(least.where(F.col("shingle") == k).select("_x"), n_windows), "_x", "left_semi").select("_a", "_b")
+        found = own if found is None else found.union(own)
+    if found is None:
+        return ids.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words")).limit(0)
+    suspects = written(found.distinct(), "license-suspects")
+    texts = docs.select("_a", "_b", "text").join(suspects, ["_a", "_b"], "left_semi")
+    # Copies of a text are scanned once: one row is kept of each before it is cut into windows.
+    texts = texts.groupBy("_a", "_b").agg(F.first("text").alias("text"))
+    hashed = texts.select("_a", "_b", F.explode(F.array(*[F.struct(F.lit(k).alias("shingle"), shingle_hashes(text, k).alias("h")) for k in lengths])).alias("s"))
+    hashed = written(hashed.select("_a", "_b", "s.*"), "license-hashes")
+    parts = [hashed.where(F.col("shingle") == k).select("_a", "_b", F.explode(_minima(F.col("h"), c, k)).alias("w")) for c in CLASSES for k in lengths if (k, c.size) in sizes]
+    cut = parts[0]
+    for p in parts[1:]:
+        cut = cut.union(p)
+    known = _sent(windows.select("key", "license", "size", "start"), n_windows)
+    # Where the template would begin, in steps of a window: the windows of one place give one row.
+    pairs = cut.select("_a", "_b", F.col("w.start").alias("_at"), F.col("w.key").alias("key")).join(known, "key")
+    pairs = pairs.select("_a", "_b", "license", "size", F.floor((F.col("_at") - F.col("start")) / F.col("size")).cast("int").alias("_cell")).distinct()
+    pairs = written(pairs, "license-pairs")
+    whole = shingled.select("license", "shingle", "n", F.array_distinct("h").alias("_own"))
+    low = F.greatest((F.col("_cell") - 1) * F.col("size"), F.lit(0))
+    pairs = pairs.join(shingled.select("license", "shingle", "n").transform(lambda t: _sent(t, n_shingles)), "license")
+    pairs = pairs.join(hashed, ["_a", "_b", "shingle"]).select("_a", "_b", "license", low.alias("_low"), F.slice("h", low + 1, F.col("n") + 3 * F.col("size")).alias("_part"))
+    pairs = pairs.join(_sent(whole, n_shingles), "license")
+    pairs = pairs.withColumn("_held", F.array_intersect("_part", "_own")).withColumn("containment", F.size("_held") / F.size("_own"))
     pairs = pairs.where(F.col("containment") >= containment)
-    first = F.col("_low") + F.array_position("_part", F.col("_held")[0]) - 1
-    pairs = pairs.select("_row", "doc_id", "license", "containment", first.cast("long").alias("first_word"), (F.col("n") + SHINGLE - 1).cast("long").alias("n_words"))
-    best = pairs.groupBy("_row", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("before"), "n_words", "doc_id")).alias("m"))
-    return best.select("m.doc_id", "license", "m.containment", (-F.col("m.before")).alias("first_word"), "m.n_words")
-
-
-def schema_names(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
+    back = F.reverse("_part")
+    first = F.array_position("_part", F.get("_held", F.lit(0))) - 1
+    last = F.size("_part") - F.array_position(back, F.get(F.array_intersect(back, F.col("_own")), F.lit(0)))
+    pairs = pairs.select("_a", "_b", "license", "containment", (F.col("_low") + first).cast("long").alias("first_word"), (last - first + F.col("shingle")).cast("long").alias("n_words"))
+    best = pairs.groupBy("_a", "_b", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("before"), (-F.col("n_words")).alias("short"))).alias("m"))
+    best = written(best.select("_a", "_b", "license", "m.*"), "license-matches")
+    return ids.join(best, ["_a", "_b"]).select("doc_id", "license", "containment", (-F.col("before")).alias("first_word"), (-F.col("short")).alias("n_words"))
 
 
 def default_templates(spark) -> DataFrame:
