@@ -33,8 +33,11 @@ rep as (select rid, count(distinct p + o) as c from (select rid, p from (select
 b as (select doc_id, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
 list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_RUN}')) as l, coalesce(c, 0) as n_repeat_words from d left join rep using (rid)),
 q as (select doc_id, source, n_words, word_chars, n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b),
-h as (select source, count(*) as n, count(*) filter (base_failed) as f from q where source is not null group by source), m as (select avg(f / n) as m, coalesce(var_samp(f / n), 0) as v from h),
-s as (select m, case when v > 0 and m * (1 - m) > v then m * (1 - m) / v - 1 else 2.0 end as s from m), v as (select source, (f + m * s) / (n + s) > 0.5 as bad from h, s)
+h as (select source, count(*)::double as n, (count(*) filter (base_failed))::double as f from q where source is not null group by source),
+m as (select count(*) as k, sum(n) as n, sum(n * n) as nn, sum(f) as f, sum(f * f / n) as ff, sum(f) / sum(n) as m from h),
+r as (select m, case when m * (1 - m) > 0 and n - nn / n - (k - 1) > 0 then ((ff - m * f) / nullif(m * (1 - m), 0) - (k - 1)) / nullif(n - nn / n - (k - 1), 0) end as r from m),
+s as (select m, case when r is null then 2.0 when r <= 1 / (1 + 1e6) then 1e6 else greatest(1 / r - 1, 1) end as s from r),
+v as (select source, (f + m * s) / (n + s) > 0.5 as bad from h, s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(bad, false) as kept from q left join v using (source)"""
 
 REPEATS = """

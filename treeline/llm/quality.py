@@ -11,14 +11,19 @@ from treeline.llm.common import written
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
+#: Documents that the prior counts for: at most, at least, and where the hosts do not tell.
+STRONGEST, WEAKEST, UNKNOWN = 1e6, 1.0, 2.0
+
 #: Bits of a packed long that hold a word's position; the others hold a hash.
 POSITION_BITS = 24
 
 
 def _shared(hashes: Column, positions: Column) -> Column:
     """Those of the positions, sorted, whose hash is equal to that of another one. ``hashes`` runs along with
-    ``positions``; both share one long each, so that a primitive sort brings equal hashes together."""
+    ``positions``. Where positions fit POSITION_BITS, both share one long each, so that a primitive sort brings equal
+    hashes together; in longer texts pairs are sorted."""
     packed = F.zip_with(hashes, positions, lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long")))
+    paired = F.zip_with(hashes, positions, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
     def repeated(s: Column) -> Column:
         # Equal hashes differ in their position bits alone.
@@ -26,7 +31,15 @@ def _shared(hashes: Column, positions: Column) -> Column:
         found = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
         return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")))
 
-    return F.transform(F.array(F.sort_array(packed)), repeated)[0]
+    def repeated_pairs(s: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        found = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
+
+    short = F.transform(F.array(F.sort_array(packed)), repeated)[0]
+    long = F.transform(F.array(F.sort_array(paired)), repeated_pairs)[0]
+    last = F.get(positions, F.size(positions) - 1)  # positions rise
+    return F.when(last >= F.lit(1 << POSITION_BITS), long).otherwise(short)
 
 
 def _repeat_words(words: Column, hashes: Column) -> Column:
@@ -50,7 +63,7 @@ def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     n_dup_lines, n_repeat_words, base_failed.
 
     Null and empty texts have no words (all counts 0, base_failed true). Repeated rows give repeated results;
-    extra columns are ignored. Texts of up to 2**24 words are counted exactly.
+    extra columns are ignored; an empty table gives an empty one; texts of any length are counted exactly.
     """
     if min_words < 0 or max_repeat_percent < 0:
         raise ValueError("limits must not be negative")
@@ -80,14 +93,20 @@ def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """``judged(source, base_failed)`` -> (source, n_docs, n_failed, rate, host_failed) per non-null source.
 
-    Each host's failure rate is shrunk by a beta prior whose mean and strength come from all hosts' rates by
-    the method of moments. Where the moments give no beta (a single host, equal or 0/1 rates only) the prior
-    has the mean of all rates and the weight of two documents.
+    Each host's failure rate is shrunk by a beta prior with the mean of all documents and a strength from the
+    method of moments: the spread of the hosts' rates, each weighted by its documents, less what chance alone gives
+    documents of one rate, is the correlation r within hosts, and the strength is 1/r - 1. So hosts of few
+    documents say little about the prior and are pulled most. It is WEAKEST at least. No spread beyond chance gives STRONGEST; where
+    nothing can be told (one host, or one document from each, or one verdict only), the strength is UNKNOWN.
     """
     hosts = judged.where("source is not null").groupBy("source").agg(F.count("*").alias("n_docs"), F.count(F.when(F.col("base_failed"), 1)).alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("_m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("_v"))
-    strength = F.when((F.col("_v") > 0) & (F.col("_m") * (1 - F.col("_m")) > F.col("_v")), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1).otherwise(2.0)
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    prior = hosts.agg(F.count("*").alias("_k"), F.sum(n).alias("_n"), F.sum(n * n).alias("_nn"), F.sum(f).alias("_f"), F.sum(f * f / n).alias("_ff"))
+    prior = prior.withColumn("_m", F.col("_f") / F.col("_n"))
+    spread, chance = F.col("_ff") - F.col("_m") * F.col("_f"), F.col("_m") * (1 - F.col("_m"))
+    room = F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_k") - 1)
+    r = F.when((chance > 0) & (room > 0), (spread / F.nullif(chance, F.lit(0.0)) - (F.col("_k") - 1)) / F.nullif(room, F.lit(0.0)))
+    strength = F.when(r.isNull(), UNKNOWN).when(r <= 1 / (1 + STRONGEST), STRONGEST).otherwise(F.greatest(1 / r - 1, F.lit(WEAKEST)))
     prior = prior.select("_m", strength.alias("_s"))
     rate = (F.col("n_failed") + F.col("_m") * F.col("_s")) / (F.col("n_docs") + F.col("_s"))
     # The prior is one row of two numbers.
@@ -96,7 +115,8 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
     """Document rules with the verdict of each document's host: the columns of ``document_rules`` and
-    host_rate, host_failed, kept. A document without a source is judged by its own rules alone.
+    host_rate, host_failed, kept. A document without a source is judged by its own rules alone. One row per row;
+    null and empty texts fail; see ``document_rules`` for repeats, other columns and empty tables.
 
     Texts are read once; what is shuffled is one short row per document, and a host that holds much of the
     corpus is pre-aggregated and its join can be split.
