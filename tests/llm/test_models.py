@@ -56,7 +56,8 @@ def test_topics_tell_vocabularies_apart(spark):
     assert [tuple(got[i]) for i in (900, 901, 902)] == [(0, None), (0, None), (2, None)]
 
 
-def test_mixture_equals_plain_raking(spark):
+def test_mixture_equals_plain_raking(spark, monkeypatch):
+    monkeypatch.setattr(M, "LIFT", float("inf"))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = M.mixture(docs).toPandas()
     cells = got.assign(**{m: got[m].fillna("(none)") for m in M.MARGINS})
@@ -72,3 +73,12 @@ def test_mixture_equals_plain_raking(spark):
     ratio = (got.weight / weight)[some]
     assert ratio.max() / ratio.min() < 1 + 1e-6
     assert ((got.probability / got.weight)[some]).std() < 1e-9 and got.probability.max() <= 1
+
+
+def test_lift_bounds_weights_and_holds_what_margins_it_can(spark):
+    cells = pd.DataFrame([("a", "x", "1", 1000), ("a", "x", "2", 10), ("b", "y", "2", 1000), ("b", "y", "1", 10)], columns=["source", "lang", "topic", "tokens"])
+    goals = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"1": 0.52, "2": 0.48}}
+    f = M.rake(cells, goals, lift=4.0)
+    weight = np.minimum([f["source"][c.source] * f["lang"][c.lang] * f["topic"][c.topic] for c in cells.itertuples()], 4.0)
+    share = (cells.tokens * weight).groupby(cells.topic).sum() / (cells.tokens * weight).sum()
+    assert weight.max() <= 4 and 0.5 < share["1"] < 0.5201
