@@ -24,7 +24,7 @@ _NUMBERS = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in range(2 *
 FLIPS, FACTORS = _NUMBERS[: BANDS * ROWS], _NUMBERS[BANDS * ROWS :] | np.uint64(1)
 
 #: Sets of one bucket that a task compares at once with as many others: by number, and by bytes in all.
-BLOCK, BLOCK_BYTES = 2048, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 
 
 def band_keys(found: np.ndarray) -> list[int]:
@@ -133,7 +133,10 @@ def similar_links(bands: DataFrame, sets: DataFrame, seeds: DataFrame, similarit
     """
     roots = written(components(seeds).withColumnRenamed("node", "id"), "roots")
     rooted = written(bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    several = rooted.groupBy("_key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("_c"), F.sum(F.col("n") * 8).alias("_size")).where("_x <> _y")
+    members = [F.bit_xor(F.xxhash64("id")).alias("_m1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("_m2"), F.count("*").alias("_c")]
+    several = rooted.groupBy("_key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.sum(F.col("n") * 8).alias("_size"), *members).where("_x <> _y")
+    # Near copies share many bands: of buckets with the same members one is compared.
+    several = several.groupBy("_m1", "_m2", "_c").agg(F.min("_key").alias("_key"), F.max("_size").alias("_size"))
     n_blocks = F.greatest(F.ceil(F.col("_c") / block), F.ceil(F.col("_size") / block_bytes)).cast("int")
     several = written(several.select("_key", n_blocks.alias("_b")), "live")
     rows = rooted.join(several, "_key").withColumn("_i", F.pmod(F.xxhash64("id"), "_b").cast("int"))
