@@ -59,14 +59,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
-    """Hashes of the shingles in order, repeats included; texts of fewer words have none."""
+def shingle_hashes(text: Column, *lengths: int) -> Column:
+    """Hashes of the shingles of these numbers of words, length by length and in order, repeats included; a text has
+    none that are longer than itself. Words are split once."""
 
-    def hashed(w: Column) -> Column:
+    def hashed(w: Column, shingle: int) -> Column:
         h = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, shingle)]))
         return F.slice(h, F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(0)))
 
-    return F.transform(F.array(words_of(text)), hashed)[0]
+    return F.transform(F.array(words_of(text)), lambda w: F.concat(*[hashed(w, k) for k in lengths]))[0]
 
 
 def _minima(hashes: Column, c: WindowClass, shingle: int) -> Column:
@@ -144,15 +145,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     text = F.col("text")
     docs = docs.select("doc_id", "text").withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
     ids = written(docs.select("doc_id", "_a", "_b"), "license-ids")
-    least = windows.select("shingle", F.col("least").alias("_x")).distinct()
-    found = None
-    for k in lengths:
-        own = docs.select("_a", "_b", F.explode(shingle_hashes(text, k)).alias("_x"))
-        own = own.join(_sent(least.where(F.col("shingle") == k).select("_x"), n_windows), "_x", "left_semi").select("_a", "_b")
-        found = own if found is None else found.union(own)
-    if found is None:
+    if not lengths:
         return ids.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words")).limit(0)
-    suspects = written(found.distinct(), "license-suspects")
+    least = windows.select(F.col("least").alias("_x")).distinct()
+    found = docs.select("_a", "_b", F.explode(shingle_hashes(text, *lengths)).alias("_x")).join(_sent(least, n_windows), "_x", "left_semi")
+    suspects = written(found.select("_a", "_b").distinct(), "license-suspects")
     texts = docs.select("_a", "_b", "text").join(suspects, ["_a", "_b"], "left_semi")
     # Copies of a text are scanned once: one row is kept of each before it is cut into windows.
     texts = texts.groupBy("_a", "_b").agg(F.first("text").alias("text"))
