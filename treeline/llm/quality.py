@@ -18,10 +18,10 @@ STRONGEST, WEAKEST, UNKNOWN = 1e6, 1.0, 2.0
 POSITION_BITS = 24
 
 
-def _shared(hashes: Column, positions: Column) -> Column:
+def _shared(hashes: Column, positions: Column, wide: Column) -> Column:
     """Those of the positions, sorted, whose hash is equal to that of another one. ``hashes`` runs along with
     ``positions``. Where positions fit POSITION_BITS, both share one long each, so that a primitive sort brings equal
-    hashes together; in longer texts pairs are sorted."""
+    hashes together; in longer texts (``wide``) pairs are sorted."""
     packed = F.zip_with(hashes, positions, lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long")))
     paired = F.zip_with(hashes, positions, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
@@ -38,17 +38,17 @@ def _shared(hashes: Column, positions: Column) -> Column:
 
     short = F.transform(F.array(F.sort_array(packed)), repeated)[0]
     long = F.transform(F.array(F.sort_array(paired)), repeated_pairs)[0]
-    last = F.get(positions, F.size(positions) - 1)  # positions rise
-    return F.when(last >= F.lit(1 << POSITION_BITS), long).otherwise(short)
+    return F.when(wide, long).otherwise(short)
 
 
 def _repeat_words(words: Column, hashes: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in the text."""
-    once = _shared(hashes, F.sequence(F.lit(0), F.size(hashes) - 1))
+    wide = F.size(hashes) > F.lit(1 << POSITION_BITS)
+    once = _shared(hashes, F.sequence(F.lit(0), F.size(hashes) - 1), wide)
 
     def confirmed(c: Column) -> Column:  # 40 hash bits can collide; an independent hash decides on what remains
         again = F.transform(c, lambda i: F.xxhash64(F.lit(1), F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-        return F.when(F.size(c) > 0, _shared(again, c)).otherwise(c)
+        return F.when(F.size(c) > 0, _shared(again, c, wide)).otherwise(c)
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3)))
