@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,33 @@ def test_many_graphs_at_once(spark):
     e = edges(spark, CHAIN, "one").union(edges(spark, [("a", "b")], "two"))
     assert R.transitive_closure(e).groupBy("graph_id").count().collect().__len__() == 2
     assert R.transitive_closure(e).where("graph_id = 'two'").count() == 1
+
+
+def test_strong_sets_and_weighted_cycles_equal_brute_force(spark):
+    rng = random.Random(7)
+    graphs = {f"g{n}": sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", float(rng.randrange(5))) for _ in range(2 * n)}) for n in (3, 5, 8, 12)}
+    frame = spark.createDataFrame([(g, *e) for g, es in graphs.items() for e in es], "graph_id string, parent string, child string, weight double")
+    frame = frame.groupBy("graph_id", "parent", "child").agg(F.max("weight").alias("weight"))
+
+    def reach(pairs):
+        out = set(pairs)
+        while more := {(a, d) for a, b in out for c, d in pairs if b == c} - out:
+            out |= more
+        return out
+
+    weights = {(r.graph_id, r.parent, r.child): r.weight for r in frame.collect()}
+    want, kept = set(), set()
+    for g in graphs:
+        own = {(p, c): w for (x, p, c), w in weights.items() if x == g}
+        closed = reach(own)
+        for n in {x for e in own for x in e}:
+            want.add((g, n, min([n] + [m for m in {x for e in own for x in e} if (n, m) in closed and (m, n) in closed])))
+        left = {e for e in own if e[0] != e[1]}
+        # An edge on a cycle goes, the heaviest first: what is on none never comes to be on one.
+        for e in sorted(left, key=lambda e: (-own[e], e)):
+            if (e[1], e[0]) in reach(left):
+                left = left - {e}
+        kept |= {(g, *e) for e in left}
+    for limit in (2000, 2):
+        assert {(r.graph_id, r.node, r.scc) for r in R.scc(frame, limit).collect()} == want
+    assert {(r.graph_id, r.parent, r.child) for r in R.break_cycles(frame, "weight").collect()} == kept

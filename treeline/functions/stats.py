@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -24,6 +24,14 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(w) + (ties - 1) / 2.0
 
 
+def value_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
+    """(by, value, name): the average rank of each distinct value, from counts. Rows are counted before anything is
+    ordered, so what a window sees of a group is its distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).alias(name))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Lentz's continued fraction of the incomplete beta function."""
     tiny = 1e-300

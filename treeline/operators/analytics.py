@@ -40,6 +40,16 @@ def method_by_scenario(runs: DataFrame, metric: str, scenarios: list[str]) -> Da
     return wide.withColumn("row_mean", F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(have), F.lit(0)))
 
 
+def synonym_pairs(runs: DataFrame, metric: str, family: str = "our method") -> DataFrame:
+    """Per dataset that has runs with both synonyms and exploded nodes, and method of the family: the metric's mean of
+    plain runs and of those side by side, and the difference. (dataset, method, plain, syn_exp, delta)"""
+    both, neither = F.col("use_synsets") & F.col("explode_nodes"), ~F.col("use_synsets") & ~F.col("explode_nodes")
+    asked = runs.where(both).select("dataset").distinct()
+    own = runs.where(F.lower("method").contains(family.lower())).join(asked, "dataset", "left_semi")
+    out = own.groupBy("dataset", "method").agg(F.avg(F.when(neither, F.col(metric))).alias("plain"), F.avg(F.when(both, F.col(metric))).alias("syn_exp"))
+    return out.where("plain is not null or syn_exp is not null").withColumn("delta", F.col("syn_exp") - F.col("plain"))
+
+
 def method_variance(runs: DataFrame, metric: str, by: str = "method") -> DataFrame:
     c = F.col(metric)
     return runs.groupBy(by).agg(
@@ -79,18 +89,20 @@ def melt_metrics(runs: DataFrame, metrics: list[str], by: list[str]) -> DataFram
     return long.groupBy(*by, "type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
-def paired_delta_test(runs: DataFrame, category: str, metric: str, reference: str, key: str = "dataset", sign: int = 1) -> DataFrame:
+def paired_delta_test(runs: DataFrame, category: str, metric: str, reference: str, key: str = "dataset", sign: int = 1, within: str | None = None) -> DataFrame:
     """Per category: n, mean difference from the reference over shared keys (``sign`` -1: reference minus
     category), paired t, degrees of freedom, two-sided p and stars. Under two pairs or no spread: no t. A key
-    with several runs of a category has their mean."""
-    mean = runs.where(F.col(metric).isNotNull()).groupBy(key, category).agg(F.avg(metric).alias("_m"))
-    base = mean.where(F.col(category) == reference).select(key, F.col("_m").alias("_ref"))
-    delta = mean.where(F.col(category) != reference).join(base, key).select(category, ((F.col("_m") - F.col("_ref")) * sign).alias("_d"))
-    out = delta.groupBy(category).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_delta"), F.var_samp("_d").alias("_v"))
+    with several runs of a category has their mean. ``within``: each value of that column (such as a base model)
+    has a reference of its own, and a row per category."""
+    own = [within] if within else []
+    mean = runs.where(F.col(metric).isNotNull()).groupBy(*own, key, category).agg(F.avg(metric).alias("_m"))
+    base = mean.where(F.col(category) == reference).select(*own, key, F.col("_m").alias("_ref"))
+    delta = mean.where(F.col(category) != reference).join(base, [*own, key]).select(*own, category, ((F.col("_m") - F.col("_ref")) * sign).alias("_d"))
+    out = delta.groupBy(*own, category).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_delta"), F.var_samp("_d").alias("_v"))
     t = F.when((F.col("n") > 1) & (F.col("_v") > 0), F.col("mean_delta") / F.sqrt(F.col("_v") / F.col("n")))
     out = out.withColumn("t", t).withColumn("df", F.col("n") - 1)
     out = out.withColumn("p", t_test_p("t", F.col("df").cast("double")))
-    return out.select(category, "n", "mean_delta", "t", "df", "p", stars(F.col("p")).alias("stars"))
+    return out.select(*own, category, "n", "mean_delta", "t", "df", "p", stars(F.col("p")).alias("stars"))
 
 
 def model_gap(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
@@ -135,13 +147,17 @@ def clawback_curve(runs: DataFrame, metric: str, by: str = "scenario") -> DataFr
     return out.select(by, "clawback", "value", "baseline", (F.col("value") - F.col("baseline")).alias("delta"), (-F.col("_p.s")).alias("peak_clawback"))
 
 
-def heuristic_informativeness(diag: DataFrame, feature: str, bins: int = 5, discrete: bool = False) -> DataFrame:
-    """False-positive rate and support by bin of a feature (quantile bins, equal edges merged; or its values),
-    with the overall rate and the point-biserial correlation."""
+def heuristic_informativeness(diag: DataFrame, feature: str, bins: int = 5, discrete: bool = False, ratio: bool = False) -> DataFrame:
+    """False-positive rate and support by bin of a feature (quantile bins, equal edges merged; or its values; or,
+    for a ratio, bins of equal width from 0 to 1, each with its upper end and the first with 0, values outside left
+    out), with the overall rate and the point-biserial correlation."""
     d = diag.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("_x"), F.col("is_fp").cast("double").alias("_y"))
     total = d.agg(F.avg("_y").alias("baseline"), F.corr("_x", "_y").alias("r"), F.percentile("_x", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_q"))
     d = d.join(F.broadcast(total))  # one row of a few numbers
     low = F.col("_x") if discrete else F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col("_x"))).cast("double")
+    if ratio:
+        d = d.where("_x between 0 and 1")
+        low = F.greatest(F.ceil(F.col("_x") * bins) - 1, F.lit(0)).cast("double")
     return d.groupBy(low.alias("bin"), "baseline", "r").agg(F.count("*").alias("support"), F.avg("_y").alias("fp_rate"))
 
 
@@ -154,11 +170,11 @@ def scale_retention(runs: DataFrame, metric: str) -> DataFrame:
 
 def roc_auc(scored: DataFrame, score: str, label: str, by: str = G) -> DataFrame:
     """(by, auc): chance that a positive outranks a negative, ties counting half; null without both."""
-    r = scored.withColumn("_r", average_rank([by], score))
-    pos = F.count_if(F.col(label) == 1).cast("double")
-    neg = F.count_if(F.col(label) == 0).cast("double")
-    top = F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2
-    return r.groupBy(by).agg(F.when((pos > 0) & (neg > 0), top / F.nullif(pos * neg, F.lit(0.0))).alias("auc"))
+    # Rows are counted by score first; a window sees a group's distinct scores.
+    both = scored.groupBy(by, score).agg(F.count_if(F.col(label) == 1).cast("double").alias("_p"), F.count_if(F.col(label) == 0).cast("double").alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n") / 2
+    won = both.withColumn("_w", F.col("_p") * below).groupBy(by).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return won.select(by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0.0))).alias("auc"))
 
 
 def learned_suspicion(features: DataFrame, names: list[str], l2: float = 0.01) -> DataFrame:

@@ -112,16 +112,52 @@ def is_dag(e: DataFrame) -> DataFrame:
     return e.select(G).distinct().join(cyclic, G, "left").select(G, F.col("_cyclic").isNull().alias("is_dag"))
 
 
-def scc(e: DataFrame) -> DataFrame:
+def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
     """(graph_id, node, scc): strongly connected sets, each named by its smallest node. What lies on no cycle is
-    peeled off first, so the closure is taken of the cyclic core alone."""
-    c = written(small_closures(_peeled(e, both=True)), "scc")
+    peeled off first. Cyclic cores of up to ``max_nodes`` nodes are closed, all in one pass; larger ones are coloured,
+    so no table of all their pairs is made."""
+    core = written(_peeled(e, both=True), "core")
+    large = nodes_of(core).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G)
+    large = written(large, "large")
+    c = written(small_closures(core.join(large, G, "left_anti"), max_nodes), "scc")
     back = c.select(G, F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
     mutual = c.select(G, "ancestor", "descendant").join(back, [G, "ancestor", "descendant"])
     label = mutual.groupBy(G, F.col("ancestor").alias("node")).agg(F.min("descendant").alias("scc"))
+    if not large.isEmpty():
+        label = label.union(_coloured(core.join(large, G, "left_semi")))
     return nodes_of(e).join(label, [G, "node"], "left").select(G, "node", F.coalesce("scc", "node").alias("scc"))
 
 
+def _coloured(e: DataFrame) -> DataFrame:
+    """(graph_id, node, scc) by colouring: every node takes the smallest name that reaches it. The nodes of one colour
+    that reach the node of that name are its strongly connected set; they go, and the rest is coloured anew. Tables
+    are as large as the edges; rounds follow the length of shortest paths."""
+    left = written(edges_of(e), "colour-edges")
+    done = None
+    while not left.isEmpty():
+        colour = written(nodes_of(left).withColumn("colour", F.col("node")), "colour")
+        while True:
+            seen = left.join(colour.withColumnRenamed("node", "parent"), [G, "parent"]).groupBy(G, F.col("child").alias("node")).agg(F.min("colour").alias("_c"))
+            new = colour.join(seen, [G, "node"], "left").select(G, "node", F.least("colour", "_c").alias("colour"), (F.col("_c") < F.col("colour")).alias("_new"))
+            new = written(new, "colour")
+            colour = new.select(G, "node", "colour")
+            if new.where("_new").isEmpty():
+                break
+        p, c = (colour.select(G, F.col("node").alias(x), F.col("colour").alias(f"_{x}")) for x in ("parent", "child"))
+        inside = written(left.join(p, [G, "parent"]).join(c, [G, "child"]).where("_parent = _child").select(G, "parent", "child"), "colour-inside")
+        found = new_ones = written(colour.where("node = colour"), "colour-found")
+        while not new_ones.isEmpty():
+            up = new_ones.select(G, F.col("node").alias("child"), "colour").join(inside, [G, "child"]).select(G, F.col("parent").alias("node"), "colour").distinct()
+            new_ones = written(up.join(found.select(G, "node"), [G, "node"], "left_anti"), "colour-found")
+            found = found.union(new_ones)
+        found = written(found.select(G, "node", F.col("colour").alias("scc")), "colour-sets")
+        done = found if done is None else done.union(found)
+        for end in ("parent", "child"):
+            left = left.join(found.select(G, F.col("node").alias(end)), [G, end], "left_anti")
+        left = written(_peeled(left.select(G, "parent", "child"), both=True), "colour-edges")
+    return done
+
+
 def _components(pairs: DataFrame) -> DataFrame:
     """(graph_id, node, component) over undirected pairs (graph_id, a, b): the component's smallest node.
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import average_rank, ordinal_rank
+from treeline.functions.stats import ordinal_rank, value_ranks
 from treeline.functions.text import parse_lemma, size_bucket
-from treeline.operators.graph import G, edges_of, explode_graph, hash_order, implied_edges, longest_path_layers, min_depth, node_degrees, nodes_of, small_closures, transitive_closure, transitive_reduction, weak_components
+from treeline.operators.graph import G, break_cycles, edges_of, explode_graph, hash_order, implied_edges, longest_path_layers, min_depth, node_degrees, nodes_of, small_closures, transitive_closure, transitive_reduction, weak_components
 from treeline.tables import written
 
 EDGE = [G, "parent", "child"]
@@ -111,13 +111,10 @@ def edge_votes(assertions: DataFrame, salience: DataFrame, mapping: DataFrame, v
     return edges_of(final).join(voted, EDGE, "left").join(said, EDGE, "left").na.fill(0)
 
 
-PRESETS = {
-    "combined": (1.0, 1.0, 1.0, 1.0),
-    "leverage": (1.0, 0.0, 0.0, 0.0),
-    "neighborhood": (0.0, 1.0, 0.0, 0.0),
-    "self_agreement": (0.0, 0.0, 1.0, 0.0),
-    "salience": (0.0, 0.0, 0.0, 1.0),
-}
+#: The terms of suspicion, which are also the names that rankers have in result tables.
+TERMS = ("leverage", "neighborhood", "self_agreement", "salience")
+#: What each ranker weighs: all terms alike, or one alone.
+PRESETS = {"combined": (1.0,) * len(TERMS), **{name: tuple(float(name == t) for t in TERMS) for name in TERMS}}
 
 
 def suspicion_features(components: DataFrame, with_salience: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -137,9 +134,9 @@ def suspicion_features(components: DataFrame, with_salience: bool = True, keep:
 def suspicion(components: DataFrame, rank_by: str = "combined", weights: tuple | None = None, with_salience: bool = True) -> DataFrame:
     """(graph_id, parent, child, score): the weighted sum of the terms, or one of them alone."""
     if rank_by not in PRESETS:
-        raise ValueError(f"rank_by must be one of {sorted(PRESETS)}; got {rank_by!r}")
+        raise ValueError(f"no ranker {rank_by!r}: there are {', '.join(PRESETS)}")
     w = weights if weights and rank_by == "combined" else PRESETS[rank_by]
-    names = ("f_leverage", "f_neighborhood", "f_self_agreement", "f_salience")
+    names = [f"f_{t}" for t in TERMS]
     score = sum((F.col(n) * x for n, x in zip(names[1:], w[1:], strict=True)), F.col(names[0]) * w[0])
     return suspicion_features(components, with_salience).select(*EDGE, score.alias("score"))
 
@@ -195,13 +192,15 @@ def apply_verdicts(e: DataFrame, ranked: DataFrame, verdicts: DataFrame, ks: lis
 
 
 def rebuild_from_rewrite(e: DataFrame, rewrite: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
-    """Graphs for which anything was rewritten take the rewrite's edges; given the eligible edges, they keep
-    their own instead and lose only eligible ones that the rewrite lacks. Others stay as they are."""
+    """Graphs for which anything was rewritten take the rewrite's edges, without loops and with cycles broken; given
+    the eligible edges, they keep their own instead and lose only eligible ones that the rewrite lacks. Others stay
+    as they are."""
     e, rewrite = edges_of(e), edges_of(rewrite)
     has = rewrite.select(G).distinct()
     same = e.join(has, G, "left_anti")
     if eligible is None:
-        return same.select(*EDGE).union(rewrite.join(e.select(G).distinct(), G, "left_semi").select(*EDGE))
+        new = rewrite.join(e.select(G).distinct(), G, "left_semi").where("parent <> child")
+        return same.select(*EDGE).union(break_cycles(written(new.select(*EDGE), "rewrite")).select(*EDGE))
     lost = eligible.select(*EDGE).join(rewrite, EDGE, "left_anti")
     return same.select(*EDGE).union(e.join(has, G, "left_semi").join(lost, EDGE, "left_anti").select(*EDGE))
 
@@ -357,10 +356,12 @@ def synonym_optimum(curve: DataFrame, min_support: int = 20) -> DataFrame:
 def synonym_lift(stats: DataFrame) -> DataFrame:
     """Nodes of one form against nodes of several, over graphs that have the latter, and the Spearman
     correlation of forms and recall (all rows ranked before those without recall are left out)."""
-    s = stats.withColumn("_m", F.max("syn_count").over(Window.partitionBy(G)) >= 2).where("_m").withColumn("_one", F.lit(1))
-    s = s.withColumn("_a", average_rank(["_one"], "syn_count"))
-    with_recall = s.where("node_recall is not null").withColumn("_b", average_rank(["_one"], "node_recall"))
-    rho = with_recall.agg(F.corr("_a", "_b").alias("spearman_recall"))
+    many = stats.groupBy(G).agg(F.max("syn_count").alias("_most")).where("_most >= 2").select(G)
+    s = written(stats.join(many, G, "left_semi"), "lift")
+    # Rows are counted by value, and the counts ranked: no task orders all rows.
+    some = s.where("node_recall is not null")
+    ranked = some.join(value_ranks(s, [], "syn_count", "_a"), "syn_count").join(value_ranks(some, [], "node_recall", "_b"), "node_recall")
+    rho = ranked.agg(F.corr("_a", "_b").alias("spearman_recall"))
     share = lambda a, b, multi: F.try_divide(F.sum(F.when((F.col("syn_count") >= 2) == multi, F.col(a))), F.sum(F.when((F.col("syn_count") >= 2) == multi, F.col(b))))
     out = s.agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("syn_count") >= 2).alias("n_multi"),
@@ -435,10 +436,9 @@ def fp_sample(fps: DataFrame, n: int = 60, seed: int = 42) -> DataFrame:
 def fp_reason_distribution(reasons: DataFrame) -> DataFrame:
     """(graph_id, bucket, n, share, majority) per graph and OVERALL; majority is the most frequent bucket (ties:
     the first by name)."""
-    n = reasons.rollup(G, "bucket").agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
-    own = n.where("_g = 0").select(G, "bucket", "n")
-    total = own.groupBy("bucket").agg(F.sum("n").alias("n")).select(F.lit("OVERALL").alias(G), "bucket", "n")
-    out = own.union(total)
+    sets = reasons.groupingSets([[F.col(G), F.col("bucket")], [F.col("bucket")]], G, "bucket")
+    out = sets.agg(F.count("*").alias("n"), F.grouping(G).alias("_all"))
+    out = out.select(F.when(F.col("_all") == 1, "OVERALL").otherwise(F.col(G)).alias(G), "bucket", "n")
     w = Window.partitionBy(G)
     first = F.first("bucket").over(w.orderBy(F.desc("n"), "bucket"))
     return out.select(G, "bucket", "n", (F.col("n") / F.sum("n").over(w)).alias("share"), first.alias("majority"))
