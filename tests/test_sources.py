@@ -57,3 +57,30 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("salience"), "child", "n") == {("cat", 6), ("dog", 3)}
+
+
+def test_names_part_at_the_last_double_underscore(spark, tmp_path):
+    head = "dataset,parent,child,leverage,neighborhood_agreement,votes,salience,is_fp\n"
+    (tmp_path / "a__b__full_json.csv").write_text(head + "D,a,b,4,0.5,1,2,0\n")
+    assert rows(S.read_diagnostics(spark, str(tmp_path / "*.csv"), "full_json"), "child") == {("b",)}
+    (tmp_path / "a__b__full.jsonl").write_text(json.dumps({"target": "t", "chunk": 0}) + "\n")
+    r = S.read_reply_log(spark, str(tmp_path / "*.jsonl")).first()
+    assert (r.dataset, r.variant, r.edges, r.produced) == ("a__b", "full", 0, False)
+
+
+def test_obo_with_other_line_ends(spark, tmp_path):
+    text = 'format-version: 1.2\n\n[Term]\nid: X:1\nname: Cell\n\n[Term]\nid: X:2\nname: T cell\nis_a: X:1 ! Cell\n\n[Typedef]\nid: r\nname: rel\nis_a: X:1\n\n[Term]\nid: X:3\nname: B cell\nis_a: X:2\n'
+    for i, end in enumerate(("\n", "\r\n")):
+        (tmp_path / f"{i}.obo").write_bytes(text.replace("\n", end).encode())
+        assert rows(S.read_obo(spark, str(tmp_path / f"{i}.obo")), "parent", "child") == {("cell", "t cell"), ("t cell", "b cell")}
+
+
+def test_graphml_written_and_read(spark, tmp_path):
+    e = edges(spark, [("a & b", 'c "d" <e>'), ("a & b", "f")])
+    W.write_graphml(e, str(tmp_path / "g"))
+    nodes, got = S.read_graphml(spark, str(tmp_path / "g"))
+    assert rows(got, "parent", "child") == {("a & b", 'c "d" <e>'), ("a & b", "f")} and nodes.count() == 3
+    import xml.etree.ElementTree as ET
+
+    (path,) = (tmp_path / "g").glob("graph_id=g/*.txt")
+    assert len(ET.parse(path).getroot()[0]) == 5

@@ -551,6 +551,15 @@ def _(t):
     return M.rebuild_from_rewrite(t("parts_pred"), t("parts_other"), t("parts_pred").where(F.length("child") > 9)).drop("graph_id")
 
 
+@query(
+    "m13_rebuild_whole",
+    ctes("ring_c") + _SCC + _ROOTS.format("ring") + """, k as (select node, scc, coalesce(depth, 1 << 30) as dd from scc left join dep using (node))
+select parent, child from ring join k p on p.node = parent join k c on c.node = child where parent <> child and (p.scc <> c.scc or (p.dd, p.node) < (c.dd, c.node))""",
+)
+def _(t):
+    return M.rebuild_from_rewrite(t("ring").where("parent > child"), t("ring")).drop("graph_id")
+
+
 def _scores(t) -> DataFrame:
     comp = _comp(t)
     out = None
@@ -575,12 +584,26 @@ def _(t):
     return out.select("ranker", "k", "tp", "n_pred", *r6("precision", "recall"))
 
 
-@query("m14_prune_sweep_closure")
+_CLOSED = """, star as (select a, d from parts_pred_c union select parent, parent from parts_pred union select child, child from parts_pred),
+hit as (select ranker, e.parent, e.child, min(rk.r) as gone from rk join star s1 on s1.a = rk.parent join parts_pred e on e.parent = s1.d join star s2 on s2.a = e.child and s2.d = rk.child group by all),
+kept as (select ks.ranker, ks.k, e.parent, e.child from ks cross join parts_pred e left join hit h on h.ranker = ks.ranker and h.parent = e.parent and h.child = e.child where h.gone is null or h.gone > ks.k
+union all select 'baseline', 0, parent, child from parts_pred),
+clo(ranker, k, a, d) as (select ranker, k, parent, child from kept union select c.ranker, c.k, c.a, e.child from clo c join kept e on e.ranker = c.ranker and e.k = c.k and e.parent = c.d),
+s as (select ranker, k, count(*) filter ((a, d) in (select a, d from parts_c)) as tp, count(*) as n_pred from clo group by ranker, k),
+fin as (select ranker, k, tp, n_pred, tp / n_pred as p, tp / (select count(*) from parts_c) as r from s)"""
+_RANKED = _DIRECT[: _DIRECT.index("kept as (")].rstrip().rstrip(",").replace("not in (select parent, child from parts)", "not in (select a, d from parts_c)")
+
+
+@query("m14_prune_sweep_closure", ctes("parts_pred_c", "parts_c") + _PARTS + _SUS + _RANKED + _CLOSED + ' select ranker, cast(k as int) as k, tp, n_pred, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from fin')
 def _(t):
     return M.prune_sweep(t("parts_pred"), _scores(t), t("parts"), KS).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall", "f1"))
 
 
-@query("m15_fp_mass_curve")
+_BAD = """, rk as (select 'oracle' as ranker, parent, child, row_number() over (order by leverage desc, parent, child) as r from comp where (parent, child) not in (select a, d from parts_c)), ks as (select 'oracle' as ranker, unnest(range(0, (select count(*) + 1 from rk))) as k)"""
+
+
+@query("m15_fp_mass_curve", ctes("parts_pred_c", "parts_c") + _PARTS + _BAD + _CLOSED + """ select cast(k as int) as n, round(k / (select count(*) from rk), 6) as share_removed,
+round(1 - (n_pred - tp) / (select n_pred - tp from fin where ranker = 'oracle' and k = 0), 6) as share_gone from fin where ranker = 'oracle'""")
 def _(t):
     return M.fp_mass_curve(t("parts_pred"), t("parts")).select("n", *r6("share_removed", "share_gone"))
 
@@ -768,7 +791,19 @@ def _(t):
     return N.render_prompts(N.make_examples(t("parts"), 20), "full")
 
 
-@query("f5_sft_manifest")
+@query(
+    "f5_sft_manifest",
+    """with s as (select source as domain, lang, doc_id, case when n_chars % 3 = 0 then 'none' else lang end as c, len(list_filter(regexp_split_to_array(concat_ws(' ', text, case when n_chars % 3 = 0 then 'none' else lang end), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as w from documents where source is not null)
+select domain, count(*) as examples, count(*) filter (c <> 'none') as with_relations, median(w) as median_words, cast(max(w) as int) as max_words, round(avg((w > 300)::int), 6) as over_cap, count(*) as train_pairs from s group by domain""",
+)
+def _(t):
+    d = t("documents").where("source is not null")
+    sft = d.select(F.col("source").alias("domain"), F.col("text").alias("prompt"), F.when(F.col("n_chars") % 3 == 0, "none").otherwise(F.col("lang")).alias("completion"))
+    pairs = d.select(F.col("source").alias("graph_id"), F.col("lang").alias("parent"), F.col("doc_id").cast("string").alias("child"))
+    return N.sft_manifest(sft, pairs, 300).select("domain", "examples", "with_relations", "median_words", "max_words", *r6("over_cap"), "train_pairs")
+
+
+@query("f5_sft_manifest_examples")
 def _(t):
     e = t("parts").union(t("geo"))
     return N.sft_manifest(N.render_prompts(N.make_examples(e, 20)), e)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from treeline.functions.text import clean_term, lemma_of
 
 EDGE = ("graph_id", "parent", "child")
+#: Dataset and variant of a file's name, parted at the last double underscore.
+FILE = r"^(.*)__([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)\.{}$"
 
 
 def _edges(df: DataFrame, graph_id: str) -> DataFrame:
@@ -48,7 +50,9 @@ def read_pairs_json(spark: SparkSession, path: str, graph_id: str = "pairs") ->
 
 def read_obo(spark: SparkSession, path: str, use_synsets: bool = False, graph_id: str = "obo") -> DataFrame:
     """OBO terms: an edge from each is_a target's name to the term's name (the id where there is no name)."""
-    text = spark.read.text(path, lineSep="\n\n").where(F.col("value").rlike(r"(?m)^\[Term\]"))
+    # A stanza starts with its name in brackets, whatever kind of line end the file has.
+    text = spark.read.text(path, lineSep="[Term]").withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
+    text = text.withColumn("value", F.regexp_extract("value", r"^\s*\n((?:(?!\[)[^\n]*\n?)*)", 1))
 
     def one(field: str):
         return F.trim(F.regexp_extract("value", rf"(?m)^{field}:\s*([^\n]*)", 1))
@@ -90,7 +94,7 @@ def read_diagnostics(spark: SparkSession, path: str, variant: str | None = None)
     asked for must be that whole word."""
     schema = "dataset string, parent string, child string, leverage double, neighborhood_agreement double, votes int, salience long, is_fp int"
     rows = spark.read.csv(path, header=True, schema=schema, escape='"')
-    rows = rows.withColumn("variant", F.regexp_extract(F.col("_metadata.file_name"), r"__([A-Za-z0-9_]+)\.csv$", 1))
+    rows = rows.withColumn("variant", F.regexp_extract(F.col("_metadata.file_name"), FILE.format("csv"), 2))
     return rows if variant is None else rows.where(F.col("variant") == variant)
 
 
@@ -103,6 +107,6 @@ def read_reply_log(spark: SparkSession, path: str) -> DataFrame:
     name = F.col("_metadata.file_name")
     edges = F.greatest(F.coalesce("diag.n_strict", F.lit(0)), F.coalesce("diag.n_line", F.lit(0)))
     return rows.select(
-        F.regexp_extract(name, r"^(.*)__[^_]+(?:_[^_]+)*\.jsonl$", 1).alias("dataset"), F.regexp_extract(name, r"__([A-Za-z0-9_]+)\.jsonl$", 1).alias("variant"),
+        F.regexp_extract(name, FILE.format("jsonl"), 1).alias("dataset"), F.regexp_extract(name, FILE.format("jsonl"), 2).alias("variant"),
         "target", "chunk", F.coalesce("reasoning_chars", F.lit(0)).alias("reasoning_chars"), edges.alias("edges"), (edges > 0).alias("produced"),
     )
