@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents the classifier is fitted on, per language and in all, and landmarks per language (samples by hash).
@@ -91,17 +91,21 @@ def is_held_out() -> Column:
 
 def fit_language(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> LanguageModel | None:
     """Fits on ``docs(doc_id, text, lang)`` without the held-out documents; null ids, texts and languages are left
-    out. At most about ``per_language`` documents of each language and ``rows`` in all, by a hash of the id, of
-    whose texts only the bounded sets of slots reach the driver. No labelled document: no model."""
+    out. At most ``per_language`` documents of each language, and as many fewer as keep them to ``rows`` in all, but
+    two of each language there is; they are those of the smallest hashes of the id, and only the bounded sets of their
+    slots reach the driver. No labelled document: no model."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~is_held_out()).where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 2).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     quota = min(per_language, max(2, rows // len(counts)))
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, quota / n)) for k, n in counts.items()], "lang string, _share double")
+    # So many more than the quota pass the toss that it is filled, and a rank cuts them to it.
+    shares = spark.createDataFrame([(k, min(1.0, (2 * quota + 40) / n)) for k, n in counts.items()], "lang string, _share double")
     u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.join(F.broadcast(shares), "lang").withColumn("_u", u).where(F.col("_u") < F.col("_share"))
+    first = Window.partitionBy("lang").orderBy("_u", F.xxhash64("text"))
+    sample = sample.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= quota)
 
     @F.pandas_udf("array<int>")
     def slots(texts: pd.Series) -> pd.Series:
@@ -148,6 +152,11 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score; the model learns from the documents not held out."""
+    """Per document: doc_id, held_out, lang_pred, score; the model learns from the documents not held out.
+
+    One row per row. Null texts and texts without a letter are ``und`` with score 0; a null id is not held out and
+    not learnt from; rows that repeat a text have the same prediction; of equal values the first language by name
+    wins; whole texts are read however long; other columns are ignored; an empty table gives an empty one.
+    """
     out = predict_language(docs.select("doc_id", "text"), fit_language(docs.select("doc_id", "text", "lang")))
     return out.select("doc_id", is_held_out().alias("held_out"), F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
