@@ -22,7 +22,7 @@ from treeline.llm import simhash as S
 from treeline.llm import tokens as K
 from treeline.llm import toxicity as X
 from treeline.llm import warc as W
-from treeline.llm.common import components
+from treeline.llm.common import components, set_aside
 from treeline.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -326,6 +326,19 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_is_learnt_up_to_its_quota(spark):
+    rows = [(i, f"alpha beta gamma {i}", "big") for i in range(3000)] + [(9000 + i, f"un deux trois {i}", f"r{i % 30}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_language(d, per_language=5, rows=60, landmarks=1)
+    learnt = {r["lang"] for r in d.where(~L.is_held_out()).select("lang").distinct().collect()}
+    assert set(model.languages) == learnt and len(model.scale) == len(learnt)
+
+
+def test_names_that_clash_are_set_aside(spark):
+    d = spark.createDataFrame([(1, 2, 3)], "_x int, aside0_x int, _row int")
+    assert len(set(set_aside(d).columns)) == 3 and set_aside(d).toDF(*d.columns).first() == (1, 2, 3)
+
+
 def test_language_on_odd_rows(odd, nothing):
     got = L.identify_languages(odd).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.tables import work_dir
+
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    temporary folder is made, and removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="treeline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: it cuts the lineage, is computed
     once, and survives the loss of any executor."""
@@ -50,7 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def set_aside(docs: DataFrame) -> DataFrame:
     """``docs`` with columns whose names start with _ under other names. The operators' own columns start so:
     none can clash, and the caller puts the names back with ``toDF``."""
-    return docs.toDF(*[f"aside{i}{c}" if c.startswith("_") else c for i, c in enumerate(docs.columns)])
+    taken, out = set(docs.columns), []
+    for i, c in enumerate(docs.columns):
+        new = f"aside{i}{c}" if c.startswith("_") else c
+        while new != c and new in taken:
+            new = f"a{new}"
+        out.append(new)
+    return docs.toDF(*out)
 
 
 def components(edges: DataFrame) -> DataFrame:
