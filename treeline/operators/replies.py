@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["run_id", "target", "chunk"]
+#: What counts as a block of pairs, a pair and an object in a reply, and what is stripped from terms. A
+#: block goes from the first [[ to the last ]]; a pair is two quoted terms in brackets; an object names parent, then child.
 BLOCK = r"(?s)\[\s*\[.*\]\s*\]"
 PAIR = r"""\[\s*["']([^"']+)["']\s*,\s*["']([^"']+)["']\s*\]"""
 OBJECT = r'(?i)"parent"\s*:\s*"([^"]+)"\s*,\s*"child"\s*:\s*"([^"]+)"'
