@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from treeline.llm.common import LOWER_ASCII, set_aside, written
 #: Everything below 0x80 that is no letter or digit separates words; bytes from 0x80 on are parts of words.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER_ASCII)
 
-#: Item words in one automaton. A larger benchmark is streamed in blocks of items of at most this size.
+#: Item words in one automaton. A larger benchmark is streamed in blocks of items of about this size at most.
 BLOCK_WORDS = 1_000_000
 
 
@@ -148,10 +150,23 @@ def _blocks(items: DataFrame, block_words: int) -> list[int]:
     return list(range(int(total // (block_words / 2)) + 1))
 
 
+#: The automaton that this worker built last, under its key: tasks of one block follow each other and share it.
+_LAST: dict[str, ItemAutomaton] = {}
+
+
+def _automaton(key: str, shared, window: int) -> ItemAutomaton:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = ItemAutomaton(shared.value, window)
+    return _LAST[key]
+
+
 def _scan_udf(shared, window: int):
+    key = uuid.uuid4().hex
+
     @F.pandas_udf("n long, spans array<array<int>>, items array<string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = ItemAutomaton(shared.value, window)
+        automaton = _automaton(key, shared, window)
         for texts in batches:
             out = []
             for t in texts:
@@ -160,31 +175,38 @@ def _scan_udf(shared, window: int):
                 out.append((len(words), spans, sorted(x for x in found if x is not None)))
             yield pd.DataFrame(out, columns=["n", "spans", "items"])
 
-    return scan
+    return scan.asNondeterministic()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs(..., text)`` with two more columns: ``_n_words`` (long) and ``_hits``, an array with one struct per
-    block of items: spans (array of [start, end) word positions) and items (array of item_id as strings).
+    block of items that occurs in the text: n, spans (array of [start, end) word positions) and items (array of
+    item_id as strings). Names that start with ``_`` are the operator's own.
 
     ``items(item_id, text)``: null and empty texts have no window; an item without an id still marks words,
     but is not listed; items that share an id count as one. Documents of null or empty text have no words.
-    Items are loaded block by block, each of a bounded number of words, and the documents stream past every
-    block in turn; documents are neither shuffled nor joined, so neither hot sources nor copies matter.
+    Items are loaded block by block, each of a bounded number of words. With one block the documents stream past
+    it, neither shuffled nor joined. With more, the documents are numbered and written once, every block reads
+    their texts alone and gives the numbers and spans of the texts it hits, and these narrow rows are joined back.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     items = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     blocks = _blocks(items, block_words)
-    found = docs
-    for b in blocks:
+    sc = docs.sparkSession.sparkContext
+
+    def scan_of(b: int):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == b).collect()
-        scan = _scan_udf(docs.sparkSession.sparkContext.broadcast([(r.item_id, words_of(r.text)) for r in rows]), window)
-        found = found.withColumn(f"_hits{b}", scan.asNondeterministic()("text"))
-        if len(blocks) > 1:  # one automaton in memory at a time
-            found = written(found, f"block{b}")
-    names = [f"_hits{b}" for b in blocks]
-    return found.withColumn("_hits", F.array(*names)).drop(*names).withColumn("_n_words", F.col("_hits")[0]["n"])
+        return _scan_udf(sc.broadcast([(r.item_id, words_of(r.text)) for r in rows]), window)
+
+    if len(blocks) == 1:
+        return docs.withColumn("_hits", F.array(scan_of(0)("text"))).withColumn("_n_words", F.col("_hits")[0]["n"])
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # The first block also counts the words of every text.
+    scans = [docs.select("_row", scan_of(b)("text").alias("_hit")).where(F.lit(b == 0) | (F.size("_hit.spans") > 0)) for b in blocks]
+    narrow = written(reduce(DataFrame.union, scans), "hits")
+    hits = narrow.groupBy("_row").agg(F.max("_hit.n").alias("_n_words"), F.collect_list(F.when(F.size("_hit.spans") > 0, F.col("_hit"))).alias("_hits"))
+    return docs.join(hits, "_row").drop("_row")
 
 
 def _cut(text: str | None, n_words: int, spans: list, max_coverage: float) -> str | None:
