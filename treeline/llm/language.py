@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 FIT_PER_LANGUAGE, FIT_ROWS, LANDMARKS = 250, 4000, 24
 #: The blended spectrum takes n-grams of one to SPECTRUM characters; each is hashed into one of SLOTS.
 SPECTRUM, SLOTS = 3, 1 << 18
-#: Characters looked at together in a batch of texts: bounds memory, and cuts no text.
-BATCH_TEXTS = 64
+#: Texts in one matrix product, and slots unpacked for it at a time: they bound memory, and cut no text.
+BATCH_TEXTS, BATCH_SLOTS = 64, 1 << 13
 
 
 def presence(text: str, spectrum: int = SPECTRUM, slots: int = SLOTS) -> np.ndarray:
@@ -41,8 +41,8 @@ def presence(text: str, spectrum: int = SPECTRUM, slots: int = SLOTS) -> np.ndar
 @dataclass
 class LanguageModel:
     """Scores are K(x, landmarks) @ alpha with one column of alpha per language. ``slot_of`` numbers the slots
-    that occur in a landmark, ``grams`` (slots x landmarks) tells which landmark has which, ``scale`` is the
-    square root of each landmark's number of slots."""
+    that occur in a landmark, ``grams`` (slots x landmarks, eight landmarks to a byte) tells which landmark has
+    which, ``scale`` is the square root of each landmark's number of slots."""
 
     languages: list[str]
     slot_of: np.ndarray
@@ -51,13 +51,20 @@ class LanguageModel:
     alpha: np.ndarray
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Normalised kernel values of a batch of texts with the landmarks: one matrix product."""
-        x = np.zeros((len(sets), len(self.grams)), dtype=np.float32)
-        for i, s in enumerate(sets):
-            at = self.slot_of[s]
-            x[i, at[at >= 0]] = 1
+        """Normalised kernel values of a batch of texts with the landmarks: matrix products over the slots that
+        occur in the batch, so many at a time that what is unpacked stays small however many languages there are."""
+        known = [at[at >= 0] for at in (self.slot_of[s] for s in sets)]
+        text = np.repeat(np.arange(len(sets)), [len(at) for at in known])
+        slots, column = np.unique(np.concatenate(known), return_inverse=True)
+        shared = np.zeros((len(sets), len(self.scale)), dtype=np.float32)
+        for lo in range(0, len(slots), BATCH_SLOTS):
+            part = slots[lo : lo + BATCH_SLOTS]
+            here = (column >= lo) & (column < lo + len(part))
+            x = np.zeros((len(sets), len(part)), dtype=np.float32)
+            x[text[here], column[here] - lo] = 1
+            shared += x @ np.unpackbits(self.grams[part], axis=1, count=len(self.scale)).astype(np.float32)
         size = np.sqrt(np.maximum([len(s) for s in sets], 1))
-        return (x @ self.grams) / size[:, None] / self.scale[None, :]
+        return shared / size[:, None] / self.scale[None, :]
 
     def predict(self, sets: list[np.ndarray]) -> np.ndarray:
         return self.kernel(sets) @ self.alpha
@@ -70,9 +77,9 @@ def fit_model(languages: list[str], sets: list[np.ndarray], landmarks: list[int]
     slots = np.unique(np.concatenate([sets[i] for i in landmarks]))
     slot_of = np.full(SLOTS, -1, dtype=np.int64)
     slot_of[slots] = np.arange(len(slots))
-    grams = np.zeros((len(slots), len(landmarks)), dtype=np.float32)
+    grams = np.zeros((len(slots), (len(landmarks) + 7) // 8), dtype=np.uint8)
     for j, i in enumerate(landmarks):
-        grams[slot_of[sets[i]], j] = 1
+        grams[slot_of[sets[i]], j // 8] |= 128 >> j % 8
     scale = np.sqrt(np.maximum([len(sets[i]) for i in landmarks], 1)).astype(np.float32)
     model = LanguageModel(names, slot_of, grams, scale, np.zeros((len(landmarks), len(names))))
     k_nm = np.concatenate([model.kernel(sets[i : i + BATCH_TEXTS]) for i in range(0, len(sets), BATCH_TEXTS)]).astype(float)
@@ -107,16 +114,16 @@ def fit_language(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, rows: in
     first = Window.partitionBy("lang").orderBy("_u", F.xxhash64("text"))
     sample = sample.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= quota)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def slots(texts: pd.Series) -> pd.Series:
-        return pd.Series([presence(t).astype(np.int32) for t in texts], dtype=object)
+        return pd.Series([presence(t).astype("<i4").tobytes() for t in texts], dtype=object)
 
     got = sample.select("lang", "_u", slots("text").alias("_slots")).collect()
     got.sort(key=lambda r: (r["lang"], r["_u"]))
     languages = [r["lang"] for r in got]
     if not languages:
         return None
-    sets = [np.array(r["_slots"], dtype=np.int64) for r in got]
+    sets = [np.frombuffer(r["_slots"], dtype="<i4") for r in got]
     chosen, used = [], dict.fromkeys(languages, 0)
     for i, lang in enumerate(languages):
         if used[lang] < landmarks:
