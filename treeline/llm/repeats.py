@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ BLOCK_BYTES = 1 << 18
 #: Starts in a part of a run, level by level, where a key has more text than that.
 WIDTHS = (32, 8, 2, 1)
 
-#: Starts of a text that are hashed at a time.
-CHUNK = 1 << 20
+#: Starts of a text that are hashed at a time, and bytes of pieces handed on at a time.
+CHUNK, BATCH_BYTES = 1 << 20, 1 << 22
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,31 +165,34 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     return found[1 : n + 1]
 
 
-def repeated_starts(runs: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each run (its bytes; ``counts``: how often it occurs), the starts whose string occurs twice or more."""
+def repeated_in_runs(runs: list[bytes], counts: list[int], length: int) -> list[tuple[int, list[list[int]]]]:
+    """(number of the run, merged [start, end) spans) of runs with strings that occur twice or more; ``counts``
+    tells how often a run occurs."""
     sizes = np.array([len(r) for r in runs])
     data = np.frombuffer(b"\xff".join(runs) + b"\xff", dtype=np.uint8)  # no UTF-8 text has this byte
     begin = np.cumsum(sizes + 1) - sizes - 1
     order = suffix_order(data, length)
     same = common_prefixes(data, order, length)
-    n_starts = sizes - length + 1
     # How often the string at each position counts; strings over the end of a run do not.
-    weight = np.zeros(len(data), dtype=np.int64)
-    for b, m, c in zip(begin, n_starts, counts, strict=True):
-        weight[b : b + m] = min(c, 2)
+    run = np.repeat(np.arange(len(runs)), sizes + 1)
+    at = np.arange(len(data)) - begin[run]
+    weight = np.where(at <= sizes[run] - length, np.minimum(counts, 2)[run], 0)
     group = np.cumsum(same < length)
     total = np.bincount(group, weights=weight[order])
     often = np.zeros(len(data), dtype=bool)
     often[order] = total[group] >= 2
-    return [np.nonzero(often[b : b + m])[0] for b, m in zip(begin, n_starts, strict=True)]
-
-
-def spans_of(starts: np.ndarray, length: int) -> list[list[int]]:
-    """Merged [start, end) spans of the strings at the sorted starts."""
-    if not len(starts):
+    found = np.nonzero(often & (weight > 0))[0]
+    if not len(found):
         return []
-    gap = np.nonzero(np.diff(starts) > length)[0]
-    return np.stack((starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + length), axis=1).tolist()
+    new = np.nonzero((np.diff(found) > length) | (np.diff(run[found]) > 0))[0]
+    lo, hi = found[np.append(0, new + 1)], found[np.append(new, len(found) - 1)]
+    out: list[tuple[int, list[list[int]]]] = []
+    for r, a, b in zip(run[lo].tolist(), at[lo].tolist(), (at[hi] + length).tolist(), strict=True):
+        if out and out[-1][0] == r:
+            out[-1][1].append([a, b])
+        else:
+            out.append((r, [[a, b]]))
+    return out
 
 
 def _identity(text: Column) -> list[Column]:
@@ -251,6 +255,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     texts = docs.where(F.octet_length("text") >= length).select(*_identity(F.col("text")), "text")
     texts = texts.groupBy("_a", "_b").agg(F.first("text").alias("_text"))
     wanted = asked.groupBy("_a", "_b").agg(F.collect_list(F.struct("key", "run", "times", "start", "n", "_large")).alias("_w"))
+    wanted = wanted.select("_a", "_b", *[F.col(f"_w.{c}").alias("_" + c.lstrip("_")) for c in ("key", "run", "times", "start", "n", "_large")])
     pieces = wanted.join(texts, ["_a", "_b"]).mapInPandas(_cutter(length), "key long, run long, times long, large boolean, piece binary")
     pieces = written(pieces, "pieces")
     small, decided = _refined(pieces.where("large"), length, block_bytes)
@@ -264,12 +269,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
 
 def _cutter(length: int):
+    """Cuts the asked runs out of texts; pieces are handed on in batches of about BATCH_BYTES."""
+    def together(parts: list[tuple]) -> pd.DataFrame:
+        *columns, pieces = zip(*parts, strict=True)
+        frame = pd.DataFrame(dict(zip(("key", "run", "times", "large"), map(np.concatenate, columns), strict=True)))
+        return frame.assign(piece=list(chain.from_iterable(pieces)))
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for wanted, text in zip(batch["_w"], batch["_text"], strict=True):
+            parts, size = [], 0
+            for *own, start, n, text in batch[["_key", "_run", "_times", "_large", "_start", "_n", "_text"]].itertuples(index=False, name=None):
                 raw = text.encode()
-                rows = [(w["key"], w["run"], w["times"], w["_large"], raw[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
-                yield pd.DataFrame(rows, columns=["key", "run", "times", "large", "piece"])
+                stop = start + n + (length - 1)
+                parts.append((*own, [raw[lo:hi] for lo, hi in zip(start.tolist(), stop.tolist(), strict=True)]))
+                size += int((stop - start).sum())
+                if size > BATCH_BYTES:
+                    yield together(parts)
+                    parts, size = [], 0
+            if parts:
+                yield together(parts)
 
     return cut
 
@@ -284,8 +302,10 @@ def _block_finder(length: int, block_bytes: int):
         size = 0
 
         def done() -> pd.DataFrame:
-            found = repeated_starts([r[5] for r in block], [r[4] for r in block], length)
-            rows = [(r[1], r[2], spans_of(f + r[3], length)) for r, f in zip(block, found, strict=True) if len(f)]
+            rows = []
+            for i, spans in repeated_in_runs([r[5] for r in block], [r[4] for r in block], length):
+                _, top, top_run, at, *_ = block[i]
+                rows.append((top, top_run, [[at + lo, at + hi] for lo, hi in spans]))
             return pd.DataFrame(rows, columns=["key", "run", "spans"])
 
         for batch in batches:
