@@ -25,6 +25,8 @@ LENGTH = 200
 GRAM = 48
 #: Bytes of text under one key that are compared in one block. Keys with more are refined first.
 BLOCK_BYTES = 1 << 18
+#: A key with more than one in HOT of all runs is hot.
+HOT = 1000
 #: Starts in a part of a run, level by level, where a key has more text than that.
 WIDTHS = (32, 8, 2, 1)
 
@@ -239,8 +241,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     surroundings) are cut into smaller ones until they fit the transform.
     """
     runs = written(_runs(docs, length), "all-runs")
-    often = written(runs.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key"), "often")
-    suspects = runs.join(often, "key").groupBy("_a", "_b", "start", "n", "key", "run").agg(F.count("*").alias("times"))
+    often = written(runs.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1"), "often")
+    # Fewer than HOT keys can have so many runs. Theirs are all suspects, and need not meet in one task to be told.
+    hot = F.col("_k") * HOT > runs.count()
+    heavy = F.broadcast(often.where(hot).select("key"))
+    light = runs.join(heavy, "key", "left_anti").join(often.where(~hot).select("key"), "key")
+    # The place tells the rest. Grouped by it alone, rows of one text are combined before they are sent.
+    told = [F.first(c).alias(c) for c in ("n", "key", "run")]
+    suspects = runs.join(heavy, "key").unionByName(light).groupBy("_a", "_b", "start").agg(*told, F.count("*").alias("times"))
     suspects = written(suspects, "suspects")
     place = F.struct("_a", "_b", "start", "n")
     distinct = suspects.groupBy("key", "run").agg(F.sum("times").alias("times"), F.min(place).alias("p"))
