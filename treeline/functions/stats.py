@@ -9,12 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-
-def ordinal_rank(by: list[str], order: list[Column]) -> Column:
-    """(row number - 1) / (rows - 1); a single row has 1. Equal values get different ranks, by the order."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    return F.when(n == 1, F.lit(1.0)).otherwise((F.row_number().over(w.orderBy(*order)) - 1) / (n - 1))
+from treeline.tables import written
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+    """``df`` with the number from 1 of each row in its group, in the given order (equal rows in any order), and the
+    ``size`` of the group.
+
+    Rows are dealt by ranges of the group and the order and numbered within their range; the rows of the ranges before
+    come from counts, a row per range and group. So a group of any size spreads over all tasks. The ranges are written
+    before they are counted, since bounds are sampled anew each time.
+    """
+    placed = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*by)
+    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_in"))
+    before = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), (F.sum("_in").over(group.orderBy("_range")) - F.col("_in")).alias("_before"), F.sum("_in").over(group).alias("_size"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_{i}"))
+    out = placed.withColumn("_no", within).join(before, same)
+    return out.select(*df.columns, (F.col("_before") + F.col("_no")).cast("int").alias(name), *([F.col("_size").alias(size)] if size else []))
+
+
+def ordinal_ranks(df: DataFrame, by: list[str], orders: dict[str, list[Column]]) -> DataFrame:
+    """``df`` with a rank per name and order: (number - 1) / (rows - 1) in the group; a single row has 1. Equal values
+    get different ranks, by the order."""
+    for name, order in orders.items():
+        df = numbered(df, by, order, "_row", "_rows")
+        rank = F.when(F.col("_rows") == 1, F.lit(1.0)).otherwise((F.col("_row") - 1) / (F.col("_rows") - 1))
+        df = df.withColumn(name, rank).drop("_row", "_rows")
+    return df
 
 
 def average_rank(by: list[str], value: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import average_rank, ordinal_rank, stars, t_test_p
+from treeline.functions.stats import average_rank, ordinal_ranks, stars, t_test_p
 from treeline.functions.text import parse_label
 from treeline.operators.graph import G
 
@@ -210,8 +210,8 @@ def perplexity_features(edges: DataFrame, ppl: DataFrame) -> DataFrame:
     rev = ppl.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.col("ppl").alias("_rev"))
     e = edges.join(fwd, ["child", "parent"], "left").join(rev, ["child", "parent"], "left").withColumn("ratio", F.col("forward") / F.nullif(F.col("_rev"), F.lit(0.0)))
     e = e.withColumn("_f", F.coalesce("forward", F.lit(0.0))).withColumn("_q", F.coalesce("ratio", F.lit(1.0)))
-    rank = lambda c: ordinal_rank([G], [F.col(c), F.col("parent"), F.col("child")])
-    return e.select(G, "parent", "child", "forward", "ratio", rank("_f").alias("f_forward"), rank("_q").alias("f_ratio"))
+    ranked = ordinal_ranks(e, [G], {name: [F.col(c), F.col("parent"), F.col("child")] for name, c in (("f_forward", "_f"), ("f_ratio", "_q"))})
+    return ranked.select(G, "parent", "child", "forward", "ratio", "f_forward", "f_ratio")
 
 
 def reasoning_effort(log: DataFrame, f1: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,8 +220,11 @@ def reasoning_effort(log: DataFrame, f1: DataFrame) -> tuple[DataFrame, DataFram
     productive and of empty replies."""
     own = log.groupBy("dataset", "variant").agg(F.count("*").alias("n"), F.avg("reasoning_chars").alias("mean_chars"), F.avg(F.col("produced").cast("double")).alias("productive"), F.sum("edges").alias("edges"))
     own = own.join(f1.select("dataset", "variant", "f1"), ["dataset", "variant"], "left")
+    # Rows are counted by length first; a window sees a group's distinct lengths.
     w = Window.partitionBy("variant", "produced")
-    place = log.withColumn("_r", F.row_number().over(w.orderBy("reasoning_chars"))).withColumn("_n", F.count("*").over(w))
-    mid = place.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    place = log.groupBy("variant", "produced", "reasoning_chars").agg(F.count("*").alias("_c"))
+    place = place.withColumn("_r", F.sum("_c").over(w.orderBy("reasoning_chars"))).withColumn("_n", F.sum("_c").over(w))
+    at = F.floor(F.col("_n") / 2) + 1
+    mid = place.where((F.col("_r") >= at) & (F.col("_r") - F.col("_c") < at))
     pick = lambda flag, name: F.max(F.when(F.col("produced") == flag, F.col("reasoning_chars"))).alias(name)
     return own, mid.groupBy("variant").agg(pick(True, "median_productive"), pick(False, "median_empty"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions.stats import numbered
 from treeline.functions.text import primary_term
 from treeline.tables import written
 
@@ -133,8 +134,8 @@ def extraction_requests(nodes: DataFrame, chunk_size: int = 1000, variant: str =
     at a time, in the order of their names. Candidate lists are made once per (graph, chunk); a target within a
     chunk shifts what comes after it by one, so each request takes its slice from at most two of them."""
     ranked = nodes.select(G, primary_term("node").alias("term")).distinct()
-    w = Window.partitionBy(G)
-    ranked = written(ranked.withColumn("_at", F.row_number().over(w.orderBy("term")) - 1).withColumn("_n", F.count("*").over(w)), "terms")
+    ranked = numbered(ranked, [G], [F.col("term")], "_at", "_n")
+    ranked = written(ranked.withColumn("_at", F.col("_at") - 1), "terms")
     lists = ranked.groupBy(G, F.floor(F.col("_at") / chunk_size).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "term"))), lambda x: x["term"]).alias("_terms"))
     n_chunks = F.ceil((F.col("_n") - 1) / chunk_size)
     asked = ranked.where("_n > 1").select(G, F.col("term").alias("target"), "_at", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"))
@@ -151,10 +152,10 @@ def extraction_requests(nodes: DataFrame, chunk_size: int = 1000, variant: str =
 def batch_requests(test: DataFrame, train: DataFrame, chunk: int = 100) -> DataFrame:
     """Each chunk of train pairs (graph_id, parent, child) with each chunk of test terms (graph_id, node):
     (graph_id, train_chunk, test_chunk, examples, terms). Without train pairs there is one empty chunk."""
-    number = lambda *order: F.floor((F.row_number().over(Window.partitionBy(G).orderBy(*order)) - 1) / chunk)
-    terms = test.select(G, "node").distinct().withColumn("test_chunk", number("node"))
+    number = F.floor((F.col("_no") - 1) / chunk)
+    terms = numbered(test.select(G, "node").distinct(), [G], [F.col("node")], "_no").withColumn("test_chunk", number)
     terms = terms.groupBy(G, "test_chunk").agg(F.array_join(F.array_sort(F.collect_list("node")), "\n").alias("terms"))
-    pairs = train.select(G, "parent", "child").distinct().withColumn("train_chunk", number("parent", "child"))
+    pairs = numbered(train.select(G, "parent", "child").distinct(), [G], [F.col("parent"), F.col("child")], "_no").withColumn("train_chunk", number)
     pair = F.to_json(F.struct("parent", "child"))
     pairs = pairs.groupBy(G, "train_chunk").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(pair)), ", "), F.lit("]")).alias("examples"))
     out = terms.join(pairs, G, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions.stats import numbered
 from treeline.functions.text import parse_lemma
 from treeline.operators.candidates import prompt_text
 from treeline.operators.graph import G, hash_order, nodes_of, transitive_closure
@@ -63,8 +64,7 @@ def make_examples(train: DataFrame, candidates: int = 99, seed: int = 42) -> Dat
     Others are drawn by stepping through the graph's numbered nodes from a hashed start; enough steps are taken
     to make up for related ones and the target, so the quadratic table of unrelated pairs never exists.
     """
-    w = Window.partitionBy(G)
-    nodes = nodes_of(train).withColumn("_no", F.row_number().over(w.orderBy("node")) - 1).withColumn("_size", F.count("*").over(w))
+    nodes = numbered(nodes_of(train), [G], [F.col("node")], "_no", "_size").withColumn("_no", (F.col("_no") - 1).cast("long"))
     nodes = written(nodes, "nodes")
     closure = written(transitive_closure(train).where("ancestor <> descendant").select(G, "ancestor", "descendant"), "closure")
     rel = closure.select(G, F.col("descendant").alias("target"), F.col("ancestor").alias("other"), F.lit("up").alias("_way"))

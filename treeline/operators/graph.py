@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions.stats import numbered
 from treeline.functions.text import lemma_of, parse_lemma
 from treeline.tables import written
 
@@ -325,7 +326,7 @@ def closed_sample(e: DataFrame, target_nodes: int = 100, seed: int = 42) -> Data
     """Nodes in shuffled order join the sample together with all their ancestors until it has ``target_nodes``
     nodes; the edges among them. A node is in as soon as the first of its descendants (or itself) is, so one
     running count finds where to stop."""
-    nodes = nodes_of(edges_of(e)).withColumn("_rank", F.row_number().over(Window.partitionBy(G).orderBy(hash_order(seed, "node"), "node")))
+    nodes = numbered(nodes_of(edges_of(e)), [G], [hash_order(seed, "node"), F.col("node")], "_rank")
     nodes = written(nodes, "ranked")
     pairs = transitive_closure(e).select(G, F.col("ancestor").alias("_a"), F.col("descendant").alias("node"))
     pairs = pairs.union(nodes.select(G, F.col("node").alias("_a"), "node"))
@@ -345,9 +346,8 @@ def branch_split(e: DataFrame, ratio: float = 0.2, seed: int = 42) -> tuple[Data
     roots = roots_of(e)
     tops = roots.union(nodes_of(e).join(roots.select(G).distinct(), G, "left_anti"))
     branch = tops.select(G, F.col("node").alias("parent")).join(e, [G, "parent"]).select(G, F.col("parent").alias("_root"), F.col("child").alias("_start"))
-    place = Window.partitionBy(G).orderBy(hash_order(seed, "_root", "_start"), "_root", "_start")
-    n = F.count("*").over(Window.partitionBy(G))
-    branch = written(branch.withColumn("_train", F.row_number().over(place) <= F.greatest(F.lit(1), F.floor(n * ratio))), "branches")
+    branch = numbered(branch, [G], [hash_order(seed, "_root", "_start"), F.col("_root"), F.col("_start")], "_no", "_n")
+    branch = written(branch.withColumn("_train", F.col("_no") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_no", "_n"), "branches")
     below = transitive_closure(e).select(G, F.col("ancestor").alias("_start"), F.col("descendant").alias("node"))
     member = branch.join(below, [G, "_start"]).select(G, "node", "_train")
     member = member.union(branch.select(G, F.col("_start").alias("node"), "_train")).union(branch.select(G, F.col("_root").alias("node"), "_train"))

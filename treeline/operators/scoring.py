@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import ordinal_rank, value_ranks
+from treeline.functions.stats import numbered, ordinal_ranks, value_ranks
 from treeline.functions.text import parse_lemma, size_bucket
 from treeline.operators.graph import G, break_cycles, edges_of, explode_graph, hash_order, implied_edges, longest_path_layers, min_depth, node_degrees, nodes_of, small_closures, transitive_closure, transitive_reduction, weak_components
 from treeline.tables import written
@@ -120,10 +120,12 @@ PRESETS = {"combined": (1.0,) * len(TERMS), **{name: tuple(float(name == t) for
 def suspicion_features(components: DataFrame, with_salience: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """The four terms, each higher where an edge is more suspicious, and the columns to ``keep``. Ranks break ties
     by (parent, child)."""
-    low = F.lit(1.0) - ordinal_rank([G], [F.col("salience"), F.col("parent"), F.col("child")]) if with_salience else F.lit(0.0)
+    ranked = ["leverage", "salience"] if with_salience else ["leverage"]
+    components = ordinal_ranks(components, [G], {f"f_{c}": [F.col(c), F.col("parent"), F.col("child")] for c in ranked})
+    low = F.lit(1.0) - F.col("f_salience") if with_salience else F.lit(0.0)
     return components.select(
         *EDGE,
-        ordinal_rank([G], [F.col("leverage"), F.col("parent"), F.col("child")]).alias("f_leverage"),
+        "f_leverage",
         (1.0 - F.col("neighborhood_agreement")).alias("f_neighborhood"),
         F.when(F.col("votes") <= 1, 1.0).otherwise(0.0).alias("f_self_agreement"),
         low.alias("f_salience"),
@@ -143,8 +145,8 @@ def suspicion(components: DataFrame, rank_by: str = "combined", weights: tuple |
 
 def top_k_suspects(scores: DataFrame, k: int) -> DataFrame:
     """All edges, most suspicious first (rank from 1; ties by parent and child); the first k are SUSPECT."""
-    rank = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("score"), "parent", "child"))
-    return scores.withColumn("rank", rank).withColumn("mark", F.when(F.col("rank") <= k, "SUSPECT").otherwise("keep"))
+    ranked = numbered(scores, [G], [F.desc("score"), F.col("parent"), F.col("child")])
+    return ranked.withColumn("mark", F.when(F.col("rank") <= k, "SUSPECT").otherwise("keep"))
 
 
 def leverage_candidates(pred: DataFrame, gt_closure: DataFrame, top_n: int = 15) -> DataFrame:
@@ -229,8 +231,8 @@ def prune_sweep(e: DataFrame, scores: DataFrame, gt: DataFrame, ks: list[int], c
     truth = written(as_edges(transitive_closure(gt)), "sweep-truth") if use_closure else gt
     oracle = label_edges(e, truth).where("is_fp = 1").join(edge_components(e).select(*EDGE, "leverage"), EDGE)
     every = scores.select(G, "ranker", "parent", "child", "score").union(oracle.select(G, F.lit("oracle"), "parent", "child", F.col("leverage").cast("double")))
-    rank = F.row_number().over(Window.partitionBy(G, "ranker").orderBy(F.desc("score"), "parent", "child"))
-    ranked = written(every.withColumn("rank", rank).select(G, "ranker", "parent", "child", "rank"), "sweep-ranked")
+    ranked = numbered(every, [G, "ranker"], [F.desc("score"), F.col("parent"), F.col("child")])
+    ranked = written(ranked.select(G, "ranker", "parent", "child", "rank"), "sweep-ranked")
     swept = _swept(e, c, ranked, ks, closure_safe).union(e.select(G, F.lit("baseline"), F.lit(0), "parent", "child"))
     runs = ranked.select(G, "ranker").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).union(e.select(G, F.lit("baseline"), F.lit(0)).distinct())
     return _score_runs(runs, swept, truth, use_closure)
@@ -262,7 +264,7 @@ def fp_mass_curve(e: DataFrame, gt: DataFrame, closure_safe: bool = True) -> Dat
     c = written(transitive_closure(e).select(G, "ancestor", "descendant"), "curve-closure")
     truth = written(as_edges(transitive_closure(gt)), "curve-truth")
     bad = label_edges(e, truth).where("is_fp = 1").join(edge_components(e).select(*EDGE, "leverage"), EDGE)
-    ranked = bad.withColumn("ranker", F.lit("oracle")).withColumn("rank", F.row_number().over(Window.partitionBy(G).orderBy(F.desc("leverage"), "parent", "child")))
+    ranked = numbered(bad, [G], [F.desc("leverage"), F.col("parent"), F.col("child")]).withColumn("ranker", F.lit("oracle"))
     ranked = written(ranked.select(G, "ranker", "parent", "child", "rank"), "curve-ranked")
     total = e.select(G).distinct().join(ranked.groupBy(G).agg(F.count("*").cast("int").alias("_n")), G, "left").na.fill(0, ["_n"])
     runs = total.select(G, F.lit("oracle").alias("ranker"), F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"), "_n")

@@ -34,13 +34,15 @@ DERIVED = {
     "flow": """select 'flow' as graph_id, event_type as parent, nxt as child, cast(count(*) as double) as weight
         from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) t
         where nxt is not null group by event_type, nxt""",
-    # Partly cyclic.
-    "ring": """select 'ring' as graph_id, concat('n', l_partkey % 97) as parent, concat('n', sum(l_orderkey * 7 + l_linenumber) % 97) as child from lineitem group by l_partkey % 97
-        union select 'ring', concat('n', l_suppkey % 31), concat('n', sum(l_orderkey + l_partkey) % 97) from lineitem group by l_suppkey % 31""",
-    # Pairs that name each other as parent, under nouns.
-    "syn": """select 'syn' as graph_id, p_name as parent, replace(p_name, 'old ', 'hot ') as child from part where p_name like 'old %'
-        union select 'syn', replace(p_name, 'old ', 'hot '), p_name from part where p_name like 'old %'
-        union select 'syn', split_part(p_name, ' ', 2), p_name from part""",
+    # Partly cyclic; a set of nodes for every thousand parts.
+    "ring": """select 'ring' as graph_id, concat('n', block, '-', a) as parent, concat('n', block, '-', b % 97) as child from (
+            select l_partkey - l_partkey % 1000 as block, l_partkey % 97 as a, sum(l_orderkey * 7 + l_linenumber) as b from lineitem group by l_partkey - l_partkey % 1000, l_partkey % 97
+            union select l_partkey - l_partkey % 1000, l_suppkey % 31, sum(l_orderkey + l_partkey) from lineitem group by l_partkey - l_partkey % 1000, l_suppkey % 31) t""",
+    # Pairs that name each other as parent, under nouns; anew for every hundred parts.
+    "block_part": "select distinct concat(p_name, ' ', p_partkey - p_partkey % 100) as name, concat(split_part(p_name, ' ', 2), ' ', p_partkey - p_partkey % 100) as noun from part",
+    "syn": """select 'syn' as graph_id, name as parent, replace(name, 'old ', 'hot ') as child from block_part where name like 'old %'
+        union select 'syn', replace(name, 'old ', 'hot '), name from block_part where name like 'old %'
+        union select 'syn', noun, name from block_part""",
     "nouns": "select split_part(p_name, ' ', 2) as noun, min(p_name) as lo, max(p_name) as hi from part group by split_part(p_name, ' ', 2)",
     "lemma_gt": """select distinct 'lemma' as graph_id, p_type as parent, concat(noun, ' (', noun, ', ', lo, ', ', hi, ')') as child
         from part join nouns on noun = split_part(p_name, ' ', 2) where substr(md5(concat(p_type, noun)), 1, 1) < '8'""",
@@ -54,10 +56,11 @@ DERIVED = {
         concat('m', n % 3) as model, cast(n as double) as runtime from result""",
     "profile": """select concat('N', n_nationkey, '_SUB') as dataset, count(*) as nodes, round(avg(c_acctbal), 3) as depth from customer join nation on c_nationkey = n_nationkey group by n_nationkey
         union all select concat('N', n_nationkey, '_FULL'), 2 * count(*), round(sum(c_acctbal) / 1000, 3) from customer join nation on c_nationkey = n_nationkey where n_name > 'C' group by n_nationkey""",
-    "ppl": """select a.n_name as child, b.n_name as parent, cast(((a.n_nationkey * 37 + b.n_nationkey * 11) % 97) / 10.0 + 0.5 as double) as ppl
-        from nation a join nation b on a.n_nationkey <> b.n_nationkey""",
-    "vocab": "select p_name as primary, p_name as node from part union select split_part(p_name, ' ', 2), split_part(p_name, ' ', 2) from part",
-    "named": "select distinct p_name as name, split_part(p_name, ' ', 2) as noun, p_brand from part",
+    "ppl": """select concat('P', l_partkey) as child, concat('S', l_suppkey) as parent, cast(min(l_quantity) / 5 as double) as ppl from lineitem group by l_partkey, l_suppkey
+        union all select concat('S', l_suppkey), concat('P', l_partkey), cast(max(l_discount) * 10 as double) from lineitem group by l_partkey, l_suppkey""",
+    "vocab": "select name as primary, name as node from named union select noun, noun from named",
+    # Every part has a name of its own; nouns are anew for every hundred parts, so replies have a bounded length.
+    "named": "select concat(p_name, ' ', p_partkey) as name, concat(split_part(p_name, ' ', 2), ' ', p_partkey - p_partkey % 100) as noun, p_brand from part",
     "lines": """select 'r' as run_id, noun as target, cast(0 as int) as chunk, concat({join:concat('- ', name, ' <= ', noun);chr(10)}, chr(10), 'x <= y <= z', chr(10), {join:concat(upper(name), ' <= ', p_brand);chr(10)}) as text
         from named group by noun""",
     "arrays": """select 'r' as run_id, noun as target, cast(0 as int) as chunk, concat('Here: [', {join:concat('["', case when name like '%d%' then name else upper(name) end, '", "', noun, '"]');', '}, case when noun like '%g%' then ', [' else '' end, ']') as text
