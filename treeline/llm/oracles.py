@@ -50,4 +50,26 @@ nx as (select rid, lo, hi, lead(lo) over (partition by rid order by lo) as nxt f
 k as (select rid, count(*) as spans, sum(hi - lo) as removed, concat(substr(any_value(h), 1, 2 * min(lo)), string_agg(substr(h, 2 * hi + 1, 2 * (coalesce(nxt, n) - hi)), '' order by lo)) as kept from nx join d using (rid) group by rid)
 select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (rid)"""
 
-ORACLE_SQL = {"op8_repeats": REPEATS, "op1_decontaminate": DECONTAMINATE, "op2_warc": WARC, "op10_quality_rules": QUALITY}
+VARIANTS = r"""
+with recursive crc(t) as (select list(c order by i) from (select i, list_reduce(range(0, 8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) as c from range(0, 256) r(i))),
+r as (select doc_id, run, count(*) as k from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) group by doc_id, run having length(run) >= 5),
+b as (select run, k, flatten(list_transform(string_split(concat(coalesce(cast(doc_id as varchar), ''), ':', run), ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end)) as b from r),
+h as (select run, k, xor(list_reduce(b, lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295) as h from b, crc),
+o as (select k, case when h % 97 = 0 then concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) else run end as word from h),
+w as (select word, cast(sum(k) as bigint) as n from o where length(word) >= 5 group by word having sum(k) >= 3),
+v as (select word, n, concat(substr(word, 1, i - 1), '_', substr(word, i + 1)) as a, concat(substr(word, 1, i - 1), substr(word, i + 1)) as d from w, unnest(range(1, length(word) + 1)) u(i)),
+p as (select a.word, b.word as near, b.n as near_n from v a join v b on a.a = b.a and a.word <> b.word union select v.word, w.word, w.n from v join w on w.word = v.d union select w.word, v.word, v.n from v join w on w.word = v.d),
+f as (select word, count(*) as n_near, min(struct_pack(n := -near_n, form := near)) as best from p group by word),
+g as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -best.n >= 2 * w.n then best.form end as form, case when -best.n >= 2 * w.n then -best.n end as form_n from w left join f on f.word = w.word),
+t as (select word, word as root, form as nxt from g union all select t.word, t.nxt, g.form from t join g on g.word = t.nxt where t.nxt is not null)
+select g.word, g.form, t.root, g.n, g.n_near, g.form_n from g join t on t.word = g.word and t.nxt is null"""
+
+NEGATIVES = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where label is not null and vec_id is not null and embedding is not null and list_count(embedding) = len(embedding) and list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v::double[], b.v::double[]) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+q as (select p.*, s.id as negative_id, s.score as negative_score, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as int) as rank from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from q where rank <= 3"""
+
+ORACLE_SQL = {"op8_repeats": REPEATS, "op1_decontaminate": DECONTAMINATE, "op2_warc": WARC, "op10_quality_rules": QUALITY, "op12_variants": VARIANTS, "op13_negatives": NEGATIVES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, language, licenses, mixing, quality, repeats, simhash, tokens, toxicity, warc
+from treeline.llm import decontaminate, interpolation, language, licenses, mixing, negatives, quality, repeats, simhash, tokens, toxicity, variants, warc
 from treeline.llm.common import table
 from treeline.llm.oracles import ORACLE_SQL  # noqa: F401  (registered with the queries)
 
@@ -51,6 +51,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -62,4 +74,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_interpolation": op11_interpolation,
+    "op12_variants": op12_variants,
+    "op13_negatives": op13_negatives,
 }
