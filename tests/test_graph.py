@@ -16,18 +16,91 @@ def rows(df, *cols):
     return {tuple(r) for r in df.select(*cols).collect()}
 
 
-CHAIN = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e")]
-
-
-def test_closure_reduction_implied_hops(spark):
-    e = edges(spark, [*CHAIN, ("a", "c"), ("a", "d"), ("b", "d")])
-    c = R.transitive_closure(edges(spark, CHAIN))
-    assert rows(c.where("ancestor = 'a'"), "descendant", "hops") == {("b", 1), ("c", 2), ("d", 3), ("e", 1)}
-    closed = R.transitive_closure(e)
-    red = R.transitive_reduction(e, closed)
-    assert rows(red, "parent", "child") == set(CHAIN)
-    assert rows(R.implied_edges(closed, red), "ancestor", "descendant") == {("a", "c"), ("a", "d"), ("b", "d")}
-    assert rows(R.transitive_closure(red), "ancestor", "descendant") == rows(closed, "ancestor", "descendant")
+def random_pairs(rng, nodes, n, acyclic=False):
+    """Distinct pairs of numbered nodes; acyclic ones go up a shuffled order."""
+    names = [f"n{i}" for i in range(nodes)]
+    rng.shuffle(names)
+    out = set()
+    while len(out) < n:
+        i, j = rng.randrange(nodes), rng.randrange(nodes)
+        if not acyclic or i < j:
+            out.add((names[i], names[j]))
+    return sorted(out)
+
+
+def distances(pairs):
+    """{(ancestor, descendant): edges of a shortest path}."""
+    below, out = {}, {}
+    for p, c in pairs:
+        below.setdefault(p, set()).add(c)
+    for start in below:
+        front, hops = {start}, 0
+        while front:
+            hops += 1
+            front = {c for p in front for c in below.get(p, ())} - {d for a, d in out if a == start}
+            out |= {(start, c): hops for c in front}
+    return out
+
+
+@pytest.mark.parametrize("acyclic", [True, False])
+def test_closure_and_reduction_equal_search(spark, acyclic):
+    rng = random.Random(acyclic)
+    graphs = {f"g{n}": random_pairs(rng, n, 3 * n // 2, acyclic) for n in (6, 15, 40)}
+    graphs["line"] = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(37)]
+    e = spark.createDataFrame([(g, *x) for g, ps in graphs.items() for x in ps], "graph_id string, parent string, child string")
+    c = R.transitive_closure(e)
+    want = {g: distances(ps) for g, ps in graphs.items()}
+    assert rows(c, "graph_id", "ancestor", "descendant", "hops") == {(g, *x, h) for g, d in want.items() for x, h in d.items()}
+    assert rows(R.is_dag(e), "graph_id", "is_dag") == {(g, all(a != b for a, b in d)) for g, d in want.items()}
+    if acyclic:
+        red = R.transitive_reduction(e, c)
+        kept = {(g, a, b) for g, ps in graphs.items() for a, b in ps if not any((a, m) in want[g] and (m, b) in want[g] for m in {x for y in ps for x in y})}
+        assert rows(red, "graph_id", "parent", "child") == kept
+        assert rows(R.implied_edges(c, red), "graph_id", "ancestor", "descendant") == {(g, *x) for g, d in want.items() for x in d} - kept
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A path and a ring of 5000 nodes, with twigs: rounds follow the logarithm of their length."""
+    n, rounds = 5000, []
+    name = lambda i: f"n{i:04d}"
+    path = [(name(i), name(i + 1)) for i in range(n)] + [(name(i), f"twig{i}") for i in range(0, n, 1000)]
+    ring = [(name(i), name((i + 1) % n)) for i in range(n)] + [("in", name(7)), (name(9), "out")]
+    e = edges(spark, path, "path").union(edges(spark, ring, "ring"))
+    real = R.written
+    monkeypatch.setattr(R, "written", lambda df, what: rounds.append(what) or real(df, what))
+    assert dict(rows(R.is_dag(e), "graph_id", "is_dag")) == {"path": True, "ring": False}
+    assert len(rounds) < 40 and rounds.count("core") < 20
+    sets = {(r.graph_id, r.node): r.scc for r in R.scc(e).collect()}
+    assert {v for (g, _), v in sets.items() if g == "ring"} == {name(0), "in", "out"} and all(k[1] == v for k, v in sets.items() if k[0] == "path")
+    rounds.clear()
+    layers = dict(rows(R.longest_path_layers(edges(spark, path)), "node", "layer"))
+    assert layers == {**{name(i): i for i in range(n + 1)}, **{f"twig{i}": i + 1 for i in range(0, n, 1000)}}
+    assert len(rounds) < 60
+
+
+@pytest.mark.parametrize("limit", [2000, 3])
+def test_bottleneck_closure_equals_thresholds(spark, limit):
+    rng = random.Random(limit)
+    data = {("a", "b|c"): 6, ("a|b", "c"): 12, ("z", "z"): 25}
+    table = [(*key, p, c, rng.randrange(5)) for key, n in data.items() for p, c in random_pairs(rng, n, 2 * n)]
+    e = spark.createDataFrame(table, "graph_id string, ranker string, parent string, child string, level long")
+    want = {}
+    for key in data:
+        for level in range(5):
+            want |= {(*key, *x): level for x in distances([(p, c) for g, r, p, c, v in table if (g, r) == key and v >= level])}
+    got = {tuple(r)[:4]: r.level for r in R.bottleneck_closure(e, ("graph_id", "ranker"), limit).collect()}
+    assert got == want
+
+
+def test_least_key_equals_closure(spark):
+    rng = random.Random(9)
+    pairs = random_pairs(rng, 60, 90)
+    closed = distances(pairs)
+    nodes = sorted({x for p in pairs for x in p})
+    key = {v: k for k, v in enumerate(rng.sample(nodes, 25))}
+    got = dict(rows(R.least_reaching(edges(spark, pairs), spark.createDataFrame([("g", v, k) for v, k in key.items()], "graph_id string, node string, key int")), "node", "least"))
+    want = {v: min((k for u, k in key.items() if u == v or (u, v) in closed), default=None) for v in nodes}
+    assert got == {v: k for v, k in want.items() if k is not None}
 
 
 def test_closure_on_cycles_and_empty(spark):
@@ -70,14 +143,20 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_layers_depths_roots(spark):
-    e = edges(spark, [*CHAIN, ("a", "d")])
-    assert dict(rows(R.longest_path_layers(e), "node", "layer")) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 1}
-    assert dict(rows(R.min_depth(e), "node", "depth"))["d"] == 1
+    pairs = random_pairs(random.Random(4), 40, 70, acyclic=True)
+    e = edges(spark, pairs)
+    layer = dict.fromkeys({x for p in pairs for x in p}, 0)
+    for _ in layer:
+        layer |= {c: max(layer[p] + 1 for p, d in pairs if d == c) for _, c in pairs}
+    assert dict(rows(R.longest_path_layers(e), "node", "layer")) == layer
+    tops, far = {p for p, _ in pairs} - {c for _, c in pairs}, distances(pairs)
+    assert dict(rows(R.min_depth(e), "node", "depth")) == {v: min(0 if v in tops else far.get((r, v), 99) for r in tops) for v in layer}
     two = edges(spark, [("a", "b"), ("c", "d")])
     rooted = R.add_virtual_root(two)
     assert rows(rooted, "parent", "child") == {("a", "b"), ("c", "d"), ("virtual_root", "a"), ("virtual_root", "c")}
     assert rows(R.drop_virtual_root(rooted), "parent", "child") == rows(two, "parent", "child")
-    assert rows(R.add_virtual_root(e), "parent", "child") == rows(e, "parent", "child")
+    single = edges(spark, [("a", "b"), ("a", "c")])
+    assert rows(R.add_virtual_root(single), "parent", "child") == rows(single, "parent", "child")
 
 
 def test_sample_is_closed_and_split_is_disjoint(spark):
@@ -105,14 +184,14 @@ def test_explode_graph(spark):
 
 
 def test_many_graphs_at_once(spark):
-    e = edges(spark, CHAIN, "one").union(edges(spark, [("a", "b")], "two"))
+    e = edges(spark, [("p", "q"), ("q", "r")], "one").union(edges(spark, [("a", "b")], "two"))
     assert R.transitive_closure(e).groupBy("graph_id").count().collect().__len__() == 2
     assert R.transitive_closure(e).where("graph_id = 'two'").count() == 1
 
 
 def test_strong_sets_and_weighted_cycles_equal_brute_force(spark):
     rng = random.Random(7)
-    graphs = {f"g{n}": sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", float(rng.randrange(5))) for _ in range(2 * n)}) for n in (3, 5, 8, 12)}
+    graphs = {f"g{i}": sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", float(rng.randrange(5))) for _ in range(2 * n)}) for i, n in enumerate([3, 5, 8, 12, 20] * 20)}
     frame = spark.createDataFrame([(g, *e) for g, es in graphs.items() for e in es], "graph_id string, parent string, child string, weight double")
     frame = frame.groupBy("graph_id", "parent", "child").agg(F.max("weight").alias("weight"))
 

@@ -1,4 +1,4 @@
-"""Ranks over groups, and the p-value of a t statistic."""
+"""Running sums, ranks and quantiles over groups of any size, and the p-value of a t statistic."""
 
 from __future__ import annotations
 
@@ -12,24 +12,39 @@ from pyspark.sql.types import DoubleType
 from treeline.tables import written
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
-    """``df`` with the number from 1 of each row in its group, in the given order (equal rows in any order), and the
-    ``size`` of the group.
+#: Rows of a group up to which one task orders it; a larger group is dealt by ranges. Results are the same.
+WINDOW_ROWS = 1_000_000
+
 
-    Rows are dealt by ranges of the group and the order and numbered within their range; the rows of the ranges before
-    come from counts, a row per range and group. So a group of any size spreads over all tasks. The ranges are written
-    before they are counted, since bounds are sampled anew each time.
+def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], wholes: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with sums over the rows of the group up to each row, in the given order, and sums over whole groups.
+
+    Where a group is too large for one task, rows are dealt by ranges of the group and the order and summed within
+    their range; what the ranges before hold comes from a row per range and group. The ranges are written before they
+    are summed, since bounds are sampled anew each time.
     """
+    wholes, group = wholes or {}, Window.partitionBy(*by)
+    upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    largest = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        return df.select("*", *[F.sum(c).over(upto(group)).alias(n) for n, c in sums.items()], *[F.sum(c).over(group).alias(n) for n, c in wholes.items()])
     placed = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    group = Window.partitionBy(*by)
-    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_in"))
-    before = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), (F.sum("_in").over(group.orderBy("_range")) - F.col("_in")).alias("_before"), F.sum("_in").over(group).alias("_size"))
-    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    counts = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())], *[F.sum(c).alias(f"_w{i}") for i, c in enumerate(wholes.values())])
+    ahead = [(F.sum(f"_s{i}").over(group.orderBy("_range")) - F.col(f"_s{i}")).alias(f"_before{i}") for i in range(len(sums))]
+    before = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), *ahead, *[F.sum(f"_w{i}").over(group).alias(f"_whole{i}") for i in range(len(wholes))])
+    within = upto(Window.partitionBy(*by, "_range"))
     same = F.col("_range") == F.col("_at")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_{i}"))
-    out = placed.withColumn("_no", within).join(before, same)
-    return out.select(*df.columns, (F.col("_before") + F.col("_no")).cast("int").alias(name), *([F.col("_size").alias(size)] if size else []))
+    out = placed.select("*", *[F.sum(c).over(within).alias(f"_own{i}") for i, c in enumerate(sums.values())]).join(before, same)
+    return out.select(*df.columns, *[(F.col(f"_before{i}") + F.col(f"_own{i}")).alias(n) for i, n in enumerate(sums)], *[F.col(f"_whole{i}").alias(n) for i, n in enumerate(wholes)])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+    """``df`` with the number from 1 of each row in its group, in the given order (equal rows in any order), and the
+    ``size`` of the group."""
+    one = F.lit(1)
+    return running_totals(df, by, order, {name: one}, {size: one} if size else None).withColumn(name, F.col(name).cast("int"))
 
 
 def ordinal_ranks(df: DataFrame, by: list[str], orders: dict[str, list[Column]]) -> DataFrame:
@@ -42,19 +57,24 @@ def ordinal_ranks(df: DataFrame, by: list[str], orders: dict[str, list[Column]])
     return df
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1; equal values share the mean of their places."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(w) + (ties - 1) / 2.0
-
-
 def value_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
-    """(by, value, name): the average rank of each distinct value, from counts. Rows are counted before anything is
-    ordered, so what a window sees of a group is its distinct values."""
+    """(by, value, name): the average rank of each distinct value. Rows are counted by value before anything is ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).alias(name))
+    counts = running_totals(counts, by, [F.col(value)], {"_upto": F.col("_n")})
+    return counts.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a column without nulls, between two values by linear interpolation; none for an empty table."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    counts = running_totals(counts, [], [F.col(value)], {"_upto": F.col("_n")}, {"_all": F.col("_n")})
+    place = [(F.col("_all") - 1) * p for p in shares]
+    at = lambda i: F.max(F.when((i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_n")), F.col(value)))
+    ends = counts.agg(F.max("_all").alias("n"), *[at(f(p)).alias(f"{k}{i}") for i, p in enumerate(place) for k, f in (("low", F.floor), ("high", F.ceil))]).first()
+    if not ends["n"]:
+        return [None] * len(shares)
+    part = [(ends["n"] - 1) * p % 1 for p in shares]
+    return [ends[f"low{i}"] + part[i] * (ends[f"high{i}"] - ends[f"low{i}"]) for i in range(len(shares))]
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import average_rank, ordinal_ranks, stars, t_test_p
+from treeline.functions.stats import ordinal_ranks, quantiles, running_totals, stars, t_test_p, value_ranks
 from treeline.functions.text import parse_label
 from treeline.operators.graph import G
 
@@ -70,7 +70,7 @@ def spearman_by_method(runs: DataFrame, metric: str, against: list[str], by: str
     """(method, metric, n, rho): Spearman correlation of the metric with each column, over three rows at least."""
     long = runs.select(by, F.col(metric).alias("_y"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in against])).alias("_v"))
     long = long.select(by, F.col("_v.name").alias("metric"), F.col("_v.x").alias("_x"), "_y").where("_x is not null and _y is not null")
-    ranked = long.withColumn("_a", average_rank([by, "metric"], "_x")).withColumn("_b", average_rank([by, "metric"], "_y"))
+    ranked = long.join(value_ranks(long, [by, "metric"], "_x", "_a"), [by, "metric", "_x"]).join(value_ranks(long, [by, "metric"], "_y", "_b"), [by, "metric", "_y"])
     return ranked.groupBy(by, "metric").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho")).where("n > 2")
 
 
@@ -152,9 +152,9 @@ def heuristic_informativeness(diag: DataFrame, feature: str, bins: int = 5, disc
     for a ratio, bins of equal width from 0 to 1, each with its upper end and the first with 0, values outside left
     out), with the overall rate and the point-biserial correlation."""
     d = diag.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("_x"), F.col("is_fp").cast("double").alias("_y"))
-    total = d.agg(F.avg("_y").alias("baseline"), F.corr("_x", "_y").alias("r"), F.percentile("_x", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_q"))
-    d = d.join(F.broadcast(total))  # one row of a few numbers
-    low = F.col("_x") if discrete else F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col("_x"))).cast("double")
+    d = d.join(F.broadcast(d.agg(F.avg("_y").alias("baseline"), F.corr("_x", "_y").alias("r"))))  # one row
+    cuts = [] if discrete or ratio else sorted({q for q in quantiles(d, "_x", [i / bins for i in range(1, bins)]) if q is not None})
+    low = F.col("_x") if discrete else sum((F.when(F.col("_x") > q, 1).otherwise(0) for q in cuts), F.lit(0)).cast("double")
     if ratio:
         d = d.where("_x between 0 and 1")
         low = F.greatest(F.ceil(F.col("_x") * bins) - 1, F.lit(0)).cast("double")
@@ -170,10 +170,10 @@ def scale_retention(runs: DataFrame, metric: str) -> DataFrame:
 
 def roc_auc(scored: DataFrame, score: str, label: str, by: str = G) -> DataFrame:
     """(by, auc): chance that a positive outranks a negative, ties counting half; null without both."""
-    # Rows are counted by score first; a window sees a group's distinct scores.
+    # Rows are counted by score first.
     both = scored.groupBy(by, score).agg(F.count_if(F.col(label) == 1).cast("double").alias("_p"), F.count_if(F.col(label) == 0).cast("double").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n") / 2
-    won = both.withColumn("_w", F.col("_p") * below).groupBy(by).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    both = running_totals(both, [by], [F.col(score)], {"_upto": F.col("_n")})
+    won = both.withColumn("_w", F.col("_p") * (F.col("_upto") - F.col("_n") / 2)).groupBy(by).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return won.select(by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0.0))).alias("auc"))
 
 
@@ -220,10 +220,9 @@ def reasoning_effort(log: DataFrame, f1: DataFrame) -> tuple[DataFrame, DataFram
     productive and of empty replies."""
     own = log.groupBy("dataset", "variant").agg(F.count("*").alias("n"), F.avg("reasoning_chars").alias("mean_chars"), F.avg(F.col("produced").cast("double")).alias("productive"), F.sum("edges").alias("edges"))
     own = own.join(f1.select("dataset", "variant", "f1"), ["dataset", "variant"], "left")
-    # Rows are counted by length first; a window sees a group's distinct lengths.
-    w = Window.partitionBy("variant", "produced")
+    # Rows are counted by length first.
     place = log.groupBy("variant", "produced", "reasoning_chars").agg(F.count("*").alias("_c"))
-    place = place.withColumn("_r", F.sum("_c").over(w.orderBy("reasoning_chars"))).withColumn("_n", F.sum("_c").over(w))
+    place = running_totals(place, ["variant", "produced"], [F.col("reasoning_chars")], {"_r": F.col("_c")}, {"_n": F.col("_c")})
     at = F.floor(F.col("_n") / 2) + 1
     mid = place.where((F.col("_r") >= at) & (F.col("_r") - F.col("_c") < at))
     pick = lambda flag, name: F.max(F.when(F.col("produced") == flag, F.col("reasoning_chars"))).alias(name)

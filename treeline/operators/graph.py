@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import numbered
+from treeline.functions.stats import numbered, running_totals
 from treeline.functions.text import lemma_of, parse_lemma
 from treeline.tables import written
 
@@ -33,23 +33,71 @@ def transitive_closure(e: DataFrame) -> DataFrame:
     """(graph_id, ancestor, descendant, hops): all pairs joined by a path of one or more edges, with the length of
     the shortest. Nodes on cycles reach themselves.
 
-    Semi-naive: each round joins the pairs that are new with the edges, so a pair is extended once; rounds are
-    as many as the longest shortest path. Each round is written, so the plan does not grow with the rounds.
+    Each round doubles the length of the paths that are known: a shortest path of h + 1 to 2h edges is one of h edges
+    and a known one. So only the pairs at distance h are extended, rounds are as many as the logarithm of the longest
+    shortest path, and each is written.
     """
     base = written(edges_of(e), "edges")
-    step = base.select(G, F.col("parent").alias("descendant"), F.col("child").alias("_to"))
     pair = [G, "ancestor", "descendant"]
-    known = base.select(G, F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("hops"))
-    new, hops = known, 1
+    known = new = base.select(G, F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("hops"))
+    h = 1
     while True:
-        hops += 1
-        found = new.join(step, [G, "descendant"]).select(G, "ancestor", F.col("_to").alias("descendant")).distinct()
-        new = written(found.join(known, pair, "left_anti").withColumn("hops", F.lit(hops)), "closure")
+        ahead = known.select(G, F.col("ancestor").alias("_via"), "descendant", (F.col("hops") + h).alias("hops"))
+        far = new.where(F.col("hops") == h).select(G, "ancestor", F.col("descendant").alias("_via"))
+        found = far.join(ahead, [G, "_via"]).groupBy(*pair).agg(F.min("hops").alias("hops"))
+        new = written(found.join(known, pair, "left_anti"), "closure")
         if new.isEmpty():
             return known
-        known = known.union(new)
-        if hops % 8 == 0:
-            known = written(known, "closure")
+        known, h = known.union(new), 2 * h
+
+
+def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int = 2000) -> DataFrame:
+    """(by, ancestor, descendant, level): for each pair joined by a path, the highest level that all edges of some path
+    reach. ``e`` is (by, parent, child, level), level an integer; a graph is what has one value of ``by``.
+
+    Graphs of up to ``max_nodes`` nodes are closed in one pass, each by adding its edges from the highest level down:
+    the pairs that an edge is the first to join have its level. In larger ones pairs that have risen are joined with
+    known pairs until none rises any more, in as many rounds as the logarithm of the longest path.
+    """
+    by = list(by)
+    e = e.groupBy(*by, "parent", "child").agg(F.max("level").cast("long").alias("level"))
+    ends = e.select(*by, F.col("parent").alias("node")).union(e.select(*by, "child")).distinct()
+    large = written(ends.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(*by), "large")
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate((group["parent"], group["child"])).astype(object), return_inverse=True)
+        n, m = len(names), len(group)
+        reach, level = np.zeros((n, n), bool), np.zeros((n, n), np.int64)
+        order = np.argsort(-group["level"].to_numpy(), kind="stable")
+        for p, c, x in zip(codes[:m][order], codes[m:][order], group["level"].to_numpy()[order], strict=True):
+            if reach[p, c]:
+                continue
+            below = reach[c].copy()
+            below[c] = True
+            above = np.append(np.flatnonzero(reach[:, p] & ~reach[:, c]), [] if reach[p, p] else p).astype(int)
+            fresh = below & ~reach[above]
+            level[above] = np.where(fresh, x, level[above])
+            reach[above] |= fresh
+        a, d = np.nonzero(reach)
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in by}, "ancestor": names[a], "descendant": names[d], "level": level[a, d]})
+
+    kinds = dict(e.dtypes)
+    kind = ", ".join([*(f"{k} {kinds[k]}" for k in by), "ancestor string, descendant string, level long"])
+    small = e.join(large, by, "left_anti").groupBy(*by).applyInPandas(close, kind)
+    if large.isEmpty():
+        return small
+    pair = [*by, "ancestor", "descendant"]
+    known = new = written(e.join(large, by, "left_semi").select(*by, F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), "level"), "bottleneck")
+    first = lambda df: df.select(*by, "ancestor", F.col("descendant").alias("_via"), F.col("level").alias("_l"))
+    last = lambda df: df.select(*by, F.col("ancestor").alias("_via"), "descendant", "level")
+    while True:
+        found = first(new).join(last(known), [*by, "_via"]).union(first(known).join(last(new), [*by, "_via"]).select(*by, "_via", "ancestor", "_l", "descendant", "level"))
+        found = found.groupBy(*pair).agg(F.max(F.least("_l", "level")).alias("level"))
+        was = known.withColumnRenamed("level", "_was")
+        new = written(found.join(was, pair, "left").where("_was is null or level > _was").select(*pair, "level"), "bottleneck-new")
+        if new.isEmpty():
+            return small.union(known)
+        known = written(known.union(new).groupBy(*pair).agg(F.max("level").alias("level")), "bottleneck")
 
 
 def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
@@ -70,7 +118,8 @@ def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
                 break
             m = grown
         a, d = np.nonzero(m)
-        return pd.DataFrame({G: group[G].iloc[0], "ancestor": names[a], "descendant": names[d]})
+        key = group[G].iloc[0]
+        return pd.DataFrame({G: [key.asDict() if hasattr(key, "asDict") else key] * len(a), "ancestor": names[a], "descendant": names[d]})
 
     kind = dict(e.dtypes)[G]
     small = e.join(large, G, "left_anti").groupBy(G).applyInPandas(close, f"{G} {kind}, ancestor string, descendant string")
@@ -91,33 +140,75 @@ def implied_edges(c: DataFrame, reduction: DataFrame) -> DataFrame:
     return c.select(G, "ancestor", "descendant").join(r, [G, "ancestor", "descendant"], "left_anti")
 
 
-def _peeled(e: DataFrame, both: bool) -> DataFrame:
-    """Edges left after nodes without incoming (``both``: or outgoing) edges are taken away again and again."""
-    left = written(edges_of(e), "peeled")
+def _chains(e: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, chains): nodes of one parent and one child vanish, and each run of them becomes one edge. chains is
+    (graph_id, node, head, tail, place, ring): the nodes before and after the run, the node's distance from head, and
+    for runs that bite their tail the smallest node of the ring. None if there are no such nodes.
+
+    Pointers double their reach each round, so rounds are as many as the logarithm of the longest run.
+    """
+    ends = e.select(G, F.col("child").alias("node"), F.col("parent").alias("_p"), F.lit(None).cast("string").alias("_c")).union(e.select(G, "parent", F.lit(None), "child"))
+    ends = ends.groupBy(G, "node").agg(F.count("_p").alias("_in"), F.count("_c").alias("_out"), F.min("_p").alias("head"), F.min("_c").alias("tail"))
+    inner = written(ends.where("_in = 1 and _out = 1 and head <> node").select(G, "node", "head", "tail"), "inner")
+    n = inner.count()
+    if not n:
+        return e, None
+    is_inner = lambda c, name: inner.select(G, F.col("node").alias(c), F.lit(True).alias(name))
+    at = inner.join(is_inner("tail", "_t"), [G, "tail"], "left").join(is_inner("head", "_h"), [G, "head"], "left")
+    at = written(at.select(G, "node", "head", "tail", F.lit(1).alias("place"), F.col("node").alias("ring"), F.col("_h").isNotNull().alias("_h"), F.col("_t").isNotNull().alias("_t")), "chains")
+    reach = 1
+    while reach < 2 * n and not at.where("_h or _t").isEmpty():
+        ahead = at.select(G, F.col("node").alias("tail"), F.col("tail").alias("_tail"), F.col("ring").alias("_ring"), F.col("_t").alias("_more"))
+        back = at.select(G, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"), F.col("_h").alias("_less"))
+        at = at.join(ahead, [G, "tail"], "left").join(back, [G, "head"], "left")
+        at = at.select(
+            G, "node", F.coalesce("_head", "head").alias("head"), F.coalesce("_tail", "tail").alias("tail"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"),
+            F.least("ring", "_ring").alias("ring"), F.coalesce("_less", F.lit(False)).alias("_h"), F.coalesce("_more", F.lit(False)).alias("_t"),
+        )
+        at, reach = written(at, "chains"), 2 * reach
+    first, second = (inner.select(G, F.col("node").alias(end)) for end in ("parent", "child"))
+    outer = e.join(first, [G, "parent"], "left_anti")
+    through = outer.join(at.select(G, F.col("node").alias("child"), "tail"), [G, "child"]).select(G, "parent", F.col("tail").alias("child"))
+    rest = outer.join(second, [G, "child"], "left_anti").select(G, "parent", "child").union(through).distinct()
+    return rest, at.select(G, "node", "head", "tail", "place", F.when(F.col("_t"), F.col("ring")).alias("ring"))
+
+
+def _core(e: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, chains): what is left when nodes without incoming or outgoing edges are taken away and chains become
+    single edges, again and again. A graph is cyclic exactly if an edge or a ring is left."""
+    left, chains = written(edges_of(e), "core"), []
     n = left.count()
     while n:
-        left_now = left.join(left.select(G, F.col("child").alias("parent")).distinct(), [G, "parent"], "left_semi")
-        if both:
-            left_now = left_now.join(left.select(G, F.col("parent").alias("child")).distinct(), [G, "child"], "left_semi")
-        left = written(left_now.select(G, "parent", "child"), "peeled")
+        now = left.join(left.select(G, F.col("child").alias("parent")).distinct(), [G, "parent"], "left_semi")
+        now = now.join(left.select(G, F.col("parent").alias("child")).distinct(), [G, "child"], "left_semi")
+        left = written(now.select(G, "parent", "child"), "core")
         m = left.count()
+        if 0 < 2 * m > n:
+            left, found = _chains(left)
+            if found is not None:
+                left = written(left, "core")
+                m = left.count()
+                chains.append(found)
         if m == n:
             break
         n = m
-    return left
+    return left, chains
 
 
 def is_dag(e: DataFrame) -> DataFrame:
-    """(graph_id, is_dag): graphs of which no edge is left once sources are peeled off."""
-    cyclic = _peeled(e, both=False).select(G).distinct().withColumn("_cyclic", F.lit(True))
-    return e.select(G).distinct().join(cyclic, G, "left").select(G, F.col("_cyclic").isNull().alias("is_dag"))
+    """(graph_id, is_dag): graphs of which no edge is left once sources, sinks and chains are taken away."""
+    core, chains = _core(e)
+    cyclic = core.select(G)
+    for c in chains:
+        cyclic = cyclic.union(c.where("ring is not null").select(G))
+    return e.select(G).distinct().join(cyclic.distinct().withColumn("_cyclic", F.lit(True)), G, "left").select(G, F.col("_cyclic").isNull().alias("is_dag"))
 
 
 def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. What lies on no cycle is
-    peeled off first. Cyclic cores of up to ``max_nodes`` nodes are closed, all in one pass; larger ones are coloured,
-    so no table of all their pairs is made."""
-    core = written(_peeled(e, both=True), "core")
+    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. What lies on no cycle is taken off
+    first, and chains are shortened. Cyclic cores of up to ``max_nodes`` nodes are closed, all in one pass; larger
+    ones are coloured, so no table of all their pairs is made."""
+    core, chains = _core(e)
     large = nodes_of(core).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G)
     large = written(large, "large")
     c = written(small_closures(core.join(large, G, "left_anti"), max_nodes), "scc")
@@ -126,37 +217,60 @@ def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
     label = mutual.groupBy(G, F.col("ancestor").alias("node")).agg(F.min("descendant").alias("scc"))
     if not large.isEmpty():
         label = label.union(_coloured(core.join(large, G, "left_semi")))
+    for chain in reversed(chains):  # a run is part of a set if both its ends are
+        label = written(label, "labels")
+        ends = [label.select(G, F.col("node").alias(end), F.col("scc").alias(f"_{end}")) for end in ("head", "tail")]
+        own = chain.join(ends[0], [G, "head"], "left").join(ends[1], [G, "tail"], "left")
+        inside = F.coalesce("_head", "head") == F.coalesce("_tail", "tail")
+        own = own.select(G, "node", F.when(F.col("ring").isNotNull(), F.col("ring")).when(inside, F.col("_head")).alias("scc"))
+        label = label.union(own.where("scc is not null"))
+    named = label.groupBy(G, "scc").agg(F.min("node").alias("_least"))
+    label = label.join(named, [G, "scc"]).select(G, "node", F.col("_least").alias("scc"))
     return nodes_of(e).join(label, [G, "node"], "left").select(G, "node", F.coalesce("scc", "node").alias("scc"))
 
 
+def least_reaching(e: DataFrame, keys: DataFrame) -> DataFrame:
+    """(graph_id, node, least): the smallest key among the nodes that reach a node, itself included. ``keys`` is
+    (graph_id, node, key), each key of one node of its graph; nodes that no key reaches are left out.
+
+    Only keys that have just fallen are passed on, along edges; and a node also takes the key of the node whose key it
+    has, which reaches it as well. So each round moves as many rows as keys have fallen, and far less than a closure.
+    """
+    base = written(edges_of(e), "reach-edges")
+    state = nodes_of(base).union(keys.select(G, "node")).distinct().join(keys.select(G, "node", "key"), [G, "node"], "left")
+    state = written(state.select(G, "node", "key", F.col("key").alias("least"), F.col("key").isNotNull().alias("_fell")), "least")
+    while not state.where("_fell").isEmpty():
+        passed = state.where("_fell").select(G, F.col("node").alias("parent"), "least").join(base, [G, "parent"]).select(G, F.col("child").alias("node"), "least")
+        owner = state.where("least < key").select(G, F.col("key").alias("least"), F.col("least").alias("_l"))
+        jumped = state.where("least is not null").select(G, "node", "least").join(owner, [G, "least"]).select(G, "node", F.col("_l").alias("least"))
+        told = passed.union(jumped).groupBy(G, "node").agg(F.min("least").alias("_told"))
+        fell = F.col("_told").isNotNull() & (F.col("least").isNull() | (F.col("_told") < F.col("least")))
+        state = state.join(told, [G, "node"], "left").select(G, "node", "key", F.least("least", "_told").alias("least"), fell.alias("_fell"))
+        state = written(state, "least")
+    return state.where("least is not null").select(G, "node", "least")
+
+
 def _coloured(e: DataFrame) -> DataFrame:
     """(graph_id, node, scc) by colouring: every node takes the smallest name that reaches it. The nodes of one colour
     that reach the node of that name are its strongly connected set; they go, and the rest is coloured anew. Tables
-    are as large as the edges; rounds follow the length of shortest paths."""
+    are as large as the edges."""
     left = written(edges_of(e), "colour-edges")
-    done = None
+    done = []
     while not left.isEmpty():
-        colour = written(nodes_of(left).withColumn("colour", F.col("node")), "colour")
-        while True:
-            seen = left.join(colour.withColumnRenamed("node", "parent"), [G, "parent"]).groupBy(G, F.col("child").alias("node")).agg(F.min("colour").alias("_c"))
-            new = colour.join(seen, [G, "node"], "left").select(G, "node", F.least("colour", "_c").alias("colour"), (F.col("_c") < F.col("colour")).alias("_new"))
-            new = written(new, "colour")
-            colour = new.select(G, "node", "colour")
-            if new.where("_new").isEmpty():
-                break
-        p, c = (colour.select(G, F.col("node").alias(x), F.col("colour").alias(f"_{x}")) for x in ("parent", "child"))
-        inside = written(left.join(p, [G, "parent"]).join(c, [G, "child"]).where("_parent = _child").select(G, "parent", "child"), "colour-inside")
-        found = new_ones = written(colour.where("node = colour"), "colour-found")
-        while not new_ones.isEmpty():
-            up = new_ones.select(G, F.col("node").alias("child"), "colour").join(inside, [G, "child"]).select(G, F.col("parent").alias("node"), "colour").distinct()
-            new_ones = written(up.join(found.select(G, "node"), [G, "node"], "left_anti"), "colour-found")
-            found = found.union(new_ones)
-        found = written(found.select(G, "node", F.col("colour").alias("scc")), "colour-sets")
-        done = found if done is None else done.union(found)
+        colour = least_reaching(left, nodes_of(left).withColumn("key", F.col("node")))
+        p, c = (colour.select(G, F.col("node").alias(x), F.col("least").alias(f"_{x}")) for x in ("parent", "child"))
+        inside = left.join(p, [G, "parent"]).join(c, [G, "child"]).where("_parent = _child").select(G, F.col("child").alias("parent"), F.col("parent").alias("child"))
+        # Seen backwards, the smallest name of a colour reaches exactly the nodes that reach it.
+        back = least_reaching(inside, nodes_of(left).withColumn("key", F.col("node"))).select(G, "node", F.col("least").alias("_back"))
+        found = written(colour.join(back, [G, "node"]).where("least = _back").select(G, "node", F.col("least").alias("scc")), "colour-sets")
+        done.append(found)
         for end in ("parent", "child"):
             left = left.join(found.select(G, F.col("node").alias(end)), [G, end], "left_anti")
-        left = written(_peeled(left.select(G, "parent", "child"), both=True), "colour-edges")
-    return done
+        left = written(left.select(G, "parent", "child"), "colour-edges")
+    out = done[0]
+    for found in done[1:]:
+        out = out.union(found)
+    return out
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -231,7 +345,7 @@ def break_cycles(e: DataFrame, mode: str = "order") -> DataFrame:
 
     ``order``: inside a set only edges that go up in (distance from the nearest root, name) stay: one pass, and
     acyclic because the order is strict. ``weight``: the heaviest edge (ties: smallest parent, then child) of
-    each set that is left goes, until none is left; ``e`` has a column weight.
+    each set that is left goes, until none is left; ``e`` has a column weight. Loops go in either mode.
     """
     if mode == "order":
         key = min_depth(e)
@@ -242,16 +356,47 @@ def break_cycles(e: DataFrame, mode: str = "order") -> DataFrame:
         return out.where("_sparent <> _schild or _kparent < _kchild").select(G, "parent", "child")
     if mode != "weight":
         raise ValueError("mode must be 'order' or 'weight'")
-    left = written(e.select(G, "parent", "child", "weight").where("parent <> child"), "acyclic")
+    return _lighten(e)
+
+
+def _lighten(e: DataFrame) -> DataFrame:
+    """The ``weight`` mode of ``break_cycles``. Edges are numbered in the order in which they would go. An edge goes
+    exactly if it closes a cycle with edges of higher numbers: lower ones have gone, or lie on no cycle.
+
+    So each edge has a number from which on its ends are in one strongly connected set, and these are found by halving,
+    all blocks at once: a block (lo, hi) holds the edges for which it is in that range. The sets of its edges from the
+    middle on tell to which half each edge belongs, and become single nodes in the lower half. As many passes as the
+    logarithm of the edges, each over every edge once at most.
+    """
+    e = written(e.where("parent <> child").select(G, "parent", "child", "weight"), "lighten")
+    ranked = written(numbered(e, [G], [F.desc("weight"), F.col("parent"), F.col("child")], "no", "hi"), "lighten-no")
+    left = ranked.select(G, F.col("parent").alias("p"), F.col("child").alias("c"), "no", F.lit(0).alias("lo"), F.col("hi").cast("int").alias("hi"))
+    gone = []
     while True:
-        sets = scc(left)
-        p, c = (sets.select(G, F.col("node").alias(x), F.col("scc").alias(f"_{x}")) for x in ("parent", "child"))
-        inside = left.join(p, [G, "parent"]).join(c, [G, "child"]).where("_parent = _child")
-        first = Window.partitionBy(G, "_parent").orderBy(F.desc("weight"), "parent", "child")
-        worst = written(inside.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(G, "parent", "child"), "worst")
-        if worst.isEmpty():
-            return left
-        left = written(left.join(worst, [G, "parent", "child"], "left_anti"), "acyclic")
+        left = written(left, "lighten-blocks")
+        if left.isEmpty():
+            break
+        mid = F.expr("(lo + hi + 1) div 2").cast("int")
+        block = F.struct(G, "lo")
+        # The same edges can have several numbers once nodes have become one.
+        upper = left.where(F.col("no") >= mid).select(block.alias(G), F.col("p").alias("parent"), F.col("c").alias("child")).where("parent <> child")
+        sets = written(scc(upper.distinct()).where("node <> scc").select(F.col(f"{G}.{G}").alias(G), F.col(f"{G}.lo").alias("lo"), "node", "scc"), "lighten-sets")
+        to = lambda x: sets.select(G, "lo", F.col("node").alias(x), F.col("scc").alias(f"_{x}"))
+        now = left.join(to("p"), [G, "lo", "p"], "left").join(to("c"), [G, "lo", "c"], "left").withColumns({"_p": F.coalesce("_p", "p"), "_c": F.coalesce("_c", "c"), "_mid": mid})
+        one = F.col("_p") == F.col("_c")
+        now = now.select(
+            G, F.when(one, F.col("p")).otherwise(F.col("_p")).alias("p"), F.when(one, F.col("c")).otherwise(F.col("_c")).alias("c"), "no",
+            F.when(one, F.col("_mid")).otherwise(F.col("lo")).alias("lo"), F.when(one, F.col("hi")).otherwise(F.col("_mid") - 1).alias("hi"),
+        )
+        now = written(now, "lighten-halves")
+        # From ``lo`` on the ends are in one set: an edge of no higher number goes. Blocks without open edges are done.
+        gone.append(now.where("no <= lo").select(G, "no"))
+        still = now.where("no > lo and no <= hi").select(G, "lo").distinct()
+        left = now.where("no > lo").join(still, [G, "lo"], "left_semi")
+    out = ranked
+    for g in gone:
+        out = out.join(g, [G, "no"], "left_anti")
+    return out.select(G, "parent", "child", "weight")
 
 
 def add_virtual_root(e: DataFrame) -> DataFrame:
@@ -275,22 +420,26 @@ def node_degrees(e: DataFrame) -> DataFrame:
 
 def longest_path_layers(e: DataFrame) -> DataFrame:
     """(graph_id, node, layer): length of the longest path from a root; in cyclic graphs the number of a node's
-    ancestors instead."""
+    ancestors instead. Chains count as one edge of their length, so rounds follow the branchings on a path; only layers
+    that have just grown are passed on."""
     base = written(edges_of(e).join(is_dag(e), G), "layers")
     dag = base.where("is_dag").drop("is_dag")
-    front = written(roots_of(dag).withColumn("layer", F.lit(0)), "layers")
-    levels, n = [front], 0
-    while True:
-        n += 1
-        nxt = front.select(G, F.col("node").alias("parent")).join(dag, [G, "parent"]).select(G, F.col("child").alias("node")).distinct()
-        front = written(nxt.withColumn("layer", F.lit(n)), "layers")
-        if front.isEmpty():
-            break
-        levels.append(front)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    out = out.groupBy(G, "node").agg(F.max("layer").alias("layer"))
+    rest, chain = _chains(dag)
+    rest = rest.withColumn("_w", F.lit(1))
+    if chain is not None:
+        chain = written(chain, "layer-chains")
+        long = chain.groupBy(G, F.col("head").alias("parent"), F.col("tail").alias("child")).agg((F.max("place") + 1).cast("int").alias("_l"))
+        rest = rest.join(long, [G, "parent", "child"], "left").select(G, "parent", "child", F.greatest("_w", "_l").alias("_w"))
+    rest = written(rest, "layer-edges")
+    state = written(nodes_of(rest).join(roots_of(rest).withColumn("layer", F.lit(0)), [G, "node"], "left").withColumn("_grew", F.col("layer").isNotNull()), "layers")
+    while not state.where("_grew").isEmpty():
+        told = state.where("_grew").select(G, F.col("node").alias("parent"), "layer").join(rest, [G, "parent"]).groupBy(G, F.col("child").alias("node")).agg(F.max(F.col("layer") + F.col("_w")).alias("_told"))
+        grew = F.col("_told").isNotNull() & (F.col("layer").isNull() | (F.col("_told") > F.col("layer")))
+        state = written(state.join(told, [G, "node"], "left").select(G, "node", F.greatest("layer", "_told").alias("layer"), grew.alias("_grew")), "layers")
+    out = state.select(G, "node", "layer")
+    if chain is not None:
+        heads = out.select(G, F.col("node").alias("head"), "layer")
+        out = out.union(chain.join(heads, [G, "head"]).select(G, "node", (F.col("layer") + F.col("place")).cast("int").alias("layer")))
     cyclic = base.where("not is_dag").drop("is_dag")
     if cyclic.isEmpty():
         return out
@@ -328,12 +477,10 @@ def closed_sample(e: DataFrame, target_nodes: int = 100, seed: int = 42) -> Data
     running count finds where to stop."""
     nodes = numbered(nodes_of(edges_of(e)), [G], [hash_order(seed, "node"), F.col("node")], "_rank")
     nodes = written(nodes, "ranked")
-    pairs = transitive_closure(e).select(G, F.col("ancestor").alias("_a"), F.col("descendant").alias("node"))
-    pairs = pairs.union(nodes.select(G, F.col("node").alias("_a"), "node"))
-    first = pairs.join(nodes, [G, "node"]).groupBy(G, F.col("_a").alias("node")).agg(F.min("_rank").alias("_first"))
-    first = written(first, "first")
+    up = edges_of(e).select(G, F.col("child").alias("parent"), F.col("parent").alias("child"))
+    first = written(least_reaching(up, nodes.withColumnRenamed("_rank", "key")).withColumnRenamed("least", "_first"), "first")
     joined = first.groupBy(G, "_first").agg(F.count("*").alias("_n"))
-    running = joined.withColumn("_total", F.sum("_n").over(Window.partitionBy(G).orderBy("_first")))
+    running = running_totals(joined, [G], [F.col("_first")], {"_total": F.col("_n")})
     stop = running.groupBy(G).agg(F.coalesce(F.min(F.when(F.col("_total") >= target_nodes, F.col("_first"))), F.max("_first")).alias("_stop"))
     return induced_subgraph(e, first.join(stop, G).where("_first <= _stop").select(G, "node"))
 
@@ -348,10 +495,11 @@ def branch_split(e: DataFrame, ratio: float = 0.2, seed: int = 42) -> tuple[Data
     branch = tops.select(G, F.col("node").alias("parent")).join(e, [G, "parent"]).select(G, F.col("parent").alias("_root"), F.col("child").alias("_start"))
     branch = numbered(branch, [G], [hash_order(seed, "_root", "_start"), F.col("_root"), F.col("_start")], "_no", "_n")
     branch = written(branch.withColumn("_train", F.col("_no") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_no", "_n"), "branches")
-    below = transitive_closure(e).select(G, F.col("ancestor").alias("_start"), F.col("descendant").alias("node"))
-    member = branch.join(below, [G, "_start"]).select(G, "node", "_train")
-    member = member.union(branch.select(G, F.col("_start").alias("node"), "_train")).union(branch.select(G, F.col("_root").alias("node"), "_train"))
-    member = written(member.groupBy(G, "node").agg(F.min("_train").alias("_train")), "members")
+    # Keys of branches that test are smaller, so a node's least key tells whether any of its branches tests.
+    starts = branch.groupBy(G, F.col("_start").alias("node")).agg(F.min("_train").alias("_t")).select(G, "node", F.concat(F.col("_t").cast("int").cast("string"), "node").alias("key"))
+    member = least_reaching(e, starts).select(G, "node", F.substring("least", 1, 1).alias("_train"))
+    member = member.union(branch.select(G, F.col("_root").alias("node"), F.col("_train").cast("int").cast("string")))
+    member = written(member.groupBy(G, "node").agg((F.min("_train") == "1").alias("_train")), "members")
     return induced_subgraph(e, member.where("not _train")), induced_subgraph(e, member.where("_train"))
 
 

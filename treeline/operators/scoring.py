@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.functions.stats import numbered, ordinal_ranks, value_ranks
+from treeline.functions.stats import numbered, ordinal_ranks, running_totals, value_ranks
 from treeline.functions.text import parse_lemma, size_bucket
-from treeline.operators.graph import G, break_cycles, edges_of, explode_graph, hash_order, implied_edges, longest_path_layers, min_depth, node_degrees, nodes_of, small_closures, transitive_closure, transitive_reduction, weak_components
+from treeline.operators.graph import G, bottleneck_closure, break_cycles, edges_of, explode_graph, hash_order, implied_edges, longest_path_layers, min_depth, node_degrees, nodes_of, transitive_closure, transitive_reduction, weak_components
 from treeline.tables import written
 
 EDGE = [G, "parent", "child"]
@@ -63,15 +63,21 @@ def evaluate_modes(pred: DataFrame, gt: DataFrame) -> DataFrame:
     cyclic, the reduction mode scores 0."""
     pred, gt = written(edges_of(pred), "pred"), written(edges_of(gt), "gt")
     graphs = written(pred.select(G).union(gt.select(G)).distinct(), "graphs")
-    pc, gc = written(transitive_closure(pred), "pred-closure"), written(transitive_closure(gt), "gt-closure")
+    # One closure for all: a graph there is a graph here with the side it stands for.
+    sides = {"pred": pred, "gt": gt, "pred-forms": written(explode_graph(pred), "pred-forms"), "gt-forms": written(explode_graph(gt), "gt-forms")}
+    every = None
+    for side, e in sides.items():
+        part = e.select(F.struct(F.col(G), F.lit(side).alias("side")).alias(G), "parent", "child")
+        every = part if every is None else every.union(part)
+    closed = written(transitive_closure(every).select(F.col(f"{G}.side").alias("side"), F.col(f"{G}.{G}").alias(G), "ancestor", "descendant"), "closures")
+    pc, gc, xpc, xgc = (closed.where(F.col("side") == side).drop("side") for side in sides)
     cyclic = pc.union(gc).where("ancestor = descendant").select(G).distinct()
     red = lambda e, c: transitive_reduction(e, c).join(cyclic, G, "left_anti")
-    xp, xg = written(explode_graph(pred), "pred-forms"), written(explode_graph(gt), "gt-forms")
     modes = {
         "Cond_Red": prf(red(pred, pc), red(gt, gc), graphs=graphs),
         "Cond_Clos": prf(as_edges(pc), as_edges(gc), graphs=graphs),
-        "Exp_Raw": prf(xp, xg, "exact", graphs),
-        "Exp_Clos": prf(as_edges(transitive_closure(xp)), as_edges(transitive_closure(xg)), "exact", graphs),
+        "Exp_Raw": prf(sides["pred-forms"], sides["gt-forms"], "exact", graphs),
+        "Exp_Clos": prf(as_edges(xpc), as_edges(xgc), "exact", graphs),
     }
     out = None
     for mode, scores in modes.items():
@@ -80,11 +86,13 @@ def evaluate_modes(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return out
 
 
-def edge_components(e: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+def edge_components(e: DataFrame, votes: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
     """(graph_id, parent, child, leverage, neighborhood_agreement, votes, salience). ``votes`` is (graph_id,
-    parent, child, votes, salience); an edge it lacks has one vote and no salience."""
+    parent, child, votes, salience); an edge it lacks has one vote and no salience. ``closure``: that of ``e``, if there
+    is one already."""
     e = written(edges_of(e), "edges")
-    c = written(transitive_closure(e).select(G, "ancestor", "descendant"), "closure")
+    c = written(transitive_closure(e), "closure") if closure is None else closure
+    c = c.select(G, "ancestor", "descendant")
     above = c.groupBy(G, F.col("descendant").alias("parent")).agg(F.count("*").alias("_up"))
     below = c.groupBy(G, F.col("ancestor").alias("child")).agg(F.count("*").alias("_down"))
     reach = e.join(c.select(G, F.col("ancestor").alias("child"), F.col("descendant").alias("_d")), [G, "child"])
@@ -133,14 +141,22 @@ def suspicion_features(components: DataFrame, with_salience: bool = True, keep:
     )
 
 
+def _weighted(w: tuple) -> Column:
+    return sum((F.col(f"f_{t}") * x for t, x in zip(TERMS[1:], w[1:], strict=True)), F.col(f"f_{TERMS[0]}") * w[0])
+
+
 def suspicion(components: DataFrame, rank_by: str = "combined", weights: tuple | None = None, with_salience: bool = True) -> DataFrame:
     """(graph_id, parent, child, score): the weighted sum of the terms, or one of them alone."""
     if rank_by not in PRESETS:
         raise ValueError(f"no ranker {rank_by!r}: there are {', '.join(PRESETS)}")
     w = weights if weights and rank_by == "combined" else PRESETS[rank_by]
-    names = [f"f_{t}" for t in TERMS]
-    score = sum((F.col(n) * x for n, x in zip(names[1:], w[1:], strict=True)), F.col(names[0]) * w[0])
-    return suspicion_features(components, with_salience).select(*EDGE, score.alias("score"))
+    return suspicion_features(components, with_salience).select(*EDGE, _weighted(w).alias("score"))
+
+
+def ranker_scores(components: DataFrame) -> DataFrame:
+    """(graph_id, ranker, parent, child, score) of all rankers, from one table of the terms."""
+    each = F.array(*[F.struct(F.lit(name).alias("ranker"), _weighted(w).alias("score")) for name, w in PRESETS.items()])
+    return suspicion_features(components).select(*EDGE, F.explode(each).alias("_s")).select(G, "_s.ranker", "parent", "child", "_s.score")
 
 
 def top_k_suspects(scores: DataFrame, k: int) -> DataFrame:
@@ -180,10 +196,6 @@ def remove_edges(e: DataFrame, targets: DataFrame, closure_safe: bool = True, cl
     return e.join(gone.distinct(), EDGE, "left_anti").select(*EDGE)
 
 
-def _keyed(*columns: str) -> Column:
-    return F.concat_ws("|", *columns)
-
-
 def apply_verdicts(e: DataFrame, ranked: DataFrame, verdicts: DataFrame, ks: list[int]) -> DataFrame:
     """For each k, the graph without those of its k most suspicious edges whose verdict is to sever:
     (graph_id, k, parent, child). ``verdicts`` is (graph_id, parent, child, sever)."""
@@ -207,75 +219,92 @@ def rebuild_from_rewrite(e: DataFrame, rewrite: DataFrame, eligible: DataFrame |
     return same.select(*EDGE).union(e.join(has, G, "left_semi").join(lost, EDGE, "left_anti").select(*EDGE))
 
 
-def _swept(e: DataFrame, closure: DataFrame, ranked: DataFrame, ks: list[int], closure_safe: bool) -> DataFrame:
-    """(key, parent, child): the graphs of every ranker and k. ``ranked`` is (graph_id, ranker, parent, child,
-    rank). What a target takes with it does not depend on k, so it is found once per edge."""
+#: The level of edges that no k removes.
+NEVER = (1 << 31) - 1
+
+
+def _levels(e: DataFrame, closure: DataFrame, ranked: DataFrame, closure_safe: bool) -> DataFrame:
+    """(graph_id, ranker, parent, child, level): the number of edges at which each edge goes; ``ranked`` is (graph_id,
+    ranker, parent, child, rank). What a target takes with it depends neither on k nor on the ranker, so it is found
+    once per edge."""
     hit = ranked.select(*EDGE).distinct()
     cost = doomed_edges(e, closure, hit) if closure_safe else hit.select(G, F.col("parent").alias("a"), F.col("child").alias("c"), "parent", "child")
     r = ranked.select(G, "ranker", F.col("parent").alias("a"), F.col("child").alias("c"), "rank")
-    first = r.join(cost, [G, "a", "c"]).groupBy(G, "ranker", "parent", "child").agg(F.min("rank").alias("_gone"))
-    runs = ranked.select(G, "ranker").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    every = runs.join(edges_of(e), G).join(first, [G, "ranker", "parent", "child"], "left").where("_gone is null or _gone > k")
-    return every.select(G, "ranker", "k", "parent", "child")
+    first = r.join(cost, [G, "a", "c"]).groupBy(G, "ranker", "parent", "child").agg(F.min("rank").alias("level"))
+    every = ranked.select(G, "ranker").distinct().join(edges_of(e), G)
+    return every.join(first, [G, "ranker", "parent", "child"], "left").select(G, "ranker", "parent", "child", F.coalesce("level", F.lit(NEVER)).cast("long").alias("level"))
+
+
+def _links(own: DataFrame, truth: DataFrame) -> DataFrame:
+    """(graph_id, parent, child, _gp, _gc): pairs of ``own`` and the truth's pairs with a form in common at both ends."""
+    forms = term_pairs(truth, keep=True).withColumnRenamed("parent", "_gp").withColumnRenamed("child", "_gc")
+    return term_pairs(own, keep=True).join(forms, [G, "term_u", "term_v"]).select(*EDGE, "_gp", "_gc").distinct()
+
+
+def _score_runs(runs: DataFrame, levels: DataFrame, links: DataFrame, truth: DataFrame, use_closure: bool) -> DataFrame:
+    """(graph_id, ranker, k, tp, n_pred, covered, n_gt, precision, recall, f1) of the ``runs`` (graph_id, ranker, k).
+
+    A pair is there at k as long as some path of edges that go later than at k joins it. So one closure per ranker, with
+    the best such path's level for each pair, holds the closures of all k; pairs are counted by level, and sums over
+    the levels above k are what a run has.
+    """
+    by = [G, "ranker"]
+    pairs = levels.select(*by, "parent", "child", "level")
+    if use_closure:
+        pairs = bottleneck_closure(pairs, by).select(*by, F.col("ancestor").alias("parent"), F.col("descendant").alias("child"), "level")
+    pairs = written(pairs, "levels")
+    good = links.select(*EDGE).distinct().withColumn("_ok", F.lit(1))
+    own = pairs.join(good, EDGE, "left").groupBy(*by, "level").agg(F.count("_ok").alias("tp"), F.count("*").alias("n_pred"))
+    met = pairs.join(links, EDGE).groupBy(*by, "_gp", "_gc").agg(F.max("level").alias("level")).groupBy(*by, "level").agg(F.count("*").alias("covered"))
+    none, zero = F.lit(None).cast("int").alias("k"), F.lit(0).cast("long")
+    rows = own.select(*by, none, "level", "tp", "n_pred", zero.alias("covered"))
+    rows = rows.union(met.select(*by, none, "level", zero, zero, "covered")).union(runs.select(*by, F.col("k").cast("int"), F.col("k").cast("long"), zero, zero, zero))
+    # A run comes after the levels above its k, and before its own.
+    order = [F.desc("level"), F.col("k").asc_nulls_last()]
+    upto = running_totals(written(rows, "run-levels"), by, order, {f"_{c}": F.col(c) for c in ("tp", "n_pred", "covered")}).where("k is not null")
+    size = truth.distinct().groupBy(G).agg(F.count("*").alias("n_gt"))
+    out = upto.select(*by, "k", *[F.col(f"_{c}").alias(c) for c in ("tp", "n_pred", "covered")]).join(size, G, "left").na.fill(0, ["n_gt"])
+    return ratios(out)
 
 
 def prune_sweep(e: DataFrame, scores: DataFrame, gt: DataFrame, ks: list[int], closure_safe: bool = True, use_closure: bool = True) -> DataFrame:
     """(graph_id, ranker, k, tp, n_pred, covered, n_gt, precision, recall, f1) of pruning by each ranker, by the
     oracle (true false positives by leverage) and not at all (baseline).
 
-    ``scores`` is (graph_id, ranker, parent, child, score). All graphs of the sweep are closed and scored in one
-    job, keyed by graph, ranker and k.
+    ``scores`` is (graph_id, ranker, parent, child, score). All graphs and rankers of the sweep are closed in one job,
+    each once for all ``ks``.
     """
     e, gt = written(edges_of(e), "sweep"), written(edges_of(gt), "sweep-gt")
     c = written(transitive_closure(e).select(G, "ancestor", "descendant"), "sweep-closure")
     truth = written(as_edges(transitive_closure(gt)), "sweep-truth") if use_closure else gt
-    oracle = label_edges(e, truth).where("is_fp = 1").join(edge_components(e).select(*EDGE, "leverage"), EDGE)
+    links = written(_links(as_edges(c) if use_closure else e, truth), "sweep-links")
+    wrong = e.join(_links(e, truth) if use_closure else links, EDGE, "left_anti")
+    oracle = wrong.join(edge_components(e, closure=c).select(*EDGE, "leverage"), EDGE)
     every = scores.select(G, "ranker", "parent", "child", "score").union(oracle.select(G, F.lit("oracle"), "parent", "child", F.col("leverage").cast("double")))
-    ranked = numbered(every, [G, "ranker"], [F.desc("score"), F.col("parent"), F.col("child")])
+    ranked = numbered(written(every, "sweep-scores"), [G, "ranker"], [F.desc("score"), F.col("parent"), F.col("child")])
     ranked = written(ranked.select(G, "ranker", "parent", "child", "rank"), "sweep-ranked")
-    swept = _swept(e, c, ranked, ks, closure_safe).union(e.select(G, F.lit("baseline"), F.lit(0), "parent", "child"))
+    levels = _levels(e, c, ranked, closure_safe).union(e.select(G, F.lit("baseline"), "parent", "child", F.lit(NEVER).cast("long")))
     runs = ranked.select(G, "ranker").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).union(e.select(G, F.lit("baseline"), F.lit(0)).distinct())
-    return _score_runs(runs, swept, truth, use_closure)
-
-
-def _score_runs(runs: DataFrame, swept: DataFrame, truth: DataFrame, use_closure: bool) -> DataFrame:
-    names = written(runs.select(_keyed(G, "ranker", "k").alias("_key"), G, "ranker", "k").distinct(), "runs")
-    own = written(swept.select(_keyed(G, "ranker", "k").alias(G), "parent", "child"), "swept")
-    if use_closure:
-        own = written(as_edges(small_closures(own)), "swept-closure")
-    # One truth per dataset, not per run: match forms once per distinct edge and count per run.
-    base = own.join(names.select(F.col("_key").alias(G), F.col(G).alias("_ds")), G)
-    pairs = written(term_pairs(base.select(F.col("_ds").alias(G), "parent", "child").distinct(), keep=True), "pairs")
-    forms = written(term_pairs(truth, keep=True), "truth-pairs")
-    link = pairs.join(forms.withColumnRenamed("parent", "_gp").withColumnRenamed("child", "_gc"), [G, "term_u", "term_v"]).select(F.col(G).alias("_ds"), "parent", "child", "_gp", "_gc").distinct()
-    link = written(link, "links")
-    good = link.select("_ds", "parent", "child").distinct().withColumn("_ok", F.lit(1))
-    counts = base.join(good, ["_ds", "parent", "child"], "left").groupBy(F.col(G).alias("_key")).agg(F.count("_ok").alias("tp"), F.count("*").alias("n_pred"))
-    covered = base.join(link, ["_ds", "parent", "child"]).select(F.col(G).alias("_key"), "_gp", "_gc").distinct().groupBy("_key").agg(F.count("*").alias("covered"))
-    size = truth.distinct().groupBy(G).agg(F.count("*").alias("n_gt"))
-    out = names.join(counts, "_key", "left").join(covered, "_key", "left").join(size, G, "left").na.fill(0, ["tp", "n_pred", "covered", "n_gt"])
-    return ratios(out).drop("_key")
+    return _score_runs(runs, levels, links, truth, use_closure)
 
 
 def fp_mass_curve(e: DataFrame, gt: DataFrame, closure_safe: bool = True) -> DataFrame:
     """(graph_id, n, share_removed, share_gone): the share of the closure's false positives that is gone once the
-    n false-positive edges of highest leverage are removed, for every n from 0 to all of them."""
+    n false-positive edges of highest leverage are removed, for every n from 0 to all of them. Each graph is closed
+    once, whatever its number of false positives."""
     e = written(edges_of(e), "curve")
     c = written(transitive_closure(e).select(G, "ancestor", "descendant"), "curve-closure")
     truth = written(as_edges(transitive_closure(gt)), "curve-truth")
-    bad = label_edges(e, truth).where("is_fp = 1").join(edge_components(e).select(*EDGE, "leverage"), EDGE)
-    ranked = numbered(bad, [G], [F.desc("leverage"), F.col("parent"), F.col("child")]).withColumn("ranker", F.lit("oracle"))
+    links = written(_links(as_edges(c), truth), "curve-links")
+    bad = e.join(_links(e, truth), EDGE, "left_anti").join(edge_components(e, closure=c).select(*EDGE, "leverage"), EDGE)
+    ranked = numbered(written(bad, "curve-bad"), [G], [F.desc("leverage"), F.col("parent"), F.col("child")]).withColumn("ranker", F.lit("oracle"))
     ranked = written(ranked.select(G, "ranker", "parent", "child", "rank"), "curve-ranked")
     total = e.select(G).distinct().join(ranked.groupBy(G).agg(F.count("*").cast("int").alias("_n")), G, "left").na.fill(0, ["_n"])
-    runs = total.select(G, F.lit("oracle").alias("ranker"), F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"), "_n")
-    hit = ranked.select(*EDGE)
-    cost = doomed_edges(e, c, hit) if closure_safe else hit.select(G, F.col("parent").alias("a"), F.col("child").alias("c"), "parent", "child")
-    r = ranked.select(G, F.col("parent").alias("a"), F.col("child").alias("c"), "rank")
-    first = r.join(cost, [G, "a", "c"]).groupBy(*EDGE).agg(F.min("rank").alias("_gone"))
-    swept = runs.select(G, "ranker", "k").join(e, G).join(first, EDGE, "left").where("_gone is null or _gone > k").select(G, "ranker", "k", "parent", "child")
-    scored = _score_runs(runs.select(G, "ranker", "k"), swept, truth, True).withColumn("fp", F.col("n_pred") - F.col("tp"))
-    base = scored.where("k = 0").select(G, F.col("fp").alias("_base"))
-    out = scored.join(base, G).join(total, G)
+    runs = total.select(G, F.lit("oracle").alias("ranker"), F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"))
+    none = e.join(ranked.select(G).distinct(), G, "left_anti").select(G, F.lit("oracle"), "parent", "child", F.lit(NEVER).cast("long"))
+    scored = _score_runs(runs, _levels(e, c, ranked, closure_safe).union(none), links, truth, True).withColumn("fp", F.col("n_pred") - F.col("tp"))
+    scored = written(scored.select(G, "k", "fp"), "curve-scored")
+    out = scored.join(scored.where("k = 0").select(G, F.col("fp").alias("_base")), G).join(total, G)
     return out.select(
         G, F.col("k").alias("n"), F.when(F.col("_n") > 0, F.col("k") / F.col("_n")).otherwise(0.0).alias("share_removed"),
         F.when(F.col("_base") > 0, 1 - F.col("fp") / F.col("_base")).otherwise(0.0).alias("share_gone"),

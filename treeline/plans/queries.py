@@ -561,12 +561,7 @@ def _(t):
 
 
 def _scores(t) -> DataFrame:
-    comp = _comp(t)
-    out = None
-    for by in M.PRESETS:
-        part = M.suspicion(comp, by).select("graph_id", F.lit(by).alias("ranker"), "parent", "child", "score")
-        out = part if out is None else out.union(part)
-    return out
+    return M.ranker_scores(_comp(t))
 
 
 _DIRECT = """, rk as (select 'combined' as ranker, parent, child, row_number() over (order by score desc, parent, child) as r from sus
