@@ -100,6 +100,18 @@ def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int
         known = written(known.union(new).groupBy(*pair).agg(F.max("level").alias("level")), "bottleneck")
 
 
+def _closed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(names in order, matrix that is 1 where one reaches another) of a small graph: squared until nothing is added."""
+    names, codes = np.unique(np.concatenate((group["parent"], group["child"])).astype(object), return_inverse=True)
+    m = np.zeros((len(names), len(names)), dtype=np.float32)
+    m[codes[: len(group)], codes[len(group) :]] = 1
+    while True:
+        grown = np.minimum(m + m @ m, 1)
+        if (grown == m).all():
+            return names, m
+        m = grown
+
+
 def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
     """The same pairs (without hops) for very many small graphs in one pass: each graph is one group, a Boolean
     matrix squared until nothing is added. Graphs over ``max_nodes`` nodes go through the joins instead, so no
@@ -109,14 +121,7 @@ def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
     large = sizes.where(F.col("_n") > max_nodes).select(G)
 
     def close(group: pd.DataFrame) -> pd.DataFrame:
-        names, codes = np.unique(np.concatenate((group["parent"], group["child"])).astype(object), return_inverse=True)
-        m = np.zeros((len(names), len(names)), dtype=np.float32)
-        m[codes[: len(group)], codes[len(group) :]] = 1
-        while True:
-            grown = np.minimum(m + m @ m, 1)
-            if (grown == m).all():
-                break
-            m = grown
+        names, m = _closed(group)
         a, d = np.nonzero(m)
         key = group[G].iloc[0]
         return pd.DataFrame({G: [key.asDict() if hasattr(key, "asDict") else key] * len(a), "ancestor": names[a], "descendant": names[d]})
@@ -195,28 +200,49 @@ def _core(e: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return left, chains
 
 
-def is_dag(e: DataFrame) -> DataFrame:
-    """(graph_id, is_dag): graphs of which no edge is left once sources, sinks and chains are taken away."""
-    core, chains = _core(e)
+def _by_size(e: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of graphs of up to ``max_nodes`` nodes, edges of larger ones)."""
+    e = edges_of(e)
+    large = written(nodes_of(e).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G), "large")
+    return e.join(large, G, "left_anti"), e.join(large, G, "left_semi")
+
+
+def _small_sets(e: DataFrame) -> DataFrame:
+    """(graph_id, node, scc, cyclic) of small graphs, each a Boolean matrix: cyclic nodes reach themselves."""
+
+    def sets(group: pd.DataFrame) -> pd.DataFrame:
+        names, m = _closed(group)
+        key = group[G].iloc[0]
+        both = (m * m.T > 0) | np.eye(len(names), dtype=bool)
+        return pd.DataFrame({G: [key.asDict() if hasattr(key, "asDict") else key] * len(names), "node": names, "scc": names[both.argmax(axis=1)], "cyclic": m.diagonal() > 0})
+
+    return e.groupBy(G).applyInPandas(sets, f"{G} {dict(e.dtypes)[G]}, node string, scc string, cyclic boolean")
+
+
+def is_dag(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
+    """(graph_id, is_dag). Of graphs over ``max_nodes`` nodes sources, sinks and chains are taken away until no edge is
+    left, or none can be; smaller ones are closed."""
+    small, large = _by_size(e, max_nodes)
+    out = _small_sets(small).groupBy(G).agg((~F.bool_or("cyclic")).alias("is_dag"))
+    if large.isEmpty():
+        return out
+    core, chains = _core(large)
     cyclic = core.select(G)
     for c in chains:
         cyclic = cyclic.union(c.where("ring is not null").select(G))
-    return e.select(G).distinct().join(cyclic.distinct().withColumn("_cyclic", F.lit(True)), G, "left").select(G, F.col("_cyclic").isNull().alias("is_dag"))
+    return out.union(large.select(G).distinct().join(cyclic.distinct().withColumn("_cyclic", F.lit(True)), G, "left").select(G, F.col("_cyclic").isNull()))
 
 
 def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. What lies on no cycle is taken off
-    first, and chains are shortened. Cyclic cores of up to ``max_nodes`` nodes are closed, all in one pass; larger
-    ones are coloured, so no table of all their pairs is made."""
-    core, chains = _core(e)
-    large = nodes_of(core).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G)
-    large = written(large, "large")
-    c = written(small_closures(core.join(large, G, "left_anti"), max_nodes), "scc")
-    back = c.select(G, F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
-    mutual = c.select(G, "ancestor", "descendant").join(back, [G, "ancestor", "descendant"])
-    label = mutual.groupBy(G, F.col("ancestor").alias("node")).agg(F.min("descendant").alias("scc"))
-    if not large.isEmpty():
-        label = label.union(_coloured(core.join(large, G, "left_semi")))
+    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. Graphs of up to ``max_nodes``
+    nodes are closed, all in one pass. Of larger ones, what lies on no cycle is taken off and chains are shortened
+    before the rest is coloured, so no table of all pairs is made."""
+    small, large = _by_size(e, max_nodes)
+    out = _small_sets(small).select(G, "node", "scc")
+    if large.isEmpty():
+        return out
+    core, chains = _core(large)
+    label = _coloured(core)
     for chain in reversed(chains):  # a run is part of a set if both its ends are
         label = written(label, "labels")
         ends = [label.select(G, F.col("node").alias(end), F.col("scc").alias(f"_{end}")) for end in ("head", "tail")]
@@ -226,7 +252,7 @@ def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
         label = label.union(own.where("scc is not null"))
     named = label.groupBy(G, "scc").agg(F.min("node").alias("_least"))
     label = label.join(named, [G, "scc"]).select(G, "node", F.col("_least").alias("scc"))
-    return nodes_of(e).join(label, [G, "node"], "left").select(G, "node", F.coalesce("scc", "node").alias("scc"))
+    return out.union(nodes_of(large).join(label, [G, "node"], "left").select(G, "node", F.coalesce("scc", "node").alias("scc")))
 
 
 def least_reaching(e: DataFrame, keys: DataFrame) -> DataFrame:
@@ -255,7 +281,7 @@ def _coloured(e: DataFrame) -> DataFrame:
     that reach the node of that name are its strongly connected set; they go, and the rest is coloured anew. Tables
     are as large as the edges."""
     left = written(edges_of(e), "colour-edges")
-    done = []
+    done = [left.select(G, F.col("parent").alias("node"), F.col("child").alias("scc")).limit(0)]
     while not left.isEmpty():
         colour = least_reaching(left, nodes_of(left).withColumn("key", F.col("node")))
         p, c = (colour.select(G, F.col("node").alias(x), F.col("least").alias(f"_{x}")) for x in ("parent", "child"))
