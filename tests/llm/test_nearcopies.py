@@ -60,8 +60,9 @@ def test_stage_keeps_what_brute_force_keeps(spark, monkeypatch):
     want = brute_kept(docs)
     assert kept(spark, docs, lambda d: corpus_pipeline.remove_near_duplicates(spark, d, SF)) == want
     # Tiny blocks: every bucket is split. No bits: the keys link equal fingerprints only.
-    monkeypatch.setattr(N.similar_links, "__defaults__", (0.8, 2, 4096))
-    assert kept(spark, docs, lambda d: S.deduplicate(d, max_bits=0)) == want
+    for stars in (0, 1):
+        monkeypatch.setattr(N.similar_links, "__defaults__", (0.8, 2, 4096, stars))
+        assert kept(spark, docs, lambda d: S.deduplicate(d, max_bits=0)) == want
 
 
 def test_stage_on_the_given_documents(spark):
@@ -69,3 +70,22 @@ def test_stage_on_the_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = corpus_pipeline.remove_near_duplicates(spark, docs, SF)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == brute_kept(rows)
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Copies with a word changed in each: a comparison or two a text, not one a pair."""
+    rng = random.Random(1)
+    own = [f"t{rng.randrange(4000)}" for _ in range(120)]
+    docs = []
+    for i in range(3000):
+        w = list(own)
+        w[i % 120] = f"z{i}"
+        docs.append((i, " ".join(w)))
+    pairs = []
+    real = N.verified_pairs
+    N.verified_pairs = lambda p, *a: pairs.append(p.count()) or real(p, *a)
+    try:
+        assert kept(spark, docs, S.deduplicate) == [0]
+    finally:
+        N.verified_pairs = real
+    assert sum(pairs) < 12 * len(docs)

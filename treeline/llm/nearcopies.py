@@ -25,6 +25,8 @@ FLIPS, FACTORS = _NUMBERS[: BANDS * ROWS], _NUMBERS[BANDS * ROWS :] | np.uint64(
 
 #: Sets of one bucket that a task compares at once with as many others: by number, and by bytes in all.
 BLOCK, BLOCK_BYTES = 1024, 2 << 20
+#: Rounds in which the rows of a bucket are held against its smallest one only.
+STARS = 3
 
 
 def band_keys(found: np.ndarray) -> list[int]:
@@ -60,14 +62,7 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 def forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links between the rows ``left`` and ``right`` that join their components: every pair of rows in different
     ones is compared until a link joins these. All sets on the right are compared with one on the left at once."""
-    place = {int(r): int(r) for r in roots}
-
-    def find(x: int) -> int:
-        while place[x] != x:
-            place[x] = place[place[x]]
-            x = place[x]
-        return x
-
+    here = roots.copy()  # each row's component so far
     sizes = np.array([len(s) for s in sets])
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
@@ -76,14 +71,15 @@ def forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.
     mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
     found = []
     for i in left.tolist():
+        if (here[right] == here[i]).all():
+            continue
         own = codes[begin[i] : begin[i] + sizes[i]]
         mark[own] = 1
         common = np.add.reduceat(mark[members], first)
         mark[own] = 0
         for j in right[common >= similarity * (sizes[i] + sizes[right] - common) - 1e-9].tolist():
-            a, b = find(int(roots[i])), find(int(roots[j]))
-            if a != b:
-                place[a] = b
+            if here[i] != here[j]:
+                here[here == here[j]] = here[i]
                 found.append((int(ids[i]), int(ids[j])))
     return found
 
@@ -122,27 +118,48 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return written(bands.join(buckets, "_key").select("_key", "id", "n"), "bands")
 
 
-def similar_links(bands: DataFrame, sets: DataFrame, seeds: DataFrame, similarity: float = 0.8, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _rooted(bands: DataFrame, links: DataFrame) -> DataFrame:
+    """The bands with the component of each row over the links."""
+    roots = written(components(links).withColumnRenamed("node", "id"), "roots")
+    return written(bands.select("_key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+
+
+def similar_links(bands: DataFrame, sets: DataFrame, seeds: DataFrame, similarity: float = 0.8, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, stars: int = STARS) -> DataFrame:
     """Links (a, b) that leave components whole: every pair that shares a key in ``bands(_key, id, n)`` and is so
     similar is linked, directly or over others. ``sets(id, set)`` are the nodes' sets of ``n`` hashes;
     ``seeds(a, b)`` are links that are known already, and are part of the result.
 
-    Buckets whose rows are in one component over the seeds are done. A bucket of the others is dealt out as
-    blocks of bounded size, and every pair of blocks is compared in a group of its own that returns at most one
-    link per row: a large group of copies is never gathered in one task, and its pairs are never made as rows.
+    First come rounds of stars: every row of a bucket is held against the bucket's smallest, unless they are in one
+    component. That is one comparison a row, and the same ones in most buckets of a group of copies. What is found
+    contracts the components, the smallest rows have met all others and go, and buckets of one component are done.
+
+    What a few rounds leave, rows that are not like their smallest ones, is dealt out as blocks of bounded size. Every
+    pair of blocks of a bucket is compared in a group of its own that returns at most one link per row, and whose rows
+    skip those of their own component: a large group of copies is never gathered in one task, and its pairs are never
+    made as rows.
     """
-    roots = written(components(seeds).withColumnRenamed("node", "id"), "roots")
-    rooted = written(bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    links, live = seeds.select("a", "b"), bands
+    for _ in range(stars):
+        rooted = _rooted(live, links)
+        heads = rooted.groupBy("_key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.min(F.struct("id", "root")).alias("_head")).where("_x <> _y")
+        met = written(rooted.join(written(heads.select("_key", "_head"), "heads"), "_key").where("id <> _head.id"), "stars")
+        pairs = written(met.where("root <> _head.root").select(F.col("_head.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+        if pairs.isEmpty():
+            return links
+        links, live = written(links.union(verified_pairs(pairs, sets, similarity)), "links"), met
+    rooted = _rooted(live, links)
     members = [F.bit_xor(F.xxhash64("id")).alias("_m1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("_m2"), F.count("*").alias("_c")]
     several = rooted.groupBy("_key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.sum(F.col("n") * 8).alias("_size"), *members).where("_x <> _y")
     # Near copies share many bands: of buckets with the same members one is compared.
     several = several.groupBy("_m1", "_m2", "_c").agg(F.min("_key").alias("_key"), F.max("_size").alias("_size"))
     n_blocks = F.greatest(F.ceil(F.col("_c") / block), F.ceil(F.col("_size") / block_bytes)).cast("int")
     several = written(several.select("_key", n_blocks.alias("_b")), "live")
+    if several.isEmpty():
+        return links
     rows = rooted.join(several, "_key").withColumn("_i", F.pmod(F.xxhash64("id"), "_b").cast("int"))
     # Block i meets every block j: the pair (i, j) is named by its smaller and larger number.
     rows = rows.select("id", "root", "_key", "_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j"))
     rows = written(rows.select("id", "root", "_key", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi")), "blocks")
     dealt = rows.join(sets, "id").repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi")
     found = dealt.select("_key", "_lo", "_hi", "_i", "id", "root", "set").mapInPandas(_compared(similarity), "a long, b long").distinct()
-    return found.union(seeds.select("a", "b"))
+    return found.union(links)
