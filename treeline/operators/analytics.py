@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.stats import ordinal_ranks, quantiles, running_totals, stars, t_test_p, value_ranks
 from treeline.functions.text import parse_label
 from treeline.operators.graph import G
+from treeline.tables import written
 
 RUN = ["dataset", "use_synsets", "explode_nodes", "method"]
 
@@ -177,30 +179,58 @@ def roc_auc(scored: DataFrame, score: str, label: str, by: str = G) -> DataFrame
     return won.select(by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0.0))).alias("auc"))
 
 
+def logistic(names: list[str], weights: str) -> Column:
+    """The probability that ``weights`` (one per name, and the intercept) give."""
+    at = lambda i: F.element_at(weights, i + 1)
+    z = sum((F.col(n) * at(i) for i, n in enumerate(names)), at(len(names)))
+    return 1 / (1 + F.exp(-z))
+
+
+def logistic_folds(features: DataFrame, names: list[str], l2: float = 0.01, steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """(graph_id, weights): for each graph the logistic regression of is_fp on all other graphs, and with a null graph_id
+    that on all of them. Half of ``l2`` times the squared weights is added to the mean loss, the intercept is free.
+    Weights are null where the labels have one value.
+
+    All folds take their Newton steps together: gradients and Hessians of every fold come from one aggregate over the
+    rows, so passes are as many as the slowest fold's steps. There is a row of a few numbers per graph on the driver.
+    """
+    rows = written(features.select(G, *names, F.col("is_fp").cast("double").alias("_y")), "folds")
+    own = {r[G]: (r["n"], r["f"]) for r in rows.groupBy(G).agg(F.count("*").alias("n"), F.sum("_y").alias("f")).collect()}
+    n, f = (sum(x[i] for x in own.values()) for i in (0, 1))
+    size = {None: (n, f)} | {g: (n - m, f - k) for g, (m, k) in own.items()}
+    keys = list(size)
+    open_ = {i for i, g in enumerate(keys) if 0 < size[g][1] < size[g][0]}
+    d = len(names) + 1
+    weights = {i: np.zeros(d) for i in open_}
+    penalty = np.diag([l2] * (d - 1) + [0.0])
+    x = [*(F.col(c) for c in names), F.lit(1.0)]
+    fold = "fold int, graph string, weights array<double>"
+    while open_ and (steps := steps - 1) >= 0:
+        asked = rows.sparkSession.createDataFrame([(i, keys[i], weights[i].tolist()) for i in sorted(open_)], fold)
+        met = rows.join(F.broadcast(asked), F.col("graph").isNull() | (F.col("graph") != F.col(G).cast("string")))
+        met = met.withColumn("_p", logistic(names, "weights")).withColumn("_v", F.col("_p") * (1 - F.col("_p")))
+        slope = [F.sum((F.col("_p") - F.col("_y")) * x[i]).alias(f"g{i}") for i in range(d)]
+        curve = [F.sum(F.col("_v") * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+        for r in met.groupBy("fold").agg(*slope, *curve).collect():
+            m, w = size[keys[r.fold]][0], weights[r.fold]
+            g = np.array([r[f"g{i}"] for i in range(d)]) / m + penalty @ w
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / m + penalty
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            weights[r.fold] = w - step * min(1, 5 / max(np.abs(step).max(), 1e-300))
+            if np.abs(g).max() < tolerance:
+                open_.discard(r.fold)
+    kind = f"{G} {dict(features.dtypes)[G]}, weights array<double>"
+    return rows.sparkSession.createDataFrame([(g, weights[i].tolist() if i in weights else None) for i, g in enumerate(keys)], kind)
+
+
 def learned_suspicion(features: DataFrame, names: list[str], l2: float = 0.01) -> DataFrame:
     """(graph_id, parent, child, p_fp, p_in_sample): probabilities of a false positive from a logistic regression
     on all other graphs, and from one on all of them. Labels of one value give 0.5. ``features`` has is_fp."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    from treeline.tables import written
-
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(features.withColumn("_y", F.col("is_fp").cast("double")))
-    fit = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200)
-
-    def scored(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
-        if train.select("_y").distinct().count() < 2:
-            return test.select(G, "parent", "child", F.lit(0.5).alias(name))
-        return fit.fit(train).transform(test).select(G, "parent", "child", vector_to_array("_p")[1].alias(name))
-
-    out = None
-    for r in rows.select(G).distinct().orderBy(G).collect():  # one model per held-out dataset
-        part = scored(rows.where(F.col(G) != r[G]), rows.where(F.col(G) == r[G]), "p_fp")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return rows.select(G, "parent", "child", F.lit(0.5).alias("p_fp"), F.lit(0.5).alias("p_in_sample"))
-    return written(out, "held-out").join(scored(rows, rows, "p_in_sample"), [G, "parent", "child"])
+    folds = written(logistic_folds(features, names, l2), "fold-weights")
+    whole = folds.where(F.col(G).isNull()).select(F.col("weights").alias("_all"))
+    own = features.join(F.broadcast(folds.where(F.col(G).isNotNull())), G).join(F.broadcast(whole))  # a row per graph, and one
+    p = lambda w: F.coalesce(logistic(names, w), F.lit(0.5))
+    return own.select(G, "parent", "child", p("weights").alias("p_fp"), p("_all").alias("p_in_sample"))
 
 
 def perplexity_features(edges: DataFrame, ppl: DataFrame) -> DataFrame:

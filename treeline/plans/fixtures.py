@@ -30,6 +30,11 @@ DERIVED = {
     # Grows with the tables.
     "sales": """select 'sales' as graph_id, concat('C', o_custkey) as parent, concat('O', o_orderkey) as child from orders
         union select 'sales', concat('O', l_orderkey), concat('P', l_partkey) from lineitem""",
+    # Grows with the tables and is 24 edges deep; some nodes have two parents.
+    "deep": """select distinct 'deep' as graph_id, concat('c', o_custkey - 1 - case when o_orderkey % 20 = 0 then 25 else 0 end) as parent, concat('c', o_custkey) as child
+        from orders where o_custkey % 25 > 0 and o_custkey > 26""",
+    "deep_pred": """select graph_id, parent, child from deep where substr(md5(concat(parent, '>', child)), 1, 1) < 'e'
+        union select 'deep', concat('c', c_custkey - 3), concat('c', c_custkey) from customer where c_custkey % 11 = 0 and c_custkey > 3""",
     # Weighted and cyclic, with loops.
     "flow": """select 'flow' as graph_id, event_type as parent, nxt as child, cast(count(*) as double) as weight
         from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) t

@@ -266,6 +266,11 @@ def _(t):
     return R.transitive_closure(t("parts"))
 
 
+@query("g1_closure_deep", ctes("deep") + _HOPS.format("deep") + " select a as ancestor, count(distinct d) as n, cast(max(m) as int) as most from (select a, d, min(h) as m from h group by a, d) group by a")
+def _(t):
+    return R.transitive_closure(t("deep")).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("hops").alias("most"))
+
+
 _RED = ", red as (select * from parts p where not exists (select 1 from parts q join parts_c c on c.a = q.child where q.parent = p.parent and c.d = p.child))"
 
 
@@ -323,7 +328,13 @@ def _(t):
     return R.break_cycles(t("ring"))
 
 
-@query("g8_break_cycles_weight")
+# An edge goes if edges that would go later lead from its child back to its parent.
+@query(
+    "g8_break_cycles_weight",
+    ctes("flow") + """, o as (select *, row_number() over (order by weight desc, parent, child) as no from flow where parent <> child),
+back(no, node) as (select no, child from o union select b.no, e.child from back b join o e on e.parent = b.node and e.no > b.no)
+select graph_id, parent, child, weight from o where (no, parent) not in (select no, node from back)""",
+)
 def _(t):
     return R.break_cycles(t("flow"), "weight")
 
@@ -360,6 +371,11 @@ def _(t):
     return R.longest_path_layers(t("parts").union(t("ring")))
 
 
+@query("g12_longest_path_deep", ctes("deep") + ", roots as (select parent as node from deep except select child from deep), b(node, h) as (select node, 0 from roots union select e.child, b.h + 1 from b join deep e on e.parent = b.node) select node, cast(max(h) as int) as layer from b group by node")
+def _(t):
+    return R.longest_path_layers(t("deep")).select("node", "layer")
+
+
 @query("g13_min_depth", ctes("parts") + _ROOTS.format("parts") + " select 'parts' as graph_id, node, cast(depth as int) as depth from dep")
 def _(t):
     return R.min_depth(t("parts"))
@@ -463,12 +479,19 @@ def _mode(mode: str, p: str, g: str) -> str:
     return f"select '{mode}' as mode, round({pr}, 6) as \"precision\", round({rc}, 6) as recall, round(2 * ({pr}) * ({rc}) / ({pr} + {rc}), 6) as f1"
 
 
-@query(
-    "m5_evaluate_modes",
-    ctes("parts_c", "parts_pred_c") + _RED + ", pred_red as (select * from parts_pred p where not exists (select 1 from parts_pred q join parts_pred_c c on c.a = q.child where q.parent = p.parent and c.d = p.child)), "
+_MODES = (
+    _RED + ", pred_red as (select * from parts_pred p where not exists (select 1 from parts_pred q join parts_pred_c c on c.a = q.child where q.parent = p.parent and c.d = p.child)), "
     + "lp as (select distinct graph_id, lower(parent) as parent, lower(child) as child from parts_pred), lg as (select distinct graph_id, lower(parent) as parent, lower(child) as child from parts), lpc as (select distinct lower(a), lower(d) from parts_pred_c), lgc as (select distinct lower(a), lower(d) from parts_c) "
-    + " union all ".join([_mode("Cond_Red", "pred_red", "red"), _mode("Cond_Clos", "parts_pred_c", "parts_c"), _mode("Exp_Raw", "lp", "lg"), _mode("Exp_Clos", "lpc", "lgc")]),
+    + " union all ".join([_mode("Cond_Red", "pred_red", "red"), _mode("Cond_Clos", "parts_pred_c", "parts_c"), _mode("Exp_Raw", "lp", "lg"), _mode("Exp_Clos", "lpc", "lgc")])
 )
+
+
+@query("m5_evaluate_deep", ctes("deep_c", "deep_pred_c") + _MODES.replace("parts", "deep"))
+def _(t):
+    return M.evaluate_modes(t("deep_pred"), t("deep")).select("mode", *r6("precision", "recall", "f1"))
+
+
+@query("m5_evaluate_modes", ctes("parts_c", "parts_pred_c") + _MODES)
 def _(t):
     return M.evaluate_modes(t("parts_pred"), t("parts")).select("mode", *r6("precision", "recall", "f1"))
 
@@ -481,9 +504,9 @@ _SUS = """, f as (select *, (row_number() over (order by leverage, parent, child
 sus as (select graph_id, parent, child, leverage, lp + (1 - agr) + (case when votes <= 1 then 1.0 else 0.0 end) + (1 - sp) as score from f)"""
 
 
-def _comp(t) -> DataFrame:
-    votes = t("parts_pred").select("graph_id", "parent", "child", (F.ascii(F.substring("child", 1, 1)) % 3).alias("votes"), F.length("parent").alias("salience"))
-    return M.edge_components(t("parts_pred"), votes)
+def _comp(t, graph: str = "parts_pred") -> DataFrame:
+    votes = t(graph).select("graph_id", "parent", "child", (F.ascii(F.substring("child", 1, 1)) % 3).alias("votes"), F.length("parent").alias("salience"))
+    return M.edge_components(t(graph), votes)
 
 
 @query("m6_edge_components", ctes("parts_pred_c") + _PARTS + " select parent, child, leverage, round(agr, 6) as neighborhood_agreement, votes, salience from comp")
@@ -594,6 +617,11 @@ def _(t):
     return M.prune_sweep(t("parts_pred"), _scores(t), t("parts"), KS).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall", "f1"))
 
 
+@query("m14_prune_sweep_deep", ctes("deep_pred_c", "deep_c") + (_PARTS + _SUS + _RANKED + _CLOSED).replace("parts", "deep") + ' select ranker, cast(k as int) as k, tp, n_pred, round(p, 6) as "precision", round(r, 6) as recall from fin')
+def _(t):
+    return M.prune_sweep(t("deep_pred"), M.ranker_scores(_comp(t, "deep_pred")), t("deep"), KS).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall"))
+
+
 _BAD = """, rk as (select 'oracle' as ranker, parent, child, row_number() over (order by leverage desc, parent, child) as r from comp where (parent, child) not in (select a, d from parts_c)), ks as (select 'oracle' as ranker, unnest(range(0, (select count(*) + 1 from rk))) as k)"""
 
 
@@ -747,9 +775,23 @@ round(avg(o) filter (o > 0), 2) as avg_branching, round(avg((i = 1)::int) filter
 round((select count(*) from {0}) / (select count(*) from {0}_c), 4) as redundancy_ratio from dg"""
 
 
-@query("m25_graph_profile", ctes("parts_c") + _PROFILE.format("parts"))
+_WHOLE = (_WEAK + ", lg as (select exp((length(parent) + length(child)) / 20.0) as p, row_number() over (order by md5(concat('42:', parent, ':', child)), parent, child) as r from {0})" + _PROFILE).removesuffix(" from dg") + ", (select count(distinct component) from wk) as components, (select round(avg(p), 2) from lg where r <= 100) as hearst_ppl from dg"
+
+
+def _profile(t, graph: str) -> DataFrame:
+    own = lambda c: (-F.length(c) / 10.0).cast("double")
+    ppl = M.hearst_ppl(t(graph).withColumn("logprobs", F.array(own("parent"), own("child"), F.lit(0.0))))
+    return M.graph_profile(t(graph), ppl).drop("graph_id")
+
+
+@query("m25_graph_profile", ctes("parts_c") + _WHOLE.format("parts"))
+def _(t):
+    return _profile(t, "parts")
+
+
+@query("m25_profile_deep", ctes("deep_c") + _WHOLE.format("deep"))
 def _(t):
-    return M.graph_profile(t("parts")).drop("graph_id", "components", "hearst_ppl")
+    return _profile(t, "deep")
 
 
 # Fine-tuning data.
@@ -781,7 +823,24 @@ def _(t):
     return out.select("target", F.array_join(F.array_sort(F.split("completion", "\n")), ";").alias("completion"), F.size("candidates").alias("n_candidates"))
 
 
-@query("f4_render_prompts")
+_PROMPT = """Which of the candidates C are above or below '{t}' in an is-a hierarchy?
+- Where everything called '{t}' may also be called C, write {t} <= C.
+- Where everything called C may also be called '{t}', write C <= {t}.
+Relate candidates to '{t}' only, not to each other.
+One relation a line; 'none' if there is none.
+Example: owl <= bird
+Candidates:
+""".replace("'", "''")
+
+
+@query("f4_render_prompts", ctes("named") + f", s as (select noun, list(distinct name order by name) as c from named group by noun) select 'named' as domain, concat(replace('{_PROMPT}', '{{t}}', noun), array_to_string(list_transform(c, lambda x: concat('- ', x)), chr(10))) as prompt, case when len(c) > 1 then concat(c[1], ' <= ', noun) else 'none' end as completion from s")
+def _(t):
+    s = t("named").groupBy("noun").agg(F.array_sort(F.collect_set("name")).alias("candidates"))
+    first = F.when(F.size("candidates") > 1, F.concat(F.get("candidates", F.lit(0)), F.lit(" <= "), "noun")).otherwise("none")
+    return N.render_prompts(s.select(F.lit("named").alias("graph_id"), F.col("noun").alias("target"), "candidates", first.alias("completion")), "full")
+
+
+@query("f4_prompts_of_examples")
 def _(t):
     return N.render_prompts(N.make_examples(t("parts"), 20), "full")
 
@@ -916,6 +975,17 @@ def _(t):
     return A.learned_suspicion(M.suspicion_features(t("diag"), keep=("is_fp",)), ["f_leverage", "f_neighborhood", "f_self_agreement", "f_salience"]).select("graph_id", "parent", "child", F.round("p_fp", 3).alias("p_fp"))
 
 
+# At its solution a fold's mean probability over the rows it learns from is their share of false positives.
+@query("a17_fold_balance", ctes("diag") + """, s as (select graph_id, sum(is_fp) as f, count(*) as n from diag group by graph_id)
+select graph_id, round(((select sum(f) from s) - f) / ((select sum(n) from s) - n), 6) as mean_p from s union all select null, round(sum(f) / sum(n), 6) from s""")
+def _(t):
+    names = ["f_leverage", "f_neighborhood", "f_self_agreement", "f_salience"]
+    x = M.suspicion_features(t("diag"), keep=("is_fp",))
+    folds = A.logistic_folds(x, names).withColumnRenamed("graph_id", "_fold")
+    met = x.join(F.broadcast(folds), (F.col("_fold").isNull()) | (F.col("graph_id") != F.col("_fold")))
+    return met.groupBy(F.col("_fold").alias("graph_id")).agg(F.round(F.avg(A.logistic(names, "weights")), 6).alias("mean_p"))
+
+
 @query("a18_perplexity_features", ctes("ppl") + """, e as (select 'x' as graph_id, r_name as parent, n_name as child from region join nation on r_regionkey = n_regionkey union select 'x', parent, child from ppl), j as (select e.*, a.ppl as f, a.ppl / nullif(b.ppl, 0) as q from e left join ppl a on a.child = e.child and a.parent = e.parent left join ppl b on b.child = e.parent and b.parent = e.child)
 select parent, child, round(f, 6) as forward, round(q, 6) as ratio, round((row_number() over (order by coalesce(f, 0), parent, child) - 1) / (count(*) over () - 1), 6) as f_forward from j""")
 def _(t):
