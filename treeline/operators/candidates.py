@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,57 +18,172 @@ from treeline.tables import written
 G = "graph_id"
 
 
-def lexical_edges(nodes: DataFrame) -> DataFrame:
+#: Characters of terms in a block: what an automaton is built from. It bounds memory and changes no result.
+TERMS = 2_000_000
+
+
+def lexical_edges(nodes: DataFrame, block_chars: int = TERMS) -> DataFrame:
     """``nodes(graph_id, node)``: u -> v if u's primary term is part of v's, differs from it and has over three
-    characters. Substrings of v are looked up, of the lengths that terms have; terms are never paired."""
-    terms = nodes.select(G, "node", primary_term("node").alias("_p")).distinct()
-    lengths = terms.where(F.length("_p") > 3).groupBy(G).agg(F.array_sort(F.collect_set(F.length("_p"))).alias("_lengths"))
-    sub = terms.join(lengths, G)
-
-    def starts(n: Column) -> Column:
-        last = F.length("_p") - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("_p"), i, n))).otherwise(F.array().cast("array<string>"))
-
-    parts = F.array_distinct(F.flatten(F.transform("_lengths", starts)))
-    sub = sub.select(G, F.col("node").alias("child"), F.col("_p").alias("_own"), F.explode(parts).alias("_p"))
-    out = sub.where("_p <> _own").join(terms.select(G, "_p", F.col("node").alias("parent")), [G, "_p"])
-    return out.where("parent <> child").select(G, "parent", "child").distinct()
-
-
-def _pair_blocks(left: DataFrame, right: DataFrame, n_blocks: int) -> DataFrame:
-    """(_l, _r, side, name, vec): every vector goes to each pair of blocks that it is part of."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    a = left.select(at("name").alias("_l"), others.alias("_r"), F.lit(0).alias("side"), "name", "vec")
-    b = right.select(others.alias("_l"), at("name").alias("_r"), F.lit(1).alias("side"), "name", "vec")
+    characters.
+
+    Terms lie in blocks. Every task that has rows of a block builds one automaton of the block's terms and runs its
+    share of the graph's terms through it: each is read once a block, whatever its length, and neither its substrings
+    nor pairs of terms are made.
+    """
+    terms = written(nodes.select(G, "node", primary_term("node").alias("_p")).distinct(), "terms")
+    own = terms.select(G, "_p").distinct()
+    needles = own.where(F.length("_p") > 3)
+    # Graphs are taken as one table: a term of another graph is found and dropped in the join. Long graphs have blocks.
+    size = needles.agg(F.sum(F.length("_p"))).first()[0] or 0
+    blocks = max(1, -(-size // block_chars))
+    block = F.pmod(F.xxhash64("_p"), F.lit(blocks)).cast("int").alias("_b")
+    parts = needles.select(block, "_p").distinct().groupBy("_b").agg(F.collect_list("_p").alias("_needles"))
+    texts = own.select("_p").distinct()
+    shares = max(1, -(-texts.count() // 50_000))
+    spread = texts.withColumn("_s", F.pmod(F.xxhash64("_p", F.lit(1)), F.lit(shares)).cast("int")).groupBy("_s").agg(F.collect_list("_p").alias("_texts"))
+    spread = spread.select("_texts", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for needles, texts in zip(b["_needles"].to_pylist(), b["_texts"].to_pylist(), strict=True):
+                machine = ahocorasick.Automaton()
+                for w in needles:
+                    machine.add_word(w, w)
+                machine.make_automaton()
+                inside, around = [], []
+                for t in texts:
+                    hits = {w for _, w in machine.iter(t)} - {t}
+                    inside += hits
+                    around += [t] * len(hits)
+                yield pa.RecordBatch.from_pydict({"_in": inside, "_around": around}, schema=pa.schema([("_in", pa.string()), ("_around", pa.string())]))
+
+    hits = spread.join(parts, "_b").repartition(blocks * shares).mapInArrow(found, "_in string, _around string")
+    up = terms.select(G, F.col("_p").alias("_in"), F.col("node").alias("parent"))
+    down = terms.select(G, F.col("_p").alias("_around"), F.col("node").alias("child"))
+    return hits.join(up, "_in").join(down, [G, "_around"]).where("parent <> child").select(G, "parent", "child").distinct()
+
+
+#: Pivots at most (their pairs of cells are a table on the driver), vectors per pivot wished for, and per block.
+PIVOTS, CELL, BLOCK = 256, 250, 2000
+
+
+def _unit(v) -> np.ndarray:
+    m = np.stack(list(v)).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
+    """Directions of ``n`` vectors spread over the table: of four times as many, drawn by a hash of their names, each
+    next one is the furthest from those taken."""
+    length = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
+    drawn = [r.vec for r in vectors.where(length > 0).orderBy(F.xxhash64("name"), "name").select("vec").limit(4 * n).collect()]
+    if not drawn:
+        return np.zeros((0, 1))
+    unit, taken = _unit(drawn), [0]
+    near = unit @ unit[0]
+    while len(taken) < min(n, len(unit)):
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[taken[-1]])
+    return unit[taken]
+
+
+def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(name, vec, cell, angle): the pivot of least angle; -1 for vectors without a direction."""
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(vec: pd.Series) -> pd.DataFrame:
+        unit = _unit(vec)
+        none = ~unit.any(axis=1) | (len(pivots) == 0)
+        near = unit @ pivots.T if len(pivots) else np.zeros((len(unit), 1))
+        cell = near.argmax(axis=1)
+        angle = np.arccos(np.clip(near[np.arange(len(unit)), cell], -1, 1))
+        return pd.DataFrame({"cell": np.where(none, -1, cell).astype("int32"), "angle": np.where(none, 0.0, angle)})
+
+    return written(vectors.select("name", "vec", nearest("vec").alias("_c")).select("name", "vec", "_c.*"), "cells")
+
+
+def _summary(cells: DataFrame) -> dict[int, tuple[int, float, float]]:
+    """{cell: (vectors, least angle, largest angle)}."""
+    return {r.cell: (r.n, r.least, r.most) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect()}
+
+
+def _highest(pivots: np.ndarray, left: dict, right: dict) -> dict[tuple[int, int], float]:
+    """{(cell of left, cell of right): what no cosine of their vectors exceeds}. The angle of two vectors is at least the
+    angle between one and the other's pivot less the other's own, whichever side it is seen from."""
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else None
+    out = {}
+    for i, (_, low, most) in left.items():
+        for j, (_, low_j, most_j) in right.items():
+            if min(i, j) < 0:
+                out[i, j] = 0.0  # no direction: all cosines are 0
+            else:
+                apart = between[i, j]
+                gap = max(0.0, apart - most - most_j, low - apart - most_j, low_j - apart - most)
+                out[i, j] = 1.0 if gap <= 0 else float(np.cos(gap))
+    return out
+
+
+def _pair_blocks(left: DataFrame, right: DataFrame, met: list[tuple[int, int]], sizes: tuple[dict, dict]) -> DataFrame:
+    """(_l, _r, _i, _j, side, name, vec): every vector goes to each pair of blocks that it is part of. Blocks are parts of
+    cells; ``met`` are the pairs of cells to compare."""
+    parts = [{c: -(-x[0] // BLOCK) for c, x in side.items()} for side in sizes]
+    table = left.sparkSession.createDataFrame([(i, j, parts[0][i], parts[1][j]) for i, j in met], "_l int, _r int, _a int, _b int")
+    pairs = F.broadcast(table)  # at most one row for each pair of pivots
+    at = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(pairs, F.col("cell") == F.col("_l")).select("_l", "_r", at("_a").alias("_i"), others("_b").alias("_j"), F.lit(0).alias("side"), "name", "vec")
+    b = right.join(pairs, F.col("cell") == F.col("_r")).select("_l", "_r", others("_a").alias("_i"), at("_b").alias("_j"), F.lit(1).alias("side"), "name", "vec")
     return a.union(b)
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float | None, n_blocks: int | None = None) -> DataFrame:
-    """(a, b, cosine) of ``left(name, vec)`` and ``right(name, vec)`` by matrix products of blocks: pairs above
-    the threshold, or, without one, each block's best b per a (ties: the smallest name). A name is never
-    compared with itself. Blocks hold about 2000 vectors, however many there are."""
-    if n_blocks is None:
-        n_blocks = max(1, max(left.count(), right.count()) // 2000)
-
+def _products(threshold: float | None):
     def products(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (group[group["side"] == s].sort_values("name") for s in (0, 1))
         empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "cosine": pd.Series(dtype=float)})
         if a.empty or b.empty:
             return empty
-
-        def unit(v: pd.Series) -> np.ndarray:
-            m = np.stack(v.to_list()).astype(np.float64)
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-        s = unit(a["vec"]) @ unit(b["vec"]).T
+        s = _unit(a["vec"]) @ _unit(b["vec"]).T
         an, bn = a["name"].to_numpy(), b["name"].to_numpy()
         s[an[:, None] == bn[None, :]] = -np.inf
         i, j = (np.arange(len(an)), s.argmax(axis=1)) if threshold is None else np.nonzero(s > threshold)
         keep = np.isfinite(s[i, j])
         return pd.DataFrame({"a": an[i][keep], "b": bn[j][keep], "cosine": s[i, j][keep]})
 
-    return _pair_blocks(left, right, n_blocks).groupBy("_l", "_r").applyInPandas(products, "a string, b string, cosine double")
+    return products
+
+
+def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float | None, skipped: list | None = None) -> DataFrame:
+    """(a, b, cosine) of ``left(name, vec)`` and ``right(name, vec)`` by matrix products of blocks: pairs above
+    the threshold, or, without one, the best b of each block per a (ties: the smallest name). A name is never
+    compared with itself.
+
+    Vectors lie in cells around pivots. The angles to the pivots bound every cosine between two cells, so pairs of
+    cells that can't exceed the threshold are skipped; without a threshold, cells first meet themselves, and then only
+    cells that can exceed the least of the best cosines found. Results are exact. ``skipped`` is given the share of
+    pairs of vectors that were never compared.
+    """
+    left, right = (x.select("name", "vec").where("vec is not null and size(vec) > 0") for x in (left, right))
+    n = right.count()
+    pivots = _pivots(right, max(1, min(PIVOTS, n // CELL)))
+    a, b = _in_cells(left, pivots), _in_cells(right, pivots)
+    sizes = _summary(a), _summary(b)
+    highest = _highest(pivots, *sizes)
+    kind = "a string, b string, cosine double"
+    compare = lambda met: _pair_blocks(a, b, met, sizes).groupBy("_l", "_r", "_i", "_j").applyInPandas(_products(threshold), kind)
+    if threshold is not None:
+        met = [p for p, top in highest.items() if top > threshold - 1e-9]
+        out = compare(met)
+    else:
+        first = [p for p in highest if p[0] == p[1]]
+        own = written(compare(first), "own-cells")
+        best = a.join(own.groupBy(F.col("a").alias("name")).agg(F.max("cosine").alias("_best")), "name", "left")
+        least = {r.cell: r.least for r in best.groupBy("cell").agg(F.min(F.coalesce("_best", F.lit(-2.0))).alias("least")).collect()}
+        more = [p for p, top in highest.items() if p[0] != p[1] and top >= least[p[0]] - 1e-9]
+        met, out = first + more, own.union(compare(more))
+    if skipped is not None:
+        total = sum(x[0] for x in sizes[0].values()) * n
+        skipped.append(1 - sum(sizes[0][i][0] * sizes[1][j][0] for i, j in met) / max(1, total))
+    return out
 
 
 def vector_edges(emb: DataFrame, threshold: float = 0.65) -> DataFrame:
