@@ -234,7 +234,9 @@ def _cut(text: str | None, n_words: int, spans: list, max_coverage: float) -> st
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Cleaned documents with the columns of ``docs``: spans of words that occur in a benchmark window are cut
     out of the text, and a document of which more than ``max_coverage`` of the words are hit goes. Documents
-    without hits stay as they are, null texts included."""
+    without hits stay as they are, null and empty texts included. Rows that repeat share a fate, and so do texts that
+    tie; texts of any length are read whole; other columns stay, whatever their names. Without items every document
+    stays, and an empty table gives an empty one."""
     original, docs = docs.columns, set_aside(docs)
     names = docs.columns
     found = find_contamination(docs, items, window, block_words).withColumn("_spans", F.flatten(F.transform("_hits", lambda h: h["spans"])))
@@ -250,7 +252,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage.
+
+    Null and empty texts have no words and coverage 0. Every row gives a row, repeated rows and null ids included; items
+    that share an id count as one, and ids are in string order. Texts of any length are read whole, other columns are
+    ignored, and an empty table gives an empty one."""
     found = find_contamination(docs.select("doc_id", "text"), items, window, block_words)
     spans = F.array_sort(F.flatten(F.transform("_hits", lambda h: h["spans"])))
     end, total = F.lit(0), F.lit(0)

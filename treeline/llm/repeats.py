@@ -434,7 +434,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) ->
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null texts are empty, and shorter ones than ``length`` stay. Every row gives a row, null ids included; rows that
+    repeat a text of that length remove each other whole. Texts of any length are read whole, other columns are
+    ignored, and an empty table gives an empty one."""
     out = cut_repeats(docs.select("doc_id", "text"), length)
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return out.select(
@@ -445,7 +449,8 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; a document of which only white space is left goes,
-    unless nothing was cut."""
+    unless nothing was cut. Null and shorter texts stay as they are; rows that repeat a text of that length all go.
+    Other columns stay, whatever their names; an empty table gives an empty one."""
     original, docs = docs.columns, set_aside(docs)
     names = docs.columns
     out = cut_repeats(docs, length, as_text=True)

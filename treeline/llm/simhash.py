@@ -232,7 +232,8 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle_words: int =
 
     component_id is the smallest doc_id reachable over links of at most ``max_bits`` differing bits (null if
     all of a component's ids are null). Copies share a fingerprint and are linked through it; they are never
-    paired. Null and empty texts have fingerprint zero, which is linked like any other.
+    paired. Null and empty texts have fingerprint zero, which is linked like any other. Rows that repeat share a
+    component; texts of any length are read whole; other columns are ignored; an empty table gives an empty one.
     """
     hashed = written(fingerprints(docs.select("doc_id", "text"), shingle_words).select("doc_id", "_fp"), "simhash")
     roots = written(near_duplicates(hashed, max_bits), "roots")

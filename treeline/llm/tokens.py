@@ -98,7 +98,8 @@ def read_pieces(path: str = VOCABULARY) -> list[bytes]:
 def token_counts(docs: DataFrame, pieces: list[bytes], marker: bytes = b"", prefix: bytes = b" ") -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_words, n_tokens). Words are runs without ASCII white space, each
     counted with ``prefix`` before it. Null and empty texts have none. Every row gives a row, repeated rows and
-    null ids included; other columns are ignored.
+    null ids included; other columns are ignored. Texts and words of any length are counted whole, and an empty table
+    gives an empty one.
 
     The vocabulary is fixed in size, so its automaton is broadcast; texts stream past it without a shuffle.
     """
@@ -128,4 +129,6 @@ def token_counts(docs: DataFrame, pieces: list[bytes], marker: bytes = b"", pref
 
 
 def document_tokens(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """``token_counts`` with the vocabulary file at ``path``, which the driver reads: null and empty texts have no
+    tokens, every row gives a row, other columns are ignored, and an empty table gives an empty one."""
     return token_counts(docs, read_pieces(path))

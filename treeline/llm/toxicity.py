@@ -182,6 +182,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probab
 
 
 def remove_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_probability: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
+    """The rows of ``docs`` that are not rejected, with their columns, whatever their names. Null and empty texts have no
+    features and the intercept's probability; rows that repeat a text share a fate; texts of any length are read
+    whole; an empty table gives an empty one."""
     out = score_severity(set_aside(docs), fit_severity(labelled, labels))
     return out.where(F.col("_severity.p_toxic") < max_probability).drop("_severity").toDF(*docs.columns)
