@@ -16,8 +16,13 @@ from treeline.tables import written
 WINDOW_ROWS = 1_000_000
 
 
-def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], wholes: dict[str, Column] | None = None) -> DataFrame:
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    return df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], wholes: dict[str, Column] | None = None, largest: int | None = None) -> DataFrame:
     """``df`` with sums over the rows of the group up to each row, in the given order, and sums over whole groups.
+    ``largest`` is the size of the largest group, if it is known.
 
     Where a group is too large for one task, rows are dealt by ranges of the group and the order and summed within
     their range; what the ranges before hold comes from a row per range and group. The ranges are written before they
@@ -25,8 +30,7 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict
     """
     wholes, group = wholes or {}, Window.partitionBy(*by)
     upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    largest = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= WINDOW_ROWS:
+    if (largest_group(df, by) if largest is None else largest) <= WINDOW_ROWS:
         return df.select("*", *[F.sum(c).over(upto(group)).alias(n) for n, c in sums.items()], *[F.sum(c).over(group).alias(n) for n, c in wholes.items()])
     placed = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())], *[F.sum(c).alias(f"_w{i}") for i, c in enumerate(wholes.values())])
@@ -40,18 +44,19 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict
     return out.select(*df.columns, *[(F.col(f"_before{i}") + F.col(f"_own{i}")).alias(n) for i, n in enumerate(sums)], *[F.col(f"_whole{i}").alias(n) for i, n in enumerate(wholes)])
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None, largest: int | None = None) -> DataFrame:
     """``df`` with the number from 1 of each row in its group, in the given order (equal rows in any order), and the
     ``size`` of the group."""
     one = F.lit(1)
-    return running_totals(df, by, order, {name: one}, {size: one} if size else None).withColumn(name, F.col(name).cast("int"))
+    return running_totals(df, by, order, {name: one}, {size: one} if size else None, largest).withColumn(name, F.col(name).cast("int"))
 
 
 def ordinal_ranks(df: DataFrame, by: list[str], orders: dict[str, list[Column]]) -> DataFrame:
     """``df`` with a rank per name and order: (number - 1) / (rows - 1) in the group; a single row has 1. Equal values
     get different ranks, by the order."""
+    largest = largest_group(df, by)
     for name, order in orders.items():
-        df = numbered(df, by, order, "_row", "_rows")
+        df = numbered(df, by, order, "_row", "_rows", largest)
         rank = F.when(F.col("_rows") == 1, F.lit(1.0)).otherwise((F.col("_row") - 1) / (F.col("_rows") - 1))
         df = df.withColumn(name, rank).drop("_row", "_rows")
     return df

@@ -129,7 +129,7 @@ def suspicion_features(components: DataFrame, with_salience: bool = True, keep:
     """The four terms, each higher where an edge is more suspicious, and the columns to ``keep``. Ranks break ties
     by (parent, child)."""
     ranked = ["leverage", "salience"] if with_salience else ["leverage"]
-    components = ordinal_ranks(components, [G], {f"f_{c}": [F.col(c), F.col("parent"), F.col("child")] for c in ranked})
+    components = ordinal_ranks(written(components, "components"), [G], {f"f_{c}": [F.col(c), F.col("parent"), F.col("child")] for c in ranked})
     low = F.lit(1.0) - F.col("f_salience") if with_salience else F.lit(0.0)
     return components.select(
         *EDGE,
