@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from treeline.llm import mixing as M
 from treeline.llm import toxicity as X
 
@@ -56,13 +57,20 @@ def test_topics_tell_vocabularies_apart(spark):
     assert [tuple(got[i]) for i in (900, 901, 902)] == [(0, None), (0, None), (2, None)]
 
 
-def test_mixture_equals_plain_raking(spark, monkeypatch):
-    monkeypatch.setattr(M, "LIFT", float("inf"))
+def test_mixture_equals_plain_raking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = M.mixture(docs).toPandas()
     cells = got.assign(**{m: got[m].fillna("(none)") for m in M.MARGINS})
     total = cells.n_tokens.sum()
-    goals = {m: (cells.groupby(m).n_tokens.sum().astype(float) ** M.TEMPER).pipe(lambda s: s / s.sum()) for m in M.MARGINS}
+    table = cells.groupby(list(M.MARGINS)).n_tokens.sum().astype(float).reset_index()
+    goal = pd.Series(1.0, index=table.index)
+    for depth in range(3):
+        by, up = list(M.MARGINS[: depth + 1]), list(M.MARGINS[:depth])
+        part = table.groupby(by).n_tokens.sum() ** M.TEMPER
+        within = part / (part.groupby(level=up).transform("sum") if up else part.sum())
+        goal *= [within.loc[tuple(r) if depth else r[0]] for r in table[by].itertuples(index=False)]
+    goals = {m: goal.groupby(table[m]).sum() for m in M.MARGINS}
+    assert goal.sum() == pytest.approx(1)
     weight = pd.Series(1.0, index=cells.index)
     for _ in range(500):
         for m, goal in goals.items():
@@ -75,10 +83,32 @@ def test_mixture_equals_plain_raking(spark, monkeypatch):
     assert ((got.probability / got.weight)[some]).std() < 1e-9 and got.probability.max() <= 1
 
 
-def test_lift_bounds_weights_and_holds_what_margins_it_can(spark):
-    cells = pd.DataFrame([("a", "x", "1", 1000), ("a", "x", "2", 10), ("b", "y", "2", 1000), ("b", "y", "1", 10)], columns=["source", "lang", "topic", "tokens"])
-    goals = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"1": 0.52, "2": 0.48}}
-    f = M.rake(cells, goals, lift=4.0)
-    weight = np.minimum([f["source"][c.source] * f["lang"][c.lang] * f["topic"][c.topic] for c in cells.itertuples()], 4.0)
-    share = (cells.tokens * weight).groupby(cells.topic).sum() / (cells.tokens * weight).sum()
-    assert weight.max() <= 4 and 0.5 < share["1"] < 0.5201
+def test_topics_are_apart_from_languages_and_none_is_tiny(spark):
+    rng = random.Random(8)
+    common = {lang: [f"{lang}word{i:02}" for i in range(20)] for lang in ("de", "en", "fr")}
+    special = [[f"theme{k}x{i:02}" for i in range(12)] for k in range(3)]
+    rows = []
+    for i in range(600):
+        lang = ("de", "en", "fr")[i % 3]
+        rows.append((i, " ".join(rng.choice(common[lang]) for _ in range(60)) + " " + " ".join(rng.choice(special[i // 3 % 3]) for _ in range(30)), lang))
+    rows += [(1000 + i, f"stray{i} lonely{i} " * 9, None if i % 2 else "en") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    topics = M.fit_topics(d, n_topics=6)
+    assert min(topics.sizes) >= M.LEAST_TOPIC * 604 and sum(topics.sizes) == 604
+    got = {r.doc_id: r["_mix"].topic for r in M.describe_documents(d, topics).collect()}
+    themes = {t: {i // 3 % 3 for i in range(600) if got[i] == t} for t in set(got.values())}
+    assert all(len(k) <= 1 for k in themes.values())
+    assert M.fit_topics(d, n_topics=6).sizes == topics.sizes
+
+
+def test_mixture_meets_its_own_targets(spark, recwarn):
+    """Shares after raking are those of the tempered cells, on all three margins, though sources keep to languages."""
+    rows = [(i, f"alpha{i % 5} bravo{i % 7} " * (3 + i % 4), ("en", "de")[i % 40 == 0], ("web", "wiki", "code")[(i % 40 == 0) + (i % 9 == 0)]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = M.mixture(d).toPandas()
+    cells = got.groupby(list(M.MARGINS)).n_tokens.sum().reset_index(name="tokens")
+    goals = M.tempered(spark.createDataFrame(cells)).toPandas()
+    for m in M.MARGINS:
+        share = (got.n_tokens * got.probability).groupby(got[m]).sum() / (got.n_tokens * got.probability).sum()
+        assert share.to_dict() == pytest.approx(goals.groupby(m).goal.sum().to_dict(), abs=1e-8)
+    assert not [w for w in recwarn if "raking" in str(w.message)]
