@@ -16,6 +16,15 @@ def test_blocks_of_items_clean_as_one_block_does(spark):
     assert D.decontaminate(docs.limit(0), items, block_words=400).count() == 0
 
 
+def test_items_that_repeat_a_text_are_one_text_of_several_ids(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    items = spark.createDataFrame([(str(i) if i else None, text) for i in range(300)] + [("z", text.upper()), ("z", text)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {text} ends"), (2, "clean words alone")], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.contamination_digest(docs, items, block_words=200).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (32, 30, 300) and got[2].n_hit == 0
+    assert len(D._blocks(items.select("text").distinct(), 200)) < 5
+
+
 def test_slots_unpacked_in_parts_give_the_same_kernel(monkeypatch):
     texts = [f"word{i} {'abcdefg'[i % 7] * 3} und die katze {i * i}" for i in range(21)]
     sets = [L.presence(t) for t in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -29,7 +29,7 @@ class ItemAutomaton:
     match that ends at each word, and reports where a window (``window`` item words, or a whole shorter item)
     ends and which items hold it."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[Hashable, list[bytes]]], window: int):
         self.window = window
         self.go: list[dict[bytes, int]] = [{}]
         self.link = [-1]
@@ -55,7 +55,7 @@ class ItemAutomaton:
                 self.full[s] = s if self.length[self.link[s]] < window else self.full[self.link[s]]
         self.items = {s: frozenset(owners[s]) for s in set(self.full) if s >= 0}
         #: Whole short items by state, and for each state the nearest one on its suffix links that has any.
-        self.short: dict[int, list[tuple[int, str | None]]] = {}
+        self.short: dict[int, list[tuple[int, Hashable]]] = {}
         for item, words in ends:
             s = 0
             for w in words:
@@ -172,7 +172,7 @@ def _scan_udf(shared, window: int):
             for t in texts:
                 words = words_of(t)
                 spans, found = automaton.scan(words)
-                out.append((len(words), spans, sorted(x for x in found if x is not None)))
+                out.append((len(words), spans, sorted({x for ids in found for x in ids})))
             yield pd.DataFrame(out, columns=["n", "spans", "items"])
 
     return scan.asNondeterministic()
@@ -185,19 +185,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
 
     ``items(item_id, text)``: null and empty texts have no window; an item without an id still marks words,
     but is not listed; items that share an id count as one. Documents of null or empty text have no words.
-    Items are loaded block by block, each of a bounded number of words. With one block the documents stream past
+    Items are loaded block by block, each of a bounded number of words of distinct texts. With one block the documents stream past
     it, neither shuffled nor joined. With more, the documents are numbered and written once, every block reads
     their texts alone and gives the numbers and spans of the texts it hits, and these narrow rows are joined back.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    items = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    # Items that repeat a text are one text with several ids, so that a block does not grow with repeats.
+    items = items.where("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    items = written(items, "items")
     blocks = _blocks(items, block_words)
     sc = docs.sparkSession.sparkContext
 
     def scan_of(b: int):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == b).collect()
-        return _scan_udf(sc.broadcast([(r.item_id, words_of(r.text)) for r in rows]), window)
+        return _scan_udf(sc.broadcast([(tuple(r.ids), words_of(r.text)) for r in rows]), window)
 
     if len(blocks) == 1:
         return docs.withColumn("_hits", F.array(scan_of(0)("text"))).withColumn("_n_words", F.col("_hits")[0]["n"])
