@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Hashable, Iterator
+from array import array
+from collections.abc import Hashable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,105 +26,149 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
+#: Marks of a state without an entry, and of one with several, which are kept in a dictionary.
+NONE, MANY = -1, -2
+
+
 class ItemAutomaton:
     """Suffix automaton of many word sequences. ``scan`` follows a document word by word, keeps the longest
     match that ends at each word, and reports where a window (``window`` item words, or a whole shorter item)
-    ends and which items hold it."""
+    ends and which items hold it.
+
+    Most states have one transition and one item, so these lie in flat arrays of four bytes a state; only the others
+    have a dictionary or a set. Words and items are numbered."""
 
-    def __init__(self, items: list[tuple[Hashable, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[Hashable, list[bytes]]], window: int):
         self.window = window
-        self.go: list[dict[bytes, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        owners: list[set] = [set()]
+        self.words: dict[bytes, int] = {}
+        self.names: list[Hashable] = []
+        self.one, self.to = array("i", [NONE]), array("i", [NONE])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.owner = array("i", [NONE]), array("i", [0]), array("i", [NONE])
+        self.others: dict[int, set[int]] = {}
         ends = []
-        for item, words in items:
+        for number, (name, texts) in enumerate(items):
+            self.names.append(name)
+            words = [self.words.setdefault(w, len(self.words)) for w in texts]
             last = 0
             for w in words:
-                last = self._extend(last, w, owners)
-                owners[last].add(item)
+                last = self._extend(last, w)
+                self._own(last, (number,))
             if 0 < len(words) < window:
-                ends.append((item, words))
-        order = sorted(range(1, len(self.go)), key=self.length.__getitem__, reverse=True)
-        # Items are handed up the suffix links as far as states that hold a full window.
+                ends.append((number, words))
+        link, length = self.link, self.length
+        order = array("i", np.argsort(-np.frombuffer(length, dtype=np.int32), kind="stable").astype(np.int32).tobytes())
+        # Items are handed up the suffix links as far as states that hold a full window. The root comes last.
         for s in order:
-            if (p := self.link[s]) > 0 and self.length[p] >= window:
-                owners[p] |= owners[s]
-        #: For states whose match can hold a full window: the state of the last ``window`` words, and its items.
-        self.full = [-1] * len(self.go)
+            if (p := link[s]) > 0 and length[p] >= window:
+                self._own(p, self._owners(s))
+        #: For states whose match can hold a full window: the state of the last ``window`` words, which knows their items.
+        self.full = array("i", [NONE]) * len(link)
         for s in reversed(order):
-            if self.length[s] >= window:
-                self.full[s] = s if self.length[self.link[s]] < window else self.full[self.link[s]]
-        self.items = {s: frozenset(owners[s]) for s in set(self.full) if s >= 0}
+            if length[s] >= window:
+                self.full[s] = s if length[link[s]] < window else self.full[link[s]]
+        self.others = {s: found for s, found in self.others.items() if self.full[s] == s}
         #: Whole short items by state, and for each state the nearest one on its suffix links that has any.
-        self.short: dict[int, list[tuple[int, Hashable]]] = {}
-        for item, words in ends:
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for number, words in ends:
             s = 0
             for w in words:
-                s = self.go[s][w]
-            self.short.setdefault(s, []).append((len(words), item))
-        self.near = [0] * len(self.go)
+                s = self._next(s, w)
+            self.short.setdefault(s, []).append((len(words), number))
+        self.near = array("i", [0]) * len(link)
         for s in reversed(order):
-            self.near[s] = s if s in self.short else self.near[self.link[s]]
-
-    def _extend(self, last: int, w: bytes, owners: list[set]) -> int:
-        go, link, length = self.go, self.link, self.length
-        if w in go[last]:
-            q = go[last][w]
-            return q if length[q] == length[last] + 1 else self._split(last, w, q, owners)
-        cur = len(go)
-        go.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        owners.append(set())
+            if s:
+                self.near[s] = s if s in self.short else self.near[link[s]]
+
+    def _owners(self, s: int) -> Iterable[int]:
+        o = self.owner[s]
+        return self.others[s] if o == MANY else () if o == NONE else (o,)
+
+    def _own(self, s: int, numbers: Iterable[int]) -> None:
+        for number in numbers:
+            o = self.owner[s]
+            if o == MANY:
+                self.others[s].update(numbers)
+                return
+            if o == NONE:
+                self.owner[s] = number
+            elif o != number:
+                self.owner[s] = MANY
+                self.others[s] = {o, number}
+
+    def _next(self, s: int, w: int) -> int:
+        x = self.one[s]
+        return self.to[s] if x == w else self.more[s].get(w, NONE) if x == MANY else NONE
+
+    def _lead(self, s: int, w: int, t: int) -> None:
+        x = self.one[s]
+        if x == MANY:
+            self.more[s][w] = t
+        elif x in (NONE, w):
+            self.one[s], self.to[s] = w, t
+        else:
+            self.more[s] = {x: self.to[s], w: t}
+            self.one[s] = MANY
+
+    def _state(self, length: int, like: int = NONE) -> int:
+        """A new state, with the transitions of ``like``. What items hold it is filled in over suffix links in the end."""
+        s = len(self.link)
+        self.one.append(self.one[like] if like >= 0 else NONE)
+        self.to.append(self.to[like] if like >= 0 else NONE)
+        if self.one[s] == MANY:
+            self.more[s] = dict(self.more[like])
+        self.link.append(self.link[like] if like >= 0 else 0)
+        self.length.append(length)
+        self.owner.append(NONE)
+        return s
+
+    def _extend(self, last: int, w: int) -> int:
+        link, length = self.link, self.length
+        if (q := self._next(last, w)) >= 0:
+            return q if length[q] == length[last] + 1 else self._split(last, w, q)
+        cur = self._state(length[last] + 1)
         p = last
-        while p >= 0 and w not in go[p]:
-            go[p][w] = cur
+        while p >= 0 and (q := self._next(p, w)) < 0:
+            self._lead(p, w, cur)
             p = link[p]
         if p >= 0:
-            q = go[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._split(p, w, q, owners)
+            link[cur] = q if length[q] == length[p] + 1 else self._split(p, w, q)
         return cur
 
-    def _split(self, p: int, w: bytes, q: int, owners: list[set]) -> int:
-        go, link, length = self.go, self.link, self.length
-        copy = len(go)
-        go.append(dict(go[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        owners.append(set())  # filled from q over the suffix link in the end
-        while p >= 0 and go[p].get(w) == q:
-            go[p][w] = copy
-            p = link[p]
-        link[q] = copy
+    def _split(self, p: int, w: int, q: int) -> int:
+        copy = self._state(self.length[p] + 1, like=q)
+        while p >= 0 and self._next(p, w) == q:
+            self._lead(p, w, copy)
+            p = self.link[p]
+        self.link[q] = copy
         return copy
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set]:
         """Half-open word spans covered by windows, merged and sorted, and the items of those windows."""
-        go, link, length, window, full, near = self.go, self.link, self.length, self.window, self.full, self.near
+        one, to, more, link, length, window, full, near = self.one, self.to, self.more, self.link, self.length, self.window, self.full, self.near
         spans: list[list[int]] = []
-        found: set = set()
+        found: set[int] = set()
+        number = self.words.get
         s = n = 0
-        root = go[0]
-        for i, w in enumerate(words):
-            t = go[s].get(w)
-            if t is not None:
-                n += 1
-                s = t
-            elif s == 0:
-                continue
-            elif w not in root:
+        for i, word in enumerate(words):
+            w = number(word)
+            if w is None:
                 s = n = 0
                 continue
-            else:
-                while w not in go[s]:
-                    s = link[s]
-                n = length[s] + 1
-                s = go[s][w]
+            # Every item word leads on from the root, so this ends.
+            while True:
+                x = one[s]
+                t = to[s] if x == w else more[s].get(w, NONE) if x == MANY else NONE
+                if t >= 0:
+                    break
+                s = link[s]
+                n = length[s]
+            s = t
+            n += 1
             hit = 0
             if n >= window:
                 hit = window
-                found |= self.items[full[s]]
+                found.update(self._owners(full[s]))
             if near[s]:
                 a, most = near[s], n
                 while a > 0:
@@ -140,7 +186,7 @@ class ItemAutomaton:
                     spans[-1][1] = i + 1
                 else:
                     spans.append([lo, i + 1])
-        return spans, found
+        return spans, {self.names[i] for i in found}
 
 
 def _blocks(items: DataFrame, block_words: int) -> list[int]:
@@ -157,7 +203,7 @@ _LAST: dict[str, ItemAutomaton] = {}
 def _automaton(key: str, shared, window: int) -> ItemAutomaton:
     if key not in _LAST:
         _LAST.clear()
-        _LAST[key] = ItemAutomaton(shared.value, window)
+        _LAST[key] = ItemAutomaton(((ids, words_of(text)) for ids, text in shared.value), window)
     return _LAST[key]
 
 
@@ -199,7 +245,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
 
     def scan_of(b: int):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == b).collect()
-        return _scan_udf(sc.broadcast([(tuple(r.ids), words_of(r.text)) for r in rows]), window)
+        return _scan_udf(sc.broadcast([(tuple(r.ids), r.text) for r in rows]), window)
 
     if len(blocks) == 1:
         return docs.withColumn("_hits", F.array(scan_of(0)("text"))).withColumn("_n_words", F.col("_hits")[0]["n"])
