@@ -1,5 +1,9 @@
 """Blocks of items and of slots change no result, and predictions are those of a plain kernel regression."""
 
+import itertools
+import random
+import tracemalloc
+
 import numpy as np
 from treeline.llm import decontaminate as D
 from treeline.llm import language as L
@@ -25,10 +29,47 @@ def test_items_that_repeat_a_text_are_one_text_of_several_ids(spark):
     assert len(D._blocks(items.select("text").distinct(), 200)) < 5
 
 
+def test_automaton_equals_all_windows_on_few_words():
+    """Few words, so that states split often, have several items and several transitions."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        window, letters = rng.randrange(1, 6), [bytes([97 + i]) for i in range(rng.randrange(1, 4))]
+        items = [(i, rng.choices(letters, k=rng.randrange(0, 14))) for i in range(rng.randrange(0, 7))]
+        machine = D.ItemAutomaton(items, window)
+        for _ in range(5):
+            text = rng.choices([*letters, b"other"], k=40)
+            hit, found = set(), set()
+            for (name, own), i in itertools.product(items, range(40)):
+                n = min(window, len(own))
+                if n and any(own[j : j + n] == text[i : i + n] for j in range(len(own) - n + 1)):
+                    hit.update(range(i, i + n))
+                    found.add(name)
+            spans, names = machine.scan(text)
+            assert {x for a, b in spans for x in range(a, b)} == hit and names == found
+            assert all(b < c for (_, b), (c, _) in itertools.pairwise(spans))
+
+
+def test_automaton_takes_few_bytes_a_word():
+    rng = random.Random(4)
+    vocabulary = [b"w%d" % int(3000 * rng.random() ** 3) for _ in range(40_000)]
+    items = [((str(i),), vocabulary[i * 40 : i * 40 + 40]) for i in range(1000)]
+    tracemalloc.start()
+    machine = D.ItemAutomaton(items, 10)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(machine.link) > 40_000 and most / 40_000 < 300
+
+
+def test_slots_as_bits_and_back():
+    at = np.array([0, 7, 8, L.SLOTS - 1])
+    assert L.unpack(L.pack(at)).tolist() == at.tolist() and len(L.pack(at)) == L.SLOTS // 8
+    assert L.unpack(L.pack(at[:0])).tolist() == []
+
+
 def test_slots_unpacked_in_parts_give_the_same_kernel(monkeypatch):
     texts = [f"word{i} {'abcdefg'[i % 7] * 3} und die katze {i * i}" for i in range(21)]
     sets = [L.presence(t) for t in texts]
-    model = L.fit_model(["x", "y", "z"] * 7, sets, list(range(13)))
+    model = L.landmark_model(["x", "y", "z"], sets[:13])
     whole = model.kernel(sets)
     monkeypatch.setattr(L, "BATCH_SLOTS", 7)
     assert np.array_equal(whole, model.kernel(sets)) and whole.shape == (21, 13)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.llm.common import written
+
 #: Documents the classifier is fitted on, per language and in all, and landmarks per language (samples by hash).
 FIT_PER_LANGUAGE, FIT_ROWS, LANDMARKS = 250, 4000, 24
 #: The blended spectrum takes n-grams of one to SPECTRUM characters; each is hashed into one of SLOTS.
@@ -70,24 +73,38 @@ class LanguageModel:
         return self.kernel(sets) @ self.alpha
 
 
-def fit_model(languages: list[str], sets: list[np.ndarray], landmarks: list[int], ridge: float = 1e-2) -> LanguageModel:
-    """One-versus-rest kernel ridge regression in the Nyström space of the landmarks: minimises
-    |K_nm a - y|^2 + ridge * n * a' K_mm a for each language's +1/-1 targets."""
-    names = sorted(set(languages))
-    slots = np.unique(np.concatenate([sets[i] for i in landmarks]))
+def pack(at: np.ndarray) -> bytes:
+    """Slots as one bit each: at most 32 KB, however long the text."""
+    seen = np.zeros(SLOTS, dtype=bool)
+    seen[at] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpack(bits: bytes) -> np.ndarray:
+    return np.nonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))[0]
+
+
+def landmark_model(names: list[str], marks: list[np.ndarray]) -> LanguageModel:
+    """A model of these landmarks that has learnt nothing yet."""
+    slots = np.unique(np.concatenate(marks))
     slot_of = np.full(SLOTS, -1, dtype=np.int64)
     slot_of[slots] = np.arange(len(slots))
-    grams = np.zeros((len(slots), (len(landmarks) + 7) // 8), dtype=np.uint8)
-    for j, i in enumerate(landmarks):
-        grams[slot_of[sets[i]], j // 8] |= 128 >> j % 8
-    scale = np.sqrt(np.maximum([len(sets[i]) for i in landmarks], 1)).astype(np.float32)
-    model = LanguageModel(names, slot_of, grams, scale, np.zeros((len(landmarks), len(names))))
-    k_nm = np.concatenate([model.kernel(sets[i : i + BATCH_TEXTS]) for i in range(0, len(sets), BATCH_TEXTS)]).astype(float)
-    k_mm = model.kernel([sets[i] for i in landmarks]).astype(float)
-    y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    grams = np.zeros((len(slots), (len(marks) + 7) // 8), dtype=np.uint8)
+    for j, at in enumerate(marks):
+        grams[slot_of[at], j // 8] |= 128 >> j % 8
+    scale = np.sqrt(np.maximum([len(at) for at in marks], 1)).astype(np.float32)
+    return LanguageModel(names, slot_of, grams, scale, np.zeros((len(marks), len(names))))
+
+
+def solve(model: LanguageModel, languages: list[str], k_nm: np.ndarray, k_mm: np.ndarray, ridge: float = 1e-2) -> LanguageModel:
+    """One-versus-rest kernel ridge regression in the Nyström space of the landmarks: minimises
+    |K_nm a - y|^2 + ridge * n * a' K_mm a for each language's +1/-1 targets."""
+    k_nm, k_mm = k_nm.astype(float), k_mm.astype(float)
+    y = np.where(np.array(languages)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
     # Every language weighs the same, however many documents it has.
-    weight = np.array([1 / languages.count(x) for x in languages])
-    left = k_nm.T @ (k_nm * weight[:, None]) + ridge * k_mm + 1e-8 * np.eye(len(landmarks))
+    counts = Counter(languages)
+    weight = np.array([1 / counts[x] for x in languages])
+    left = k_nm.T @ (k_nm * weight[:, None]) + ridge * k_mm + 1e-8 * np.eye(len(k_mm))
     model.alpha = np.linalg.solve(left, k_nm.T @ (y * weight[:, None]))
     return model
 
@@ -99,8 +116,9 @@ def is_held_out() -> Column:
 def fit_language(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> LanguageModel | None:
     """Fits on ``docs(doc_id, text, lang)`` without the held-out documents; null ids, texts and languages are left
     out. At most ``per_language`` documents of each language, and as many fewer as keep them to ``rows`` in all, but
-    two of each language there is; they are those of the smallest hashes of the id, and only the bounded sets of their
-    slots reach the driver. No labelled document: no model."""
+    two of each language there is; they are those of the smallest hashes of the id. Their kernel values with the landmarks
+    are computed in the executors. The driver gets one number per fitted document and landmark, and the landmarks' slots
+    as bits, so nothing it holds grows with the length of texts. No labelled document: no model."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~is_held_out()).where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -116,20 +134,25 @@ def fit_language(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, rows: in
 
     @F.pandas_udf("binary")
     def slots(texts: pd.Series) -> pd.Series:
-        return pd.Series([presence(t).astype("<i4").tobytes() for t in texts], dtype=object)
+        return pd.Series([pack(presence(t)) for t in texts], dtype=object)
 
-    got = sample.select("lang", "_u", slots("text").alias("_slots")).collect()
-    got.sort(key=lambda r: (r["lang"], r["_u"]))
-    languages = [r["lang"] for r in got]
-    if not languages:
+    sample = written(sample.select("lang", "_r", slots("text").alias("_slots")), "language")
+    marks = sorted(sample.where(F.col("_r") <= landmarks).collect(), key=lambda r: (r["lang"], r["_r"]))
+    if not marks:
         return None
-    sets = [np.frombuffer(r["_slots"], dtype="<i4") for r in got]
-    chosen, used = [], dict.fromkeys(languages, 0)
-    for i, lang in enumerate(languages):
-        if used[lang] < landmarks:
-            used[lang] += 1
-            chosen.append(i)
-    return fit_model(languages, sets, chosen)
+    sets = [unpack(r["_slots"]) for r in marks]
+    model = landmark_model(sorted({r["lang"] for r in marks}), sets)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("binary")
+    def kernel(bits: pd.Series) -> pd.Series:
+        parts = (bits.iloc[i : i + BATCH_TEXTS] for i in range(0, len(bits), BATCH_TEXTS))
+        return pd.Series([row.astype(np.float32).tobytes() for part in parts for row in shared.value.kernel([unpack(b) for b in part])], dtype=object)
+
+    got = sorted(sample.select("lang", "_r", kernel("_slots").alias("_k")).collect(), key=lambda r: (r["lang"], r["_r"]))
+    k_nm = np.stack([np.frombuffer(r["_k"], dtype=np.float32) for r in got])
+    k_mm = np.concatenate([model.kernel(sets[i : i + BATCH_TEXTS]) for i in range(0, len(sets), BATCH_TEXTS)])
+    return solve(model, [r["lang"] for r in got], k_nm, k_mm)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
