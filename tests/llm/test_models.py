@@ -1,5 +1,6 @@
 """What the fitted models are worth: gradients, held-out rows, clusters, and raking against a plain version."""
 
+import itertools
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 import pytest
 from treeline.llm import mixing as M
 from treeline.llm import toxicity as X
+from treeline.llm.decontaminate import words_of
 
 SF = "/root/testdata/sf0.1"
 
@@ -35,6 +37,39 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(caught) >= 80 and np.mean(caught) > 0.8 and np.mean(wrong) < 0.02
 
 
+def test_toxicity_equals_plain_features_and_scores(spark):
+    """Features by their chi-squared statistic over all labelled documents, and severities text by text."""
+    sf = SF.replace("0.1", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    features = lambda t: {f for w in set(words_of(t)) for f in X.word_features(w)}
+    toxic = {r.doc_id: r.toxic for r in labels.groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic").collect() if texts.get(r.doc_id) is not None and r.toxic in (0, 1)}
+    assert len(toxic) < X.FIT_ROWS / 2
+    seen = {}
+    for i, bad in toxic.items():
+        for f in features(texts[i]):
+            seen.setdefault(f, [0, 0])[bad] += 1
+    n = [sum(bad == k for bad in toxic.values()) for k in (0, 1)]
+
+    def chi2(f):
+        b, a = seen[f]
+        c, d = n[1] - a, n[0] - b
+        return sum(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n[1] * n[0])
+
+    model = X.fit_severity(docs, labels)
+    some = [f for f, (b, a) in seen.items() if 5 <= a + b < sum(n)]
+    value = {f: chi2(f) for f in some}
+    assert set(model.features) == {f for f in some if value[f] >= X.LEAST_CHI2} and 0 < len(model.features) < X.FEATURES
+    order = [value[f] for f in sorted(model.features, key=model.features.get)]
+    assert all(a >= b - 1e-9 for a, b in itertools.pairwise(order))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    for r in X.toxicity(docs, docs, labels).collect():
+        z = sum(model.weights[model.features[f]] for f in features(texts[r.doc_id]) if f in model.features)
+        above = [1 / (1 + np.exp(-np.clip(z - t, -30, 30))) for t in model.thresholds]
+        assert (r.expected_severity, r.p_toxic) == pytest.approx((sum(above), above[0]), abs=1e-9)
+        assert (r.grade, r.rejected) == (sum(p >= 0.5 for p in above), above[0] >= 0.5)
+
+
 def test_rare_toxic_labels_are_not_drowned(spark):
     rng = random.Random(3)
     text = lambda i: " ".join([f"w{rng.randrange(80)}" for _ in range(30)] + (["grumbly", "plonker"] if i % 50 == 0 else []))

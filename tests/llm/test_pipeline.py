@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -32,5 +34,25 @@ def test_stages_on_empty_and_odd_documents(spark):
         assert docs.count() <= 3
 
 
+def test_stages_on_very_long_texts(spark):
+    """Of two long near copies one stays as it is, and a benchmark item inside a long text is cut out of it."""
+    rng = random.Random(6)
+    long, other = (" ".join(f"{w}{rng.randrange(20_000)}" for _ in range(40_000)) for w in ("lexeme", "vocable"))
+    near = long.replace("lexeme", "glyph", 1)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) >= 12)
+    half = other.index(" ", len(other) // 2)
+    rows = [(1, long), (2, near), (3, f"{other[:half]} {item}{other[half:]}"), (4, "a short text about nothing at all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    schema = docs.schema
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).select(*schema.names).collect(), schema)
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert len({1, 2} & set(got)) == 1 and {3, 4} < set(got)
+    assert all(got[i] == dict(rows)[i] for i in set(got) - {3})
+    assert got[3].split()[: other[:half].count(" ") + 1] == other[:half].split() and other[half:].split() == got[3].split()[-other[half:].count(" ") :]
+    assert " ".join(item.lower().split()[:12]) not in " ".join(got[3].lower().split())
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() <= len(got)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
