@@ -218,3 +218,8 @@ def test_strong_sets_and_weighted_cycles_equal_brute_force(spark):
     few = frame.where("graph_id in ('g1', 'g2', 'g3', 'g4')")
     assert {(r.graph_id, r.node, r.scc) for r in R.scc(few, 2).collect()} == {w for w in want if w[0] in ("g1", "g2", "g3", "g4")}
     assert {(r.graph_id, r.parent, r.child) for r in R.break_cycles(frame, "weight").collect()} == kept
+
+
+def test_broken_cycles_keep_repeated_rows(spark):
+    e = edges(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("b", "c"), ("c", "b"), ("c", "b"), ("c", "c")])
+    assert sorted(tuple(r) for r in R.break_cycles(e).select("parent", "child").collect()) == [("a", "b")] * 2 + [("b", "c")] * 2

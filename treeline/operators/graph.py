@@ -371,14 +371,15 @@ def break_cycles(e: DataFrame, mode: str = "order") -> DataFrame:
 
     ``order``: inside a set only edges that go up in (distance from the nearest root, name) stay: one pass, and
     acyclic because the order is strict. ``weight``: the heaviest edge (ties: smallest parent, then child) of
-    each set that is left goes, until none is left; ``e`` has a column weight. Loops go in either mode.
+    each set that is left goes, until none is left; ``e`` has a column weight. Loops go in either mode; rows that
+    repeat an edge stay as often as they are given.
     """
     if mode == "order":
         key = min_depth(e)
         sets = scc(e).join(key, [G, "node"], "left").withColumn("_key", F.struct(F.coalesce("depth", F.lit(UNREACHED)).alias("d"), F.col("node").alias("n")))
         sets = written(sets.select(G, "node", "scc", "_key"), "sets")
         p, c = (sets.select(G, F.col("node").alias(x), F.col("scc").alias(f"_s{x}"), F.col("_key").alias(f"_k{x}")) for x in ("parent", "child"))
-        out = edges_of(e).join(p, [G, "parent"]).join(c, [G, "child"])
+        out = e.select(G, "parent", "child").join(p, [G, "parent"]).join(c, [G, "child"])
         return out.where("_sparent <> _schild or _kparent < _kchild").select(G, "parent", "child")
     if mode != "weight":
         raise ValueError("mode must be 'order' or 'weight'")
