@@ -112,13 +112,27 @@ def _closed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         m = grown
 
 
+def _by_size(e: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of pieces of up to ``max_nodes`` nodes, with their ``_piece``; edges of larger ones). A piece is a graph or,
+    of a graph over ``max_nodes`` nodes, a weak component: paths and strong sets never leave it."""
+    e = written(edges_of(e), "sized")
+    over = written(nodes_of(e).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G), "large")
+    whole = e.join(over, G, "left_anti").withColumn("_piece", F.lit(None).cast("string"))
+    if over.isEmpty():
+        return whole, e.limit(0)
+    large = e.join(over, G, "left_semi")
+    part = written(weak_components(large).withColumnRenamed("component", "_piece"), "pieces")
+    sizes = part.groupBy(G, "_piece").agg(F.count("*").alias("_n"))
+    part = part.join(sizes, [G, "_piece"]).select(G, F.col("node").alias("parent"), "_piece", "_n")
+    large = written(large.join(part, [G, "parent"]).select(G, "parent", "child", "_piece", "_n"), "large-edges")
+    return whole.union(large.where(F.col("_n") <= max_nodes).drop("_n")), large.where(F.col("_n") > max_nodes).select(G, "parent", "child")
+
+
 def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """The same pairs (without hops) for very many small graphs in one pass: each graph is one group, a Boolean
-    matrix squared until nothing is added. Graphs over ``max_nodes`` nodes go through the joins instead, so no
-    task ever holds more than such a matrix."""
-    e = edges_of(e)
-    sizes = nodes_of(e).groupBy(G).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > max_nodes).select(G)
+    """The same pairs (without hops) for very many small graphs in one pass: each graph, or weak component of a large
+    one, is one group, a Boolean matrix squared until nothing is added. Components over ``max_nodes`` nodes go through
+    the joins instead, so no task ever holds more than such a matrix."""
+    small, large = _by_size(e, max_nodes)
 
     def close(group: pd.DataFrame) -> pd.DataFrame:
         names, m = _closed(group)
@@ -127,10 +141,10 @@ def small_closures(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
         return pd.DataFrame({G: [key.asDict() if hasattr(key, "asDict") else key] * len(a), "ancestor": names[a], "descendant": names[d]})
 
     kind = dict(e.dtypes)[G]
-    small = e.join(large, G, "left_anti").groupBy(G).applyInPandas(close, f"{G} {kind}, ancestor string, descendant string")
+    out = small.groupBy(G, "_piece").applyInPandas(close, f"{G} {kind}, ancestor string, descendant string")
     if large.isEmpty():
-        return small
-    return small.union(transitive_closure(e.join(large, G, "left_semi")).drop("hops"))
+        return out
+    return out.union(transitive_closure(large).drop("hops"))
 
 
 def transitive_reduction(e: DataFrame, c: DataFrame) -> DataFrame:
@@ -200,15 +214,8 @@ def _core(e: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return left, chains
 
 
-def _by_size(e: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """(edges of graphs of up to ``max_nodes`` nodes, edges of larger ones)."""
-    e = edges_of(e)
-    large = written(nodes_of(e).groupBy(G).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(G), "large")
-    return e.join(large, G, "left_anti"), e.join(large, G, "left_semi")
-
-
 def _small_sets(e: DataFrame) -> DataFrame:
-    """(graph_id, node, scc, cyclic) of small graphs, each a Boolean matrix: cyclic nodes reach themselves."""
+    """(graph_id, node, scc, cyclic) of small pieces, each a Boolean matrix: cyclic nodes reach themselves."""
 
     def sets(group: pd.DataFrame) -> pd.DataFrame:
         names, m = _closed(group)
@@ -216,26 +223,25 @@ def _small_sets(e: DataFrame) -> DataFrame:
         both = (m * m.T > 0) | np.eye(len(names), dtype=bool)
         return pd.DataFrame({G: [key.asDict() if hasattr(key, "asDict") else key] * len(names), "node": names, "scc": names[both.argmax(axis=1)], "cyclic": m.diagonal() > 0})
 
-    return e.groupBy(G).applyInPandas(sets, f"{G} {dict(e.dtypes)[G]}, node string, scc string, cyclic boolean")
+    return e.groupBy(G, "_piece").applyInPandas(sets, f"{G} {dict(e.dtypes)[G]}, node string, scc string, cyclic boolean")
 
 
 def is_dag(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(graph_id, is_dag). Of graphs over ``max_nodes`` nodes sources, sinks and chains are taken away until no edge is
-    left, or none can be; smaller ones are closed."""
+    """(graph_id, is_dag). Of weak components over ``max_nodes`` nodes sources, sinks and chains are taken away until no
+    edge is left, or none can be; smaller ones are closed."""
     small, large = _by_size(e, max_nodes)
-    out = _small_sets(small).groupBy(G).agg((~F.bool_or("cyclic")).alias("is_dag"))
-    if large.isEmpty():
-        return out
-    core, chains = _core(large)
-    cyclic = core.select(G)
-    for c in chains:
-        cyclic = cyclic.union(c.where("ring is not null").select(G))
-    return out.union(large.select(G).distinct().join(cyclic.distinct().withColumn("_cyclic", F.lit(True)), G, "left").select(G, F.col("_cyclic").isNull()))
+    out = _small_sets(small).select(G, "cyclic")
+    if not large.isEmpty():
+        core, chains = _core(large)
+        out = out.union(large.select(G, F.lit(False))).union(core.select(G, F.lit(True)))
+        for c in chains:
+            out = out.union(c.where("ring is not null").select(G, F.lit(True)))
+    return out.groupBy(G).agg((~F.bool_or("cyclic")).alias("is_dag"))
 
 
 def scc(e: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. Graphs of up to ``max_nodes``
-    nodes are closed, all in one pass. Of larger ones, what lies on no cycle is taken off and chains are shortened
+    """(graph_id, node, scc): strongly connected sets, each named by its smallest node. Graphs and weak components of up
+    to ``max_nodes`` nodes are closed, all in one pass. Of larger ones, what lies on no cycle is taken off and chains are shortened
     before the rest is coloured, so no table of all pairs is made."""
     small, large = _by_size(e, max_nodes)
     out = _small_sets(small).select(G, "node", "scc")
