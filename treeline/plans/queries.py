@@ -15,6 +15,7 @@ from treeline.operators import graph as R
 from treeline.operators import replies as P
 from treeline.operators import scoring as M
 from treeline.plans.fixtures import ctes, frame
+from treeline.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -504,9 +505,9 @@ _SUS = """, f as (select *, (row_number() over (order by leverage, parent, child
 sus as (select graph_id, parent, child, leverage, lp + (1 - agr) + (case when votes <= 1 then 1.0 else 0.0 end) + (1 - sp) as score from f)"""
 
 
-def _comp(t, graph: str = "parts_pred") -> DataFrame:
+def _comp(t, graph: str = "parts_pred", closure: DataFrame | None = None) -> DataFrame:
     votes = t(graph).select("graph_id", "parent", "child", (F.ascii(F.substring("child", 1, 1)) % 3).alias("votes"), F.length("parent").alias("salience"))
-    return M.edge_components(t(graph), votes)
+    return M.edge_components(t(graph), votes, closure)
 
 
 @query("m6_edge_components", ctes("parts_pred_c") + _PARTS + " select parent, child, leverage, round(agr, 6) as neighborhood_agreement, votes, salience from comp")
@@ -619,7 +620,8 @@ def _(t):
 
 @query("m14_prune_sweep_deep", ctes("deep_pred_c", "deep_c") + (_PARTS + _SUS + _RANKED + _CLOSED).replace("parts", "deep") + ' select ranker, cast(k as int) as k, tp, n_pred, round(p, 6) as "precision", round(r, 6) as recall from fin')
 def _(t):
-    return M.prune_sweep(t("deep_pred"), M.ranker_scores(_comp(t, "deep_pred")), t("deep"), KS).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall"))
+    closure = written(R.transitive_closure(t("deep_pred")).drop("hops"), "deep-closure")
+    return M.prune_sweep(t("deep_pred"), M.ranker_scores(_comp(t, "deep_pred", closure)), t("deep"), KS, closure=closure).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall"))
 
 
 _BAD = """, rk as (select 'oracle' as ranker, parent, child, row_number() over (order by leverage desc, parent, child) as r from comp where (parent, child) not in (select a, d from parts_c)), ks as (select 'oracle' as ranker, unnest(range(0, (select count(*) + 1 from rk))) as k)"""
