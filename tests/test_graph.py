@@ -231,3 +231,14 @@ def test_large_graphs_of_small_components_need_no_joins(spark, monkeypatch):
     for name in ("transitive_closure", "_core"):
         monkeypatch.setattr(R, name, None)
     assert (rows(R.small_closures(e, 5), "ancestor", "descendant"), rows(R.scc(e, 5), "node", "scc"), rows(R.is_dag(e, 5), "graph_id", "is_dag")) == want
+
+
+def test_reach_is_counted_with_and_without_nulls(spark):
+    """No path goes through a null, but one may start or end in it."""
+    pairs = [("a", "b"), ("b", "c"), ("b", None), (None, "c"), ("c", "d"), ("d", "c")]
+    e = edges(spark, pairs)
+    want = {("a", "b", 1), ("a", "c", 2), ("a", None, 2), ("a", "d", 3), ("b", "c", 1), ("b", None, 1), ("b", "d", 2), (None, "c", 1), (None, "d", 2), ("c", "d", 1), ("c", "c", 2), ("d", "c", 1), ("d", "d", 2)}
+    assert rows(R.transitive_closure(e), "ancestor", "descendant", "hops") == want
+    assert rows(R.reach_counts(e), "ancestor", "n", "most") == {("a", 4, 3), ("b", 3, 2), (None, 2, 2), ("c", 2, 2), ("d", 2, 2)}
+    whole = edges(spark, [p for p in pairs if None not in p])
+    assert rows(R.reach_counts(whole), "ancestor", "n", "most") == {("a", 3, 3), ("b", 2, 2), ("c", 2, 2), ("d", 2, 2)}

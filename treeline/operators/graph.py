@@ -29,26 +29,67 @@ def roots_of(e: DataFrame) -> DataFrame:
     return e.select(G, F.col("parent").alias("node")).distinct().join(e.select(G, F.col("child").alias("node")), [G, "node"], "left_anti")
 
 
-def transitive_closure(e: DataFrame) -> DataFrame:
-    """(graph_id, ancestor, descendant, hops): all pairs joined by a path of one or more edges, with the length of
-    the shortest. Nodes on cycles reach themselves.
+def node_ids(e: DataFrame) -> DataFrame:
+    """(graph_id, node, id): numbers that no two nodes share, of whatever graph. They are written, since they are given
+    out anew each time they are computed."""
+    return written(nodes_of(e).withColumn("id", F.monotonically_increasing_id()), "node-ids")
+
+
+def as_ids(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct edges as numbers (a, d) of ``nodes``."""
+    a, d = (nodes.select(G, F.col("node").alias(end), F.col("id").alias(x)) for end, x in (("parent", "a"), ("child", "d")))
+    return edges_of(e).join(a, [G, "parent"]).join(d, [G, "child"]).select("a", "d")
+
+
+def close_pairs(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, d, hops): all pairs joined by a path over the distinct ``edges`` (by, a, d), with the length of the
+    shortest. Nodes on cycles reach themselves.
 
     Each round doubles the length of the paths that are known: a shortest path of h + 1 to 2h edges is one of h edges
     and a known one. So only the pairs at distance h are extended, rounds are as many as the logarithm of the longest
-    shortest path, and each is written.
+    shortest path, and each is written. Without a pair at distance h there is none beyond.
     """
-    base = written(edges_of(e), "edges")
-    pair = [G, "ancestor", "descendant"]
-    known = new = base.select(G, F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("hops"))
+    known = far = written(edges.select(*by, "a", "d", F.lit(1).alias("hops")), "closure")
     h = 1
-    while True:
-        ahead = known.select(G, F.col("ancestor").alias("_via"), "descendant", (F.col("hops") + h).alias("hops"))
-        far = new.where(F.col("hops") == h).select(G, "ancestor", F.col("descendant").alias("_via"))
-        found = far.join(ahead, [G, "_via"]).groupBy(*pair).agg(F.min("hops").alias("hops"))
-        new = written(found.join(known, pair, "left_anti"), "closure")
-        if new.isEmpty():
-            return known
+    while not far.isEmpty():
+        ahead = known.select(*by, F.col("a").alias("_via"), "d", (F.col("hops") + h).alias("hops"))
+        found = far.select(*by, "a", F.col("d").alias("_via")).join(ahead, [*by, "_via"]).select(*by, "a", "d", "hops")
+        # What was known has at most h edges, and what is found has more.
+        new = written(known.union(found).groupBy(*by, "a", "d").agg(F.min("hops").alias("hops")).where(F.col("hops") > h), "closure")
         known, h = known.union(new), 2 * h
+        far = new.where(F.col("hops") == h)
+    return known
+
+
+def _closed_ids(e: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, nodes): the closure as numbers of nodes; where a name or a graph is null, which no path goes through,
+    the closure (graph_id, a, d, hops) of names, and no nodes."""
+    base = written(edges_of(e), "edges")
+    nodes = node_ids(base)
+    if not nodes.where(f"{G} is null or node is null").isEmpty():
+        return close_pairs(base.select(G, F.col("parent").alias("a"), F.col("child").alias("d")), (G,)), None
+    return close_pairs(as_ids(base, nodes)), nodes
+
+
+def transitive_closure(e: DataFrame) -> DataFrame:
+    """(graph_id, ancestor, descendant, hops): all pairs joined by a path of one or more edges, with the length of
+    the shortest. Nodes on cycles reach themselves. Paths are joined as numbers; names are put back at the end."""
+    pairs, nodes = _closed_ids(e)
+    if nodes is None:
+        return pairs.select(G, F.col("a").alias("ancestor"), F.col("d").alias("descendant"), "hops")
+    a = nodes.select(G, F.col("node").alias("ancestor"), F.col("id").alias("a"))
+    d = nodes.select(F.col("node").alias("descendant"), F.col("id").alias("d"))
+    return pairs.join(a, "a").join(d, "d").select(G, "ancestor", "descendant", "hops")
+
+
+def reach_counts(e: DataFrame) -> DataFrame:
+    """(graph_id, ancestor, n, most): how many nodes each node reaches, and how far the furthest of them is. Nodes that
+    reach none are left out."""
+    pairs, nodes = _closed_ids(e)
+    count = [F.count("*").alias("n"), F.max("hops").alias("most")]
+    if nodes is None:
+        return pairs.groupBy(G, F.col("a").alias("ancestor")).agg(*count)
+    return pairs.groupBy(F.col("a").alias("id")).agg(*count).join(nodes, "id").select(G, F.col("node").alias("ancestor"), "n", "most")
 
 
 def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int = 2000) -> DataFrame:

@@ -251,7 +251,7 @@ def _(t):
 
 @query("g1_closure_sales", ctes("sales_c") + "select a as ancestor, count(*) as n from sales_c group by a")
 def _(t):
-    return R.transitive_closure(t("sales")).groupBy("ancestor").agg(F.count("*").alias("n"))
+    return R.reach_counts(t("sales")).select("ancestor", "n")
 
 
 @query("g1_small_closures", ctes("parts_c", "ring_c", "geo_c") + "select graph_id, a as ancestor, d as descendant from parts_c union all select graph_id, a, d from ring_c union all select graph_id, a, d from geo_c")
@@ -269,7 +269,7 @@ def _(t):
 
 @query("g1_closure_deep", ctes("deep") + _HOPS.format("deep") + " select a as ancestor, count(distinct d) as n, cast(max(m) as int) as most from (select a, d, min(h) as m from h group by a, d) group by a")
 def _(t):
-    return R.transitive_closure(t("deep")).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("hops").alias("most"))
+    return R.reach_counts(t("deep")).select("ancestor", "n", "most")
 
 
 _RED = ", red as (select * from parts p where not exists (select 1 from parts q join parts_c c on c.a = q.child where q.parent = p.parent and c.d = p.child))"
