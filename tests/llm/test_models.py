@@ -136,6 +136,24 @@ def test_topics_are_apart_from_languages_and_none_is_tiny(spark):
     assert M.fit_topics(d, n_topics=6).sizes == topics.sizes
 
 
+def test_topics_are_fitted_on_all_rows(spark):
+    """More rows than the driver fits alone: sizes, weights and language means are those of every row with a term, and
+    the same however rows lie."""
+    rng = random.Random(7)
+    words = [[f"{c}{c}{c}{i:03}" for i in range(40)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(words[i % 3]) for _ in range(50)), ("de", "en", None)[i // 3 % 3]) for i in range(500)]
+    rows += [rows[0]] * 20 + [(900, None, "de"), (901, "a bc", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = M.cluster([(M.term_slots(t)[1], lang) for _, t, lang in rows], 3)
+    got = M.fit_topics(d, n_topics=3, sample=60)
+    assert sum(got.sizes) == 520 and sorted(got.sizes) == sorted(whole.sizes)
+    assert np.allclose(got.weight, whole.weight) and np.allclose(got.mean, whole.mean, atol=1e-7)
+    assert set(got.means) == {"de", "en"} and all(np.allclose(got.means[k], whole.means[k], atol=1e-7) for k in got.means)
+    assert np.allclose(sorted(map(tuple, got.centres)), sorted(map(tuple, whole.centres)), atol=1e-5)
+    again = M.fit_topics(d.repartition(5), n_topics=3, sample=60)
+    assert (again.centres == got.centres).all() and again.sizes == got.sizes
+
+
 def test_mixture_meets_its_own_targets(spark, recwarn):
     """Shares after raking are those of the tempered cells, on all three margins, though sources keep to languages."""
     rows = [(i, f"alpha{i % 5} bravo{i % 7} " * (3 + i % 4), ("en", "de")[i % 40 == 0], ("web", "wiki", "code")[(i % 40 == 0) + (i % 9 == 0)]) for i in range(400)]

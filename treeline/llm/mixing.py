@@ -10,17 +10,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import set_aside, written
 
 MARGINS = ("source", "lang", "topic")
-#: Topics, the documents they are fitted on at most, and the slots that words are hashed into.
+#: Topics, the documents up to which the driver fits them alone (of more, so many give the starts, and all the fit), and
+#: the slots that words are hashed into.
 N_TOPICS, TOPIC_SAMPLE, TERMS = 8, 2000, 512
 #: Starts that the clustering chooses from, the least share of a topic, and the documents that the overall mean counts
 #: for in the mean of a language.
 STARTS, LEAST_TOPIC, PRIOR = 8, 0.02, 20
+#: What vectors are multiplied by before they are summed as integers, so that no order of rows changes a sum.
+SCALE = 1 << 30
 #: Cells (combinations of levels that occur) that are raked on the driver; more are raked as tables.
 CELLS = 200_000
 #: Target shares are the observed ones to this power, unless targets are given: below 1 it lifts rare levels.
@@ -66,6 +70,17 @@ class Topics:
         """The nearest centre (ties: the first); null without a term or a centre."""
         return str(int((self.centres @ self.centred(slots, lang)).argmax())) if slots and len(self.centres) else None
 
+    def rows(self, slots: list[np.ndarray], counts: list[np.ndarray], langs: list[str | None]) -> np.ndarray:
+        """The unit vectors of what texts say beyond their languages."""
+        x = np.zeros((len(slots), TERMS))
+        if len(slots):
+            at = np.repeat(np.arange(len(slots)), [len(r) for r in slots])
+            x[at, np.concatenate(slots)] = np.log1p(np.concatenate(counts))
+        x = _unit(x * self.weight)
+        for lang in set(langs):
+            x[[other == lang for other in langs]] -= self.means.get(lang, self.mean)
+        return _unit(x)
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-12)
@@ -83,6 +98,21 @@ def _settle(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
     return centres
 
 
+def _starts(x: np.ndarray, n_topics: int, rounds: int) -> list[np.ndarray]:
+    """STARTS sets of centres, each drawn from the rows and settled on them."""
+    out = []
+    for seed in range(STARTS):
+        rng = np.random.default_rng(seed)
+        chosen = [int(rng.integers(len(x)))]
+        far = 1 - x @ x[chosen[0]]
+        while len(chosen) < n_topics and far.max() > 1e-9:
+            chance = np.maximum(far, 0)
+            chosen.append(int(rng.choice(len(x), p=chance / chance.sum())))
+            far = np.minimum(far, 1 - x @ x[chosen[-1]])
+        out.append(_settle(x, x[chosen], rounds))
+    return out
+
+
 def cluster(rows: list[tuple[dict[int, int], str | None]], n_topics: int, rounds: int = 25) -> Topics:
     """Spherical k-means over (term counts, language). Each of STARTS starts draws its centres with a chance that grows
     with the distance from those before, and that with the least distance in the end wins. While a topic has less than
@@ -101,19 +131,7 @@ def cluster(rows: list[tuple[dict[int, int], str | None]], n_topics: int, rounds
         own = x[[lang == name for lang in langs]]
         means[name] = (own.sum(axis=0) + PRIOR * mean) / (len(own) + PRIOR)
     x = _unit(x - np.stack([means.get(lang, mean) for lang in langs]))
-    found, best = None, -np.inf
-    for seed in range(STARTS):
-        rng = np.random.default_rng(seed)
-        chosen = [int(rng.integers(len(x)))]
-        far = 1 - x @ x[chosen[0]]
-        while len(chosen) < n_topics and far.max() > 1e-9:
-            chance = np.maximum(far, 0)
-            chosen.append(int(rng.choice(len(x), p=chance / chance.sum())))
-            far = np.minimum(far, 1 - x @ x[chosen[-1]])
-        centres = _settle(x, x[chosen], rounds)
-        near = float((x @ centres.T).max(axis=1).sum())
-        if near > best:
-            found, best = centres, near
+    found = max(_starts(x, n_topics, rounds), key=lambda centres: float((x @ centres.T).max(axis=1).sum()))
     while True:
         sizes = np.bincount((x @ found.T).argmax(axis=1), minlength=len(found))
         if len(found) == 1 or sizes.min() >= LEAST_TOPIC * len(x):
@@ -125,37 +143,139 @@ def _language(docs: DataFrame) -> Column:
     return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
 
-def fit_topics(docs: DataFrame, n_topics: int = N_TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Topics of ``docs(doc_id, text)``, apart from what ``lang`` tells if there is such a column, fitted on ``sample`` documents at most, chosen by a hash of id and text;
-    of these, term counts reach the driver."""
-    mark = F.xxhash64("doc_id", "text", F.lit(9))
-    share = min(1.0, 4 * sample / max(docs.count(), 1))
+def with_terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_terms`` (tokens long, slots, counts), as ``term_slots`` gives them, and ``_lang``."""
 
-    @F.pandas_udf("slots array<int>, counts array<int>")
+    @F.pandas_udf("tokens long, slots array<int>, counts array<int>")
     def terms(texts: pd.Series) -> pd.DataFrame:
-        found = [term_slots(t)[1] for t in texts]
-        return pd.DataFrame({"slots": [list(f) for f in found], "counts": [list(f.values()) for f in found]})
+        found = [term_slots(t) for t in texts]
+        return pd.DataFrame({"tokens": [n for n, _ in found], "slots": [list(f) for _, f in found], "counts": [list(f.values()) for _, f in found]})
+
+    return docs.withColumn("_lang", _language(docs)).withColumn("_terms", terms.asNondeterministic()("text"))
 
-    few = docs.withColumn("_l", _language(docs)).where("text is not null").withColumn("_h", mark).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = few.select("_h", "_l", terms("text").alias("_t")).groupBy("_h").agg(F.first("_t").alias("_t"), F.min("_l").alias("_l")).orderBy("_h").limit(sample).collect()
-    return cluster([(dict(zip(r["_t"]["slots"], r["_t"]["counts"], strict=True)), r["_l"]) for r in rows], n_topics)
+
+def _tallied(terms: DataFrame, tally, key: str) -> DataFrame:
+    """(key, slot, n): the sums over all tasks of what ``tally`` makes of one: it takes batches (slots, counts, languages)
+    and gives {key: array of integers}."""
+    kind = pa.schema([("key", pa.int32() if key == "int" else pa.string()), ("sums", pa.list_(pa.int64()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (([np.asarray(r) for r in b["slots"].to_numpy(zero_copy_only=False)], list(b["counts"].to_numpy(zero_copy_only=False)), b["_lang"].to_pylist()) for b in batches if b.num_rows)
+        for k, sums in tally(some).items():
+            yield pa.RecordBatch.from_pydict({"key": [k], "sums": [sums.tolist()]}, schema=kind)
+
+    return terms.mapInArrow(task, f"key {key}, sums array<long>").select("key", F.posexplode("sums").alias("slot", "v")).groupBy("key", "slot").agg(F.sum("v").alias("n"))
+
+
+def _language_means(terms: DataFrame, weight: np.ndarray) -> Topics:
+    """``Topics`` without centres, with the means of all vectors and those of each language: a row of TERMS numbers for
+    each language on the driver."""
+    bare = Topics(np.zeros((0, TERMS)), weight)
+
+    def tally(batches):
+        out = {}
+        for slots, counts, langs in batches:
+            x = np.rint(bare.rows(slots, counts, langs) * SCALE).astype(np.int64)
+            for lang in set(langs):
+                own = [other == lang for other in langs]
+                out[lang] = out.get(lang, 0) + np.append(x[own].sum(axis=0), sum(own))
+        return out
+
+    sums = {}
+    for r in _tallied(terms, tally, "string").collect():
+        sums.setdefault(r["key"], np.zeros(TERMS + 1))[r["slot"]] = r["n"]
+    whole = sum(sums.values())
+    mean = whole[:TERMS] / SCALE / whole[TERMS]
+    return Topics(bare.centres, weight, mean, {k: (v[:TERMS] / SCALE + PRIOR * mean) / (v[TERMS] + PRIOR) for k, v in sorted((k, v) for k, v in sums.items() if k is not None)})
+
+
+def _assigned(terms: DataFrame, base: Topics, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(sum of the vectors of each centre, how many they are, nearness of all to their centres) for each of ``starts``, from
+    one pass over all rows."""
+
+    def tally(batches):
+        out = {(i, k): np.zeros(TERMS + 2, np.int64) for i, centres in enumerate(starts) for k in range(len(centres))}
+        for rows in batches:
+            x = base.rows(*rows)
+            whole = np.rint(x * SCALE).astype(np.int64)
+            for i, centres in enumerate(starts):
+                near = np.round(x @ centres.T, 9)  # ties go to the first, whatever the order of additions
+                own = near.argmax(axis=1)
+                for k in range(len(centres)):
+                    mine = own == k
+                    out[i, k] += np.concatenate((whole[mine].sum(axis=0), [mine.sum(), np.rint(near[mine, k] * SCALE).sum()])).astype(np.int64)
+        return {i * N_KEYS + k: v for (i, k), v in out.items()}
+
+    sums = [np.zeros((len(centres), TERMS + 2)) for centres in starts]
+    for r in _tallied(terms, tally, "int").collect():
+        i, k = divmod(r["key"], N_KEYS)
+        sums[i][k, r["slot"]] = r["n"]
+    return [(x[:, :TERMS] / SCALE, x[:, TERMS].astype(int), x[:, TERMS + 1].sum()) for x in sums]
+
+
+#: Keys of a start: above any number of topics.
+N_KEYS = 1 << 20
+
+
+def cluster_all(terms: DataFrame, few: list[tuple[dict[int, int], str | None]], n_rows: int, n_topics: int, rounds: int = 25) -> Topics:
+    """``cluster`` over all rows of ``terms(slots, counts, _lang)``, each with a term. Slots' weights, means, centres and
+    sizes come from every row; ``few`` rows only give the centres that the rounds start from. A round is one aggregate
+    of a few numbers per centre; sums are of integers, so that the same rows give the same topics however they lie."""
+    seen = np.zeros(TERMS)
+    for r in terms.select(F.explode("slots").alias("s")).groupBy("s").count().collect():
+        seen[r["s"]] = r["count"]
+    base = _language_means(terms, np.log((1 + n_rows) / (1 + seen)) + 1e-9)
+    x = base.rows([np.array(list(r)) for r, _ in few], [np.array(list(r.values())) for r, _ in few], [lang for _, lang in few])
+    starts = _starts(x, n_topics, rounds)
+    scored = _assigned(terms, base, starts)
+    best = max(range(len(starts)), key=lambda i: scored[i][2])
+    centres, (sums, sizes, _) = starts[best], scored[best]
+    while True:
+        for _ in range(rounds):
+            new = np.where((sums * sums).sum(axis=1, keepdims=True) > 0, _unit(sums), centres)
+            if np.allclose(new, centres, atol=1e-6):
+                break
+            centres = new
+            sums, sizes, _ = _assigned(terms, base, [centres])[0]
+        if len(centres) == 1 or sizes.min() >= LEAST_TOPIC * n_rows:
+            return Topics(centres, base.weight, base.mean, base.means, tuple(sizes.tolist()))
+        centres = np.delete(centres, sizes.argmin(), axis=0)
+        sums, sizes, _ = _assigned(terms, base, [centres])[0]
+
+
+def fit_topics(docs: DataFrame, n_topics: int = N_TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """Topics of ``docs(doc_id, text)``, apart from what ``lang`` tells if there is such a column, fitted on every row
+    that has a term; rows that are repeated count as often. Up to ``sample`` rows are clustered on the driver. Of more,
+    as many, chosen by a hash of id and text, give the centres to start from. ``docs`` may have what ``with_terms`` adds."""
+    if "_terms" not in docs.columns:
+        docs = with_terms(docs)
+    mark = F.col("_h") if "_h" in docs.columns else F.xxhash64("doc_id", "text", F.lit(9))
+    terms = written(docs.select("_lang", "_terms.slots", "_terms.counts", mark.alias("_h")).where(F.size("slots") > 0), "topic-terms")
+    n = terms.count()
+    share = min(1.0, 4 * sample / max(n, 1))
+    few = terms.where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("_h", "_lang").limit(sample).collect()
+    few = [(dict(zip(r["slots"], r["counts"], strict=True)), r["_lang"]) for r in few]
+    return cluster(few, n_topics) if n <= sample else cluster_all(terms.drop("_h"), few, n, n_topics)
 
 
 def describe_documents(docs: DataFrame, topics: Topics) -> DataFrame:
     """``docs`` with ``_mix`` (tokens long, topic string). Tokens are words; null and empty texts have none and no
-    topic."""
+    topic. What ``with_terms`` adds is used, and left out."""
+    if "_terms" not in docs.columns:
+        docs = with_terms(docs)
     shared = docs.sparkSession.sparkContext.broadcast(topics)
 
     @F.pandas_udf("tokens long, topic string")
-    def described(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, langs in batches:
-            rows = []
-            for t, lang in zip(texts, langs, strict=True):
-                n, slots = term_slots(t)
-                rows.append((n, shared.value.of(slots, lang)))
-            yield pd.DataFrame(rows, columns=["tokens", "topic"])
+    def described(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for terms, langs in batches:
+            own, topic = shared.value, np.full(len(terms), None, dtype=object)
+            some = np.flatnonzero([len(r) > 0 for r in terms["slots"]])
+            if len(some) and len(own.centres):
+                x = own.rows(list(terms["slots"].iloc[some]), list(terms["counts"].iloc[some]), [None if pd.isna(x) else x for x in langs.iloc[some]])
+                topic[some] = [str(k) for k in np.round(x @ own.centres.T, 9).argmax(axis=1)]
+            yield pd.DataFrame({"tokens": terms["tokens"], "topic": topic})
 
-    return docs.withColumn("_mix", described.asNondeterministic()("text", _language(docs)))
+    return docs.withColumn("_mix", described.asNondeterministic()("_terms", "_lang")).drop("_terms", "_lang")
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], sweeps: int = 500, close: float = 1e-10) -> dict[str, dict[str, float]]:
@@ -308,8 +428,10 @@ def mixture(docs: DataFrame, seed: int = 42, targets: dict | None = None) -> Dat
     """Per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled. Rows that repeat id
     and text share a fate; null and empty texts have no tokens, no topic and the weight of their levels. Other
     columns are ignored; an empty table gives an empty one."""
-    small = describe_documents(docs.select("doc_id", "text", "source", "lang"), fit_topics(docs)).withColumn("_u", _uniform(seed)).drop("text")
-    out = calibrate(written(small, "mixture"), targets)
+    some = docs.select("doc_id", "text", "source", "lang").withColumn("_u", _uniform(seed))
+    mark = F.xxhash64("doc_id", "text", F.lit(9))
+    small = written(with_terms(some).withColumn("_h", mark).drop("text"), "terms")
+    out = calibrate(written(describe_documents(small, fit_topics(small)), "mixture"), targets)
     return out.select(
         "doc_id", "source", "lang", F.col("_mix.topic").alias("topic"), F.col("_mix.tokens").alias("n_tokens"),
         F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (F.col("_u") < F.col("_probability")).alias("sampled"),
@@ -322,6 +444,6 @@ def sample_mixture(docs: DataFrame, seed: int = 42, targets: dict | None = None)
     original = [c for c in docs.columns if c != "sampling_weight"]
     docs = set_aside(docs.drop("sampling_weight"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    described = written(describe_documents(docs, fit_topics(docs)).withColumn("_u", _uniform(seed)), "mixture")
-    out = calibrate(described, targets)
+    terms = written(with_terms(docs).withColumn("_u", _uniform(seed)), "terms")
+    out = calibrate(describe_documents(terms, fit_topics(terms)), targets)
     return out.where(F.col("_u") < F.col("_probability")).select(*names, F.col("_weight").alias("sampling_weight")).toDF(*original, "sampling_weight")
