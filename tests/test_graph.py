@@ -242,3 +242,11 @@ def test_reach_is_counted_with_and_without_nulls(spark):
     assert rows(R.reach_counts(e), "ancestor", "n", "most") == {("a", 4, 3), ("b", 3, 2), (None, 2, 2), ("c", 2, 2), ("d", 2, 2)}
     whole = edges(spark, [p for p in pairs if None not in p])
     assert rows(R.reach_counts(whole), "ancestor", "n", "most") == {("a", 3, 3), ("b", 2, 2), ("c", 2, 2), ("d", 2, 2)}
+
+
+def test_a_closure_ends_with_its_last_pair_that_goes_on(spark, monkeypatch):
+    """Two levels take one round: its pairs end in leaves."""
+    names, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: names.append(name) or write(df, name))
+    assert rows(R.transitive_closure(edges(spark, [("a", "b"), ("b", "c"), ("b", "d")])), "ancestor", "descendant", "hops") == {("a", "b", 1), ("b", "c", 1), ("b", "d", 1), ("a", "c", 2), ("a", "d", 2)}
+    assert names.count("closure") == 2

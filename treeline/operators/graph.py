@@ -47,26 +47,29 @@ def close_pairs(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Each round doubles the length of the paths that are known: a shortest path of h + 1 to 2h edges is one of h edges
     and a known one. So only the pairs at distance h are extended, rounds are as many as the logarithm of the longest
-    shortest path, and each is written. Without a pair at distance h there is none beyond.
+    shortest path, and each is written. Pairs that end in a leaf are marked and never extended; without another pair at
+    distance h there is none beyond.
     """
-    known = far = written(edges.select(*by, "a", "d", F.lit(1).alias("hops")), "closure")
-    h = 1
+    on = edges.select(*by, F.col("a").alias("d"), F.lit(True).alias("_on")).distinct()
+    known = written(edges.join(on, [*by, "d"], "left").select(*by, "a", "d", F.lit(1).alias("hops"), F.col("_on").isNotNull().alias("_on")), "closure")
+    far, h = known.where("_on"), 1
     while not far.isEmpty():
-        ahead = known.select(*by, F.col("a").alias("_via"), "d", (F.col("hops") + h).alias("hops"))
-        found = far.select(*by, "a", F.col("d").alias("_via")).join(ahead, [*by, "_via"]).select(*by, "a", "d", "hops")
+        ahead = known.select(*by, F.col("a").alias("_via"), "d", (F.col("hops") + h).alias("hops"), "_on")
+        found = far.select(*by, "a", F.col("d").alias("_via")).join(ahead, [*by, "_via"]).select(*by, "a", "d", "hops", "_on")
         # What was known has at most h edges, and what is found has more.
-        new = written(known.union(found).groupBy(*by, "a", "d").agg(F.min("hops").alias("hops")).where(F.col("hops") > h), "closure")
+        new = known.union(found).groupBy(*by, "a", "d").agg(F.min("hops").alias("hops"), F.max("_on").alias("_on"))
+        new = written(new.where(F.col("hops") > h), "closure")
         known, h = known.union(new), 2 * h
-        far = new.where(F.col("hops") == h)
-    return known
+        far = new.where((F.col("hops") == h) & F.col("_on"))
+    return known.drop("_on")
 
 
-def _closed_ids(e: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, nodes): the closure as numbers of nodes; where a name or a graph is null, which no path goes through,
-    the closure (graph_id, a, d, hops) of names, and no nodes."""
+def _closed_ids(e: DataFrame, numbers: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, nodes): the closure as ``numbers`` of nodes; without, or where a name or a graph is null, which no path
+    goes through, the closure (graph_id, a, d, hops) of names, and no nodes."""
     base = written(edges_of(e), "edges")
-    nodes = node_ids(base)
-    if not nodes.where(f"{G} is null or node is null").isEmpty():
+    nodes = node_ids(base) if numbers else None
+    if nodes is None or not nodes.where(f"{G} is null or node is null").isEmpty():
         return close_pairs(base.select(G, F.col("parent").alias("a"), F.col("child").alias("d")), (G,)), None
     return close_pairs(as_ids(base, nodes)), nodes
 
@@ -82,10 +85,11 @@ def transitive_closure(e: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(d, "d").select(G, "ancestor", "descendant", "hops")
 
 
-def reach_counts(e: DataFrame) -> DataFrame:
+def reach_counts(e: DataFrame, numbers: bool = True) -> DataFrame:
     """(graph_id, ancestor, n, most): how many nodes each node reaches, and how far the furthest of them is. Nodes that
-    reach none are left out."""
-    pairs, nodes = _closed_ids(e)
+    reach none are left out. Without ``numbers`` paths are joined by names: for graphs of so few levels that numbering
+    their nodes costs more than it saves."""
+    pairs, nodes = _closed_ids(e, numbers)
     count = [F.count("*").alias("n"), F.max("hops").alias("most")]
     if nodes is None:
         return pairs.groupBy(G, F.col("a").alias("ancestor")).agg(*count)

@@ -251,7 +251,7 @@ def _(t):
 
 @query("g1_closure_sales", ctes("sales_c") + "select a as ancestor, count(*) as n from sales_c group by a")
 def _(t):
-    return R.reach_counts(t("sales")).select("ancestor", "n")
+    return R.reach_counts(t("sales"), numbers=False).select("ancestor", "n")
 
 
 @query("g1_small_closures", ctes("parts_c", "ring_c", "geo_c") + "select graph_id, a as ancestor, d as descendant from parts_c union all select graph_id, a, d from ring_c union all select graph_id, a, d from geo_c")
