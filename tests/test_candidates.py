@@ -45,3 +45,30 @@ def test_cosines_equal_all_pairs(spark, monkeypatch, spread, skips):
     assert set(best) == set(a) and all(best[n] == pytest.approx(s[i].max()) for i, n in enumerate(a))
     C.cosine_pairs(left, right, None, shares)
     assert (min(shares) > 0.5) == skips
+
+
+def test_a_vector_goes_to_a_bounded_number_of_shares(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL", 10)
+    monkeypatch.setattr(C, "BLOCK", 5)
+    rows = spark.createDataFrame(clustered(800, 16, 12, 3.0, 7), "name string, vec array<double>")
+    pivots = C._pivots(rows, 80)
+    cells = C._in_cells(rows, pivots)
+    side = C._summary(cells)
+    met = [(i, j) for i in side for j in side]
+    dealt, keys = C._shared(cells, cells, met, (side, side))
+    assert keys == C.SHARES**2 and dealt.count() == 2 * 800 * C.SHARES  # blocks of cells sent each vector to some 160
+    own = {(r._k, r.side, r.name) for r in dealt.collect()}
+    at = {s: {} for s in (0, 1)}
+    for k, s, name in own:
+        at[s].setdefault(name, set()).add(k)
+    assert all(len(at[0][a] & at[1][b]) == 1 for a in list(at[0])[:50] for b in at[1])
+
+
+def test_the_nearest_of_equal_vectors_is_the_smallest_name(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL", 20)
+    monkeypatch.setattr(C, "BLOCK", 15)
+    base = clustered(40, 64, 5, 0.3, 3)
+    data = [(f"{c}{n}", v) for c in "abcdef" for n, v in base]
+    rows = spark.createDataFrame(data, "name string, vec array<double>")
+    got = {r.child: r.parent for r in C.nearest_parent(rows, rows).collect()}
+    assert got == {c + n: ("b" if c == "a" else "a") + n for c, (n, _) in ((c, x) for c in "abcdef" for x in base)}

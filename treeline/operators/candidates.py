@@ -8,6 +8,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +64,13 @@ def lexical_edges(nodes: DataFrame, block_chars: int = TERMS) -> DataFrame:
     return hits.join(up, "_in").join(down, [G, "_around"]).where("parent <> child").select(G, "parent", "child").distinct()
 
 
-#: Pivots at most (their pairs of cells are a table on the driver), vectors per pivot wished for, and per block.
+#: Pivots at most (their pairs of cells are a table on the driver), vectors per pivot wished for, and per block of a product.
 PIVOTS, CELL, BLOCK = 256, 250, 2000
+#: Shares that a side is cut into, each sent to the shares of the other one, and vectors per share at most: of more, there
+#: are more shares. So what is shuffled grows with the vectors, not with their pairs, up to SHARES * SHARE of them.
+SHARES, SHARE = 12, 100_000
+#: Cosines no further apart than this are equal: products of the same vectors differ in their last bits by where they lie.
+SAME = 1e-12
 
 
 def _unit(v) -> np.ndarray:
@@ -123,38 +129,97 @@ def _highest(pivots: np.ndarray, left: dict, right: dict) -> dict[tuple[int, int
     return out
 
 
-def _pair_blocks(left: DataFrame, right: DataFrame, met: list[tuple[int, int]], sizes: tuple[dict, dict]) -> DataFrame:
-    """(_l, _r, _i, _j, side, name, vec): every vector goes to each pair of blocks that it is part of. Blocks are parts of
-    cells; ``met`` are the pairs of cells to compare."""
-    parts = [{c: -(-x[0] // BLOCK) for c, x in side.items()} for side in sizes]
-    table = left.sparkSession.createDataFrame([(i, j, parts[0][i], parts[1][j]) for i, j in met], "_l int, _r int, _a int, _b int")
-    pairs = F.broadcast(table)  # at most one row for each pair of pivots
-    at = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(pairs, F.col("cell") == F.col("_l")).select("_l", "_r", at("_a").alias("_i"), others("_b").alias("_j"), F.lit(0).alias("side"), "name", "vec")
-    b = right.join(pairs, F.col("cell") == F.col("_r")).select("_l", "_r", others("_a").alias("_i"), at("_b").alias("_j"), F.lit(1).alias("side"), "name", "vec")
-    return a.union(b)
-
-
-def _products(threshold: float | None):
-    def products(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = (group[group["side"] == s].sort_values("name") for s in (0, 1))
-        empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "cosine": pd.Series(dtype=float)})
-        if a.empty or b.empty:
-            return empty
-        s = _unit(a["vec"]) @ _unit(b["vec"]).T
-        an, bn = a["name"].to_numpy(), b["name"].to_numpy()
-        s[an[:, None] == bn[None, :]] = -np.inf
-        i, j = (np.arange(len(an)), s.argmax(axis=1)) if threshold is None else np.nonzero(s > threshold)
-        keep = np.isfinite(s[i, j])
-        return pd.DataFrame({"a": an[i][keep], "b": bn[j][keep], "cosine": s[i, j][keep]})
+def _intervals(side: dict[int, tuple[int, float, float]], shares: int) -> tuple[dict[int, int], list[set[int]]]:
+    """Where each cell begins when a side's cells are laid end to end, and the cells that each of ``shares`` equal
+    stretches of them holds."""
+    starts, at, total = {}, 0, sum(x[0] for x in side.values())
+    held = [set() for _ in range(shares)]
+    for c in sorted(side):
+        starts[c] = at
+        at += side[c][0]
+        for k in range(starts[c] * shares // total, (at - 1) * shares // total + 1):
+            held[k].add(c)
+    return starts, held
+
+
+def _shared(left: DataFrame, right: DataFrame, met: list[tuple[int, int]], sizes: tuple[dict, dict]) -> tuple[DataFrame, int]:
+    """(_k, side, cell, name, vec) and the number of keys: every vector goes to the pairs of shares that it is part of, at
+    most SHARES of them up to SHARES * SHARE vectors a side. Shares are stretches of cells; ``met`` are the pairs of cells
+    to compare, and pairs of shares without one are left out."""
+    spark, counts = left.sparkSession, [sum(x[0] for x in side.values()) for side in sizes]
+    shares = [max(1, min(SHARES, -(-n // BLOCK)), -(-n // SHARE)) for n in counts]
+    laid = [_intervals(side, k) if side else ({}, [set()]) for side, k in zip(sizes, shares, strict=True)]
+    wanted: dict[int, set[int]] = {}
+    for i, j in met:
+        wanted.setdefault(i, set()).add(j)
+    pairs = []
+    for i, cells in enumerate(laid[0][1]):
+        others = set().union(*(wanted.get(c, set()) for c in cells))
+        pairs += [(i, j) for j, own in enumerate(laid[1][1]) if others & own]
+    table = F.broadcast(spark.createDataFrame([(n, i, j) for n, (i, j) in enumerate(pairs)], "_k int, _s0 int, _s1 int"))  # a row for each pair of shares
+
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        starts = F.broadcast(spark.createDataFrame([(c, at, sizes[side][c][0]) for c, at in laid[side][0].items()], "cell int, _start long, _size long"))  # a row for each pivot
+        share = F.floor((F.col("_start") + F.pmod(F.xxhash64("name"), F.col("_size"))) * shares[side] / max(1, counts[side])).cast("int")
+        return rows.join(starts, "cell").withColumn(f"_s{side}", share).join(table, f"_s{side}").select("_k", F.lit(side).alias("side"), "cell", "name", "vec")
+
+    return dealt(left, 0).union(dealt(right, 1)), max(1, len(pairs))
+
+
+PAIR = pa.schema([("a", pa.string()), ("b", pa.string()), ("cosine", pa.float64())])
+
+
+def _directions(rows: pa.Table) -> np.ndarray:
+    return _unit(rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+
+
+def _stretches(cells: np.ndarray) -> list[tuple[int, slice]]:
+    """(cell, rows) of sorted cells, BLOCK rows at most."""
+    ends = np.append(np.flatnonzero(np.diff(cells)) + 1, len(cells))
+    return [(int(cells[lo]), slice(at, min(at + BLOCK, hi))) for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True) for at in range(lo, hi, BLOCK)]
+
+
+def _products(met: list[tuple[int, int]], threshold: float | None):
+    wanted = set(met)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        sides = [both.filter(pc.equal(both["side"], k)).sort_by([("cell", "ascending"), ("name", "ascending")]) for k in (0, 1)]
+        if not (len(sides[0]) and len(sides[1])):
+            return
+        names = [x["name"].combine_chunks() for x in sides]
+        code = pa.concat_arrays(names).dictionary_encode().indices.to_numpy()
+        code = code[: len(names[0])], code[len(names[0]) :]
+        u, v = (_directions(x) for x in sides)
+        rows, columns = (_stretches(x["cell"].to_numpy()) for x in sides)
+        for c, at in rows:
+            own, place = np.full(at.stop - at.start, -np.inf), np.full(at.stop - at.start, -1)
+            for d, other in columns:
+                if (c, d) not in wanted:
+                    continue
+                s = u[at] @ v[other].T
+                if np.isin(code[0][at], code[1][other]).any():
+                    s[code[0][at][:, None] == code[1][other][None, :]] = -np.inf
+                if threshold is not None:
+                    i, j = np.nonzero(s > threshold)
+                    yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i + at.start)), names[1].take(pa.array(j + other.start)), pa.array(s[i, j])], schema=PAIR)
+                    continue
+                top = s.max(axis=1)
+                j = (s >= top[:, None] - SAME).argmax(axis=1)
+                tied = np.flatnonzero((np.abs(top - own) <= SAME) & (place >= 0) & np.isfinite(top))
+                better = top > own
+                better[tied] = [names[1][int(j[k] + other.start)].as_py() < names[1][int(place[k])].as_py() for k in tied]
+                own, place = np.where(better, top, own), np.where(better, j + other.start, place)
+            if threshold is None:
+                some = np.flatnonzero(np.isfinite(own) & (place >= 0))
+                yield pa.RecordBatch.from_arrays([names[0].take(pa.array(some + at.start)), names[1].take(pa.array(place[some])), pa.array(own[some])], schema=PAIR)
 
     return products
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float | None, skipped: list | None = None) -> DataFrame:
     """(a, b, cosine) of ``left(name, vec)`` and ``right(name, vec)`` by matrix products of blocks: pairs above
-    the threshold, or, without one, the best b of each block per a (ties: the smallest name). A name is never
+    the threshold, or, without one, the best b of each share per a (ties: the smallest name). A name is never
     compared with itself.
 
     Vectors lie in cells around pivots. The angles to the pivots bound every cosine between two cells, so pairs of
@@ -168,8 +233,11 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float | None, ski
     a, b = _in_cells(left, pivots), _in_cells(right, pivots)
     sizes = _summary(a), _summary(b)
     highest = _highest(pivots, *sizes)
-    kind = "a string, b string, cosine double"
-    compare = lambda met: _pair_blocks(a, b, met, sizes).groupBy("_l", "_r", "_i", "_j").applyInPandas(_products(threshold), kind)
+
+    def compare(met: list[tuple[int, int]]) -> DataFrame:
+        rows, keys = _shared(a, b, met, sizes)
+        return rows.repartition(keys, "_k").groupBy("_k").applyInArrow(_products(met, threshold), "a string, b string, cosine double")
+
     if threshold is not None:
         met = [p for p, top in highest.items() if top > threshold - 1e-9]
         out = compare(met)
@@ -195,7 +263,7 @@ def vector_edges(emb: DataFrame, threshold: float = 0.65) -> DataFrame:
 def nearest_parent(test: DataFrame, pool: DataFrame) -> DataFrame:
     """The closest pool entry of every test entry (never itself; ties: the smallest name)."""
     best = cosine_pairs(test, pool, None)
-    first = best.groupBy("a").agg(F.min(F.struct((-F.col("cosine")).alias("d"), "b")).alias("m"))
+    first = best.groupBy("a").agg(F.min(F.struct(F.round(-F.col("cosine"), 12).alias("d"), "b")).alias("m"))
     return first.select(F.col("m.b").alias("parent"), F.col("a").alias("child"), (-F.col("m.d")).alias("cosine"))
 
 
