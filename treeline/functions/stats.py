@@ -37,18 +37,37 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict
     ahead = [(F.sum(f"_s{i}").over(group.orderBy("_range")) - F.col(f"_s{i}")).alias(f"_before{i}") for i in range(len(sums))]
     before = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), *ahead, *[F.sum(f"_w{i}").over(group).alias(f"_whole{i}") for i in range(len(wholes))])
     within = upto(Window.partitionBy(*by, "_range"))
+    own = placed.select("*", *[F.sum(c).over(within).alias(f"_own{i}") for i, c in enumerate(sums.values())])
+    out = _with_before(own, before, by)
+    return out.select(*df.columns, *[(F.col(f"_before{i}") + F.col(f"_own{i}")).alias(n) for i, n in enumerate(sums)], *[F.col(f"_whole{i}").alias(n) for i, n in enumerate(wholes)])
+
+
+def _with_before(rows: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with what ``before(_0, _1, ..., _at)`` says of their group and range. It is written, so that Spark knows how
+    small it is before it would shuffle the rows for the join."""
     same = F.col("_range") == F.col("_at")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_{i}"))
-    out = placed.select("*", *[F.sum(c).over(within).alias(f"_own{i}") for i, c in enumerate(sums.values())]).join(before, same)
-    return out.select(*df.columns, *[(F.col(f"_before{i}") + F.col(f"_own{i}")).alias(n) for i, n in enumerate(sums)], *[F.col(f"_whole{i}").alias(n) for i, n in enumerate(wholes)])
+    return rows.join(written(before, "before"), same)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str | None = None, largest: int | None = None) -> DataFrame:
     """``df`` with the number from 1 of each row in its group, in the given order (equal rows in any order), and the
-    ``size`` of the group."""
-    one = F.lit(1)
-    return running_totals(df, by, order, {name: one}, {size: one} if size else None, largest).withColumn(name, F.col(name).cast("int"))
+    ``size`` of the group. Ranges of large groups are numbered where they are sorted, so rows are shuffled once."""
+    largest = largest_group(df, by) if largest is None else largest
+    if largest <= WINDOW_ROWS:
+        one = F.lit(1)
+        return running_totals(df, by, order, {name: one}, {size: one} if size else None, largest).withColumn(name, F.col(name).cast("int"))
+    # The lower 33 bits count the rows of a partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = written(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_place", place), "ranges")
+    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    group = Window.partitionBy(*by)
+    ahead = F.sum("_n").over(group.orderBy("_range")) - F.col("_n") - F.col("_first")
+    before = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), ahead.alias("_ahead"), F.sum("_n").over(group).alias("_whole"))
+    out = _with_before(placed, before, by)
+    return out.select(*df.columns, (F.col("_place") + F.col("_ahead") + 1).cast("int").alias(name), *([F.col("_whole").alias(size)] if size else []))
 
 
 def ordinal_ranks(df: DataFrame, by: list[str], orders: dict[str, list[Column]]) -> DataFrame:

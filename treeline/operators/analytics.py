@@ -236,10 +236,12 @@ def learned_suspicion(features: DataFrame, names: list[str], l2: float = 0.01) -
 def perplexity_features(edges: DataFrame, ppl: DataFrame) -> DataFrame:
     """Edges (graph_id, parent, child as primary terms) with the forward perplexity, its ratio to the reverse one
     and the ranks of both: what is missing ranks as 0.0 forward and 1.0 in ratio."""
+    ppl = written(ppl.select("child", "parent", "ppl"), "perplexities")
     fwd = ppl.select("child", "parent", F.col("ppl").alias("forward"))
     rev = ppl.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.col("ppl").alias("_rev"))
     e = edges.join(fwd, ["child", "parent"], "left").join(rev, ["child", "parent"], "left").withColumn("ratio", F.col("forward") / F.nullif(F.col("_rev"), F.lit(0.0)))
     e = e.withColumn("_f", F.coalesce("forward", F.lit(0.0))).withColumn("_q", F.coalesce("ratio", F.lit(1.0)))
+    e = written(e, "ratios")  # read by the counts of the groups, the bounds of the ranges and the ranges
     ranked = ordinal_ranks(e, [G], {name: [F.col(c), F.col("parent"), F.col("child")] for name, c in (("f_forward", "_f"), ("f_ratio", "_q"))})
     return ranked.select(G, "parent", "child", "forward", "ratio", "f_forward", "f_ratio")
 
