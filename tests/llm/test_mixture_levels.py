@@ -1,5 +1,7 @@
 """Margins with very many levels, and targets that do not name them all."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from treeline.llm import mixing as M
 
@@ -42,3 +44,29 @@ def test_tables_give_what_the_driver_gives(spark, monkeypatch, targets):
     monkeypatch.setattr(M, "CELLS", 3)
     for r in M.mixture(docs, targets=targets).collect():
         assert r.probability == pytest.approx(want[r.doc_id].probability, rel=1e-6, abs=1e-12) and r.weight == pytest.approx(want[r.doc_id].weight, rel=1e-6, abs=1e-12)
+
+
+def test_a_pass_over_terms_gives_the_sums_of_the_whole_vectors(monkeypatch):
+    rng = np.random.default_rng(1)
+    slots = [rng.choice(M.TERMS, size=rng.integers(1, 60), replace=False).astype(np.int32) for _ in range(500)]
+    counts = [rng.integers(1, 9, len(x)).astype(np.int32) for x in slots]
+    langs = [["en", "de", "fr", None][i % 4] for i in range(500)]
+    base = M.Topics(np.zeros((0, M.TERMS)), rng.random(M.TERMS) + 0.1, rng.random(M.TERMS) / 30, {k: rng.random(M.TERMS) / 30 for k in ("de", "en")})
+    centres = M._unit(rng.standard_normal((5, M.TERMS)))
+    x = base.rows(slots, counts, langs)
+    own = (x @ centres.T).argmax(axis=1)
+    kind = pa.list_(pa.int32())
+    cuts = [slice(0, 200), slice(200, 500)]
+    batches = [(pa.array(slots[c], kind), pa.array(counts[c], kind), pa.array(langs[c], pa.string())) for c in cuts]
+
+    class Tallied:
+        def __init__(self, terms, tally, key, arrays=False):
+            self.rows = [{"key": k, "slot": i, "n": n} for k, v in tally(iter(batches)).items() for i, n in enumerate(v)]
+
+        def collect(self):
+            return self.rows
+
+    monkeypatch.setattr(M, "_tallied", Tallied)
+    sums, sizes, near = M._assigned(None, base, [centres])[0]
+    assert sizes.tolist() == np.bincount(own, minlength=5).tolist()
+    assert np.allclose(sums, [x[own == k].sum(axis=0) for k in range(5)], atol=1e-6) and near / M.SCALE == pytest.approx((x @ centres.T).max(axis=1).sum())

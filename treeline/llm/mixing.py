@@ -154,13 +154,16 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_lang", _language(docs)).withColumn("_terms", terms.asNondeterministic()("text"))
 
 
-def _tallied(terms: DataFrame, tally, key: str) -> DataFrame:
-    """(key, slot, n): the sums over all tasks of what ``tally`` makes of one: it takes batches (slots, counts, languages)
-    and gives {key: array of integers}."""
+def _tallied(terms: DataFrame, tally, key: str, arrays: bool = False) -> DataFrame:
+    """(key, slot, n): the sums over all tasks of what ``tally`` makes of one: it takes batches (slots, counts, languages),
+    as lists of rows or as Arrow ``arrays``, and gives {key: array of integers}."""
     kind = pa.schema([("key", pa.int32() if key == "int" else pa.string()), ("sums", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (([np.asarray(r) for r in b["slots"].to_numpy(zero_copy_only=False)], list(b["counts"].to_numpy(zero_copy_only=False)), b["_lang"].to_pylist()) for b in batches if b.num_rows)
+        if arrays:
+            some = ((b["slots"], b["counts"], b["_lang"]) for b in batches if b.num_rows)
+        else:
+            some = (([np.asarray(r) for r in b["slots"].to_numpy(zero_copy_only=False)], list(b["counts"].to_numpy(zero_copy_only=False)), b["_lang"].to_pylist()) for b in batches if b.num_rows)
         for k, sums in tally(some).items():
             yield pa.RecordBatch.from_pydict({"key": [k], "sums": [sums.tolist()]}, schema=kind)
 
@@ -189,28 +192,73 @@ def _language_means(terms: DataFrame, weight: np.ndarray) -> Topics:
     return Topics(bare.centres, weight, mean, {k: (v[:TERMS] / SCALE + PRIOR * mean) / (v[TERMS] + PRIOR) for k, v in sorted((k, v) for k, v in sums.items() if k is not None)})
 
 
+@dataclass(frozen=True)
+class Held:
+    """Texts of a batch: the row, slot and value of each term of their unit vectors, these as a table, the place of each
+    row's language in ``means`` (the last is that of all texts), and what rows less that mean are multiplied by."""
+
+    row: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+    table: np.ndarray
+    lang: np.ndarray
+    means: np.ndarray
+    scale: np.ndarray
+
+    def near(self, centres: np.ndarray) -> np.ndarray:
+        """Products of the rows of ``Topics.rows`` with ``centres``, without making these rows."""
+        return (self.table @ centres.T - (self.means @ centres.T)[self.lang]) * self.scale[:, None]
+
+
+def _held(base: Topics, means: np.ndarray, place: dict[str, int], slots: pa.Array, counts: pa.Array, langs: pa.Array) -> Held:
+    n = len(slots)
+    row, slot = np.repeat(np.arange(n), slots.value_lengths().to_numpy()), slots.flatten().to_numpy()
+    value = np.log1p(counts.flatten().to_numpy()) * base.weight[slot]
+    value /= np.maximum(np.sqrt(np.bincount(row, weights=value * value, minlength=n)), 1e-12)[row]
+    table = np.zeros((n, TERMS))
+    table[row, slot] = value
+    codes = langs.dictionary_encode()
+    known = np.array([place.get(x, len(means) - 1) for x in codes.dictionary.to_pylist()] + [len(means) - 1])
+    lang = known[codes.indices.fill_null(len(known) - 1).to_numpy()]
+    if len(means) <= 64:
+        along = (table @ means.T)[np.arange(n), lang]
+    else:
+        along = np.bincount(row, weights=value * means[lang[row], slot], minlength=n)
+    square = np.bincount(row, minlength=n).clip(0, 1) - 2 * along + (means * means).sum(axis=1)[lang]
+    close = np.flatnonzero(square < 1e-4)  # differences of nearly equal numbers: added up anew
+    square[close] = ((table[close] - means[lang[close]]) ** 2).sum(axis=1)
+    return Held(row, slot, value, table, lang, means, 1 / np.maximum(np.sqrt(square), 1e-12))
+
+
 def _assigned(terms: DataFrame, base: Topics, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(sum of the vectors of each centre, how many they are, nearness of all to their centres) for each of ``starts``, from
-    one pass over all rows."""
+    one pass over all rows. A sum is that of the terms less the means of the languages times what their rows are
+    multiplied by, which tasks add up apart."""
+    names = sorted(base.means)
+    place, means = {x: i for i, x in enumerate(names)}, np.stack([*(base.means[x] for x in names), base.mean])
+    n_langs = len(means)
 
     def tally(batches):
-        out = {(i, k): np.zeros(TERMS + 2, np.int64) for i, centres in enumerate(starts) for k in range(len(centres))}
+        out = {(i, k): np.zeros(TERMS + 2 + n_langs, np.int64) for i, centres in enumerate(starts) for k in range(len(centres))}
         for rows in batches:
-            x = base.rows(*rows)
-            whole = np.rint(x * SCALE).astype(np.int64)
+            x = _held(base, means, place, *rows)
+            whole, scale = np.rint(x.value * x.scale[x.row] * SCALE), np.rint(x.scale * SCALE)  # sums of integers below 2^53 are exact
             for i, centres in enumerate(starts):
-                near = np.round(x @ centres.T, 9)  # ties go to the first, whatever the order of additions
-                own = near.argmax(axis=1)
-                for k in range(len(centres)):
-                    mine = own == k
-                    out[i, k] += np.concatenate((whole[mine].sum(axis=0), [mine.sum(), np.rint(near[mine, k] * SCALE).sum()])).astype(np.int64)
+                near = np.round(x.near(centres), 9)  # ties go to the first, whatever the order of additions
+                own, n = near.argmax(axis=1), len(centres)
+                sums = np.bincount(own[x.row] * TERMS + x.slot, weights=whole, minlength=n * TERMS).reshape(n, TERMS)
+                sizes = np.bincount(own, minlength=n)
+                nearness = np.bincount(own, weights=np.rint(near[np.arange(len(own)), own] * SCALE), minlength=n)
+                shares = np.bincount(own * n_langs + x.lang, weights=scale, minlength=n * n_langs).reshape(n, n_langs)
+                for k in range(n):
+                    out[i, k] += np.concatenate((sums[k], [sizes[k], nearness[k]], shares[k])).astype(np.int64)
         return {i * N_KEYS + k: v for (i, k), v in out.items()}
 
-    sums = [np.zeros((len(centres), TERMS + 2)) for centres in starts]
-    for r in _tallied(terms, tally, "int").collect():
+    sums = [np.zeros((len(centres), TERMS + 2 + n_langs)) for centres in starts]
+    for r in _tallied(terms, tally, "int", arrays=True).collect():
         i, k = divmod(r["key"], N_KEYS)
         sums[i][k, r["slot"]] = r["n"]
-    return [(x[:, :TERMS] / SCALE, x[:, TERMS].astype(int), x[:, TERMS + 1].sum()) for x in sums]
+    return [((x[:, :TERMS] - x[:, TERMS + 2 :] @ means) / SCALE, x[:, TERMS].astype(int), x[:, TERMS + 1].sum()) for x in sums]
 
 
 #: Keys of a start: above any number of topics.
