@@ -70,3 +70,28 @@ def test_a_pass_over_terms_gives_the_sums_of_the_whole_vectors(monkeypatch):
     sums, sizes, near = M._assigned(None, base, [centres])[0]
     assert sizes.tolist() == np.bincount(own, minlength=5).tolist()
     assert np.allclose(sums, [x[own == k].sum(axis=0) for k in range(5)], atol=1e-6) and near / M.SCALE == pytest.approx((x @ centres.T).max(axis=1).sum())
+
+
+def test_a_pass_reads_blocks_of_texts(spark, monkeypatch):
+    """Passes read a row for each block of texts instead of one for each text, and give the same sums."""
+    rng = np.random.default_rng(2)
+    rows = [([int(s) for s in rng.choice(M.TERMS, size=1 + i % 40, replace=False)], [1 + j % 5 for j in range(1 + i % 40)], ["en", "de", "fr", None][i % 4]) for i in range(300)]
+    terms = spark.createDataFrame(rows, "slots array<int>, counts array<int>, _lang string").repartition(2)
+    base = M.Topics(np.zeros((0, M.TERMS)), rng.random(M.TERMS) + 0.1, rng.random(M.TERMS) / 30, {k: rng.random(M.TERMS) / 30 for k in ("de", "en")})
+    starts = [M._unit(rng.standard_normal((n, M.TERMS))) for n in (4, 2)]
+    monkeypatch.setattr(M, "BLOCK", 64)
+    packed = M._packed(terms, base)
+    assert 5 <= packed.count() <= 7
+    for (a, sizes, near), (b, sizes_b, near_b) in zip(M._assigned(terms, base, starts), M._assigned(packed, base, starts), strict=True):
+        assert sizes.tolist() == sizes_b.tolist() and np.array_equal(a, b) and near == near_b
+
+
+def test_a_pass_gives_no_rows_for_tasks_without_texts(spark):
+    terms = spark.createDataFrame([([1, 2], [1, 1], "en")], "slots array<int>, counts array<int>, _lang string").repartition(40)
+    base = M.Topics(np.zeros((0, M.TERMS)), np.ones(M.TERMS), np.zeros(M.TERMS), {"en": np.zeros(M.TERMS)})
+
+    def tally(batches):
+        return {0: np.array([sum(len(rows[2]) for rows in batches)])}
+
+    assert [r["n"] for r in M._tallied(terms, tally, "int", arrays=True).collect()] == [1]
+    assert M._assigned(M._packed(terms, base), base, [np.eye(M.TERMS)[:2]])[0][1].tolist() == [0, 1]

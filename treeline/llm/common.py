@@ -13,12 +13,12 @@ from treeline.tables import work_dir
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: it cuts the lineage, is computed
-    once, and survives the loss of any executor."""
+    once, and survives the loss of any executor. ``options`` are those of the writer."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/treeline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

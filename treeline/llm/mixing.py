@@ -31,16 +31,31 @@ CELLS = 200_000
 TEMPER = 0.8
 #: Sweeps without a gain after which raking stops.
 PATIENCE = 20
+#: Words whose slots a worker remembers, texts in a block of ``_packed``, and texts for which a pass has a task.
+WORDS, BLOCK, TASK = 100_000, 256, 1 << 14
 OTHER, MISSING = "(other)", "(none)"
 
 
+class _Slots(dict):
+    """The slot of a word, none for those of under four characters; up to ``WORDS`` words are kept."""
+
+    def __missing__(self, word: str) -> int | None:
+        slot = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TERMS if len(word) >= 4 else None
+        if len(self) < WORDS:
+            self[word] = slot
+        return slot
+
+
+_SLOT = _Slots()
+
+
 def term_slots(text: str | None) -> tuple[int, dict[int, int]]:
     """(number of words, how often each of TERMS slots is hit by a lower-cased word of four or more characters)."""
     words = text.lower().split() if text else []
     slots: dict[int, int] = {}
     for w, n in Counter(words).items():
-        if len(w) >= 4:
-            slot = zlib.crc32(w.encode("utf-8", "surrogatepass")) % TERMS
+        slot = _SLOT[w]
+        if slot is not None:
             slots[slot] = slots.get(slot, 0) + n
     return len(words), slots
 
@@ -156,16 +171,20 @@ def with_terms(docs: DataFrame) -> DataFrame:
 
 def _tallied(terms: DataFrame, tally, key: str, arrays: bool = False) -> DataFrame:
     """(key, slot, n): the sums over all tasks of what ``tally`` makes of one: it takes batches (slots, counts, languages),
-    as lists of rows or as Arrow ``arrays``, and gives {key: array of integers}."""
+    as lists of rows or as Arrow ``arrays``, or the rows of ``_packed``, and gives {key: array of integers}."""
+    columns = terms.columns
     kind = pa.schema([("key", pa.int32() if key == "int" else pa.string()), ("sums", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if arrays:
+        if "scales" in columns:
+            some = (r for b in batches for r in b.to_pylist())
+        elif arrays:
             some = ((b["slots"], b["counts"], b["_lang"]) for b in batches if b.num_rows)
         else:
             some = (([np.asarray(r) for r in b["slots"].to_numpy(zero_copy_only=False)], list(b["counts"].to_numpy(zero_copy_only=False)), b["_lang"].to_pylist()) for b in batches if b.num_rows)
         for k, sums in tally(some).items():
-            yield pa.RecordBatch.from_pydict({"key": [k], "sums": [sums.tolist()]}, schema=kind)
+            if sums.any():
+                yield pa.RecordBatch.from_pydict({"key": [k], "sums": [sums.tolist()]}, schema=kind)
 
     return terms.mapInArrow(task, f"key {key}, sums array<long>").select("key", F.posexplode("sums").alias("slot", "v")).groupBy("key", "slot").agg(F.sum("v").alias("n"))
 
@@ -230,18 +249,49 @@ def _held(base: Topics, means: np.ndarray, place: dict[str, int], slots: pa.Arra
     return Held(row, slot, value, table, lang, means, 1 / np.maximum(np.sqrt(square), 1e-12))
 
 
+def _places(base: Topics) -> tuple[dict[str, int], np.ndarray]:
+    """({language: its row}, means): the means of the languages, and that of all texts last."""
+    names = sorted(base.means)
+    return {x: i for i, x in enumerate(names)}, np.stack([*(base.means[x] for x in names), base.mean])
+
+
+def _packed(terms: DataFrame, base: Topics) -> DataFrame:
+    """What ``_held`` makes of all rows, written: a row has the bytes of the arrays of up to BLOCK texts, so that a pass
+    neither makes the vectors anew nor takes single numbers from Spark to Python."""
+    place, means = _places(base)
+    kind = pa.schema([(c, pa.binary()) for c in ("sizes", "slots", "terms", "langs", "scales")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                some = b.slice(i, BLOCK)
+                x = _held(base, means, place, some["slots"], some["counts"], some["_lang"])
+                sizes = np.bincount(x.row, minlength=len(x.lang))
+                parts = (sizes.astype(np.int32), x.slot.astype(np.int16), x.value, x.lang.astype(np.int32), x.scale)
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in parts], schema=kind)
+
+    return written(terms.mapInArrow(task, ", ".join(f"{c} binary" for c in kind.names)), "topic-blocks", **{"parquet.block.size": 8 << 20})
+
+
+def _unpacked(block: dict[str, bytes], means: np.ndarray) -> Held:
+    sizes, slot, value, lang, scale = (np.frombuffer(block[c], t) for c, t in (("sizes", np.int32), ("slots", np.int16), ("terms", float), ("langs", np.int32), ("scales", float)))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    table = np.zeros((len(sizes), TERMS))
+    table.reshape(-1)[row * TERMS + slot] = value
+    return Held(row, slot, value, table, lang, means, scale)
+
+
 def _assigned(terms: DataFrame, base: Topics, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(sum of the vectors of each centre, how many they are, nearness of all to their centres) for each of ``starts``, from
-    one pass over all rows. A sum is that of the terms less the means of the languages times what their rows are
+    one pass over all rows, as they are or ``_packed``. A sum is that of the terms less the means of the languages times what their rows are
     multiplied by, which tasks add up apart."""
-    names = sorted(base.means)
-    place, means = {x: i for i, x in enumerate(names)}, np.stack([*(base.means[x] for x in names), base.mean])
+    place, means = _places(base)
     n_langs = len(means)
 
     def tally(batches):
         out = {(i, k): np.zeros(TERMS + 2 + n_langs, np.int64) for i, centres in enumerate(starts) for k in range(len(centres))}
         for rows in batches:
-            x = _held(base, means, place, *rows)
+            x = _unpacked(rows, means) if isinstance(rows, dict) else _held(base, means, place, *rows)
             whole, scale = np.rint(x.value * x.scale[x.row] * SCALE), np.rint(x.scale * SCALE)  # sums of integers below 2^53 are exact
             for i, centres in enumerate(starts):
                 near = np.round(x.near(centres), 9)  # ties go to the first, whatever the order of additions
@@ -275,6 +325,8 @@ def cluster_all(terms: DataFrame, few: list[tuple[dict[int, int], str | None]],
     base = _language_means(terms, np.log((1 + n_rows) / (1 + seen)) + 1e-9)
     x = base.rows([np.array(list(r)) for r, _ in few], [np.array(list(r.values())) for r, _ in few], [lang for _, lang in few])
     starts = _starts(x, n_topics, rounds)
+    # Every task of a pass gives a row for each number of each centre, so tasks are no more than texts or cores ask for.
+    terms = _packed(terms, base).coalesce(max(terms.sparkSession.sparkContext.defaultParallelism, n_rows // TASK))
     scored = _assigned(terms, base, starts)
     best = max(range(len(starts)), key=lambda i: scored[i][2])
     centres, (sums, sizes, _) = starts[best], scored[best]
