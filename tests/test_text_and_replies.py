@@ -76,3 +76,13 @@ def test_objects_and_channels(spark):
 def test_p_values():
     for t, df, p in ((2.0, 10, 0.07338803), (12.706205, 1, 0.05), (0.0, 5, 1.0), (3.0, 200, 0.00303897)):
         assert abs(stats.two_sided_p(t, df) - p) < 1e-5
+
+
+def test_vocabularies_are_joined_once_and_never_broadcast(spark, monkeypatch):
+    calls, real = [], P._known
+    monkeypatch.setattr(P, "_known", lambda pairs, vocab: calls.append(1) or real(pairs, vocab))
+    d = P.parse_diagnostics(_resp(spark, '[["animal", "cat"], ["animal", "cat"], ["animal", "CAT"], ["animal", "unknown"]]'), _vocab(spark))
+    r = d.first()
+    assert len(calls) == 1 and (r.n_strict, r.n_json_ci, r.n_regex_ci, r.n_line, r.n_pairs_wellformed) == (2, 3, 3, 0, 4)
+    plan = P.parse_arrow_lines(_resp(spark, "cat <= animal"), _vocab(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.tables import written
+
 KEY = ["run_id", "target", "chunk"]
 #: What counts as a block of pairs, a pair and an object in a reply, and what is stripped from terms. A
 #: block goes from the first [[ to the last ]]; a pair is two quoted terms in brackets; an object names parent, then child.
@@ -16,10 +18,12 @@ WHITE = " \t\n\r\x0b\f"
 
 
 def _known(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(…, parent, child) with both terms replaced by the nodes they name; pairs of unknown terms vanish."""
-    up = vocab.select(F.col("primary").alias("_up"), F.col("node").alias("parent"))
-    low = vocab.select(F.col("primary").alias("_low"), F.col("node").alias("child"))
-    return pairs.join(up, "_up").join(low, "_low").select(*KEY, "parent", "child")
+    """(…, parent, child) with both terms replaced by the nodes they name; pairs of unknown terms vanish. Further columns
+    stay. Vocabularies are sorted and never broadcast: their files, by which Spark would choose, can be a small part of
+    what they are in memory."""
+    up = vocab.select(F.col("primary").alias("_up"), F.col("node").alias("parent")).hint("merge")
+    low = vocab.select(F.col("primary").alias("_low"), F.col("node").alias("child")).hint("merge")
+    return pairs.join(up, "_up").join(low, "_low").drop("_up", "_low")
 
 
 def arrow_pairs(resp: DataFrame) -> DataFrame:
@@ -82,17 +86,20 @@ def parse_parent_child_objects(resp: DataFrame) -> DataFrame:
 def parse_diagnostics(resp: DataFrame, vocab: DataFrame) -> DataFrame:
     """Per reply: whether a block was found and is JSON, and what each way of parsing gets out of it."""
     text = F.coalesce("text", F.lit(""))
-    base = resp.select(*KEY, text.rlike(BLOCK).alias("regex_match"), json_block(text).isNotNull().alias("json_ok"))
-    counts = {
-        "n_strict": parse_json_pairs(resp, vocab),
-        "n_json_ci": parse_json_pairs(resp, vocab, case_sensitive=False),
-        "n_regex_ci": parse_pair_regex(resp, vocab),
-        "n_line": parse_arrow_lines(resp, vocab),
-        "n_pairs_wellformed": regex_pairs(resp),
-    }
-    for name, found in counts.items():
-        base = base.join(found.groupBy(*KEY).agg(F.count("*").alias(name)), KEY, "left")
-    return base.na.fill(0, list(counts))
+    resp = written(resp.select(*KEY, text.alias("text")), "replies")
+    base = resp.select(*KEY, F.col("text").rlike(BLOCK).alias("regex_match"), json_block(F.col("text")).isNotNull().alias("json_ok"))
+    strict, loose, line = json_pairs(resp), regex_pairs(resp), arrow_pairs(resp)
+    ways = {"n_strict": strict, "n_json_ci": lowered(strict), "n_regex_ci": lowered(loose), "n_line": line}
+    names = [*ways, "n_pairs_wellformed"]
+    every = None
+    for name, found in ways.items():
+        one = found.select(*KEY, "_up", "_low", F.lit(name).alias("_way"))
+        every = one if every is None else every.union(one)
+    # Terms are looked up once for all ways, and a pair that repeats in a reply once.
+    every = every.groupBy(*KEY, "_way", "_up", "_low").agg(F.count("*").alias("_n"))
+    counted = _known(every, vocab).select(*KEY, "_way", "_n").union(loose.select(*KEY, F.lit(names[-1]), F.lit(1).cast("long")))
+    counted = counted.groupBy(*KEY).agg(*[F.sum(F.when(F.col("_way") == name, F.col("_n"))).alias(name) for name in names])
+    return base.join(counted, KEY, "left").na.fill(0, names)
 
 
 def parse_loss_summary(diag: DataFrame) -> DataFrame:
