@@ -478,10 +478,13 @@ def _lighten(e: DataFrame) -> DataFrame:
 
 
 def add_virtual_root(e: DataFrame) -> DataFrame:
-    """Graphs with more than one root get a common one."""
-    roots = roots_of(edges_of(e))
+    """Graphs with more than one root get a common one. The edges are made once; one aggregate over their ends gives the
+    roots."""
+    base = written(edges_of(e), "rooted")
+    ends = base.select(G, F.col("parent").alias("node"), F.lit(True).alias("_top")).union(base.select(G, "child", F.lit(False)))
+    roots = written(ends.groupBy(G, "node").agg(F.bool_and("_top").alias("_top")).where("_top").select(G, "node"), "roots")
     several = roots.groupBy(G).agg(F.count("*").alias("_n")).where("_n > 1").select(G)
-    return edges_of(e).union(roots.join(several, G, "left_semi").select(G, F.lit(VIRTUAL_ROOT).alias("parent"), F.col("node").alias("child")))
+    return base.union(roots.join(several, G, "left_semi").select(G, F.lit(VIRTUAL_ROOT).alias("parent"), F.col("node").alias("child")))
 
 
 def drop_virtual_root(e: DataFrame) -> DataFrame:
