@@ -85,6 +85,16 @@ def transitive_closure(e: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(d, "d").select(G, "ancestor", "descendant", "hops")
 
 
+def closure_sizes(e: DataFrame) -> DataFrame:
+    """(graph_id, n): how many pairs of different nodes are joined by a path, in graphs that have any. Pairs stay numbers
+    of nodes: only a count for each node gets its graph."""
+    pairs, nodes = _closed_ids(e)
+    if nodes is None:
+        return pairs.where("a <> d").groupBy(G).agg(F.count("*").alias("n"))
+    counts = pairs.where("a <> d").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    return counts.join(nodes, "id").groupBy(G).agg(F.sum("n").alias("n"))
+
+
 def reach_counts(e: DataFrame, numbers: bool = True) -> DataFrame:
     """(graph_id, ancestor, n, most): how many nodes each node reaches, and how far the furthest of them is. Nodes that
     reach none are left out. Without ``numbers`` paths are joined by names: for graphs of so few levels that numbering
@@ -499,33 +509,65 @@ def node_degrees(e: DataFrame) -> DataFrame:
     return out.withColumn("is_root", F.col("in_degree") == 0).withColumn("is_leaf", F.col("out_degree") == 0)
 
 
-def longest_path_layers(e: DataFrame) -> DataFrame:
+def _peeled(e: DataFrame, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(layers, done): (graph_id, node, layer), the longest path from a root by the lengths ``_w`` of the edges, of nodes
+    that no cycle leads to. Not done if ``rounds`` were too few.
+
+    A node is settled in the round in which the last of its parents is, so each edge is followed once, as numbers. What is
+    passed on between rounds are the nodes just settled, and those that some parents, but not all, have told of.
+    """
+    nodes = node_ids(e)
+    a, d = (nodes.select(G, F.col("node").alias(end), F.col("id").alias(x)) for end, x in (("parent", "a"), ("child", "d")))
+    base = written(e.join(a, [G, "parent"]).join(d, [G, "child"]).select("a", "d", "_w"), "peel-edges")
+    need = base.groupBy("d").agg(F.count("*").alias("need"))
+    roots = nodes.select("id").join(base.select(F.col("d").alias("id")), "id", "left_anti")
+    base = written(base.join(need, "d").select("a", "d", "_w", "need"), "peel-needs")
+    now = written(roots.select(F.col("id").alias("d"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("need"), F.lit(0).alias("layer")), "peel")
+    found, recent, done = now, [], 0
+    while not now.where("n = need").isEmpty():
+        if done == rounds:
+            return found, False
+        told = now.where("n = need").select(F.col("d").alias("a"), "layer").join(base, "a").select("d", F.lit(1).cast("long").alias("n"), "need", (F.col("layer") + F.col("_w")).alias("layer"))
+        every = told.union(now.where("n < need").select("d", "n", "need", "layer")).groupBy("d")
+        now = written(every.agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("layer").alias("layer")), "peel")
+        recent.append(now.where("n = need"))
+        done += 1
+        if len(recent) == 16:
+            for r in recent:
+                found = found.union(r)
+            found, recent = written(found, "peeled"), []
+    for r in recent:
+        found = found.union(r)
+    return found.select(F.col("d").alias("id"), "layer").join(nodes, "id").select(G, "node", F.col("layer").cast("int").alias("layer")), True
+
+
+def longest_path_layers(e: DataFrame, rounds: int = 26) -> DataFrame:
     """(graph_id, node, layer): length of the longest path from a root; in cyclic graphs the number of a node's
-    ancestors instead. Chains count as one edge of their length, so rounds follow the branchings on a path; only layers
-    that have just grown are passed on."""
-    base = written(edges_of(e).join(is_dag(e), G), "layers")
-    dag = base.where("is_dag").drop("is_dag")
-    rest, chain = _chains(dag)
-    rest = rest.withColumn("_w", F.lit(1))
-    if chain is not None:
-        chain = written(chain, "layer-chains")
-        long = chain.groupBy(G, F.col("head").alias("parent"), F.col("tail").alias("child")).agg((F.max("place") + 1).cast("int").alias("_l"))
-        rest = rest.join(long, [G, "parent", "child"], "left").select(G, "parent", "child", F.greatest("_w", "_l").alias("_w"))
-    rest = written(rest, "layer-edges")
-    state = written(nodes_of(rest).join(roots_of(rest).withColumn("layer", F.lit(0)), [G, "node"], "left").withColumn("_grew", F.col("layer").isNotNull()), "layers")
-    while not state.where("_grew").isEmpty():
-        told = state.where("_grew").select(G, F.col("node").alias("parent"), "layer").join(rest, [G, "parent"]).groupBy(G, F.col("child").alias("node")).agg(F.max(F.col("layer") + F.col("_w")).alias("_told"))
-        grew = F.col("_told").isNotNull() & (F.col("layer").isNull() | (F.col("_told") > F.col("layer")))
-        state = written(state.join(told, [G, "node"], "left").select(G, "node", F.greatest("layer", "_told").alias("layer"), grew.alias("_grew")), "layers")
-    out = state.select(G, "node", "layer")
+    ancestors instead. Nodes go layer by layer, and a graph is cyclic if some never go. Where ``rounds`` are too few,
+    chains become one edge of their length, so that rounds follow the branchings on a path."""
+    base = written(edges_of(e).where(f"{G} is not null"), "layers")
+    out, done = _peeled(base.withColumn("_w", F.lit(1)), rounds)
+    chain = None
+    if not done:
+        rest, chain = _chains(base)
+        rest = rest.withColumn("_w", F.lit(1))
+        if chain is not None:
+            chain = written(chain, "layer-chains")
+            long = chain.groupBy(G, F.col("head").alias("parent"), F.col("tail").alias("child")).agg((F.max("place") + 1).cast("int").alias("_l"))
+            rest = rest.join(long, [G, "parent", "child"], "left").select(G, "parent", "child", F.greatest("_w", "_l").alias("_w"))
+        out = _peeled(written(rest, "layer-edges"))[0]
     if chain is not None:
+        out = written(out, "layers")
         heads = out.select(G, F.col("node").alias("head"), "layer")
         out = out.union(chain.join(heads, [G, "head"]).select(G, "node", (F.col("layer") + F.col("place")).cast("int").alias("layer")))
-    cyclic = base.where("not is_dag").drop("is_dag")
-    if cyclic.isEmpty():
-        return out
+    every = written(nodes_of(base).join(out, [G, "node"], "left"), "layers")
+    over = every.where("layer is null").select(G).distinct()
+    if over.isEmpty():
+        return every
+    over = written(over, "cyclic")
+    cyclic = base.join(over, G, "left_semi")
     above = small_closures(cyclic).where("ancestor <> descendant").groupBy(G, F.col("descendant").alias("node")).agg(F.count("*").cast("int").alias("layer"))
-    return out.union(nodes_of(cyclic).join(above, [G, "node"], "left").select(G, "node", F.coalesce("layer", F.lit(0)).alias("layer")))
+    return every.join(over, G, "left_anti").union(nodes_of(cyclic).join(above, [G, "node"], "left").select(G, "node", F.coalesce("layer", F.lit(0)).alias("layer")))
 
 
 def reachable_subgraph(e: DataFrame, seeds: DataFrame) -> DataFrame:
