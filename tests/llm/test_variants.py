@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     got = {tuple(r) for r in V.spelling_variants(df).collect()}
     assert got == brute([r[:2] for r in rows]) and len(got) == 4
     assert V.spelling_variants(df.limit(0)).collect() == []
+
+
+def test_lists_are_not_broadcast(spark):
+    """Posting lists are many times the words that Spark sizes them by, so no table that grows with the words is broadcast."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    words = spark.createDataFrame([(f"couleur{c}", n) for n, c in enumerate("abcdef", 3)], "word string, n long")
+    docs = spark.createDataFrame([(1, " ".join(f"couleur{c} " * n for n, c in enumerate("abcdef", 3)))], "doc_id long, text string")
+    for df in (V.near_words(words), V.spelling_variants(docs)):
+        assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

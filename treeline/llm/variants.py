@@ -165,7 +165,8 @@ def near_words(words: DataFrame, frequent_over: int = FREQUENT, limit: int = GRA
     lists = words.select("word", "n").mapInArrow(post, "key long, side int, word string, n long")
     short = lists.where("side = 0").select("key", "word", "n")
     other = lists.select("key", F.col("side").alias("_side"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = short.join(other, "key").where("(_side = 1 or word < near) and levenshtein(word, near, 1) = 1")
+    # Spark sizes the lists like the words that they come from, of which each is on many: it would broadcast either.
+    met = short.hint("merge").join(other, "key").where("(_side = 1 or word < near) and levenshtein(word, near, 1) = 1")
     pairs = met.select("word", "n", "near", "near_n").distinct()
     return pairs.union(pairs.select("near", "near_n", "word", "n"))
 
@@ -182,19 +183,19 @@ def spelling_variants(docs: DataFrame, frequent_over: int = FREQUENT, limit: int
     words = written(word_counts(docs), "words")
     near = near_words(words, frequent_over, limit)
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("form"))).alias("best"))
-    out = words.join(best, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left")
     has = -F.col("best.n") >= 2 * F.col("n")
     out = written(out.select("word", F.when(has, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, -F.col("best.n")).alias("form_n")), "forms")
-    return out.join(_roots(out), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(_roots(out).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
     """(word, root) of the words that have a form. Each round doubles how many forms are followed; n doubles along
-    each, so there are few rounds."""
+    each, so there are few rounds. Tables of words are packed well in files, so Spark would broadcast ones of many rows."""
     root = written(forms.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = root.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        root = written(root.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_more")), "roots")
+        root = written(root.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_more")), "roots")
         more = not root.where("_more").isEmpty()
         root = root.select("word", "root")
         if not more:
