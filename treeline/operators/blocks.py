@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.operators.graph import G, _order, _spread_down
 from treeline.tables import written
 
-G = "graph_id"
 #: A block has up to 2 ** BITS nodes; sources are closed so many at a time, which bounds the memory of a task.
 BITS, COLUMNS = 11, 1 << 14
 #: Where more than one edge in CROSSING leaves its block, where a block is sent more sources than LETTERS or where rounds
@@ -47,21 +47,6 @@ class Closed(NamedTuple):
         return self.direct[side] | self.longer[side]
 
 
-def _order(n: int, a: np.ndarray, d: np.ndarray) -> tuple[list[int], list[int], list[list[int]]]:
-    """(nodes, each after its parents; nodes on cycles and below; children of each node)."""
-    children: list[list[int]] = [[] for _ in range(n)]
-    open_parents = np.bincount(d, minlength=n).tolist()
-    for x, y in zip(a.tolist(), d.tolist(), strict=True):
-        children[x].append(y)
-    done = [i for i in range(n) if not open_parents[i]]
-    for x in done:
-        for y in children[x]:
-            open_parents[y] -= 1
-            if not open_parents[y]:
-                done.append(y)
-    return done, [i for i in range(n) if open_parents[i]], children
-
-
 def _close(group: pd.DataFrame, columns: int) -> Iterator[Closed]:
     """The closure of a block, for some sources at a time."""
     a, d, s, kind = (group[c].to_numpy() for c in ("a", "d", "s", "kind"))
@@ -85,21 +70,7 @@ def _close(group: pd.DataFrame, columns: int) -> Iterator[Closed]:
             put(one, np.searchsorted(own, d[ends]), a[ends])
             at = np.searchsorted(own, d[sent])
             put(more, np.repeat(at, [len(x) for x in far[side]]), np.concatenate([np.zeros(0, np.int64), *far[side]]).astype(np.int64))
-            first, cyclic, children = orders[side]
-            for x in first:
-                if children[x]:
-                    row = one[x] | more[x]
-                    for y in children[x]:
-                        more[y] |= row
-            grew = bool(cyclic)
-            while grew:
-                grew = False
-                for x in cyclic:
-                    row = one[x] | more[x]
-                    for y in children[x]:
-                        if (row & ~more[y]).any():
-                            more[y] |= row
-                            grew = True
+            _spread_down(one, more, orders[side])
             direct.append(one)
             longer.append(more)
         yield Closed(own, cols, direct, longer)
@@ -195,3 +166,14 @@ def sizes(b: Blocks) -> DataFrame:
 
     rows = closed(b, count, "id long, " + ", ".join(f"{x} long" for x in [*COUNTS, "loops"]))
     return rows.join(b.nodes.hint("merge"), "id").groupBy(G).agg(*[F.sum(x).alias(x) for x in [*COUNTS, "loops"]])
+
+
+def pairs(b: Blocks) -> DataFrame:
+    """(a, d, ok, direct, longer): the closure of the first side as numbers; ok: the other side's has the pair too;
+    direct: it is an edge; longer: a path of two or more edges joins it."""
+
+    def each(c: Closed) -> pd.DataFrame:
+        d, a = np.nonzero(c.pairs(0))
+        return pd.DataFrame({"a": c.cols[a], "d": c.own[d], "ok": c.pairs(1)[d, a], "direct": c.direct[0][d, a], "longer": c.longer[0][d, a]})
+
+    return closed(b, each, "a long, d long, ok boolean, direct boolean, longer boolean")

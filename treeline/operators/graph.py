@@ -106,16 +106,82 @@ def reach_counts(e: DataFrame, numbers: bool = True) -> DataFrame:
     return pairs.groupBy(F.col("a").alias("id")).agg(*count).join(nodes, "id").select(G, F.col("node").alias("ancestor"), "n", "most")
 
 
-def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int = 2000) -> DataFrame:
+def _order(n: int, a: np.ndarray, d: np.ndarray) -> tuple[list[int], list[int], list[list[int]]]:
+    """(nodes, each after its parents; nodes on cycles and below; children of each node) of a graph of numbers below n."""
+    children: list[list[int]] = [[] for _ in range(n)]
+    open_parents = np.bincount(d, minlength=n).tolist()
+    for x, y in zip(a.tolist(), d.tolist(), strict=True):
+        children[x].append(y)
+    done = [i for i in range(n) if not open_parents[i]]
+    for x in done:
+        for y in children[x]:
+            open_parents[y] -= 1
+            if not open_parents[y]:
+                done.append(y)
+    return done, [i for i in range(n) if open_parents[i]], children
+
+
+def _spread_down(one: np.ndarray, more: np.ndarray, order: tuple[list[int], list[int], list[list[int]]]) -> None:
+    """Adds to the rows ``more`` of a node what its parents have in ``one`` (edges) or ``more`` (longer paths)."""
+    first, cyclic, children = order
+    some = (one.any(axis=1) | more.any(axis=1)).tolist()
+    for x in first:
+        if some[x] and children[x]:
+            row = one[x] | more[x]
+            for y in children[x]:
+                more[y] |= row
+                some[y] = True
+    grew = bool(cyclic)
+    while grew:
+        grew = False
+        for x in cyclic:
+            row = one[x] | more[x]
+            for y in children[x]:
+                if (row & ~more[y]).any():
+                    more[y] |= row
+                    grew = True
+
+
+def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int = 2000, few: int = 16, max_edges: int = 1 << 20) -> DataFrame:
     """(by, ancestor, descendant, level): for each pair joined by a path, the highest level that all edges of some path
     reach. ``e`` is (by, parent, child, level), level an integer; a graph is what has one value of ``by``.
 
-    Graphs of up to ``max_nodes`` nodes are closed in one pass, each by adding its edges from the highest level down:
-    the pairs that an edge is the first to join have its level. In larger ones pairs that have risen are joined with
+    Graphs of up to ``max_edges`` edges in ``few`` levels at most are closed in one pass, each once a level, for some
+    sources at a time. So are other graphs of up to ``max_nodes`` nodes, each by adding its edges from the highest level
+    down: the pairs that an edge is the first to join have its level. In what is left pairs that have risen are joined with
     known pairs until none rises any more, in as many rounds as the logarithm of the longest path.
     """
     by = list(by)
     e = e.groupBy(*by, "parent", "child").agg(F.max("level").cast("long").alias("level"))
+    kinds = dict(e.dtypes)
+    kind = ", ".join([*(f"{k} {kinds[k]}" for k in by), f"ancestor {kinds['parent']}, descendant {kinds['parent']}, level long"])
+    flat = e.groupBy(*by).agg(F.count("*").alias("_n"), F.count_distinct("level").alias("_l")).where((F.col("_n") <= max_edges) & (F.col("_l") <= few))
+    flat = written(flat.select(*by), "flat")
+
+    def by_levels(group: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate((group["parent"], group["child"])), return_inverse=True)
+        n, m, level = len(names), len(group), group["level"].to_numpy()
+        a, d, parts = codes[:m], codes[m:], []
+        steps = [(x, level >= x) for x in sorted(set(level.tolist()), reverse=True)]
+        orders = [_order(n, a[on], d[on]) for _, on in steps]
+        width = max(64, min(n, (1 << 26) // n))
+        for start in range(0, n, width):
+            end, known = min(n, start + width), np.zeros((n, min(n, start + width) - start), bool)
+            for (x, on), order in zip(steps, orders, strict=True):
+                own = on & (a >= start) & (a < end)
+                one, more = np.zeros_like(known), np.zeros_like(known)
+                one[d[own], a[own] - start] = True
+                _spread_down(one, more, order)
+                below, above = np.nonzero((one | more) & ~known)
+                known |= one | more
+                parts.append(pd.DataFrame({"ancestor": names[above + start], "descendant": names[below], "level": x}))
+        out = pd.concat(parts)
+        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(out) for k in by}, **{c: out[c].to_numpy() for c in out}})
+
+    quick = e.join(flat, by, "left_semi").groupBy(*by).applyInPandas(by_levels, kind)
+    e = written(e.join(flat, by, "left_anti").select(*by, "parent", "child", "level"), "levelled")
+    if e.isEmpty():
+        return quick
     ends = e.select(*by, F.col("parent").alias("node")).union(e.select(*by, "child")).distinct()
     large = written(ends.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_nodes).select(*by), "large")
 
@@ -136,9 +202,7 @@ def bottleneck_closure(e: DataFrame, by: tuple[str, ...] = (G,), max_nodes: int
         a, d = np.nonzero(reach)
         return pd.DataFrame({**{k: group[k].iloc[0] for k in by}, "ancestor": names[a], "descendant": names[d], "level": level[a, d]})
 
-    kinds = dict(e.dtypes)
-    kind = ", ".join([*(f"{k} {kinds[k]}" for k in by), "ancestor string, descendant string, level long"])
-    small = e.join(large, by, "left_anti").groupBy(*by).applyInPandas(close, kind)
+    small = quick.union(e.join(large, by, "left_anti").groupBy(*by).applyInPandas(close, kind))
     if large.isEmpty():
         return small
     pair = [*by, "ancestor", "descendant"]

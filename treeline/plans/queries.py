@@ -620,7 +620,7 @@ def _(t):
 
 @query("m14_prune_sweep_deep", ctes("deep_pred_c", "deep_c") + (_PARTS + _SUS + _RANKED + _CLOSED).replace("parts", "deep") + ' select ranker, cast(k as int) as k, tp, n_pred, round(p, 6) as "precision", round(r, 6) as recall from fin')
 def _(t):
-    closure = written(R.transitive_closure(t("deep_pred")).drop("hops"), "deep-closure")
+    closure = M.paths(t("deep_pred"), t("deep")) or written(R.transitive_closure(t("deep_pred")).drop("hops"), "deep-closure")
     return M.prune_sweep(t("deep_pred"), M.ranker_scores(_comp(t, "deep_pred", closure)), t("deep"), KS, closure=closure).select("ranker", "k", "tp", "n_pred", *r6("precision", "recall"))
 
 
